@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .pii import op8_pii
+from .secrets import op4_secrets
 from .token_output import op1_token_output
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_output": op1_token_output,
+        "op4_secrets": op4_secrets,
+        "op8_pii": op8_pii,
     }
 
 
