@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import os
 import re
 import tempfile
@@ -63,96 +64,121 @@ def list_array(values: np.ndarray, lengths: np.ndarray, kind: pa.DataType) -> pa
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, kind))
 
 
-#: A single space between two characters that no pre-tokeniser counts as white space is always a
-#: border between two pre-tokens, so the pieces on either side can be encoded apart.
-_CUT = re.compile(r"(?<=[^\s\x00-\x20]) (?=[^\s\x00-\x20])")
-_ODD = re.compile(r"[\s\x00-\x1f] | [\s\x00-\x1f]|^ | $")
+_L, _N = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff", "0-9\xb2\xb3\xb9\xbc-\xbe"
+#: Texts of these characters are cut into pre-tokens here, by the two vocabularies' own rules.
+_LATIN = re.compile("[\t-\r\x20-\x7e\xa1-\xff]*")
+_BYTE_LEVEL = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^\s{_L}{_N}]+|\s+(?!\S)|\s+")
+_WORD_LEVEL = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_L}]+|[{_N}]|[^\s{_L}{_N}]+")
+#: In other texts, a single space between two characters that no pre-tokeniser counts as white space
+#: is always a border between two pre-tokens.
+_CUT = re.compile(r"(?<=[^\s\x00-\x20])(?= [^\s\x00-\x20])")
+_PLAIN = re.compile(r" ?[^\s\x00-\x20\x85]+")
 
 
-def space_pieces(text: str) -> list[str]:
-    """Pieces of a byte-level vocabulary: all but the first stand for themselves with a space before."""
-    return _CUT.split(text) if _ODD.search(text) else text.split(" ")
+def byte_level_pieces(text: str) -> list[str]:
+    """Substrings whose ids, one after another, are those of the text: a vocabulary that keeps white space."""
+    return _BYTE_LEVEL.findall(text) if _LATIN.fullmatch(text) else _CUT.split(text)
 
 
-def word_pieces(text: str) -> list[str]:
-    """Pieces of a vocabulary that drops white space and lower-cases."""
-    return (text.lower() if text.isascii() else text).replace("\n", " ").split(" ")
+def word_level_pieces(text: str) -> list[str]:
+    """The same for a vocabulary that lower-cases and drops white space."""
+    return _WORD_LEVEL.findall(text.lower()) if _LATIN.fullmatch(text) else re.split("[ \n]+", text)
 
 
 class PieceEncoder:
-    """Encodes whole texts with a tokenizers file; each distinct piece goes through the library once.
+    """Encodes whole texts with a tokenizers file, putting repeated pieces through the library once.
 
-    Gives the ids that encoding the whole text gives. What is remembered is bounded: beyond
-    `most_pieces` or `most_ids` it is forgotten.
+    Gives the ids that encoding the whole text gives. Memory is bounded: beyond `most` remembered
+    pieces, or `most_ids` ids of them, the less used ones are forgotten.
     """
 
-    def __init__(self, path: str, lead: bool, most_pieces: int = 400_000, most_ids: int = 3_000_000):
+    def __init__(self, path: str, keeps_space: bool, most: int = 250_000, most_ids: int = 1_500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.lead, self.most_pieces, self.most_ids = lead, most_pieces, most_ids
-        self.forget()
-
-    def forget(self) -> None:
-        self.first: dict[str, int] = {}
-        self.rest: dict[str, int] = self.first if not self.lead else {}
-        self.ids = np.empty(0, np.int32)
-        self.starts = np.empty(0, np.int64)
-        self.lengths = np.empty(0, np.int64)
-
-    def _learn(self, known: dict[str, int], pieces: set[str], prefix: str) -> None:
-        new = [p for p in pieces if p not in known]
-        if not new:
-            return
-        got = [e.ids for e in self.tokenizer.encode_batch_fast([prefix + p for p in new], add_special_tokens=False)]
-        base = len(self.starts)
-        known.update(zip(new, range(base, base + len(new))))
-        lengths = np.fromiter(map(len, got), np.int64, len(got))
-        flat = np.fromiter((i for ids in got for i in ids), np.int32, int(lengths.sum()))
-        self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(lengths) - lengths])
-        self.lengths = np.concatenate([self.lengths, lengths])
-        self.ids = np.concatenate([self.ids, flat])
+        self.cut = byte_level_pieces if keeps_space else word_level_pieces
+        self.mark = self._one("\n") if keeps_space else []
+        self.most, self.most_ids = most, most_ids
+        self._clear()
+
+    def _one(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
+    def _forget(self) -> None:
+        used, names = self.used[: self.size], list(self.known)
+        least = max(2, int(np.partition(used, -self.most // 2)[-self.most // 2]) + 1 if self.size > self.most // 2 else 2)
+        keep = np.flatnonzero(used >= least)
+        n, starts = self.lengths[keep], self.starts[keep]
+        if n.sum() > self.most_ids // 2:
+            keep, n, starts = keep[:0], n[:0], starts[:0]
+        till = np.cumsum(n)
+        ids = self.ids[np.repeat(starts - till + n, n) + np.arange(till[-1] if len(till) else 0)]
+        old = used[keep] // 2
+        self._clear()
+        self._add([names[k] for k in keep.tolist()], ids, n)
+        self.used[: self.size] = old
+
+    def _clear(self) -> None:
+        self.known: dict[str, int] = {}
+        self.size = self.filled = 0
+        self.ids, self.starts, self.lengths, self.used = (np.zeros(4096, k) for k in (np.int32, np.int64, np.int64, np.int32))
+
+    def _learn(self, pieces: set[str]) -> None:
+        new = pieces.difference(self.known)
+        plain = list(filter(_PLAIN.fullmatch, new)) if self.mark else []
+        for a in range(0, len(plain), 500):  # many plain pieces in one text; the id of a line end stands between them
+            some = plain[a : a + 500]
+            ids = np.array(self._one("\n".join(some)), np.int32)
+            between = ids == self.mark[0]
+            ends = np.concatenate([np.flatnonzero(between) - np.arange(len(some) - 1), [len(ids) - len(some) + 1]])
+            self._add(some, ids[~between], np.diff(ends, prepend=0))
+        rest = list(new.difference(plain))
+        if rest:
+            lists = [e.ids for e in self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)]
+            n = np.fromiter(map(len, lists), np.int64, len(lists))
+            self._add(rest, np.fromiter(itertools.chain.from_iterable(lists), np.int32, int(n.sum())), n)
+
+    def _add(self, pieces: list[str], ids: np.ndarray, n: np.ndarray) -> None:
+        base, at = self.size, self.filled
+        self.known.update(zip(pieces, range(base, base + len(pieces))))
+        self.size, self.filled = base + len(pieces), at + len(ids)
+        for name, need in (("starts", self.size), ("lengths", self.size), ("used", self.size), ("ids", self.filled)):
+            old = getattr(self, name)
+            if len(old) < need:
+                setattr(self, name, np.concatenate([old, np.zeros(max(need - len(old), len(old) // 2, 4096), old.dtype)]))
+        self.ids[at : self.filled] = ids
+        self.lengths[base : self.size] = n
+        self.starts[base : self.size] = at + np.cumsum(n) - n
 
     def encode(self, texts: list[str], end_id: int = 0) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after another, each text closed by end_id, and the number of ids of each text."""
-        if len(self.starts) > self.most_pieces or len(self.ids) > self.most_ids:
-            self.forget()
-        if not len(self.starts):
-            self.ids, self.starts, self.lengths = np.array([end_id], np.int32), np.array([0]), np.array([1])
-        cut = space_pieces if self.lead else word_pieces
-        parts = [cut(t) for t in texts]
-        if self.lead:
-            self._learn(self.first, {p[0] for p in parts}, "")
-            rest: set[str] = set()
-            for p in parts:
-                rest.update(p[1:])
-            self._learn(self.rest, rest, " ")
-        else:
-            self._learn(self.first, set().union(*parts), "")
-        first, look = self.first, self.rest.__getitem__
-        at: list[int] = []
-        ends = np.empty(len(texts), np.int64)
-        for k, p in enumerate(parts):
-            at.append(first[p[0]])
-            at.extend(map(look, p[1:]))
-            at.append(0)
-            ends[k] = len(at)
-        index = np.fromiter(at, np.int64, len(at))
+        if self.size > self.most or self.filled > self.most_ids:
+            self._forget()
+        parts = [self.cut(t) for t in texts]
+        self._learn(set().union(*parts))
+        sizes = np.fromiter(map(len, parts), np.int64, len(parts))
+        index = np.fromiter(map(self.known.__getitem__, itertools.chain.from_iterable(parts)), np.int64, int(sizes.sum()))
+        self.used += np.bincount(index, minlength=len(self.used)).astype(np.int32)
         n = self.lengths[index]
         till = np.cumsum(n)
-        ids = self.ids[np.repeat(self.starts[index] - till + n, n) + np.arange(till[-1] if len(till) else 0)]
-        until = till[ends - 1] if len(ends) else ends
-        return ids, np.diff(until, prepend=0)
+        flat = self.ids[np.repeat(self.starts[index] - till + n, n) + np.arange(till[-1] if len(till) else 0)]
+        ends = np.concatenate([[0], till])[np.cumsum(sizes)]
+        counts = np.diff(ends, prepend=0) + 1
+        out = np.full(int(counts.sum()), end_id, np.int32)
+        closed = np.ones(len(out), bool)
+        closed[np.cumsum(counts) - 1] = False
+        out[closed] = flat
+        return out, counts
 
 
 _ENCODERS: dict[tuple[str, bool], PieceEncoder] = {}
 
 
-def encoder(path: str, lead: bool) -> PieceEncoder:
+def encoder(path: str, keeps_space: bool) -> PieceEncoder:
     """One per worker process and file."""
-    if (path, lead) not in _ENCODERS:
+    if (path, keeps_space) not in _ENCODERS:
         _ENCODERS.clear()
-        _ENCODERS[path, lead] = PieceEncoder(path, lead)
-    return _ENCODERS[path, lead]
+        _ENCODERS[path, keeps_space] = PieceEncoder(path, keeps_space)
+    return _ENCODERS[path, keeps_space]

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .packing import op10_packing
 from .pii import op8_pii
 from .secrets import op4_secrets
 from .token_output import op1_token_output
@@ -16,6 +17,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_token_output": op1_token_output,
         "op4_secrets": op4_secrets,
         "op8_pii": op8_pii,
+        "op10_packing": op10_packing,
     }
 
 

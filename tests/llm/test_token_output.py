@@ -7,7 +7,7 @@ from tokenizers import Tokenizer
 
 from iotrail.llm import common, token_output
 
-ODD = ["", " ", "a", "  two  spaces ", "tab\tand\nnew  line \n x", "it's  we'll 12 345", "\x1c x \x1cy", "é" * 5 + " ß z", "<|endoftext|> a", "x" * 5000, "ab " * 3000, " ́a b́ c", "İ Σ ΑΣ Ⅷ", None]
+ODD = ["", " ", "a", "  two  spaces ", "tab\tand\nnew  line \n x", "it's  we'll 12 345", "\x1c x \x1cy", "é" * 5 + " ß z", "<|endoftext|> a", "x" * 5000, "ab " * 3000, " ́a b́ c", "İ Σ ΑΣ Ⅷ", "don't stop.\n\n Yes;   no!\t(a+b) ÉTÉ ª²½ ¿qué? Weiß 12,5", "a.\nB c\n", " ".join("w%d." % i for i in range(3000)), None]
 
 
 @pytest.mark.parametrize("name,lead", [("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)])
@@ -42,3 +42,12 @@ def test_empty(spark):
     path = common.work_path(spark, "t")
     token_output.write(token_output.encode(docs, public_tokenizers.path("byte_bpe_50k.json")), path)
     assert token_output.with_crc(token_output.read(spark, path)).count() == 0
+
+
+def test_forgetting_changes_nothing():
+    few = common.PieceEncoder(public_tokenizers.path("byte_bpe_50k.json"), True, most=50, most_ids=200)
+    many = common.PieceEncoder(public_tokenizers.path("byte_bpe_50k.json"), True)
+    texts = [f"alpha beta{i} gamma{i % 7} delta." for i in range(300)]
+    for a in range(0, 300, 20):
+        assert few.encode(texts[a : a + 20])[0].tolist() == many.encode(texts[a : a + 20])[0].tolist()
+    assert len(few.known) < 200
