@@ -6,8 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .chat import OP7_SQL, op7_chat
+from .neardup import OP2_SQL, op2_near_duplicates
 from .packing import op10_packing
 from .pii import op8_pii
+from .quality import op6_quality
 from .secrets import op4_secrets
 from .token_output import op1_token_output
 
@@ -15,11 +18,17 @@ from .token_output import op1_token_output
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_output": op1_token_output,
+        "op2_near_duplicates": op2_near_duplicates,
         "op4_secrets": op4_secrets,
+        "op6_quality": op6_quality,
+        "op7_chat": op7_chat,
         "op8_pii": op8_pii,
         "op10_packing": op10_packing,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op2_near_duplicates": OP2_SQL,
+        "op7_chat": OP7_SQL,
+    }

@@ -62,7 +62,9 @@ def _transitions(token: Column) -> Column:
 def train(docs: DataFrame, sample_docs: int = 2000, digests: int = 4000, smooth: float = 0.1) -> list[float]:
     """Log-likelihood ratios (random against ordinary) by transition, flattened; base-64 symbols are smoothed."""
     spark = docs.sparkSession
-    sample = texts_of(docs).orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")).limit(sample_docs)
+    rank = F.xxhash64("doc_id")
+    last = texts_of(docs).select(rank.alias("r")).orderBy("r").limit(sample_docs).agg(F.max("r")).first()[0]
+    sample = texts_of(docs).where(rank <= (F.lit(last) if last is not None else F.lit(0))).limit(2 * sample_docs)
     spans = sample.select("text", base_spans(F.col("text")).alias("base"))
     found = spans.select(F.explode("base").alias("s")).select(
         F.lit(1).alias("label"), F.regexp_replace(F.col("s.text"), ASSIGN_VALUE, "").alias("token")
