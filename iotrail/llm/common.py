@@ -72,24 +72,37 @@ _WORD_LEVEL = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_L}]+|[{_N}]|[^\s{_L}{_N}]
 #: In other texts, a single space between two characters that no pre-tokeniser counts as white space
 #: is always a border between two pre-tokens.
 _CUT = re.compile(r"(?<=[^\s\x00-\x20])(?= [^\s\x00-\x20])")
-_PLAIN = re.compile(r" ?[^\s\x00-\x20\x85]+")
+# Byte-level vocabularies write a byte as the character of its number where that is printable, and the others
+# in ascending order from 256 on.
+_PRINTABLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
+_SYMBOL = {b: 256 + k for k, b in enumerate(sorted({*range(256)} - _PRINTABLE))}
+
+_SPACE, _WHOLE = chr(_SYMBOL[32]), "\0"
+
+
+def _as_symbols(piece: str) -> str:
+    return piece.encode().decode("latin-1").translate(_SYMBOL)
 
 
 def byte_level_pieces(text: str) -> list[str]:
-    """Substrings whose ids, one after another, are those of the text: a vocabulary that keeps white space."""
-    return _BYTE_LEVEL.findall(text) if _LATIN.fullmatch(text) else _CUT.split(text)
+    """Substrings whose ids, one after another, are those of the text: a vocabulary that keeps white space.
+
+    Those of texts that are not Latin are marked, as they can hold several pre-tokens.
+    """
+    return _BYTE_LEVEL.findall(text) if _LATIN.fullmatch(text) else [_WHOLE + p for p in _CUT.split(text)]
 
 
 def word_level_pieces(text: str) -> list[str]:
     """The same for a vocabulary that lower-cases and drops white space."""
-    return _WORD_LEVEL.findall(text.lower()) if _LATIN.fullmatch(text) else re.split("[ \n]+", text)
+    return _WORD_LEVEL.findall(text.lower()) if _LATIN.fullmatch(text) else [_WHOLE + p for p in re.split("[ \n]+", text)]
 
 
 class PieceEncoder:
     """Encodes whole texts with a tokenizers file, putting repeated pieces through the library once.
 
-    Gives the ids that encoding the whole text gives. Memory is bounded: beyond `most` remembered
-    pieces, or `most_ids` ids of them, the less used ones are forgotten.
+    Latin texts are cut into pre-tokens here and each goes through the library's BPE model; pieces of other
+    texts go through its whole pipeline. Gives the ids that encoding the whole text gives. Memory is bounded:
+    beyond `most` remembered pieces, or `most_ids` ids of them, the less used ones are forgotten.
     """
 
     def __init__(self, path: str, keeps_space: bool, most: int = 250_000, most_ids: int = 1_500_000):
@@ -99,13 +112,9 @@ class PieceEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.cut = byte_level_pieces if keeps_space else word_level_pieces
-        self.mark = self._one("\n") if keeps_space else []
         self.most, self.most_ids = most, most_ids
         self._clear()
 
-    def _one(self, text: str) -> list[int]:
-        return self.tokenizer.encode(text, add_special_tokens=False).ids
-
     def _forget(self) -> None:
         used, names = self.used[: self.size], list(self.known)
         least = max(2, int(np.partition(used, -self.most // 2)[-self.most // 2]) + 1 if self.size > self.most // 2 else 2)
@@ -126,19 +135,22 @@ class PieceEncoder:
         self.ids, self.starts, self.lengths, self.used = (np.zeros(4096, k) for k in (np.int32, np.int64, np.int64, np.int32))
 
     def _learn(self, pieces: set[str]) -> None:
-        new = pieces.difference(self.known)
-        plain = list(filter(_PLAIN.fullmatch, new)) if self.mark else []
-        for a in range(0, len(plain), 500):  # many plain pieces in one text; the id of a line end stands between them
-            some = plain[a : a + 500]
-            ids = np.array(self._one("\n".join(some)), np.int32)
-            between = ids == self.mark[0]
-            ends = np.concatenate([np.flatnonzero(between) - np.arange(len(some) - 1), [len(ids) - len(some) + 1]])
-            self._add(some, ids[~between], np.diff(ends, prepend=0))
-        rest = list(new.difference(plain))
-        if rest:
-            lists = [e.ids for e in self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)]
-            n = np.fromiter(map(len, lists), np.int64, len(lists))
-            self._add(rest, np.fromiter(itertools.chain.from_iterable(lists), np.int32, int(n.sum())), n)
+        new = list(pieces.difference(self.known))
+        if not new:
+            return
+        whole = [p for p in new if p[:1] == _WHOLE]
+        found = dict(zip(whole, (e.ids for e in self.tokenizer.encode_batch_fast([p[1:] for p in whole], add_special_tokens=False)))) if whole else {}
+        model, flat, n = self.tokenizer.model.tokenize, [], []
+        for p in new:
+            if p in found:
+                ids = found[p]
+            else:
+                bare = p[1:] if p[0] == " " else p
+                plain = bare.isascii() and bare.isalnum()
+                ids = [t.id for t in model((_SPACE + bare if bare is not p else p) if plain else _as_symbols(p))]
+            flat += ids
+            n.append(len(ids))
+        self._add(new, np.array(flat, np.int32), np.array(n, np.int64))
 
     def _add(self, pieces: list[str], ids: np.ndarray, n: np.ndarray) -> None:
         base, at = self.size, self.filled

@@ -13,6 +13,7 @@ from .pii import op8_pii
 from .quality import op6_quality
 from .secrets import op4_secrets
 from .token_output import op1_token_output
+from .vectors import OP5_SQL, op5_vectors
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -20,6 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_token_output": op1_token_output,
         "op2_near_duplicates": op2_near_duplicates,
         "op4_secrets": op4_secrets,
+        "op5_vectors": op5_vectors,
         "op6_quality": op6_quality,
         "op7_chat": op7_chat,
         "op8_pii": op8_pii,
@@ -30,5 +32,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_near_duplicates": OP2_SQL,
+        "op5_vectors": OP5_SQL,
         "op7_chat": OP7_SQL,
     }
