@@ -6,7 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
+
 from .chat import OP7_SQL, op7_chat
+from .counts import op3_token_counts
+from .decontaminate import op9_decontamination
 from .neardup import OP2_SQL, op2_near_duplicates
 from .packing import op10_packing
 from .pii import op8_pii
@@ -20,18 +24,24 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_output": op1_token_output,
         "op2_near_duplicates": op2_near_duplicates,
+        "op3_token_counts": op3_token_counts,
         "op4_secrets": op4_secrets,
         "op5_vectors": op5_vectors,
         "op6_quality": op6_quality,
         "op7_chat": op7_chat,
         "op8_pii": op8_pii,
+        "op9_decontamination": op9_decontamination,
         "op10_packing": op10_packing,
+        "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {
+    out = {
         "op2_near_duplicates": OP2_SQL,
         "op5_vectors": OP5_SQL,
         "op7_chat": OP7_SQL,
     }
+    if corpus_pipeline.ORACLE_SQL:
+        out["pipeline"] = corpus_pipeline.ORACLE_SQL
+    return out
