@@ -9,10 +9,10 @@ threshold - margin is confirmed on the full sets of the whole texts: 100 * inter
 A list can be very long, so pairs are never formed from all of it:
 - rare first: two sketches that must share c of k values share one among the k - c + 1 rarest of either, so only
   these are listed (values are counted over all sketches; ones found once need no list);
-- peeling: each round takes a few members of every list, compares them with the rest and then leaves them out,
-  eight times as many the next round, so that every pair of a list is met once and none is capped;
-- components: pairs already connected are not compared, the likeliest link of each document is tried first, and
-  a list whose members are connected is left.
+- peeling: each round takes a few members of every list, the same ones in all lists that hold them, compares them
+  with the rest and then leaves them out, eight times as many the next round, so that every pair of a list is met
+  once and none is capped;
+- components: pairs already connected are not compared, and a list whose members are connected is left.
 
 With k = 64 and a margin of 0.2, a pair exactly at the threshold is overlooked with a chance of about 1e-5 (it
 falls fast above it); sets of at most k * threshold values are never overlooked.
@@ -95,7 +95,7 @@ def link(docs: DataFrame, size: int = 5, percent: int = 80, k: int = 64, margin:
     component = _components_of(docs, reps, size, percent, k, threshold, margin)
     shared = reps.where(F.col("last") > F.col("rep")).select(*same, "rep")
     ids = every.select("doc_id", *same).join(shared, same, "left")
-    ids = materialise(ids.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("rep", "doc_id").alias("rep")), "shingle-ids")
+    ids = materialise(ids.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id")).alias("rep")), "shingle-ids")
     if component is None:
         return ids.select("doc_id", "n_shingles", F.col("rep").alias("component_id"))
     found = ids.join(component.select(F.col("node").alias("rep"), "component"), "rep", "left")
@@ -123,16 +123,19 @@ def _components_of(docs: DataFrame, reps: DataFrame, size: int, percent: int, k:
     component: DataFrame | None = None
     leaders = 8
     while True:
-        part = F.pmod(F.xxhash64("rep", "v"), F.lit(leaders))
-        lead = lists.groupBy("v", part.alias("part")).agg(F.min(F.struct("rep", "n", "component")).alias("x")).select("v", F.col("x.rep").alias("lr"), F.col("x.n").alias("ln"), F.col("x.component").alias("lc"))
+        order = F.xxhash64("rep", F.lit(leaders))
+        lead = lists.groupBy("v", F.pmod(F.xxhash64("rep"), F.lit(leaders)).alias("part")).agg(F.min(F.struct(order.alias("h"), "rep", "n", "component")).alias("x"))
+        lead = lead.select("v", F.col("x.rep").alias("lr"), F.col("x.n").alias("ln"), F.col("x.component").alias("lc"))
         met = lists.join(lead, "v").where(
             (F.col("rep") != F.col("lr")) & (F.col("component") != F.col("lc")) & (F.least("n", "ln") >= threshold * F.greatest("n", "ln") - 1e-9)
         )
         pairs = met.select(F.least("rep", "lr").alias("a"), F.greatest("rep", "lr").alias("b")).distinct()
         for c in ("a", "b"):
             pairs = pairs.join(sketches.select(F.col("doc_id").alias(c), F.col("sketch").alias(f"s{c}")), c)
-        likely = pairs.select("a", "b", _estimate(F.col("sa"), F.col("sb"), k).alias("e")).where(F.col("e") >= threshold - margin)
-        component = _try(materialise(likely, "shingle-pairs"), texts, component, size, percent)
+        likely = pairs.where(_estimate(F.col("sa"), F.col("sb"), k) >= threshold - margin).select("a", "b")
+        links = materialise(confirm(likely, texts, size, percent), "shingle-links")
+        if not links.isEmpty():
+            component = merge(component, links)
         rest = lists.join(lead.select("v", F.col("lr").alias("rep")), ["v", "rep"], "left_anti")
         if component is not None:
             rest = rest.drop("component").join(component.select(F.col("node").alias("rep"), "component"), "rep", "left").select("v", "rep", "n", F.coalesce("component", "rep").alias("component"))
@@ -144,23 +147,6 @@ def _components_of(docs: DataFrame, reps: DataFrame, size: int, percent: int, k:
         leaders *= 8
 
 
-def _try(likely: DataFrame, texts: DataFrame, component: DataFrame | None, size: int, percent: int) -> DataFrame | None:
-    """Confirms likely pairs (a, b, e): first the likeliest of each document, then those still not connected."""
-    ends = likely.select(F.col("a").alias("d"), "a", "b", "e").unionByName(likely.select(F.col("b").alias("d"), "a", "b", "e"))
-    best = ends.groupBy("d").agg(F.max(F.struct("e", -F.col("a"), -F.col("b"))).alias("x")).select((-F.col("x.col2")).alias("a"), (-F.col("x.col3")).alias("b")).distinct()
-    best = materialise(best, "shingle-best")
-    links = materialise(confirm(best, texts, size, percent), "shingle-links")
-    if not links.isEmpty():
-        component = merge(component, links)
-    rest = likely.select("a", "b").join(best, ["a", "b"], "left_anti")
-    if component is not None:
-        for c in ("a", "b"):
-            rest = rest.join(component.select(F.col("node").alias(c), F.col("component").alias(f"c{c}")), c, "left")
-        rest = rest.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
-    links = materialise(confirm(rest, texts, size, percent), "shingle-links")
-    return component if links.isEmpty() else merge(component, links)
-
-
 def keep_one(docs: DataFrame, **options) -> DataFrame:
     """One document of each group, that of the least doc_id, with the columns docs has."""
     found = link(docs, **options)
