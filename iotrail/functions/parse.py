@@ -105,9 +105,8 @@ def _custom(opcode: Column, lba: Column, size: Column, start: Column, end: Colum
 def custom_event(line: Column) -> Column:
     """Any field that is no number rejects the line."""
     f = F.split(line, ",", 5)
-    whole = lambda c, top: F.when(c.rlike(r"^\+?[0-9]+$") & (c.try_cast("decimal(38,0)") < top), c.try_cast("decimal(38,0)"))
+    whole = lambda c, top: F.when(c.rlike(r"^\+?[0-9]+$") & (c.try_cast("decimal(38,0)") < F.lit(str(top)).cast("decimal(38,0)")), c.try_cast("decimal(38,0)"))
     real = lambda c: F.when(c.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"), c.try_cast("double"))
-    lba, size, start, end = whole(f[1], 1 << 64), whole(f[2], 1 << 32), real(f[3]), real(f[4])
     good = (F.size(f) == 5) & F.get(f, F.lit(0)).rlike("^0x[0-9A-Fa-f]+$")
     safe = [F.get(f, F.lit(k)) for k in range(5)]
     lba, size, start, end = whole(safe[1], 1 << 64), whole(safe[2], 1 << 32), real(safe[3]), real(safe[4])

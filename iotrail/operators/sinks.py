@@ -67,7 +67,7 @@ def json_rows(df: DataFrame, kind: str, options: Filter | list[str] = (), limit:
     rows = filter_events(df, options, kind)
     if limit is not None:
         rows = order.with_rank(rows, kind).orderBy("source", *order.order_of(kind)).limit(limit)
-    return rows.select(F.to_json(F.struct(*(f for f in conform(rows, kind).columns))).alias("json"))
+    return conform(rows, kind).select(F.to_json(F.struct("*")).alias("json"))
 
 
 def parquet_to_csv(spark: SparkSession, path: str, target: str, options: Filter | list[str] = (), kind: str | None = None) -> DataFrame:

@@ -406,7 +406,7 @@ for _kind in (UFS, BLOCK, CUSTOM):
     for _m in series.METRICS[_kind]:
         _where = f"{_m} > 0" if _m in LATENCIES else ("true" if _kind == CUSTOM else _REQ[_kind])
         _x = "start_time" if _kind == CUSTOM else "time"
-        query(f"g_series_{_kind}_{_m}", f"{DERIVED[_kind]} SELECT round({_x}, 6) AS x_time, round({_m}, 6) AS y_value, {'io_type' if _kind == BLOCK else 'opcode'} AS \"group\" FROM d WHERE {_where}")(
+        query(f"g_series_{_kind}_{_m}", f"{DERIVED[_kind]} SELECT round({_x}, 6) AS x_time, round(CAST({_m} AS DOUBLE), 6) AS y_value, {'io_type' if _kind == BLOCK else 'opcode'} AS \"group\" FROM d WHERE {_where}")(
             lambda s, d, k=_kind, m=_m: _round(series.metric_series(derived(s, d, k), k, m), "x_time", "y_value")
         )
 for _kind in (UFS, BLOCK):
