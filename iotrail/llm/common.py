@@ -32,11 +32,13 @@ def work_path(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/iotrail/{name}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Writes df to the shared folder and reads it back: cuts lineage, survives lost executors."""
+def materialise(df: DataFrame, name: str, per_core: int | None = None) -> DataFrame:
+    """Writes df to the shared folder and reads it back: cuts lineage, survives lost executors.
+
+    per_core: write with at most so many tasks for each core of the cluster (tables of a few columns)."""
     spark = df.sparkSession
     path = work_path(spark, name)
-    df.write.parquet(path)
+    (df.coalesce(per_core * spark.sparkContext.defaultParallelism) if per_core else df).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

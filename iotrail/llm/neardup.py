@@ -10,12 +10,13 @@ A list can be very long, so pairs are never formed from all of it:
 - rare first: two sketches that must share c of k values share one among the k - c + 1 rarest of either, so only
   these are listed (values are counted over all sketches; ones found once need no list);
 - peeling: each round takes a few members of every list, the same ones in all lists that hold them, compares them
-  with the rest and then leaves them out, eight times as many the next round, so that every pair of a list is met
+  with the rest and then leaves them out, 32 times as many the next round, so that every pair of a list is met
   once and none is capped;
 - components: pairs already connected are not compared, and a list whose members are connected is left.
 
-With k = 64 and a margin of 0.2, a pair exactly at the threshold is overlooked with a chance of about 1e-5 (it
-falls fast above it); sets of at most k * threshold values are never overlooked.
+The margin is 0.2 for large sets, 4.5 standard errors of a sketch of 64, and shrinks with the error for sets
+that are not much larger than the sketch: a pair exactly at the threshold is overlooked with a chance of about
+1e-5, one above it sooner not; sets of at most k * threshold values are never overlooked.
 
 Null and empty texts, and texts of white space, have an empty set, are linked with nothing and are kept. A null
 doc_id is linked with nothing. Rows that repeat a doc_id each get the same answer; doc_id is taken to identify a
@@ -34,7 +35,7 @@ from pyspark.sql import functions as F
 
 from . import wordhash as H
 from .common import list_array, materialise, slices, table, texts_of
-from .components import merge
+from .components import LIGHT, merge
 
 
 def sets(docs: DataFrame, size: int, k: int) -> DataFrame:
@@ -90,36 +91,42 @@ def link(docs: DataFrame, size: int = 5, percent: int = 80, k: int = 64, margin:
     every = materialise(sets(docs, size, k), "shingle-sets")
     same = ["n", "h1", "h2"]
     reps = materialise(
-        every.where((F.col("n") > 0) & F.col("doc_id").isNotNull()).groupBy(*same).agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last"), F.first("sketch").alias("sketch")), "shingle-reps"
+        every.where((F.col("n") > 0) & F.col("doc_id").isNotNull()).groupBy(*same).agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last"), F.first("sketch").alias("sketch")), "shingle-reps", LIGHT
     )
     component = _components_of(docs, reps, size, percent, k, threshold, margin)
     shared = reps.where(F.col("last") > F.col("rep")).select(*same, "rep")
     ids = every.select("doc_id", *same).join(shared, same, "left")
-    ids = materialise(ids.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id")).alias("rep")), "shingle-ids")
+    ids = materialise(ids.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id")).alias("rep")), "shingle-ids", LIGHT)
     if component is None:
         return ids.select("doc_id", "n_shingles", F.col("rep").alias("component_id"))
     found = ids.join(component.select(F.col("node").alias("rep"), "component"), "rep", "left")
     return found.select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
 
 
+def _margin(n: Column, k: int, threshold: float, margin: float) -> Column:
+    """Sampling error that is allowed for: less where the sketch is much of the union (of n / threshold at most)."""
+    return margin * F.sqrt(F.greatest(F.lit(0.0), 1 - k * threshold / n))
+
+
 def _lists(reps: DataFrame, k: int, threshold: float, margin: float) -> DataFrame:
     """(v, rep, n): inverted lists of the rarest retained values."""
     postings = reps.select("rep", "n", F.size("sketch").alias("k"), F.explode("sketch").alias("v"))
     counts = postings.groupBy("v").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     mine = postings.join(counts, "v").groupBy("rep", "n", "k").agg(F.array_sort(F.collect_list(F.struct("df", "v"))).alias("shared"))
-    least = F.ceil(F.when(F.col("n") <= math.floor(threshold * k), threshold * F.col("n")).otherwise((threshold - margin) * F.col("k")) - 1e-9)
+    few = F.col("n") <= math.floor(threshold * k)
+    least = F.ceil(F.when(few, threshold * F.col("n")).otherwise((threshold - _margin(F.col("n"), k, threshold, margin)) * F.col("k")) - 1e-9)
     room = (F.col("k") - least + 1 - (F.col("k") - F.size("shared"))).cast("int")
     rare = mine.withColumn("room", room).where("room > 0")
     return rare.select("rep", "n", F.explode(F.slice("shared", F.lit(1), F.col("room"))).alias("x")).select(F.col("x.v").alias("v"), "rep", "n")
 
 
 def _components_of(docs: DataFrame, reps: DataFrame, size: int, percent: int, k: int, threshold: float, margin: float) -> DataFrame | None:
-    lists = materialise(_lists(reps, k, threshold, margin).withColumn("component", F.col("rep")), "shingle-lists")
+    lists = materialise(_lists(reps, k, threshold, margin).withColumn("component", F.col("rep")), "shingle-lists", LIGHT)
     listed = lists.select(F.col("rep").alias("doc_id")).distinct()
     if lists.isEmpty():
         return None
-    texts = materialise(texts_of(docs).join(listed, "doc_id").dropDuplicates(["doc_id"]), "shingle-texts")
-    sketches = materialise(reps.select(F.col("rep").alias("doc_id"), "sketch").join(listed, "doc_id"), "shingle-sketches")
+    texts = materialise(texts_of(docs).join(listed, "doc_id").dropDuplicates(["doc_id"]), "shingle-texts", LIGHT)
+    sketches = materialise(reps.select(F.col("rep").alias("doc_id"), "n", "sketch").join(listed, "doc_id"), "shingle-sketches", LIGHT)
     component: DataFrame | None = None
     leaders = 8
     while True:
@@ -131,20 +138,21 @@ def _components_of(docs: DataFrame, reps: DataFrame, size: int, percent: int, k:
         )
         pairs = met.select(F.least("rep", "lr").alias("a"), F.greatest("rep", "lr").alias("b")).distinct()
         for c in ("a", "b"):
-            pairs = pairs.join(sketches.select(F.col("doc_id").alias(c), F.col("sketch").alias(f"s{c}")), c)
-        likely = pairs.where(_estimate(F.col("sa"), F.col("sb"), k) >= threshold - margin).select("a", "b")
-        links = materialise(confirm(likely, texts, size, percent), "shingle-links")
+            pairs = pairs.join(sketches.select(F.col("doc_id").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"s{c}")), c)
+        allowed = _margin(F.greatest("na", "nb"), k, threshold, margin)
+        likely = pairs.where(_estimate(F.col("sa"), F.col("sb"), k) >= threshold - allowed - 1e-9).select("a", "b")
+        links = materialise(confirm(likely, texts, size, percent), "shingle-links", LIGHT)
         if not links.isEmpty():
             component = merge(component, links)
         rest = lists.join(lead.select("v", F.col("lr").alias("rep")), ["v", "rep"], "left_anti")
         if component is not None:
             rest = rest.drop("component").join(component.select(F.col("node").alias("rep"), "component"), "rep", "left").select("v", "rep", "n", F.coalesce("component", "rep").alias("component"))
-        rest = materialise(rest.select("v", "rep", "n", "component"), "shingle-lists")
+        rest = materialise(rest.select("v", "rep", "n", "component"), "shingle-lists", LIGHT)
         open_ = rest.groupBy("v").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("v")
-        lists = materialise(rest.join(open_, "v", "left_semi"), "shingle-lists")
+        lists = materialise(rest.join(open_, "v", "left_semi"), "shingle-lists", LIGHT)
         if lists.isEmpty():
             return component
-        leaders *= 8
+        leaders *= 32
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
