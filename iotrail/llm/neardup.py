@@ -3,8 +3,9 @@
 A document is the set of its distinct word shingles (64-bit hashes; A-Z lower-cased, words apart by ASCII white
 space; with fewer words than a shingle has, all words are one). Documents of equal sets form a class, and one
 stands for it. Each of these keeps the k least hashes of its set. Inverted lists of the retained values give the
-pairs that overlap, the sketch of the union estimates their similarity, and what is estimated at or above
-threshold - margin is confirmed on the full sets of the whole texts: 100 * intersection >= percent * union.
+pairs that overlap, the sketch of the union estimates their similarity (from 4 k values, for the documents that
+are in a list), and what is estimated at or above threshold - margin is confirmed on the full sets of the whole
+texts: 100 * intersection >= percent * union.
 
 A list can be very long, so pairs are never formed from all of it:
 - rare first: two sketches that must share c of k values share one among the k - c + 1 rarest of either, so only
@@ -126,7 +127,8 @@ def _components_of(docs: DataFrame, reps: DataFrame, size: int, percent: int, k:
     if lists.isEmpty():
         return None
     texts = materialise(texts_of(docs).join(listed, "doc_id").dropDuplicates(["doc_id"]), "shingle-texts", LIGHT)
-    sketches = materialise(reps.select(F.col("rep").alias("doc_id"), "n", "sketch").join(listed, "doc_id"), "shingle-sketches", LIGHT)
+    wide = 4 * k  # listed documents are few enough for a closer estimate, exact for unions of so many values
+    sketches = materialise(sets(texts, size, wide).select("doc_id", "n", "sketch"), "shingle-sketches", LIGHT)
     component: DataFrame | None = None
     leaders = 8
     while True:
@@ -139,8 +141,9 @@ def _components_of(docs: DataFrame, reps: DataFrame, size: int, percent: int, k:
         pairs = met.select(F.least("rep", "lr").alias("a"), F.greatest("rep", "lr").alias("b")).distinct()
         for c in ("a", "b"):
             pairs = pairs.join(sketches.select(F.col("doc_id").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"s{c}")), c)
-        allowed = _margin(F.greatest("na", "nb"), k, threshold, margin)
-        likely = pairs.where(_estimate(F.col("sa"), F.col("sb"), k) >= threshold - allowed - 1e-9).select("a", "b")
+        needed = threshold - _margin(F.greatest("na", "nb"), wide, threshold, margin / 2) - 1e-9
+        enough = F.size(F.array_intersect("sa", "sb")) >= needed * F.least(F.lit(wide), F.greatest("na", "nb"))
+        likely = pairs.where(F.when(enough, _estimate(F.col("sa"), F.col("sb"), wide) >= needed).otherwise(False)).select("a", "b")
         links = materialise(confirm(likely, texts, size, percent), "shingle-links", LIGHT)
         if not links.isEmpty():
             component = merge(component, links)
