@@ -37,20 +37,29 @@ def materialise(df: DataFrame, name: str, per_core: int | None = None) -> DataFr
 
     per_core: write with at most so many tasks for each core of the cluster (tables of a few columns)."""
     spark = df.sparkSession
+    small_batches(spark)
     path = work_path(spark, name)
     (df.coalesce(per_core * spark.sparkContext.defaultParallelism) if per_core else df).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession, most: str = "8m") -> None:
+    """Arrow batches of 8 MB at most, as rows of whole texts are large; a session's own setting stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, None) in (None, "67108864b", "64MB", "64m"):  # the default
+        spark.conf.set(key, most)
+
+
 def texts_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id long, text string), null texts as empty ones. Only these two columns are read."""
+    small_batches(docs.sparkSession)
     return docs.select(
         F.col(f"`{id_col}`").cast("long").alias("doc_id"),
         F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"),
     )
 
 
-def slices(batch: pa.RecordBatch, column: str, most: int = 2 << 20):
+def slices(batch: pa.RecordBatch, column: str, most: int = 1 << 20):
     """Cuts an Arrow batch so that each slice holds about `most` bytes of a string column."""
     sizes = np.diff(np.frombuffer(batch.column(column).cast(pa.large_string()).buffers()[1], np.int64)[batch.column(column).offset:][: batch.num_rows + 1])
     group = np.cumsum(sizes) // most

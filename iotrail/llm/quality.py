@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import wordhash as H
-from .common import materialise, slices, table, texts_of
+from .common import materialise, slices, small_batches, table, texts_of
 
 CLASSES = {"upper": range(65, 91), "lower": range(97, 123), "digit": range(48, 58), "bar": b"|", "symbol": b"#$%&*@^~<>{}[]=+_\\/", "bang": b"!?", "stop": b".,;:", "quote": b"'\"`()-", "line": b"\n", "beyond": range(128, 256)}
 _CLASS = np.zeros(256, np.uint8)
@@ -150,6 +150,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = 20_000, **options) ->
 
 def apply(docs: DataFrame, trees: Trees) -> DataFrame:
     """docs with a column `score` more; a null text is scored as an empty one, and stays null."""
+    small_batches(docs.sparkSession)
     kept = [c for c in docs.columns if c != "score"]
     schema = docs.select(*(F.col(f"`{c}`") for c in kept)).schema.add("score", "double")
 
