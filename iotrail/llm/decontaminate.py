@@ -1,11 +1,13 @@
-"""Operator 9: benchmark decontamination by rare n-gram seeds and Smith-Waterman alignment of words.
+"""Operator 9: benchmark decontamination by n-gram seeds and Smith-Waterman alignment of words.
 
 find(docs, items) -> doc_id, item_id, score, start, end (words of the document): passages that align with a test
-item. Every n-gram of an item is counted over all documents; those found over `common` times as often as the
-item's middle one are no seeds. Seeds are looked up in every whole text. Hits of one item near one another open
-a window of the item's length on both sides, and the local alignment of item and window scores the copy: matches
-give 1, mismatches and gaps cost `cost`, the sum over the number of words of the item is the score (1: whole
-copy). Scores of `least` or more are reported, the best one for each document and item.
+item. Every n-gram of an item is a seed, however often the documents hold it, and is looked up in every whole text.
+Hits of one item near one another open a window with room for all the words that a passage can have besides
+(beyond them it scores too little), and the local alignment of item and window scores the copy: matches give 1,
+mismatches and gaps cost `cost`, the sum over the number of words of the item is the score (1: whole copy).
+Windows that hold too few of the item's words to reach `least` are not aligned. Scores of `least` or more are
+reported, the best one for each document and item. A passage that keeps no n-gram (every third word edited) has
+no seed and is not found.
 
 Items are taken in blocks of at most `block` n-grams, one pass over the documents for each block, so that what
 tasks hold is bounded whatever the size of the benchmark. A-Z are lower-cased; words are apart by ASCII white
@@ -54,10 +56,6 @@ class Seeds:
         order = np.argsort(grams, kind="stable")
         self.grams, self.item, self.at = grams[order], owner[order], at[order]
         self.bloom = np.zeros(1 << 20, bool)
-        self._mark()
-
-    def _mark(self) -> None:
-        self.bloom[:] = False
         self.bloom[(self.grams & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
 
     def hits(self, grams: np.ndarray) -> np.ndarray:
@@ -67,16 +65,6 @@ class Seeds:
         k[k == len(self.grams)] = 0
         return maybe[self.grams[k] == grams[maybe]] if len(self.grams) else maybe[:0]
 
-    def only_rare(self, counts: dict[int, int], common: float) -> Seeds:
-        df = np.array([counts.get(int(g.view(np.int64)), 0) for g in self.grams], float)
-        order = np.lexsort((df, self.item))
-        n = np.bincount(self.item, minlength=len(self.ids))
-        middle = df[order][np.minimum(np.cumsum(n) - n + n // 2, max(len(df) - 1, 0))] if len(df) else np.zeros(len(n))
-        keep = df <= common * np.maximum(1.0, middle)[self.item]
-        self.grams, self.item, self.at = self.grams[keep], self.item[keep], self.at[keep]
-        self._mark()
-        return self
-
 
 def align(item: np.ndarray, text: np.ndarray, cost: float) -> tuple[float, int]:
     """Best local alignment: its sum and the end of its part of text."""
@@ -93,28 +81,31 @@ def align(item: np.ndarray, text: np.ndarray, cost: float) -> tuple[float, int]:
     return best, end
 
 
-def windows(seeds: Seeds, at: np.ndarray, grams: np.ndarray) -> dict[int, list[tuple[int, int]]]:
-    """Of one document: for each item, the stretches of words to align. at: places of hits; grams: their values."""
+def windows(seeds: Seeds, at: np.ndarray, grams: np.ndarray, beyond: float = 1.0) -> dict[int, list[tuple[int, int]]]:
+    """Of one document: for each item, the stretches of words to align. at: places of hits; grams: their values;
+    beyond: words that a passage can have besides the item's, as a share of these."""
     first = np.searchsorted(seeds.grams, grams, side="left")
     last = np.searchsorted(seeds.grams, grams, side="right")
     spread = np.repeat(first - np.cumsum(last - first) + (last - first), last - first) + np.arange((last - first).sum())
-    place, item, own = np.repeat(at, last - first), seeds.item[spread], seeds.at[spread]
+    item, begins = seeds.item[spread], np.repeat(at, last - first) - seeds.at[spread]
+    order = np.lexsort((begins, item))
+    item, begins = item[order], begins[order]
     out: dict[int, list[tuple[int, int]]] = {}
-    for i in np.unique(item).tolist():
+    for mine in np.split(np.arange(len(item)), np.flatnonzero(np.diff(item)) + 1) if len(item) else []:
+        i, some = int(item[mine[0]]), begins[mine]
         size = len(seeds.words[i])
-        begins = np.sort(place[item == i] - own[item == i])
-        groups = np.split(begins, np.flatnonzero(np.diff(begins) > max(4, size // 2)) + 1)
-        out[i] = [(max(0, int(g[0]) - size // 4 - 2), int(g[-1]) + size + size // 4 + 2) for g in groups if len(g) > 1 or size <= seeds.size + 2]
+        room = int(beyond * size) + 1
+        groups = np.split(some, np.flatnonzero(np.diff(some) > max(4, size // 2)) + 1)
+        out[i] = [(max(0, int(g[0]) - room), int(g[-1]) + size + room) for g in groups if len(g) > 1 or size <= seeds.size + 2]
     return out
 
 
-def find(docs: DataFrame, items: DataFrame, size: int = 3, common: float = 50.0, cost: float = 0.5, least: float = 0.5, block: int = 1_000_000) -> DataFrame:
+def find(docs: DataFrame, items: DataFrame, size: int = 3, cost: float = 0.5, least: float = 0.5, block: int = 1_000_000) -> DataFrame:
     texts = texts_of(docs)
     schema = "doc_id long, item_id long, score double, start long, end long"
     out = docs.sparkSession.createDataFrame([], schema)
     for seeds in _blocks(items, size, block):
-        counts = {r["gram"]: r["n"] for r in _counts(texts, seeds).collect()}  # at most one per n-gram of the block
-        out = out.unionByName(_search(texts, seeds.only_rare(counts, common), cost, least, schema))
+        out = out.unionByName(_search(texts, seeds, cost, least, schema))
     best = F.max(F.struct("score", "start", "end")).alias("x")
     return out.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "x.score", "x.start", "x.end")
 
@@ -139,18 +130,9 @@ def _runs(column: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarr
     return words, n, grams, owner
 
 
-def _counts(texts: DataFrame, seeds: Seeds) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for b in slices(whole, "text"):
-                _, _, grams, _ = _runs(b.column("text"), seeds.size)
-                value, n = np.unique(grams[seeds.hits(grams)], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(value.view(np.int64)), pa.array(n.astype(np.int64))], names=["gram", "n"])
-
-    return texts.mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-
-
 def _search(texts: DataFrame, seeds: Seeds, cost: float, least: float, schema: str) -> DataFrame:
+    beyond = max(0.0, 1 - least) / cost if cost else 1e6
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for b in slices(whole, "text"):
@@ -158,14 +140,16 @@ def _search(texts: DataFrame, seeds: Seeds, cost: float, least: float, schema: s
                 hit = seeds.hits(grams)
                 begin, first = np.cumsum(n) - n, np.searchsorted(owner, np.arange(len(n)))
                 names, rows = b.column("doc_id").to_pylist(), []
-                for d in np.unique(owner[hit]).tolist():
-                    mine = hit[owner[hit] == d]
+                for mine in np.split(hit, np.flatnonzero(np.diff(owner[hit])) + 1) if len(hit) else []:
+                    d = int(owner[mine[0]])
                     text = words[begin[d] : begin[d] + n[d]]
-                    for i, stretches in windows(seeds, mine - first[d], grams[mine]).items():
-                        found = []
+                    for i, stretches in windows(seeds, mine - first[d], grams[mine], beyond).items():
+                        item, found = seeds.words[i], []
                         for s, e in stretches:
-                            total, end = align(seeds.words[i], text[s:e], cost)
-                            found.append((total / len(seeds.words[i]), s + max(0, end - len(seeds.words[i])), s + end))
+                            if np.isin(item, text[s:e]).sum() < least * len(item) - 1e-9:  # not even if all of them match
+                                continue
+                            total, end = align(item, text[s:e], cost)
+                            found.append((total / len(item), s + max(0, end - len(item)), s + end))
                         if found and max(found)[0] >= least:
                             rows.append((names[d], seeds.ids[i], *max(found)))
                 yield pa.RecordBatch.from_arrays(

@@ -147,6 +147,18 @@ def test_decontamination(spark, block):
     assert decontaminate.find(df, items.limit(0)).count() == 0 and decontaminate.find(df.limit(0), items).count() == 0
 
 
+def test_decontamination_of_frequent_passages(spark):
+    rng = random.Random(11)
+    one, other = ([word(rng) for _ in range(40)] for _ in range(2))
+    edited = [word(rng) if k % 5 == 4 else w for k, w in enumerate(one)]
+    fill = lambda: [word(rng) for _ in range(30)]
+    docs = [(i, " ".join(fill() + (edited if i < 300 else other[:20]) + fill()), "en", "s", 0) for i in range(600)] + [(900, " ".join(fill()), "en", "s", 0)]
+    items = spark.createDataFrame([(1, " ".join(one)), (2, " ".join(other))], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.score for r in decontaminate.find(spark.createDataFrame(docs, SCHEMA), items).collect()}
+    assert set(got) == {(i, 1 if i < 300 else 2) for i in range(600)}
+    assert got[0, 1] == pytest.approx((32 - 0.5 * 7) / 40) and got[300, 2] == pytest.approx(0.5)
+
+
 def test_word_edges():
     a, n = decontaminate.word_ids(pa.array(['"Hello," (world).', "hello world", "...", ""]))
     assert n.tolist() == [2, 2, 1, 0] and a[:2].tolist() == a[2:4].tolist()
