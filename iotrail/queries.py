@@ -546,12 +546,12 @@ def _(spark, d):
 @query("k7_log_to_parquet", "SELECT 'block' AS kind, count(*) AS n FROM {block} WHERE line_ord % 4 IN (1, 2) AND NOT (line_ord % 4 = 1 AND action = 'block_rq_complete' AND io_type LIKE 'W%' AND size = 0) AND line_ord < 0 UNION ALL SELECT 'ufs', count(*) FROM {ufs} WHERE line_ord % 4 = 0 AND action <> 'other' UNION ALL SELECT 'ufscustom', count(*) FROM {ufs} WHERE line_ord % 4 = 3 AND line_ord % 24 NOT IN (3, 7)")
 def _(spark, d):
     path = _work(spark, "k7")
-    lines(spark, d).where("line_ord % 4 in (0, 3)").select("line").write.text(path)
+    lines(spark, d).select("line").write.text(path)
     made = sinks.log_to_parquet(spark, path, _work(spark, "k7-out"))
-    none = spark.createDataFrame([("block", 0)], "kind string, n long")
+    out = spark.createDataFrame([(k, 0) for k in (UFS, BLOCK, CUSTOM) if k not in made], "kind string, n long")
     for kind, p in sorted(made.items()):
-        none = none.unionByName(spark.read.parquet(p).agg(F.count(F.lit(1)).alias("n")).select(F.lit(kind).alias("kind"), "n"))
-    return none
+        out = out.unionByName(spark.read.parquet(p).agg(F.count(F.lit(1)).alias("n")).select(F.lit(kind).alias("kind"), "n"))
+    return out
 
 
 @query("k8_analyse", _latency_sql(UFS, "dtoc"))

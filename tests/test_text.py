@@ -5,6 +5,7 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
+from iotrail import queries
 from iotrail.functions import parse
 from iotrail.functions.events import alignment_kb
 from iotrail.operators import bench, filters, series, sinks
@@ -112,3 +113,24 @@ def test_iterations(spark):
     assert found == {(3, "FIO", "WRITE"): 604.0, (4, "TIOtest", "Write"): 1938.124, (4, "TIOtest", "Random Write"): 2.0, (5, "IOzone", "Sequential"): 2226634.0, (1, "FIO", "READ"): 3190.0, (1, "IOzone", "Random Read"): 1.0}
     table = {(r.iteration, r.tool): (r.write, r.read) for r in bench.results_table(bench.results(tagged)).collect()}
     assert table == {(3, "FIO"): (604.0, None), (4, "TIOtest"): (2.0, None), (1, "FIO"): (None, 3190.0), (1, "IOzone"): (None, 1.0)}
+
+
+def test_log_to_parquet_of_all_families(spark):
+    d = "/root/testdata/sf0.001"
+    block = {r.line_ord: r for r in queries.view(spark, d, BLOCK).where("line_ord % 4 in (1, 2)").collect()}
+    before, n, reissued = {}, 0, 0
+    for r in sorted(block.values(), key=lambda r: (r.time, r.sector, r.size, r.line_ord)):
+        if r.line_ord % 4 == 1 and r.action != "block_rq_insert":  # the lines of odd form are Q and C, which stay
+            if r.action == "block_rq_complete" and r.io_type.startswith("W") and r.size == 0:
+                continue
+            key = (r.sector, r.io_type[0] if r.io_type[0] in "RWD" else "", r.size)
+            again, before[key] = r.action == before.get(key) == "block_rq_issue", r.action
+            if again:
+                reissued += 1
+                continue
+        n += 1
+    got = {r.kind: r.n for r in queries.QUERIES["k7_log_to_parquet"](spark, d).collect()}
+    assert reissued and got[BLOCK] == n
+    ufs = queries.view(spark, d, UFS)
+    assert got[UFS] == ufs.where("line_ord % 4 = 0 and action <> 'other'").count()
+    assert got[CUSTOM] == ufs.where("line_ord % 4 = 3 and line_ord % 24 not in (3, 7)").count()
