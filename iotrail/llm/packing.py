@@ -127,40 +127,49 @@ def complete(counts: dict[int, int], capacity: int, work: int = 100_000) -> list
     total = sum(k * n for k, n in counts.items())
     tried, nodes = 0, max(20, work // max(1, len(counts)))
 
-    def go(counts: dict[int, int], done: list[tuple[int, Filling]], used: int, waste: int) -> bool:
-        """True if the search is over."""
-        nonlocal best, fewest, tried
-        if not counts:
-            if used < fewest:
-                best, fewest = done, used
-            return fewest <= least
-        quick = best_fit(counts, capacity)
-        if (n := used + sum(x for x, _ in quick)) < fewest:
-            best, fewest = [*done, *quick], n
-            if fewest <= least:
-                return True
-        if used + bound(counts, capacity) >= fewest:
-            return False
+    def steps(counts: dict[int, int], done: tuple | None, used: int, waste: int) -> Iterator[tuple]:
+        """Ways on from a partial packing. `done` is (times, filling, what was done before)."""
+        nonlocal tried
         largest = max(counts)
         others = counts | {largest: counts[largest] - 1}
         for filling in fillings(others, capacity - largest):
             tried += 1
             if tried > nodes:
-                return True
+                return
             full: dict[int, int] = {largest: 1}
             for k, n in filling:
                 full[k] = full.get(k, 0) + n
-            for times in dict.fromkeys((min(counts[k] // n for k, n in full.items()), 1)):
-                spent = waste + times * (capacity - sum(k * n for k, n in full.items()))
-                if spent > (fewest - 1) * capacity - total:  # more waste than one sequence fewer allows
+            empty = capacity - sum(k * n for k, n in full.items())
+            most = min(counts[k] // n for k, n in full.items())
+            for again in (False, True):  # as often as may be, then once
+                room = (fewest - 1) * capacity - total - waste  # more waste than one sequence fewer allows is in vain
+                times = 1 if again else min(most, room // empty) if empty else most
+                if times < 1 or times * empty > room or (again and most == 1):
                     continue
                 rest = {k: n for k, c in counts.items() if (n := c - times * full.get(k, 0))}
-                if go(rest, [*done, (times, tuple(sorted(full.items(), reverse=True)))], used + times, spent):
-                    return True
-        return False
-
-    if fewest > least:
-        go(counts, [], 0, 0)
+                yield rest, (times, tuple(sorted(full.items(), reverse=True)), done), used + times, waste + times * empty
+
+    def whole(done: tuple | None, quick: list[tuple[int, Filling]]) -> list[tuple[int, Filling]]:
+        out = list(quick)
+        while done:
+            out.append(done[:2])
+            done = done[2]
+        return out
+
+    stack = [iter([(counts, None, 0, 0)])] if fewest > least else []
+    while stack and tried <= nodes:
+        state = next(stack[-1], None)
+        if state is None:
+            stack.pop()
+            continue
+        rest, done, used, _ = state
+        quick = best_fit(rest, capacity)
+        if (n := used + sum(x for x, _ in quick)) < fewest:
+            best, fewest = whole(done, quick), n
+            if fewest <= least:
+                break
+        if rest and used + bound(rest, capacity) < fewest:
+            stack.append(steps(*state))
     return best
 
 

@@ -63,6 +63,12 @@ def test_large_counts_reach_the_bound():
     assert check(packing.complete(counts, 2048), counts, 2048) - packing.bound(counts, 2048) <= 2
 
 
+def test_thousands_of_pieces_of_few_lengths():
+    assert check(packing.complete({700: 3000}, 2048), {700: 3000}, 2048) == 1500
+    for counts in ({700: 30000, 690: 7}, {900: 4000, 700: 5001, 300: 2500}):
+        assert check(packing.complete(counts, 2048), counts, 2048) <= sum(n for n, _ in packing.best_fit(counts, 2048))
+
+
 def test_pack(spark):
     rng = random.Random(2)
     rows = [(i, "wort " * rng.choice([1, 5, 70, 300, 3000])) for i in range(120)] + [(500 + i, "the same text again") for i in range(300)] + [(7, "wort"), (7, "wort"), (None, "x"), (1000, None), (1001, "")]
