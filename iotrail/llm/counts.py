@@ -26,20 +26,25 @@ GROUP = ("source", "lang", "version")
 DELTA = "source string, lang string, version string, documents long, tokens long"
 
 
-def count_tokens(docs: DataFrame, tokenizer_path: str, version: str, keeps_space: bool = True) -> DataFrame:
-    """The ledger of docs(doc_id, source, lang, text) under one tokenizer; other columns are not read."""
-    rows = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), F.coalesce("text", F.lit("")).alias("text")
-    )
+def count_tokens(docs: DataFrame, tokenizer_path: str, version: str, keeps_space: bool = True, digest: bool = False) -> DataFrame:
+    """The ledger of docs(doc_id, source, lang, text) under one tokenizer; other columns are not read.
+
+    digest: with the SHA-256 of each text as one column more."""
+    text = F.coalesce("text", F.lit(""))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), text.alias("text"))
+    more = ("digest",) if digest else ()
+    if digest:
+        rows = rows.withColumn("digest", F.sha2(F.col("text").cast("binary"), 256))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for b in slices(whole, "text"):
                 _, n = encoder(tokenizer_path, keeps_space).encode(b.column("text").to_pylist())
-                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("doc_id", "source", "lang")), pa.array((n - 1).astype(np.int64))], names=["doc_id", "source", "lang", "n_tokens"])
+                kept = ("doc_id", "source", "lang", *more)
+                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), pa.array((n - 1).astype(np.int64))], names=[*kept, "n_tokens"])
 
-    counted = rows.mapInArrow(run, "doc_id long, source string, lang string, n_tokens long")
-    return counted.select("doc_id", "source", "lang", F.lit(version).alias("version"), "n_tokens")
+    counted = rows.mapInArrow(run, f"doc_id long, source string, lang string, {'digest string, ' if digest else ''}n_tokens long")
+    return counted.select("doc_id", "source", "lang", F.lit(version).alias("version"), "n_tokens", *more)
 
 
 def _signed(ledger: DataFrame, sign: int) -> DataFrame:
@@ -113,13 +118,13 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = table(spark, sf_dir, "documents")
     rollup = Rollup(spark, work_path(spark, "op3-rollup"))
-    ledger = materialise(count_tokens(docs, public_tokenizers.path("byte_bpe_50k.json"), "byte_bpe_50k"), "op3-ledger")
+    ledger = count_tokens(docs, public_tokenizers.path("byte_bpe_50k.json"), "byte_bpe_50k", digest=True)
+    ledger = materialise(ledger.withColumn("row", F.monotonically_increasing_id()), "op3-ledger")
     rollup.commit("1-insert", insert(ledger))
-    text = docs.select(F.col("doc_id"), F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("digest"))
-    first = text.groupBy("digest").agg(F.min("doc_id").alias("doc_id")).select("doc_id")
-    copies = materialise(ledger.join(first, "doc_id", "left_anti"), "op3-copies")
+    first = ledger.groupBy("digest").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("x")).select("x.row", F.lit(True).alias("first"))
+    marked = materialise(ledger.drop("digest").join(first, "row", "left"), "op3-marked")
+    copies, left = marked.where("first is null"), marked.where("first")
     rollup.commit("2-delete-copies", delete(copies))
     rollup.commit("2-delete-copies", delete(copies))
-    left = ledger.join(copies.select("doc_id"), "doc_id", "left_anti")
     rollup.commit("3-close", revise(left, left.withColumn("n_tokens", F.col("n_tokens") + 1)))
     return rollup.totals()

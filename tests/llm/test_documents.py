@@ -57,6 +57,14 @@ def test_token_counts(spark):
         assert got() == want()
 
 
+def test_token_counts_with_null_ids(spark, tmp_path):
+    rows = [(None, "one two three", "en", "a", 1), (None, "four five", "en", "a", 1), (None, "four five", "en", "a", 1), (1, "one two three", "en", "a", 1), (2, "six", "en", "a", 1), (2, "six", "en", "a", 1)]
+    spark.createDataFrame(rows, SCHEMA).repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    tokens = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    got = [(r.documents, r.tokens) for r in counts.op3_token_counts(spark, str(tmp_path)).collect()]
+    assert got == [(3, sum(len(tokens.encode(t).ids) + 1 for t in ("one two three", "four five", "six")))]
+
+
 def quality_rows(n=400):
     rng = random.Random(3)
     rows = []
