@@ -159,10 +159,14 @@ def _components_of(docs: DataFrame, reps: DataFrame, size: int, percent: int, k:
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """One document of each group, that of the least doc_id, with the columns docs has."""
-    found = link(docs, **options)
-    gone = found.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, F.col("doc_id").cast("long") == F.col("__gone"), "left_anti")
+    """One document of each group, that of the least doc_id, with the columns docs has.
+
+    Rows are linked by a number of their own, so rows that repeat a doc_id or have none are documents like others."""
+    rows = materialise(docs.withColumn("__row", F.monotonically_increasing_id()), "keep-rows")
+    found = link(rows.select(F.col("__row").alias("doc_id"), "text"), **options).select(F.col("doc_id").alias("__row"), "component_id")
+    known = found.join(rows.select("__row", F.col("doc_id").cast("long").alias("id")), "__row")
+    least = known.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "__row")).alias("x"))
+    return rows.join(materialise(least.select("x.__row"), "kept-rows"), "__row", "left_semi").select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
