@@ -29,6 +29,7 @@ for _k, _bytes in enumerate(CLASSES.values(), 1):
     _CLASS[list(_bytes)] = _k
 N_CLASSES = len(CLASSES) + 1
 N_STATS = N_CLASSES + 18
+DECISION = 0.7  # least score of a document that counts as good, in the query and in the pipeline
 
 
 def statistics(column: pa.Array) -> np.ndarray:
@@ -165,7 +166,7 @@ def apply(docs: DataFrame, trees: Trees) -> DataFrame:
     return docs.select(*(F.col(f"`{c}`") for c in kept)).mapInArrow(run, schema)
 
 
-def accept(docs: DataFrame, labels: DataFrame, least: float = 0.5) -> DataFrame:
+def accept(docs: DataFrame, labels: DataFrame, least: float = DECISION) -> DataFrame:
     """The documents that score `least` or more, with the columns they have."""
     scored = apply(docs.withColumnRenamed("score", "__own_score") if "score" in docs.columns else docs, train(docs, labels))
     kept = scored.where(F.col("score") >= least).drop("score")
@@ -179,5 +180,5 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id",
         (fold(F.col("doc_id")) == 2).alias("held_out"),
         "score",
-        (F.col("score") >= 0.7).cast("int").alias("predicted"),
+        (F.col("score") >= DECISION).cast("int").alias("predicted"),
     )

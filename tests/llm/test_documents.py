@@ -72,6 +72,15 @@ def test_keep_one_of_rows_without_an_id_of_their_own(spark):
     assert sorted(got, key=str) == sorted([(1, text[0]), (None, text[1]), (2, text[2]), (None, None), (9, "")], key=str)
 
 
+def test_stage_and_query_decide_alike(spark, tmp_path, monkeypatch):
+    docs = spark.createDataFrame([(i, "x" * i, "en", "s", i) for i in range(1, 11)], SCHEMA)
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "doc_id long, quality int").write.parquet(str(tmp_path / "labels.parquet"))
+    monkeypatch.setattr(quality, "apply", lambda docs, trees: docs.withColumn("score", F.col("doc_id") / 10))
+    good = {r.doc_id for r in quality.op6_quality(spark, str(tmp_path)).where("predicted = 1").collect()}
+    assert good == {r.doc_id for r in corpus_pipeline.quality_stage(spark, docs, str(tmp_path)).collect()} == {7, 8, 9, 10}
+
+
 def quality_rows(n=400):
     rng = random.Random(3)
     rows = []
