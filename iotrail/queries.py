@@ -5,7 +5,6 @@ Three views of the table events stand for the three families; raw text is made f
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,6 +18,7 @@ from .schemas import BLOCK, CUSTOM, UFS
 from .sources import events as stored
 from .sources import logs
 from .streaming import stats as live
+from .work import work_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -49,16 +49,6 @@ def view(spark: SparkSession, d: str, kind: str, sql: str | None = None) -> Data
     return spark.sql(text, events=_table(spark, d)).withColumn("source", F.lit("log"))
 
 
-def _work(spark: SparkSession, name: str) -> str:
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        import tempfile
-
-        root = tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/iotrail/{name}-{uuid.uuid4().hex}"
-
-
 def _sql(text: str) -> str:
     for kind, v in VIEWS.items():
         text = text.replace("{" + kind + "}", f"({v})")
@@ -494,14 +484,14 @@ def _(spark, d):
 
 @query("s1_read_log_lines", "SELECT count(*) AS n, count(DISTINCT event_id) AS places FROM events")
 def _(spark, d):
-    path = _work(spark, "s1")
+    path = work_path(spark, "s1")
     lines(spark, d).select("line").write.text(path)
     got = logs.read_log_lines(spark, path)
     return got.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("source", "line_ord").alias("places"))
 
 
 def _stored(spark: SparkSession, d: str, kind: str) -> str:
-    return sinks.write_events(derived(spark, d, kind), _work(spark, "k1"), kind)
+    return sinks.write_events(derived(spark, d, kind), work_path(spark, "k1"), kind)
 
 
 for _kind in (UFS, BLOCK, CUSTOM):
@@ -515,20 +505,20 @@ def _columns_of(text: str) -> list[str]:
 
 @query("k2_append", "SELECT 2 * count(*) AS n FROM events")
 def _(spark, d):
-    path, rows = _work(spark, "k2"), view(spark, d, CUSTOM)
+    path, rows = work_path(spark, "k2"), view(spark, d, CUSTOM)
     sinks.write_events(rows, path, CUSTOM)
     return stored.read_events(spark, sinks.append_events(rows, path, CUSTOM)).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("k3_write_csv", "SELECT count(*) AS n, round(min(start_time), 6) AS first_time, round(max(start_time), 6) AS last_time FROM {ufscustom}")
 def _(spark, d):
-    index = sinks.write_csv(view(spark, d, CUSTOM), _work(spark, "k3"), CUSTOM, most_rows=1000)
+    index = sinks.write_csv(view(spark, d, CUSTOM), work_path(spark, "k3"), CUSTOM, most_rows=1000)
     return index.agg(F.sum("rows").alias("n"), F.round(F.min("first_time"), 6).alias("first_time"), F.round(F.max("last_time"), 6).alias("last_time"))
 
 
 @query("k4_partitioned", "SELECT DISTINCT user_id % 8 AS iteration FROM events")
 def _(spark, d):
-    path = sinks.write_events(view(spark, d, UFS).withColumn("iteration", F.col("cpu")), _work(spark, "k4"), UFS, partition_by=("iteration",))
+    path = sinks.write_events(view(spark, d, UFS).withColumn("iteration", F.col("cpu")), work_path(spark, "k4"), UFS, partition_by=("iteration",))
     return sinks.iterations(spark, path).select(F.col("iteration").cast("long").alias("iteration"))
 
 
@@ -540,14 +530,14 @@ def _(spark, d):
 
 @query("k6_parquet_to_csv", "SELECT count(*) AS n FROM {ufs} WHERE cpu = 3")
 def _(spark, d):
-    return sinks.parquet_to_csv(spark, _stored(spark, d, UFS), _work(spark, "k6"), ["cpu:3"]).agg(F.sum("rows").alias("n"))
+    return sinks.parquet_to_csv(spark, _stored(spark, d, UFS), work_path(spark, "k6"), ["cpu:3"]).agg(F.sum("rows").alias("n"))
 
 
 @query("k7_log_to_parquet", "SELECT 'block' AS kind, count(*) AS n FROM {block} WHERE line_ord % 4 IN (1, 2) AND NOT (line_ord % 4 = 1 AND action = 'block_rq_complete' AND io_type LIKE 'W%' AND size = 0) AND line_ord < 0 UNION ALL SELECT 'ufs', count(*) FROM {ufs} WHERE line_ord % 4 = 0 AND action <> 'other' UNION ALL SELECT 'ufscustom', count(*) FROM {ufs} WHERE line_ord % 4 = 3 AND line_ord % 24 NOT IN (3, 7)")
 def _(spark, d):
-    path = _work(spark, "k7")
+    path = work_path(spark, "k7")
     lines(spark, d).select("line").write.text(path)
-    made = sinks.log_to_parquet(spark, path, _work(spark, "k7-out"))
+    made = sinks.log_to_parquet(spark, path, work_path(spark, "k7-out"))
     out = spark.createDataFrame([(k, 0) for k in (UFS, BLOCK, CUSTOM) if k not in made], "kind string, n long")
     for kind, p in sorted(made.items()):
         out = out.unionByName(spark.read.parquet(p).agg(F.count(F.lit(1)).alias("n")).select(F.lit(kind).alias("kind"), "n"))
@@ -567,7 +557,7 @@ def _(spark, d):
 
 @query("m3_migrate_dir", "SELECT 'ufscustom' AS kind, true AS changed, count(*) AS n FROM events UNION ALL SELECT 'ufs', false, count(*) FROM events")
 def _(spark, d):
-    old, target = _work(spark, "m3") + "_old.parquet", _work(spark, "m3-out")
+    old, target = work_path(spark, "m3") + "_old.parquet", work_path(spark, "m3-out")
     view(spark, d, CUSTOM).select("opcode", "lba", "size", "start_time", "end_time", "dtoc").write.parquet(old)
     done = stored.migrate_dir(spark, [old, _stored(spark, d, UFS)], target)
     out = None
