@@ -1,18 +1,22 @@
-"""Helpers shared by the operators of this subpackage: working tables, tokenising in tasks."""
+"""Helpers shared by the operators of this subpackage: Arrow batches, tokenising in tasks."""
 
 from __future__ import annotations
 
 import itertools
+import json
 import os
 import re
-import tempfile
-import uuid
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..work import forget, materialise, work_path
+
+__all__ = ["forget", "materialise", "work_path", "table", "texts_of", "slices", "list_array", "encoder", "PieceEncoder", "WORD"]
+
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -20,29 +24,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def work_path(spark: SparkSession, name: str) -> str:
-    """A new path below the shared folder that the cluster names in spark.checkpoint.dir.
-
-    Only a session without that setting (a bare test session) gets a temporary folder of its own.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/iotrail/{name}-{uuid.uuid4().hex}"
-
-
-def materialise(df: DataFrame, name: str, per_core: int | None = None) -> DataFrame:
-    """Writes df to the shared folder and reads it back: cuts lineage, survives lost executors.
-
-    per_core: write with at most so many tasks for each core of the cluster (tables of a few columns)."""
-    spark = df.sparkSession
-    small_batches(spark)
-    path = work_path(spark, name)
-    (df.coalesce(per_core * spark.sparkContext.defaultParallelism) if per_core else df).write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def small_batches(spark: SparkSession, most: str = "8m") -> None:
     """Arrow batches of 8 MB at most, as rows of whole texts are large; a session's own setting stays."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
@@ -108,21 +89,58 @@ def word_level_pieces(text: str) -> list[str]:
     return _WORD_LEVEL.findall(text.lower()) if _LATIN.fullmatch(text) else [_WHOLE + p for p in re.split("[ \n]+", text)]
 
 
+# The normalizer and pre-tokenizer of tokenizer files whose rules the two functions above follow.
+_RULES = (
+    (None, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}, byte_level_pieces),
+    (
+        {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+        {
+            "type": "Sequence",
+            "pretokenizers": [
+                {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+                {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+            ],
+        },
+        word_level_pieces,
+    ),
+)
+
+
+class _Known(dict):
+    """Numbers for pieces, given out as they are first asked for; `fresh` has those without ids yet."""
+
+    def __init__(self, pieces: list[str]):
+        super().__init__(zip(pieces, range(len(pieces))))
+        self.fresh: list[str] = []
+
+    def __missing__(self, piece: str) -> int:
+        self.fresh.append(piece)
+        self[piece] = n = len(self)
+        return n
+
+
 class PieceEncoder:
     """Encodes whole texts with a tokenizers file, putting repeated pieces through the library once.
 
-    Latin texts are cut into pre-tokens here and each goes through the library's BPE model; pieces of other
-    texts go through its whole pipeline. Gives the ids that encoding the whole text gives. Memory is bounded:
-    beyond `most` remembered pieces, or `most_ids` ids of them, the less used ones are forgotten.
+    Latin texts are cut into pre-tokens here and each distinct one goes through the library's BPE model; pieces of other
+    texts go through its whole pipeline. Gives the ids that encoding the whole text gives, with its settings as they are: strings of its added
+    tokens become these tokens (plain=True: they are text like any other). Texts that hold such a string, and all
+    texts if the file's normalizer and pre-tokenizer are none of those known here, go through the library whole.
+    Memory is bounded: beyond `most` remembered pieces, or `most_ids` ids of them, the less used ones are forgotten.
     """
 
-    def __init__(self, path: str, keeps_space: bool, most: int = 250_000, most_ids: int = 1_500_000):
+    def __init__(self, path: str, most: int = 400_000, most_ids: int = 2_000_000, plain: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.cut = byte_level_pieces if keeps_space else word_level_pieces
+        self.tokenizer.encode_special_tokens = plain
+        self.tokenizer.no_padding(), self.tokenizer.no_truncation()
+        rules = json.loads(Path(path).read_text())
+        known = [cut for normalizer, pre, cut in _RULES if rules.get("normalizer") == normalizer and rules.get("pre_tokenizer") == pre]
+        added = [re.escape(t["content"]) for t in rules.get("added_tokens", ()) if t["content"] and not (plain and t["special"])]
+        self.odd = re.compile("|".join(added) if known else "") if added or not known else None
+        self.cut = known[0] if known else None
         self.most, self.most_ids = most, most_ids
         self._clear()
 
@@ -136,17 +154,22 @@ class PieceEncoder:
         till = np.cumsum(n)
         ids = self.ids[np.repeat(starts - till + n, n) + np.arange(till[-1] if len(till) else 0)]
         old = used[keep] // 2
-        self._clear()
-        self._add([names[k] for k in keep.tolist()], ids, n)
+        self._clear([names[k] for k in keep.tolist()])
+        self._add(ids, n)
         self.used[: self.size] = old
 
-    def _clear(self) -> None:
-        self.known: dict[str, int] = {}
+    def _clear(self, pieces: list[str] = ()) -> None:
+        self.known = _Known(pieces)
         self.size = self.filled = 0
         self.ids, self.starts, self.lengths, self.used = (np.zeros(4096, k) for k in (np.int32, np.int64, np.int64, np.int32))
 
-    def _learn(self, pieces: set[str]) -> None:
-        new = list(pieces.difference(self.known))
+    def _whole(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        some = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return np.fromiter(itertools.chain.from_iterable(some), np.int32), np.fromiter(map(len, some), np.int64, len(some))
+
+    def _learn(self) -> None:
+        """Ids of the pieces that the last texts brought."""
+        new, self.known.fresh = self.known.fresh, []
         if not new:
             return
         whole = [p for p in new if p[:1] == _WHOLE]
@@ -157,16 +180,14 @@ class PieceEncoder:
                 ids = found[p]
             else:
                 bare = p[1:] if p[0] == " " else p
-                plain = bare.isascii() and bare.isalnum()
-                ids = [t.id for t in model((_SPACE + bare if bare is not p else p) if plain else _as_symbols(p))]
+                ids = [t.id for t in model((_SPACE + bare if bare is not p else p) if bare.isascii() and bare.isalnum() else _as_symbols(p))]
             flat += ids
             n.append(len(ids))
-        self._add(new, np.array(flat, np.int32), np.array(n, np.int64))
+        self._add(np.array(flat, np.int32), np.array(n, np.int64))
 
-    def _add(self, pieces: list[str], ids: np.ndarray, n: np.ndarray) -> None:
+    def _add(self, ids: np.ndarray, n: np.ndarray) -> None:
         base, at = self.size, self.filled
-        self.known.update(zip(pieces, range(base, base + len(pieces))))
-        self.size, self.filled = base + len(pieces), at + len(ids)
+        self.size, self.filled = base + len(n), at + len(ids)
         for name, need in (("starts", self.size), ("lengths", self.size), ("used", self.size), ("ids", self.filled)):
             old = getattr(self, name)
             if len(old) < need:
@@ -175,20 +196,32 @@ class PieceEncoder:
         self.lengths[base : self.size] = n
         self.starts[base : self.size] = at + np.cumsum(n) - n
 
-    def encode(self, texts: list[str], end_id: int = 0) -> tuple[np.ndarray, np.ndarray]:
-        """All ids one after another, each text closed by end_id, and the number of ids of each text."""
+    def _pieced(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         if self.size > self.most or self.filled > self.most_ids:
             self._forget()
         parts = [self.cut(t) for t in texts]
-        self._learn(set().union(*parts))
         sizes = np.fromiter(map(len, parts), np.int64, len(parts))
-        index = np.fromiter(map(self.known.__getitem__, itertools.chain.from_iterable(parts)), np.int64, int(sizes.sum()))
+        index = np.fromiter(map(self.known.__getitem__, itertools.chain.from_iterable(parts)), np.int32, int(sizes.sum()))
+        self._learn()
         self.used += np.bincount(index, minlength=len(self.used)).astype(np.int32)
         n = self.lengths[index]
         till = np.cumsum(n)
         flat = self.ids[np.repeat(self.starts[index] - till + n, n) + np.arange(till[-1] if len(till) else 0)]
-        ends = np.concatenate([[0], till])[np.cumsum(sizes)]
-        counts = np.diff(ends, prepend=0) + 1
+        return flat, np.diff(np.concatenate([[0], till])[np.cumsum(sizes)], prepend=0)
+
+    def encode(self, texts: list[str], end_id: int = 0) -> tuple[np.ndarray, np.ndarray]:
+        """All ids one after another, each text closed by end_id, and the number of ids of each text."""
+        odd = [k for k, t in enumerate(texts) if self.odd.search(t)] if self.odd else []
+        if not odd:
+            flat, n = self._pieced(texts)
+        elif len(odd) == len(texts):
+            flat, n = self._whole(texts)
+        else:
+            rest = sorted({*range(len(texts))}.difference(odd))
+            (fo, no), (fr, nr) = self._whole([texts[k] for k in odd]), self._pieced([texts[k] for k in rest])
+            both = dict(zip(odd + rest, np.split(fo, np.cumsum(no)[:-1]) + np.split(fr, np.cumsum(nr)[:-1])))
+            flat, n = np.concatenate([both[k] for k in range(len(texts))]), np.array([len(both[k]) for k in range(len(texts))], np.int64)
+        counts = n + 1
         out = np.full(int(counts.sum()), end_id, np.int32)
         closed = np.ones(len(out), bool)
         closed[np.cumsum(counts) - 1] = False
@@ -196,12 +229,12 @@ class PieceEncoder:
         return out, counts
 
 
-_ENCODERS: dict[tuple[str, bool], PieceEncoder] = {}
+_ENCODERS: dict[str, PieceEncoder] = {}
 
 
-def encoder(path: str, keeps_space: bool) -> PieceEncoder:
+def encoder(path: str) -> PieceEncoder:
     """One per worker process and file."""
-    if (path, keeps_space) not in _ENCODERS:
+    if path not in _ENCODERS:
         _ENCODERS.clear()
-        _ENCODERS[path, keeps_space] = PieceEncoder(path, keeps_space)
-    return _ENCODERS[path, keeps_space]
+        _ENCODERS[path] = PieceEncoder(path)
+    return _ENCODERS[path]

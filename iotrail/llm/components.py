@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import forget, materialise
 
 LIGHT = 4  # writing tasks a core
 
@@ -33,16 +33,19 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     edges = links.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     edges = materialise(edges, "links", LIGHT)
     for _ in range(most_rounds):
-        edges = materialise(_stars(_stars(edges, True), False).distinct(), "links", LIGHT)
+        old, edges = edges, materialise(_stars(_stars(edges, True), False).distinct(), "links", LIGHT)
+        forget(old)
         ends = edges.select(F.col("a").alias("v"), F.lit(1).alias("up"), F.lit(0).alias("root")).unionByName(edges.select(F.col("b").alias("v"), F.lit(0).alias("up"), F.lit(1).alias("root")))
         unsettled = ends.groupBy("v").agg(F.sum("up").alias("up"), F.max("root").alias("root")).where((F.col("up") > 1) | ((F.col("up") == 1) & (F.col("root") == 1)))
         if unsettled.isEmpty():  # every node hangs on one root
             break
     else:
         raise RuntimeError("components did not settle")
-    return materialise(
+    out = materialise(
         edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()), "components", LIGHT
     )
+    forget(edges)
+    return out
 
 
 def merge(known: DataFrame | None, links: DataFrame) -> DataFrame:
@@ -56,4 +59,6 @@ def merge(known: DataFrame | None, links: DataFrame) -> DataFrame:
     moved = known.join(new.select(F.col("node").alias("component"), F.col("component").alias("to")), "component", "left")
     moved = moved.select("node", F.coalesce("to", "component").alias("component"))
     fresh = new.join(known, "node", "left_anti").select("node", "component")
-    return materialise(moved.unionByName(fresh), "components", LIGHT)
+    out = materialise(moved.unionByName(fresh), "components", LIGHT)
+    forget(new)
+    return out

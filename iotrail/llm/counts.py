@@ -26,7 +26,7 @@ GROUP = ("source", "lang", "version")
 DELTA = "source string, lang string, version string, documents long, tokens long"
 
 
-def count_tokens(docs: DataFrame, tokenizer_path: str, version: str, keeps_space: bool = True, digest: bool = False) -> DataFrame:
+def count_tokens(docs: DataFrame, tokenizer_path: str, version: str, digest: bool = False) -> DataFrame:
     """The ledger of docs(doc_id, source, lang, text) under one tokenizer; other columns are not read.
 
     digest: with the SHA-256 of each text as one column more."""
@@ -39,7 +39,7 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, version: str, keeps_space
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for b in slices(whole, "text"):
-                _, n = encoder(tokenizer_path, keeps_space).encode(b.column("text").to_pylist())
+                _, n = encoder(tokenizer_path).encode(b.column("text").to_pylist())
                 kept = ("doc_id", "source", "lang", *more)
                 yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), pa.array((n - 1).astype(np.int64))], names=[*kept, "n_tokens"])
 

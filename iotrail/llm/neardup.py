@@ -8,16 +8,20 @@ are in a list), and what is estimated at or above threshold - margin is confirme
 texts: 100 * intersection >= percent * union.
 
 A list can be very long, so pairs are never formed from all of it:
+- two sketch sizes: lists of k values only tell which documents may have a partner at all; these get sketches of
+  4 k values, and the lists that pairs come from are made anew from those, with half the margin;
 - rare first: two sketches that must share c of k values share one among the k - c + 1 rarest of either, so only
   these are listed (values are counted over all sketches; ones found once need no list);
-- peeling: each round takes a few members of every list, the same ones in all lists that hold them, compares them
-  with the rest and then leaves them out, 32 times as many the next round, so that every pair of a list is met
-  once and none is capped;
+- what is left: an entry says how many values its document has from there on in that order that others have too. A pair is
+  met only in a list from which on both have as many as sets of their two sizes must share;
+- peeling: each round takes a few members of every list, the same ones in all lists that hold them and those with
+  the fewest values of their own first (the middle of a group of copies), compares them with the rest and then
+  leaves them out, 16 times as many the next round, so that every pair of a list is met once and none is capped;
 - components: pairs already connected are not compared, and a list whose members are connected is left.
 
-The margin is 0.2 for large sets, 4.5 standard errors of a sketch of 64, and shrinks with the error for sets
-that are not much larger than the sketch: a pair exactly at the threshold is overlooked with a chance of about
-1e-5, one above it sooner not; sets of at most k * threshold values are never overlooked.
+The margin is 4.5 standard errors (0.2 for a sketch of 64 and large sets) and shrinks with the error for sets that
+are not much larger than the sketch: a pair exactly at the threshold is overlooked with a chance of about 1e-5,
+one above it sooner not; sets of at most k * threshold values are never overlooked.
 
 Null and empty texts, and texts of white space, have an empty set, are linked with nothing and are kept. A null
 doc_id is linked with nothing. Rows that repeat a doc_id each get the same answer; doc_id is taken to identify a
@@ -35,7 +39,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import wordhash as H
-from .common import list_array, materialise, slices, table, texts_of
+from .common import forget, list_array, materialise, slices, table, texts_of
 from .components import LIGHT, merge
 
 
@@ -86,7 +90,7 @@ def _estimate(sa: Column, sb: Column, k: int) -> Column:
     return F.size(shared) / F.size(union)
 
 
-def link(docs: DataFrame, size: int = 5, percent: int = 80, k: int = 64, margin: float = 0.2) -> DataFrame:
+def link(docs: DataFrame, size: int = 5, percent: int = 80, k: int = 64, errors: float = 4.5) -> DataFrame:
     """doc_id, n_shingles, component_id: one row per row of docs."""
     threshold = percent / 100
     every = materialise(sets(docs, size, k), "shingle-sets")
@@ -94,7 +98,7 @@ def link(docs: DataFrame, size: int = 5, percent: int = 80, k: int = 64, margin:
     reps = materialise(
         every.where((F.col("n") > 0) & F.col("doc_id").isNotNull()).groupBy(*same).agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last"), F.first("sketch").alias("sketch")), "shingle-reps", LIGHT
     )
-    component = _components_of(docs, reps, size, percent, k, threshold, margin)
+    component = _components_of(docs, reps, size, percent, k, threshold, errors)
     shared = reps.where(F.col("last") > F.col("rep")).select(*same, "rep")
     ids = every.select("doc_id", *same).join(shared, same, "left")
     ids = materialise(ids.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id")).alias("rep")), "shingle-ids", LIGHT)
@@ -104,58 +108,80 @@ def link(docs: DataFrame, size: int = 5, percent: int = 80, k: int = 64, margin:
     return found.select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
 
 
-def _margin(n: Column, k: int, threshold: float, margin: float) -> Column:
+def _margin(n: Column, k: int, threshold: float, errors: float) -> Column:
     """Sampling error that is allowed for: less where the sketch is much of the union (of n / threshold at most)."""
-    return margin * F.sqrt(F.greatest(F.lit(0.0), 1 - k * threshold / n))
+    return errors * math.sqrt(threshold * (1 - threshold) / k) * F.sqrt(F.greatest(F.lit(0.0), 1 - k * threshold / n))
 
 
-def _lists(reps: DataFrame, k: int, threshold: float, margin: float) -> DataFrame:
-    """(v, rep, n): inverted lists of the rarest retained values."""
+def _shared(na: Column, nb: Column, k: int, threshold: float, errors: float) -> Column:
+    """How many values the sketches of two sets of these sizes share at least if the sets are similar enough.
+
+    The larger set's sketch is a sample of it, of which the smaller set holds the share p or more; if it is the
+    whole set there is no error."""
+    large, small = F.greatest(na, nb), F.least(na, nb)
+    kept = F.least(F.lit(k), large)
+    p = threshold * (1 + small / large) / (1 + threshold)
+    return kept * p - errors * F.sqrt(kept * p * (1 - p) * (1 - kept / large)) - 1e-9
+
+
+def _lists(reps: DataFrame, k: int, threshold: float, errors: float) -> DataFrame:
+    """(v, rep, n, left, own): inverted lists of the rarest retained values. left: how many retained values found
+    elsewhere too the document has from this one on; own: the share of its values that no other has."""
     postings = reps.select("rep", "n", F.size("sketch").alias("k"), F.explode("sketch").alias("v"))
     counts = postings.groupBy("v").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     mine = postings.join(counts, "v").groupBy("rep", "n", "k").agg(F.array_sort(F.collect_list(F.struct("df", "v"))).alias("shared"))
     few = F.col("n") <= math.floor(threshold * k)
-    least = F.ceil(F.when(few, threshold * F.col("n")).otherwise((threshold - _margin(F.col("n"), k, threshold, margin)) * F.col("k")) - 1e-9)
-    room = (F.col("k") - least + 1 - (F.col("k") - F.size("shared"))).cast("int")
-    rare = mine.withColumn("room", room).where("room > 0")
-    return rare.select("rep", "n", F.explode(F.slice("shared", F.lit(1), F.col("room"))).alias("x")).select(F.col("x.v").alias("v"), "rep", "n")
-
-
-def _components_of(docs: DataFrame, reps: DataFrame, size: int, percent: int, k: int, threshold: float, margin: float) -> DataFrame | None:
-    lists = materialise(_lists(reps, k, threshold, margin).withColumn("component", F.col("rep")), "shingle-lists", LIGHT)
-    listed = lists.select(F.col("rep").alias("doc_id")).distinct()
-    if lists.isEmpty():
+    least = F.ceil(F.when(few, threshold * F.col("n")).otherwise((threshold - _margin(F.col("n"), k, threshold, errors)) * F.col("k")) - 1e-9)
+    rare = mine.withColumn("room", (F.size("shared") - least + 1).cast("int")).where("room > 0")
+    own = (1 - F.size("shared") / F.col("k")).alias("own")
+    entries = rare.select("rep", "n", own, F.size("shared").alias("all"), F.posexplode(F.slice("shared", F.lit(1), F.col("room"))).alias("at", "x"))
+    return entries.select(F.col("x.v").alias("v"), "rep", "n", (F.col("all") - F.col("at")).alias("left"), "own")
+
+
+def _components_of(docs: DataFrame, reps: DataFrame, size: int, percent: int, k: int, threshold: float, errors: float) -> DataFrame | None:
+    first = materialise(_lists(reps, k, threshold, errors).select("v", "rep"), "shingle-lists", LIGHT)
+    met = first.groupBy("v").agg(F.min("rep").alias("x"), F.max("rep").alias("y")).where("x < y").select("v")
+    listed = materialise(first.join(met, "v", "left_semi").select(F.col("rep").alias("doc_id")).distinct(), "shingle-listed", LIGHT)
+    forget(first)
+    if listed.isEmpty():
         return None
     texts = materialise(texts_of(docs).join(listed, "doc_id").dropDuplicates(["doc_id"]), "shingle-texts", LIGHT)
-    wide = 4 * k  # listed documents are few enough for a closer estimate, exact for unions of so many values
+    wide = 4 * k
     sketches = materialise(sets(texts, size, wide).select("doc_id", "n", "sketch"), "shingle-sketches", LIGHT)
+    lists = materialise(_lists(sketches.withColumnRenamed("doc_id", "rep"), wide, threshold, errors).withColumn("component", F.col("rep")), "shingle-lists", LIGHT)
     component: DataFrame | None = None
-    leaders = 8
-    while True:
-        order = F.xxhash64("rep", F.lit(leaders))
-        lead = lists.groupBy("v", F.pmod(F.xxhash64("rep"), F.lit(leaders)).alias("part")).agg(F.min(F.struct(order.alias("h"), "rep", "n", "component")).alias("x"))
-        lead = lead.select("v", F.col("x.rep").alias("lr"), F.col("x.n").alias("ln"), F.col("x.component").alias("lc"))
+    leaders = 1
+    while not lists.isEmpty():
+        order = F.struct("own", F.xxhash64("rep", F.lit(leaders)).alias("h"), "rep", "n", "left", "component")
+        lead = lists.groupBy("v", F.pmod(F.xxhash64("rep"), F.lit(leaders)).alias("part")).agg(F.min(order).alias("x"))
+        lead = materialise(lead.select("v", F.col("x.rep").alias("lr"), F.col("x.n").alias("ln"), F.col("x.left").alias("ll"), F.col("x.component").alias("lc")), "shingle-leaders", LIGHT)
         met = lists.join(lead, "v").where(
-            (F.col("rep") != F.col("lr")) & (F.col("component") != F.col("lc")) & (F.least("n", "ln") >= threshold * F.greatest("n", "ln") - 1e-9)
+            (F.col("rep") != F.col("lr"))
+            & (F.col("component") != F.col("lc"))
+            & (F.least("n", "ln") >= threshold * F.greatest("n", "ln") - 1e-9)
+            & (F.least("left", "ll") >= _shared(F.col("n"), F.col("ln"), wide, threshold, errors))
         )
         pairs = met.select(F.least("rep", "lr").alias("a"), F.greatest("rep", "lr").alias("b")).distinct()
         for c in ("a", "b"):
             pairs = pairs.join(sketches.select(F.col("doc_id").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"s{c}")), c)
-        needed = threshold - _margin(F.greatest("na", "nb"), wide, threshold, margin / 2) - 1e-9
-        enough = F.size(F.array_intersect("sa", "sb")) >= needed * F.least(F.lit(wide), F.greatest("na", "nb"))
+        enough = F.size(F.array_intersect("sa", "sb")) >= _shared(F.col("na"), F.col("nb"), wide, threshold, errors)
+        needed = threshold - _margin(F.greatest("na", "nb"), wide, threshold, errors) - 1e-9
         likely = pairs.where(F.when(enough, _estimate(F.col("sa"), F.col("sb"), wide) >= needed).otherwise(False)).select("a", "b")
         links = materialise(confirm(likely, texts, size, percent), "shingle-links", LIGHT)
         if not links.isEmpty():
-            component = merge(component, links)
+            component, old = merge(component, links), component
+            forget(old)
         rest = lists.join(lead.select("v", F.col("lr").alias("rep")), ["v", "rep"], "left_anti")
+        columns = ["v", "rep", "n", "left", "own", "component"]
         if component is not None:
-            rest = rest.drop("component").join(component.select(F.col("node").alias("rep"), "component"), "rep", "left").select("v", "rep", "n", F.coalesce("component", "rep").alias("component"))
-        rest = materialise(rest.select("v", "rep", "n", "component"), "shingle-lists", LIGHT)
+            rest = rest.drop("component").join(component.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+        rest = materialise(rest.select(*columns), "shingle-lists", LIGHT)
         open_ = rest.groupBy("v").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("v")
-        lists = materialise(rest.join(open_, "v", "left_semi"), "shingle-lists", LIGHT)
-        if lists.isEmpty():
-            return component
-        leaders *= 32
+        old, lists = lists, materialise(rest.join(materialise(open_, "shingle-open", LIGHT), "v", "left_semi").select(*columns), "shingle-lists", LIGHT)
+        forget(old, rest, lead, links)
+        leaders *= 16
+    forget(texts, sketches, lists)
+    return component
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:

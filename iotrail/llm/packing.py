@@ -30,11 +30,11 @@ PIECES = "doc_id long, piece int, start long, length long, ids array<int>"
 Filling = tuple[tuple[int, int], ...]  # (length, how often), lengths descending
 
 
-def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 0, keeps_space: bool = False) -> DataFrame:
+def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 0) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for b in slices(whole, "text"):
-                ids, n = encoder(tokenizer_path, keeps_space).encode(b.column("text").to_pylist(), end_id)
+                ids, n = encoder(tokenizer_path).encode(b.column("text").to_pylist(), end_id)
                 times = -(-n // capacity)
                 row = np.repeat(np.arange(len(n)), times)
                 piece = np.arange(len(row)) - np.repeat(np.cumsum(times) - times, times)

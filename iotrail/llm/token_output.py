@@ -27,17 +27,14 @@ from .common import encoder, list_array, slices, texts_of, table, work_path
 SCHEMA = "doc_id long, part int, local_start long, n_tokens long, ids array<int>"
 
 
-def encode(docs: DataFrame, tokenizer_path: str, end_id: int = 0, keeps_space: bool = True) -> DataFrame:
-    """docs(doc_id, text) -> SCHEMA, range-partitioned and sorted by doc_id.
-
-    keeps_space: the vocabulary encodes white space (else it drops white space and lower-cases).
-    """
+def encode(docs: DataFrame, tokenizer_path: str, end_id: int = 0) -> DataFrame:
+    """docs(doc_id, text) -> SCHEMA, range-partitioned and sorted by doc_id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, start = TaskContext.get().partitionId(), 0
         for whole in batches:
             for b in slices(whole, "text"):
-                ids, n = encoder(tokenizer_path, keeps_space).encode(b.column("text").to_pylist(), end_id)
+                ids, n = encoder(tokenizer_path).encode(b.column("text").to_pylist(), end_id)
                 before = start + np.cumsum(n) - n
                 start += int(n.sum())
                 yield pa.RecordBatch.from_arrays(

@@ -10,13 +10,12 @@ from iotrail.llm import common, token_output
 ODD = ["", " ", "a", "  two  spaces ", "tab\tand\nnew  line \n x", "it's  we'll 12 345", "\x1c x \x1cy", "é" * 5 + " ß z", "<|endoftext|> a", "x" * 5000, "ab " * 3000, " ́a b́ c", "İ Σ ΑΣ Ⅷ", "don't stop.\n\n Yes;   no!\t(a+b) ÉTÉ ª²½ ¿qué? Weiß 12,5", "a.\nB c\n", " ".join("w%d." % i for i in range(3000)), None]
 
 
-@pytest.mark.parametrize("name,lead", [("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)])
-def test_pieces_equal_whole_texts(name, lead):
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_pieces_equal_whole_texts(name):
     texts = [t or "" for t in ODD]
     plain = Tokenizer.from_file(public_tokenizers.path(name))
-    plain.encode_special_tokens = True
     want = [[*plain.encode(t, add_special_tokens=False).ids, 0] for t in texts]
-    ids, n = common.PieceEncoder(public_tokenizers.path(name), lead).encode(texts, 0)
+    ids, n = common.PieceEncoder(public_tokenizers.path(name)).encode(texts, 0)
     assert n.tolist() == list(map(len, want))
     assert ids.tolist() == sum(want, [])
 
@@ -28,7 +27,6 @@ def test_round_trip(spark):
     token_output.write(token_output.encode(docs, public_tokenizers.path("byte_bpe_50k.json")), path)
     got = token_output.with_crc(token_output.read(spark, path)).collect()
     plain = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    plain.encode_special_tokens = True
     start, want = 0, []
     for i, t in sorted((r[0], r[1] or "") for r in rows):
         ids = [*plain.encode(t, add_special_tokens=False).ids, 0]
@@ -45,8 +43,8 @@ def test_empty(spark):
 
 
 def test_forgetting_changes_nothing():
-    few = common.PieceEncoder(public_tokenizers.path("byte_bpe_50k.json"), True, most=50, most_ids=200)
-    many = common.PieceEncoder(public_tokenizers.path("byte_bpe_50k.json"), True)
+    few = common.PieceEncoder(public_tokenizers.path("byte_bpe_50k.json"), most=50, most_ids=200)
+    many = common.PieceEncoder(public_tokenizers.path("byte_bpe_50k.json"))
     texts = [f"alpha beta{i} gamma{i % 7} delta." for i in range(300)]
     for a in range(0, 300, 20):
         assert few.encode(texts[a : a + 20])[0].tolist() == many.encode(texts[a : a + 20])[0].tolist()
