@@ -67,8 +67,11 @@ def test_near_duplicates(spark, size, percent):
     want = groups(list(sets), links)
     assert sorted(r for r in got if r[0] is not None) == sorted((i, len(sets[i]), want[i]) for i in sets)
     assert [r for r in got if r[0] is None] == [(None, len(shingles("same exact text of some words", size)), None)]
-    kept = {r.doc_id for r in neardup.keep_one(docs, size=size, percent=percent).collect()}
-    assert kept == {None, *want.values()}
+    more = spark.createDataFrame([(None, "no other text has these words in it", 1, 2), (5, rows[5][1], 1, 2)], docs.schema)
+    kept = sorted(neardup.keep_one(docs.unionByName(more), size=size, percent=percent).collect(), key=lambda r: (r.doc_id is None, r.doc_id))
+    # Rows without an id are documents like others: the copy of a group goes, the one alone stays; so do repeated rows.
+    assert [r.doc_id for r in kept] == [*sorted(set(want.values())), None]
+    assert kept[-1].text.startswith("no other") and kept[0].asDict().keys() == {"doc_id", "text", "n", "component"}
 
 
 def test_near_duplicates_empty(spark):
