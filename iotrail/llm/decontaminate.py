@@ -2,24 +2,27 @@
 
 find(docs, items) -> doc_id, item_id, score, start, end (words of the document): passages that align with a test
 item. Every n-gram of an item is a seed, however often the documents hold it, and is looked up in every whole text.
-Hits of one item near one another open a window with room for all the words that a passage can have besides
-(beyond them it scores too little), and the local alignment of item and window scores the copy: matches give 1,
-mismatches and gaps cost `cost`, the sum over the number of words of the item is the score (1: whole copy).
-Windows that hold too few of the item's words to reach `least` are not aligned. Scores of `least` or more are
-reported, the best one for each document and item. A passage that keeps no n-gram (every third word edited) has
-no seed and is not found.
-
-Items are taken in blocks of at most `block` n-grams, one pass over the documents for each block, so that what
-tasks hold is bounded whatever the size of the benchmark. A-Z are lower-cased; words are apart by ASCII white
-space; edge punctuation of words is dropped.
-
-Null and empty texts and items match nothing; items of fewer words than a seed use one seed of all their words.
-Rows that repeat an item_id are one item each, and the best counts. Repeated documents each get their rows. A
-null doc_id is reported as such. Other columns are not read. Empty tables give an empty result.
+Every hit opens a window with room for all the words that a passage can have besides (beyond them it scores too
+little); windows of one item that overlap are one. The local alignment of item and window scores the copy: matches
+give 1, mismatches and gaps cost `cost`, the sum over the number of words of the item is the score (1: whole
+copy). Seeds that fewer items hold come first, and a window whose words cannot reach `least` is not aligned; neither
+changes a result. Scores of `least` or more are reported, the best one for each row and item, with the first and last
+word (exclusive) of the aligned passage. A passage that keeps no n-gram (every third word edited) has no seed and
+is not found.
+
+Items are made into word hashes by a job, and taken in blocks of at most `block` n-grams, one pass over the
+documents for each block, so that what tasks and driver hold is bounded whatever the size of the benchmark. A-Z are
+lower-cased; words are apart by ASCII white space; edge punctuation of words is dropped.
+
+Null and empty texts and items match nothing; items of fewer words than a seed use one seed of all their words and
+are looked up in runs of as many words. Rows that repeat an item_id are one item each, and the best counts. Each row
+of docs gets its own rows, also one that repeats another; a null doc_id is reported as such, and so is a null
+item_id. Other columns are not read. Empty tables give an empty result.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import wordhash as H
-from .common import materialise, slices, table, texts_of
+from .common import list_array, materialise, slices, small_batches, table, texts_of
 
 EDGE = np.zeros(256, bool)
 EDGE[[ord(c) for c in ".,;:!?\"'()[]{}|*#$%&"]] = True
@@ -45,16 +48,17 @@ def word_ids(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Seeds:
-    """n-grams of items, sorted by hash: which item and which of its words each stands for."""
+    """n-grams of items, sorted by hash: which item and which of its words each stands for. Items of fewer words than
+    an n-gram have one of their own length."""
 
     def __init__(self, ids: list, words: list[np.ndarray], size: int):
         self.ids, self.words, self.size = ids, words, size
-        grams, self.item, self.at = [], [], []
         flat, n = (np.concatenate(words) if words else np.empty(0, np.uint64)), np.array([len(w) for w in words], np.int64)
         grams, owner = H.shingles(flat, n, size)
         at = np.arange(len(owner)) - np.searchsorted(owner, owner)
         order = np.argsort(grams, kind="stable")
         self.grams, self.item, self.at = grams[order], owner[order], at[order]
+        self.sizes = sorted({min(size, int(k)) for k in n if k})
         self.bloom = np.zeros(1 << 20, bool)
         self.bloom[(self.grams & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
 
@@ -66,19 +70,23 @@ class Seeds:
         return maybe[self.grams[k] == grams[maybe]] if len(self.grams) else maybe[:0]
 
 
-def align(item: np.ndarray, text: np.ndarray, cost: float) -> tuple[float, int]:
-    """Best local alignment: its sum and the end of its part of text."""
-    above, steps, best, end = np.zeros(len(text) + 1), np.arange(len(text) + 1) * cost, 0.0, 0
+def align(item: np.ndarray, text: np.ndarray, cost: float) -> tuple[float, int, int]:
+    """Best local alignment: its sum, and the start and end of its part of text."""
+    here = np.arange(len(text) + 1)
+    above, began, steps, best = np.zeros(len(text) + 1), here, here * cost, (0.0, 0, 0)
     for w in item:
-        row = np.zeros(len(text) + 1)
-        np.maximum(above[:-1] + np.where(text == w, 1.0, -cost), above[1:] - cost, out=row[1:])
-        np.maximum(row, 0, out=row)
-        row = np.maximum.accumulate(row + steps) - steps
+        match, skip = above[:-1] + np.where(text == w, 1.0, -cost), above[1:] - cost
+        row, start = np.zeros(len(text) + 1), here.copy()
+        np.maximum(np.maximum(match, skip), 0, out=row[1:])
+        start[1:] = np.where(row[1:] <= 0, here[1:], np.where(match >= skip, began[:-1], began[1:]))
+        lifted = np.maximum.accumulate(row + steps)
+        source = np.maximum.accumulate(np.where(row + steps >= lifted, here, 0))  # from where gaps in item come
+        row, start = lifted - steps, start[source]
         k = int(row.argmax())
-        if row[k] > best + 1e-12:
-            best, end = float(row[k]), k
-        above = row
-    return best, end
+        if row[k] > best[0] + 1e-12:
+            best = float(row[k]), int(start[k]), k
+        above, began = row, start
+    return best
 
 
 def windows(seeds: Seeds, at: np.ndarray, grams: np.ndarray, beyond: float = 1.0) -> dict[int, list[tuple[int, int]]]:
@@ -95,28 +103,65 @@ def windows(seeds: Seeds, at: np.ndarray, grams: np.ndarray, beyond: float = 1.0
         i, some = int(item[mine[0]]), begins[mine]
         size = len(seeds.words[i])
         room = int(beyond * size) + 1
-        groups = np.split(some, np.flatnonzero(np.diff(some) > max(4, size // 2)) + 1)
-        out[i] = [(max(0, int(g[0]) - room), int(g[-1]) + size + room) for g in groups if len(g) > 1 or size <= seeds.size + 2]
+        groups = np.split(some, np.flatnonzero(np.diff(some) > size + 2 * room) + 1)
+        out[i] = [(max(0, int(g[0]) - room), int(g[-1]) + size + room) for g in groups]
     return out
 
 
-def find(docs: DataFrame, items: DataFrame, size: int = 3, cost: float = 0.5, least: float = 0.5, block: int = 1_000_000) -> DataFrame:
-    texts = texts_of(docs)
-    schema = "doc_id long, item_id long, score double, start long, end long"
-    out = docs.sparkSession.createDataFrame([], schema)
-    for seeds in _blocks(items, size, block):
-        out = out.unionByName(_search(texts, seeds, cost, least, schema))
-    best = F.max(F.struct("score", "start", "end")).alias("x")
-    return out.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "x.score", "x.start", "x.end")
+def _runs(column: pa.Array, sizes: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Words of all texts, how many each has; n-grams of the given sizes, the text of each and its place there."""
+    words, n = word_ids(column)
+    grams, owner, at = [], [], []
+    for size in sizes:
+        g, o = H.shingles(words, n, size)
+        keep = n[o] >= size  # a text shorter than the n-gram has none of that size
+        grams.append(g[keep]), owner.append(o[keep]), at.append((np.arange(len(o)) - np.searchsorted(o, o))[keep])
+    if not sizes:
+        return words, n, np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
+    return words, n, np.concatenate(grams), np.concatenate(owner), np.concatenate(at)
+
+
+def _leaks(column: pa.Array, seeds: Seeds, cost: float, least: float) -> Iterator[tuple[int, int, float, int, int]]:
+    """(row, item, score, start, end) for every text and item that align well enough."""
+    beyond = max(0.0, 1 - least) / cost if cost else 1e6
+    words, n, grams, owner, at = _runs(column, seeds.sizes)
+    hit = seeds.hits(grams)
+    hit = hit[np.argsort(owner[hit], kind="stable")]
+    begin = np.cumsum(n) - n
+    for mine in np.split(hit, np.flatnonzero(np.diff(owner[hit])) + 1) if len(hit) else []:
+        d = int(owner[mine[0]])
+        text = words[begin[d] : begin[d] + n[d]]
+        for i, stretches in windows(seeds, at[mine], grams[mine], beyond).items():
+            item, best = seeds.words[i], None
+            for s, e in stretches:
+                if np.isin(item, text[s:e]).sum() < least * len(item) - 1e-9:  # not even if all of them match
+                    continue
+                total, start, end = align(item, text[s:e], cost)
+                got = (total / len(item), s + start, s + end)
+                best = got if best is None else max(best, got)
+            if best and best[0] >= least - 1e-12:
+                yield (d, i, *best)
+
+
+def item_words(items: DataFrame) -> DataFrame:
+    """item_id, words (hashes): one row per row of items with words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for b in slices(whole, "text"):
+                words, n = word_ids(b.column("text"))
+                yield pa.RecordBatch.from_arrays([b.column("item_id"), list_array(words.view(np.int64), n, pa.int64())], names=["item_id", "words"])
+
+    rows = items.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce("text", F.lit("")).alias("text"))
+    return rows.mapInArrow(run, "item_id long, words array<long>").where(F.size("words") > 0)
 
 
 def _blocks(items: DataFrame, size: int, block: int) -> Iterator[Seeds]:
+    """The items' seeds in blocks of about `block` n-grams; the driver holds one at a time."""
     ids, words, held = [], [], 0
-    rows = items.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce("text", F.lit("")).alias("text")).orderBy("item_id", "text")
-    for row in rows.toLocalIterator():
-        w, _ = word_ids(pa.array([row["text"]]))
-        ids.append(row["item_id"]), words.append(w)
-        held += max(1, len(w))
+    for row in item_words(items).orderBy("item_id", "words").toLocalIterator():
+        ids.append(row["item_id"]), words.append(np.array(row["words"], np.int64).view(np.uint64))
+        held += len(words[-1])
         if held >= block:
             yield Seeds(ids, words, size)
             ids, words, held = [], [], 0
@@ -124,45 +169,64 @@ def _blocks(items: DataFrame, size: int, block: int) -> Iterator[Seeds]:
         yield Seeds(ids, words, size)
 
 
-def _runs(column: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    words, n = word_ids(column)
-    grams, owner = H.shingles(words, n, size)
-    return words, n, grams, owner
+FOUND = "doc_id long, item_id long, score double, start long, end long"
 
 
-def _search(texts: DataFrame, seeds: Seeds, cost: float, least: float, schema: str) -> DataFrame:
-    beyond = max(0.0, 1 - least) / cost if cost else 1e6
+def find(docs: DataFrame, items: DataFrame, size: int = 3, cost: float = 0.5, least: float = 0.5, block: int = 1_000_000) -> DataFrame:
+    spark, blocks = docs.sparkSession, _blocks(items, size, block)
+    one = next(blocks, None)
+    if one is None:
+        return spark.createDataFrame([], FOUND)
+    two = next(blocks, None)
+    if two is None:  # a row's best is known where it is read
+        return _search(texts_of(docs).withColumn("row", F.lit(None).cast("long")), one, cost, least).drop("row")
+    rows = materialise(texts_of(docs).withColumn("row", F.monotonically_increasing_id()), "leak-texts")
+    parts = [materialise(_search(rows, seeds, cost, least), "leak-finds") for seeds in itertools.chain((one, two), blocks)]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    best = F.max(F.struct("score", "start", "end")).alias("x")
+    return out.groupBy("row", "doc_id", "item_id").agg(best).select("doc_id", "item_id", "x.score", "x.start", "x.end")
+
+
+def _search(rows: DataFrame, seeds: Seeds, cost: float, least: float) -> DataFrame:
+    """rows(row, doc_id, text) -> row and FOUND: the best of each row and item_id."""
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for b in slices(whole, "text"):
-                words, n, grams, owner = _runs(b.column("text"), seeds.size)
-                hit = seeds.hits(grams)
-                begin, first = np.cumsum(n) - n, np.searchsorted(owner, np.arange(len(n)))
-                names, rows = b.column("doc_id").to_pylist(), []
-                for mine in np.split(hit, np.flatnonzero(np.diff(owner[hit])) + 1) if len(hit) else []:
-                    d = int(owner[mine[0]])
-                    text = words[begin[d] : begin[d] + n[d]]
-                    for i, stretches in windows(seeds, mine - first[d], grams[mine], beyond).items():
-                        item, found = seeds.words[i], []
-                        for s, e in stretches:
-                            if np.isin(item, text[s:e]).sum() < least * len(item) - 1e-9:  # not even if all of them match
-                                continue
-                            total, end = align(item, text[s:e], cost)
-                            found.append((total / len(item), s + max(0, end - len(item)), s + end))
-                        if found and max(found)[0] >= least:
-                            rows.append((names[d], seeds.ids[i], *max(found)))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()))], names=["doc_id", "item_id", "score", "start", "end"]
-                )
-
-    return texts.mapInArrow(run, schema)
-
-
-def drop_leaks(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
-    """docs without those that hold a passage of a test item, with the columns docs has."""
-    gone = materialise(find(docs, items, **options).select(F.col("doc_id").alias("__gone")).distinct(), "leaks")
-    return docs.join(gone, F.col("doc_id").cast("long") == F.col("__gone"), "left_anti")
+                names, numbers, best = b.column("doc_id").to_pylist(), b.column("row").to_pylist(), {}
+                for d, i, *got in _leaks(b.column("text"), seeds, cost, least):
+                    key = d, seeds.ids[i]
+                    best[key] = max(best.get(key, got), got)
+                out = [(numbers[d], names[d], i, *got) for (d, i), got in best.items()]
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)], names=["row", "doc_id", "item_id", "score", "start", "end"])
+
+    return rows.select("row", "doc_id", "text").mapInArrow(run, "row long, " + FOUND)
+
+
+def drop_leaks(docs: DataFrame, items: DataFrame, size: int = 3, cost: float = 0.5, least: float = 0.5, block: int = 1_000_000) -> DataFrame:
+    """docs without the rows that hold a passage of a test item, with the columns docs has. Rows are looked at one by
+    one, so rows without a doc_id and rows that repeat others go if they hold one and stay if not."""
+
+    columns = docs.columns
+
+    def without(seeds: Seeds):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for whole in batches:
+                for b in slices(whole.append_column("__text", whole.column("text").fill_null("")), "__text"):
+                    keep = np.ones(b.num_rows, bool)
+                    keep[[d for d, *_ in _leaks(b.column("__text"), seeds, cost, least)]] = False
+                    yield b.select(columns).filter(pa.array(keep))
+
+        return run
+
+    small_batches(docs.sparkSession)
+    out = docs
+    for k, seeds in enumerate(_blocks(items, size, block)):
+        out = (materialise(out, "leak-free") if k else out).mapInArrow(without(seeds), docs.schema)
+    return out
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

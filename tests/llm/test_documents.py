@@ -183,6 +183,61 @@ def test_decontamination_of_frequent_passages(spark):
     assert got[0, 1] == pytest.approx((32 - 0.5 * 7) / 40) and got[300, 2] == pytest.approx(0.5)
 
 
+def alignment_with_start(item, text, cost):
+    """Best local alignment by the plain recurrence: sum and all (start, end) that reach it."""
+    cell = {}
+    for i in range(len(item) + 1):
+        for j in range(len(text) + 1):
+            ways = [(0.0, {j})]
+            if i and j:
+                ways += [(cell[i - 1, j - 1][0] + (1.0 if item[i - 1] == text[j - 1] else -cost), cell[i - 1, j - 1][1])]
+            if i:
+                ways += [(cell[i - 1, j][0] - cost, cell[i - 1, j][1])]
+            if j:
+                ways += [(cell[i, j - 1][0] - cost, cell[i, j - 1][1])]
+            top = max(w[0] for w in ways)
+            cell[i, j] = top, set().union(*(w[1] for w in ways if w[0] > top - 1e-9))
+    best = max(c[0] for c in cell.values())
+    return best, {(s, j) for (_, j), c in cell.items() if c[0] > best - 1e-9 for s in c[1]}
+
+
+@pytest.mark.parametrize("block", [30, 1_000_000])
+def test_decontamination_against_all_pairs(spark, block):
+    """Every document with every item: reported if they share an n-gram and align well enough, and only then."""
+    rng = random.Random(21)
+    few = [word(rng, 3) for _ in range(40)]  # few words, so hits by chance are many
+    items = [[rng.choice(few) for _ in range(rng.randint(1, 14))] for _ in range(14)] + [[f"w{k}" for k in range(10)]]
+    docs = [[rng.choice(few) for _ in range(rng.randint(0, 30))] for _ in range(40)]
+    for k in range(60):
+        copy = [w for w in rng.choice(items) if rng.random() > 0.1]
+        copy = [w if rng.random() > 0.25 else rng.choice(few) for w in copy]
+        docs.append(docs[k % 40][:7] + copy + docs[k % 40][7:])
+    docs.append("w0 w1 w2 x w4 w5 x w7 w8 x".split())  # one seed only
+    docs += [docs[-1], items[3] + ["z"]]
+    rows = [(i, " ".join(d), "en", "s", 0) for i, d in enumerate(docs)]
+    rows[-2] = rows[-3]  # a row that repeats another
+    rows[-1] = (None, *rows[-1][1:])
+    want, spans = {}, {}
+    for r, d in zip(rows, docs):
+        for k, t in enumerate(items):
+            size = min(3, len(t))
+            if {tuple(t[i : i + size]) for i in range(len(t) - size + 1)} & {tuple(d[i : i + size]) for i in range(len(d) - size + 1)}:
+                total, where = alignment_with_start(t, d, 0.5)
+                if total / len(t) >= 0.5 - 1e-12:
+                    want.setdefault((r[0], k), []).append(round(total / len(t), 9))
+                    spans[r[0], k] = where
+    df = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    bench = spark.createDataFrame([(k, " ".join(t), 1) for k, t in enumerate(items)], "item_id long, text string, score int")
+    got = {}
+    for r in decontaminate.find(df, bench, block=block).collect():
+        got.setdefault((r.doc_id, r.item_id), []).append(round(r.score, 9))
+        assert (r.start, r.end) in spans[r.doc_id, r.item_id]
+    assert got == want and len(got[100, 14]) == 2 and got[100, 14][0] == 0.6
+    left = sorted((r.text for r in decontaminate.drop_leaks(df, bench, block=block).collect()))
+    leaking = {d for d, _ in want}
+    assert left == sorted(r[1] for r in rows if r[0] not in leaking) and None in leaking
+
+
 def test_word_edges():
     a, n = decontaminate.word_ids(pa.array(['"Hello," (world).', "hello world", "...", ""]))
     assert n.tolist() == [2, 2, 1, 0] and a[:2].tolist() == a[2:4].tolist()
