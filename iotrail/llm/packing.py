@@ -4,9 +4,11 @@ pieces(docs) tokenises whole texts and cuts only documents longer than the capac
 piece a sequence_id and an offset. The search sees nothing but how many pieces have each length, at most
 `capacity` numbers whatever the input: it fills a sequence around the largest length left, trying undominated
 fillings by least waste, and prunes by the waste that is still allowed under the best solution so far, which
-is best-fit decreasing at first. A filling is used as often as the counts allow. If the lower bound is met,
-or the allowed work (fillings tried x distinct lengths) is done, the best solution stands. Pieces of one length are interchangeable, so
-they are numbered in Spark and take their places by number.
+is best-fit decreasing at first. A filling is dominated if a length that is left fits in place of some of its pieces
+and what remains free (none of them: it could be added); all that are not are listed, of any number of pieces, one
+after another as the search asks for them. A filling is used as often as the counts allow, then once. If the lower
+bound is met, or `work` steps of the search are done, the best solution stands. Pieces of one length are interchangeable,
+so they are numbered in Spark and take their places by number.
 
 Null texts are empty; an empty document is its end id alone. Repeated rows each get their place. Columns that
 pieces carries besides are kept. An empty input gives an empty result. A length over the capacity is an error.
@@ -15,7 +17,7 @@ pieces carries besides are kept. An empty input gives an empty result. A length
 from __future__ import annotations
 
 import bisect
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -89,62 +91,93 @@ def bound(counts: dict[int, int], capacity: int) -> int:
     return max(-(-int(mass[0]) // capacity), int((large + middle + np.maximum(0, -(-beyond // capacity))).max()))
 
 
-def fillings(counts: dict[int, int], room: int, most: int = 24, most_items: int = 4) -> list[Filling]:
-    """Undominated ways to fill a room, by least waste: no piece that is left fits into what remains, and none
-    can be swapped for a larger one that fits. Deeper fillings than most_items end best-fit."""
-    lengths = sorted((k for k, n in counts.items() if n and k <= room), reverse=True)
-    found: dict[Filling, int] = {}
-    tries = 0
-
-    def go(at: int, left: int, items: tuple[int, ...]) -> None:
-        nonlocal tries
-        tries += 1
-        if tries > 400:
-            return
-        fits = [k for k in lengths[at:] if k <= left and counts[k] > items.count(k)]
-        if not fits:
-            found.setdefault(tuple((k, items.count(k)) for k in dict.fromkeys(items)), left)
-            return
-        if len(items) >= most_items:
-            while fits:
-                items, left = (*items, fits[0]), left - fits[0]
-                fits = [k for k in fits if k <= left and counts[k] > items.count(k)]
-            found.setdefault(tuple((k, items.count(k)) for k in dict.fromkeys(items)), left)
-            return
-        for k in fits[:8]:
-            go(lengths.index(k), left - k, (*items, k))
-
-    go(0, room, ())
-    return sorted(found, key=lambda f: (found[f], [-k for k, _ in f]))[:most] or [()]
-
-
-def complete(counts: dict[int, int], capacity: int, work: int = 100_000) -> list[tuple[int, Filling]]:
+def _smear(bits: int, by: int) -> int:
+    """Bits moved up by 0 to `by` places, together."""
+    done = 0
+    while done < by:
+        step = min(done + 1, by - done)
+        bits |= bits << step
+        done += step
+    return bits
+
+
+def undominated(filling: Filling, counts: dict[int, int], room: int) -> bool:
+    """No length that is left can take the place of some of the filling's pieces (or of none) and of free room.
+
+    If any other filling dominates this one, a single such exchange is possible too, so one suffices to tell."""
+    one, several, free = 0, 0, room - sum(k * n for k, n in filling)
+    for k, n in filling:
+        for _ in range(n):  # bit s: some pieces add up to s
+            several |= (several | one) << k
+            one |= 1 << k
+    left = dict(filling)
+    better = _smear(1, free) & ~1 | (_smear(one, free - 1) << 1 if free else 0) | _smear(several, free)
+    return not any(n > left.get(k, 0) and better >> k & 1 for k, n in counts.items() if k <= room)
+
+
+def fillings(counts: dict[int, int], room: int, most_waste: int | None = None, spend: Callable[[], bool] = lambda: True) -> Iterator[Filling]:
+    """All undominated ways to fill a room from the counts, by least waste, up to a waste. spend() is asked at each
+    step and ends the search by False."""
+    lengths = sorted(k for k, n in counts.items() if n and k <= room)
+    whole = (1 << room + 1) - 1
+    sums = [1]  # sums[i] bit s: s can be made of the first i lengths, were there enough of each
+    for k in lengths:
+        s, step = sums[-1], k
+        while step <= room:
+            s |= s << step & whole
+            step *= 2
+        sums.append(s)
+    for waste in range(room + 1 if most_waste is None else min(room, most_waste) + 1):
+        if not sums[-1] >> room - waste & 1:
+            continue
+        stack: list[tuple[int, int, Filling]] = [(len(lengths), room - waste, ())]
+        while stack:
+            if not spend():
+                return
+            upto, left, items = stack.pop()
+            if not left:
+                if undominated(items, counts, room):
+                    yield items
+                continue
+            nexts = []
+            for i in range(bisect.bisect_right(lengths, left, 0, upto) - 1, -1, -1):  # the largest piece of the rest
+                if not sums[i + 1] >> left & 1:
+                    break  # shorter lengths make even fewer sums
+                k = lengths[i]
+                nexts += [(i, left - n * k, (*items, (k, n))) for n in range(min(counts[k], left // k), 0, -1) if sums[i] >> left - n * k & 1]
+            stack += reversed(nexts)
+
+
+def complete(counts: dict[int, int], capacity: int, work: int = 50_000) -> list[tuple[int, Filling]]:
+    """[(how many sequences, filling)]. work: steps of the search, those within fillings and tenfold those that end in
+    a partial packing to be judged."""
     counts = {k: n for k, n in counts.items() if n}
     if any(k > capacity or k < 1 for k in counts):
         raise ValueError("a length is outside 1..capacity")
     best = best_fit(counts, capacity)
     fewest, least = sum(n for n, _ in best), bound(counts, capacity)
     total = sum(k * n for k, n in counts.items())
-    tried, nodes = 0, max(20, work // max(1, len(counts)))
+    spent = 0
+
+    def spend(n: int = 1) -> bool:
+        nonlocal spent
+        spent += n
+        return spent <= work
 
     def steps(counts: dict[int, int], done: tuple | None, used: int, waste: int) -> Iterator[tuple]:
         """Ways on from a partial packing. `done` is (times, filling, what was done before)."""
-        nonlocal tried
         largest = max(counts)
         others = counts | {largest: counts[largest] - 1}
-        for filling in fillings(others, capacity - largest):
-            tried += 1
-            if tried > nodes:
-                return
+        room = lambda: (fewest - 1) * capacity - total - waste  # noqa: E731  more waste than one sequence fewer allows is in vain
+        for filling in fillings(others, capacity - largest, room(), spend):
             full: dict[int, int] = {largest: 1}
             for k, n in filling:
                 full[k] = full.get(k, 0) + n
             empty = capacity - sum(k * n for k, n in full.items())
             most = min(counts[k] // n for k, n in full.items())
             for again in (False, True):  # as often as may be, then once
-                room = (fewest - 1) * capacity - total - waste  # more waste than one sequence fewer allows is in vain
-                times = 1 if again else min(most, room // empty) if empty else most
-                if times < 1 or times * empty > room or (again and most == 1):
+                times = 1 if again else min(most, room() // empty) if empty else most
+                if times < 1 or times * empty > room() or (again and most == 1) or not spend(10):
                     continue
                 rest = {k: n for k, c in counts.items() if (n := c - times * full.get(k, 0))}
                 yield rest, (times, tuple(sorted(full.items(), reverse=True)), done), used + times, waste + times * empty
@@ -157,7 +190,7 @@ def complete(counts: dict[int, int], capacity: int, work: int = 100_000) -> list
         return out
 
     stack = [iter([(counts, None, 0, 0)])] if fewest > least else []
-    while stack and tried <= nodes:
+    while stack and spent <= work:
         state = next(stack[-1], None)
         if state is None:
             stack.pop()
@@ -188,27 +221,36 @@ def places(solution: list[tuple[int, Filling]]) -> list[tuple[int, int, int, int
     return out
 
 
-def pack(pieces: DataFrame, capacity: int = 2048, buckets: int = 64, work: int = 100_000) -> DataFrame:
-    """Adds sequence_id and offset. `pieces` is read twice, so it should be a written table.
+def pack(pieces: DataFrame, capacity: int = 2048, per_bucket: int = 100_000, work: int = 50_000) -> DataFrame:
+    """Adds sequence_id and offset. `pieces` is read three times, so it should be a written table.
 
-    Pieces of one length are numbered bucket by bucket (hash of doc_id and piece), so that a length that
-    most pieces share is spread; the counts have at most capacity x buckets rows.
+    Pieces of one length are numbered bucket by bucket (hash of doc_id and piece) with about per_bucket pieces in
+    each, so a length that most pieces share is spread over as many buckets as it needs, and there are at most
+    capacity + pieces / per_bucket buckets. Parts of the solution meet the pieces of their numbers in a window over
+    each bucket, a row for each part that begins in it or holds its first number; no piece meets more than one.
     """
     spark = pieces.sparkSession
-    dealt = pieces.withColumn("__bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(buckets)))
+    total = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # `capacity` numbers at most
+    buckets = spark.createDataFrame([(k, -(-n // per_bucket)) for k, n in sorted(total.items())], "length long, __buckets long")
+    dealt = pieces.join(F.broadcast(buckets), "length").withColumn("__bucket", F.pmod(F.xxhash64("doc_id", "piece"), "__buckets")).drop("__buckets")  # `capacity` rows of two numbers
     counts = dealt.groupBy("length", "__bucket").agg(F.count(F.lit(1)).alias("n"))
     before = materialise(counts.withColumn("__before", F.sum("n").over(W.partitionBy("length").orderBy("__bucket")) - F.col("n")), "pack-counts")
-    total = {r["length"]: r["n"] for r in before.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     rows = places(complete(total, capacity, work))
     where = spark.createDataFrame(rows, "length long, __first long, __end long, __each long, __sequence long, __offset long")
-    number = F.row_number().over(W.partitionBy("__bucket", "length").orderBy("doc_id", "piece")) - 1 + F.col("__before")
-    numbered = dealt.join(F.broadcast(before.drop("n")), ["length", "__bucket"]).withColumn("__number", number)
-    placed = numbered.join(F.broadcast(where), "length").where((F.col("__number") >= F.col("__first")) & (F.col("__number") < F.col("__end")))
-    at = F.col("__number") - F.col("__first")
+    part = F.struct("__first", "__each", "__sequence", "__offset")
+    marks = where.join(before, "length").where((F.col("__first") < F.col("__before") + F.col("n")) & (F.col("__end") > F.col("__before")))
+    marks = marks.select("length", "__bucket", (F.greatest("__first", "__before") - F.col("__before")).alias("__number"), part.alias("__part"), "__before")
+    number = F.row_number().over(W.partitionBy("length", "__bucket").orderBy("doc_id", "piece")) - 1
+    numbered = dealt.select("length", "__bucket", number.cast("long").alias("__number"), F.struct(*pieces.columns).alias("__piece"))
+    both = numbered.unionByName(marks, allowMissingColumns=True)
+    upto = W.partitionBy("length", "__bucket").orderBy("__number", F.col("__piece").isNotNull()).rowsBetween(W.unboundedPreceding, 0)
+    last = F.last(F.when(F.col("__part").isNotNull(), F.struct("__part", "__before")), ignorenulls=True).over(upto).alias("x")
+    placed = both.select("__piece", "__number", last).where("__piece is not null")
+    part, at = F.col("x.__part"), F.col("__number") + F.col("x.__before") - F.col("x.__part.__first")
     return placed.select(
-        *pieces.columns,
-        (F.col("__sequence") + F.floor(at / F.col("__each"))).cast("long").alias("sequence_id"),
-        (F.col("__offset") + (at % F.col("__each")) * F.col("length")).cast("long").alias("offset"),
+        "__piece.*",
+        (part["__sequence"] + F.floor(at / part["__each"])).cast("long").alias("sequence_id"),
+        (part["__offset"] + (at % part["__each"]) * F.col("__piece.length")).cast("long").alias("offset"),
     )
 
 

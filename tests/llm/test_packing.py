@@ -52,6 +52,47 @@ def test_search_finds_the_optimum():
     assert worse == 0
 
 
+def test_fillings_are_the_undominated_ones():
+    def replaces(larger, smaller):
+        """Do the pieces of `smaller` fit, in groups, into those of `larger`?"""
+        if not smaller:
+            return True
+        k, rest = smaller[0], smaller[1:]
+        return any(k <= x and replaces([*larger[:i], x - k, *larger[i + 1 :]], rest) for i, x in enumerate(larger) if x not in larger[:i])
+
+    assert set(packing.fillings({6: 1, 5: 1, 4: 1, 3: 1}, 10)) == {((6, 1), (4, 1))}
+    rng = random.Random(3)
+    for _ in range(150):
+        room = rng.randint(1, 14)
+        counts = {k: rng.randint(0, 3) for k in rng.sample(range(1, 15), 5)}
+        usable = [k for k in counts if k <= room]
+        every = []
+        for some in itertools.product(*(range(counts[k] + 1) for k in usable)):
+            if sum(n * k for n, k in zip(some, usable)) <= room:
+                every.append(sorted((k for n, k in zip(some, usable) for _ in range(n)), reverse=True))
+        want = [f for f in every if not any(g != f and replaces(g, f) for g in every)]
+        got = [[k for k, n in f for _ in range(n)] for f in packing.fillings(counts, room)]
+        assert sorted(got) == sorted(want)
+        waste = [room - sum(f) for f in got]
+        assert waste == sorted(waste)
+
+
+def test_pack_with_small_buckets(spark):
+    rng = random.Random(9)
+    rows = [(i % 97, i // 97, rng.choice([1, 3, 3, 3, 5, 7]), 1) for i in range(800)]
+    df = spark.createDataFrame(rows, "doc_id long, piece int, length long, __x int")
+    got = packing.pack(df, 10, per_bucket=20).collect()
+    assert sorted((r.doc_id, r.piece, r.length, r["__x"]) for r in got) == sorted(rows)
+    taken = {}
+    for r in got:
+        taken.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for x in taken.values():
+        ends = list(itertools.accumulate(n for _, n in sorted(x)))
+        assert [o for o, _ in sorted(x)] == [0, *ends[:-1]] and ends[-1] <= 10
+    counts = {k: sum(r[2] == k for r in rows) for k in (1, 3, 5, 7)}
+    assert len(taken) == sum(n for n, _ in packing.complete(counts, 10))
+
+
 def test_search_beats_best_fit():
     counts = {6: 2, 5: 1, 4: 1, 3: 3}  # capacity 10: 6+4, 6+... best-fit wastes
     assert check(packing.complete(counts, 10), counts, 10) == optimum([6, 6, 5, 4, 3, 3, 3], 10)
