@@ -1,18 +1,21 @@
 """Operator 3: token counts by source, language and tokenizer version, kept up to date by signed deltas.
 
 A ledger has one row per document and tokenizer version: doc_id, source, lang, version, n_tokens. `insert`, `delete`
-and `revise` turn ledger rows into signed rows, `Rollup.commit` adds up a batch of them and writes one small
-delta per group under the batch's own name, and `Rollup.totals` adds the deltas of all batches. A batch that is
-committed again (after a lost driver, or by mistake) replaces itself, so totals count it once. `compact` folds
-batches into one snapshot and refuses later commits of what it folded.
-
-Null sources and languages are groups of their own; a null text has no tokens. A null n_tokens counts as 0.
-Repeated rows each count. Groups whose documents are all deleted are left out of the totals. An empty batch
-changes nothing; an empty rollup has empty totals. Columns of other names are not read.
+and `revise` turn ledger rows into signed rows, `Rollup.commit` adds up a batch of them into one small delta per
+group under the batch's own name, and `Rollup.totals` adds the deltas of all batches. A batch is written aside and
+gets its name by one rename, so it counts whole or not at all; a name that has been committed stays as it is, so a
+batch that is committed again (after a lost driver, or by mistake) counts once. `compact` adds up a list of batches
+and writes the sum and the list together, by one rename as well: from then on the snapshot counts and they don't,
+and neither can be seen without the other. Where a file system's rename isn't atomic, one writer at a time is assumed.
+
+Null sources and languages are groups of their own; a null text has no tokens; a null doc_id is a document like
+others. A null n_tokens counts as 0. Repeated rows each count. Groups without documents and tokens are left out of the
+totals. An empty batch changes nothing; an empty rollup has empty totals. Columns of other names are not read.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -64,7 +67,14 @@ def revise(before: DataFrame, after: DataFrame) -> DataFrame:
     return delete(before).unionByName(insert(after))
 
 
+def _added(rows: DataFrame) -> DataFrame:
+    sums = rows.groupBy(*GROUP).agg(F.sum("documents").alias("documents"), F.sum("tokens").alias("tokens"))
+    return sums.where((F.col("documents") != 0) | (F.col("tokens") != 0))
+
+
 class Rollup:
+    """A folder with batch=<id>/delta and snapshot=<id>/delta, /folded. What is not complete begins with a dot."""
+
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
 
@@ -73,42 +83,47 @@ class Rollup:
         root = jvm.org.apache.hadoop.fs.Path(self.path)
         return root.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), jvm.org.apache.hadoop.fs.Path
 
-    def batches(self) -> list[str]:
-        """Names of complete batches and snapshots, those folded into a snapshot left out."""
+    def _names(self) -> list[str]:
         fs, path = self._fs()
         root = path(self.path)
-        if not fs.exists(root):
-            return []
-        names = sorted(s.getPath().getName() for s in fs.listStatus(root) if fs.exists(path(s.getPath(), "_SUCCESS")))
-        folded = self._folded(names)
-        return [n for n in names if n not in folded and not n.startswith("folded=")]
+        return sorted(n for s in fs.listStatus(root) if not (n := s.getPath().getName()).startswith(".")) if fs.exists(root) else []
 
     def _folded(self, names: list[str]) -> set[str]:
-        lists = [f"{self.path}/{n}" for n in names if n.startswith("folded=")]
+        lists = [f"{self.path}/{n}/folded" for n in names if n.startswith("snapshot=")]
         return {r["name"] for r in self.spark.read.schema("name string").parquet(*lists).collect()} if lists else set()  # names of batches, not rows
 
-    def commit(self, batch_id: str, signed: DataFrame) -> None:
+    def _publish(self, name: str, parts: dict[str, DataFrame]) -> None:
         fs, path = self._fs()
+        aside = f"{self.path}/.{name}-{uuid.uuid4().hex}"
+        for part, rows in parts.items():
+            rows.write.parquet(f"{aside}/{part}")
+        if fs.exists(path(f"{self.path}/{name}")) or not fs.rename(path(aside), path(f"{self.path}/{name}")):
+            fs.delete(path(aside), True)  # committed meanwhile
+
+    def batches(self) -> list[str]:
+        """Names of batches and snapshots that count: those folded into a snapshot are left out."""
+        names = self._names()
+        folded = self._folded(names)
+        return [n for n in names if n not in folded]
+
+    def commit(self, batch_id: str, signed: DataFrame) -> None:
         name = f"batch={batch_id}"
-        if fs.exists(path(self.path)):
-            listed = [s.getPath().getName() for s in fs.listStatus(path(self.path))]
-            if name in self._folded([n for n in listed if fs.exists(path(f"{self.path}/{n}/_SUCCESS"))]):
-                return  # counted already, in a snapshot
-        delta = signed.groupBy(*GROUP).agg(F.sum("documents").alias("documents"), F.sum("tokens").alias("tokens"))
-        delta.where((F.col("documents") != 0) | (F.col("tokens") != 0)).write.mode("overwrite").parquet(f"{self.path}/{name}")
+        names = self._names()
+        if name not in names and name not in self._folded(names):
+            self._publish(name, {"delta": _added(signed)})
 
-    def totals(self) -> DataFrame:
-        names = self.batches()
+    def _sum(self, names: list[str]) -> DataFrame:
         if not names:
             return self.spark.createDataFrame([], DELTA)
-        deltas = self.spark.read.schema(DELTA).parquet(*(f"{self.path}/{n}" for n in names))
-        return deltas.groupBy(*GROUP).agg(F.sum("documents").alias("documents"), F.sum("tokens").alias("tokens")).where((F.col("documents") != 0) | (F.col("tokens") != 0))
+        return _added(self.spark.read.schema(DELTA).parquet(*(f"{self.path}/{n}/delta" for n in names)))
+
+    def totals(self) -> DataFrame:
+        return self._sum(self.batches())
 
     def compact(self, snapshot_id: str) -> None:
-        """One snapshot instead of the batches so far. The list of what it folds makes it valid, and is written last."""
+        """One snapshot instead of the batches that count now; batches committed meanwhile are not part of it."""
         names = self.batches()
-        self.totals().write.mode("overwrite").parquet(f"{self.path}/snapshot={snapshot_id}")
-        self.spark.createDataFrame([(n,) for n in names], "name string").write.mode("overwrite").parquet(f"{self.path}/folded={snapshot_id}")
+        self._publish(f"snapshot={snapshot_id}", {"delta": self._sum(names), "folded": self.spark.createDataFrame([(n,) for n in names], "name string")})
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -57,6 +57,49 @@ def test_token_counts(spark):
         assert got() == want()
 
 
+def test_token_counts_after_crashes(spark, monkeypatch):
+    """Whatever write fails, totals are those before or after, and the same call again gives those after."""
+    rollup = counts.Rollup(spark, common.work_path(spark, "t"))
+    rows = lambda n: spark.createDataFrame([("a", None, "v", n, 10 * n)], counts.DELTA)
+    total = lambda: [tuple(r) for r in rollup.totals().collect()]
+    rollup.commit("1", rows(1))
+    rollup.commit("2", rows(2))
+    for call, after in ((lambda: rollup.commit("3", rows(3)), 6), (lambda: rollup.compact("s"), 6)):
+        before = total()
+        for fail_at in (0, 1):
+
+            def publish(self, name, parts, fail_at=fail_at):
+                for part in list(parts)[:fail_at]:
+                    parts[part].write.parquet(f"{self.path}/.{name}-x{fail_at}/{part}")
+                raise RuntimeError("lost")
+
+            with monkeypatch.context() as m:
+                m.setattr(counts.Rollup, "_publish", publish)
+                with pytest.raises(RuntimeError):
+                    call()
+            assert total() == before
+        call()
+        assert total() == [("a", None, "v", after, 10 * after)]
+        call()
+        assert total() == [("a", None, "v", after, 10 * after)]
+    rollup.commit("4", rows(4))
+    assert rollup.batches() == ["batch=4", "snapshot=s"] and total() == [("a", None, "v", 10, 100)]
+
+
+def test_op3_query_against_a_plain_count(spark):
+    data = "/root/testdata/sf0.001"
+    tokens = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    first = {}
+    for r in spark.read.parquet(f"{data}/documents.parquet").orderBy("doc_id").collect():
+        first.setdefault(r.text or "", r)
+    want = {}
+    for text, r in first.items():
+        d, t = want.get((r.source, r.lang), (0, 0))
+        want[r.source, r.lang] = d + 1, t + len(tokens.encode(text, add_special_tokens=False).ids) + 1
+    assert {(r.source, r.lang): (r.documents, r.tokens) for r in counts.op3_token_counts(spark, data).collect()} == want
+
+
+
 def test_token_counts_with_null_ids(spark, tmp_path):
     rows = [(None, "one two three", "en", "a", 1), (None, "four five", "en", "a", 1), (None, "four five", "en", "a", 1), (1, "one two three", "en", "a", 1), (2, "six", "en", "a", 1), (2, "six", "en", "a", 1)]
     spark.createDataFrame(rows, SCHEMA).repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
