@@ -44,27 +44,29 @@ def digits(text: Column) -> Column:
     return F.regexp_replace(text, r"[^0-9]", "")
 
 
+def _characters(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0))
+
+
 def luhn(number: Column) -> Column:
     """True if a string of digits passes the Luhn check."""
-    n = F.length(number)
 
-    def step(acc: Column, i: Column) -> Column:
-        d = F.substring(number, i, F.lit(1)).cast("int")
-        double = d * 2 - F.when(d > 4, 9).otherwise(0)
-        return acc + F.when((n - i) % 2 == 1, double).otherwise(d)
+    def total(ds: Column) -> Column:
+        one = lambda c, i: S.let(c.cast("int"), lambda d: F.when((F.size(ds) - i) % 2 == 0, d * 2 - F.when(d > 4, 9).otherwise(0)).otherwise(d))
+        return F.aggregate(F.transform(ds, one), F.lit(0), lambda acc, x: acc + x) % 10 == 0
 
-    return F.aggregate(F.sequence(F.lit(1), n), F.lit(0), step) % 10 == 0
+    return S.let(_characters(number), total)
 
 
 def mod97(iban: Column) -> Column:
     """True if an IBAN without spaces passes the ISO 7064 check."""
     turned = F.concat(F.substring(iban, F.lit(5), F.length(iban)), F.substring(iban, F.lit(1), F.lit(4)))
 
-    def step(acc: Column, i: Column) -> Column:
-        c = F.ascii(F.substring(turned, i, F.lit(1)))
+    def step(acc: Column, character: Column) -> Column:
+        c = F.ascii(character)
         return F.when(c >= 65, (acc * 100 + c - 55) % 97).otherwise((acc * 10 + c - 48) % 97)
 
-    return F.aggregate(F.sequence(F.lit(1), F.length(turned)), F.lit(0), step) == 1
+    return F.aggregate(_characters(turned), F.lit(0), step) == 1
 
 
 def part_ok(part: Column) -> Column:
@@ -73,16 +75,16 @@ def part_ok(part: Column) -> Column:
 
 
 def _scored(text: Column, spans: Column, window: int) -> Column:
-    def one(s: Column) -> Column:
-        begin = F.greatest(F.lit(0), s["start"] - window)
-        near = F.lower(F.substring(text, begin + 1, s["end"] - begin))
+    def one(s: Column, pieces: Column) -> Column:
+        near = F.lower(F.concat(S.cut(pieces, F.greatest(F.lit(0), s["start"] - window), s["start"]), s["text"]))
         score = F.lit(None).cast("double")
         for kind, (base, words) in CONTEXT.items():
             gain = GAIN if kind != "national_id" else 0.5
             score = F.when(s["kind"] == kind, base + F.when(near.rlike(rf"(?<![a-z])(?:{words})(?![a-z])"), gain).otherwise(0.0)).otherwise(score)
         return F.struct(*(s[c].alias(c) for c in ("start", "rank", "end", "kind", "text")), F.round(score, 3).alias("score"))
 
-    return F.when(F.size(spans) > 0, F.transform(spans, one)).otherwise(spans)
+    scored = lambda spans: S.let(S.chunks(text), lambda pieces: F.transform(spans, lambda s: one(s, pieces)))
+    return S.let(spans, lambda spans: F.when(F.size(spans) > 0, scored(spans)).otherwise(spans))
 
 
 def find(docs: DataFrame, window: int = 40, least_score: float = 0.5) -> DataFrame:

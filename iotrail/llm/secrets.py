@@ -7,8 +7,8 @@ better than one of ordinary identifiers, by a log-likelihood ratio over `margin`
 Both models are trained here from labelled samples: random strings are digests of row numbers in
 hexadecimal and base 64 together with the values that the base patterns find in the sample; ordinary
 identifiers are the words of the sample that no base pattern touches, alone and joined in snake and
-camel case. The sample is the `sample_docs` documents of lowest hash of doc_id (a documented bound for
-training only); scanning covers every whole text. The trained table has at most 2 x 128 x 128 counts.
+camel case. The sample is the `sample_docs` documents of lowest hash of doc_id, of rows that repeat one the least
+text (a documented bound for training only); scanning covers every whole text. The trained table has at most 2 x 128 x 128 counts.
 
 Null and empty texts have no spans. Repeated rows and null doc_ids give a row each. Other columns are not
 read. An empty table gives an empty result; its models come from the digests alone.
@@ -45,26 +45,23 @@ def base_spans(text: Column) -> Column:
     return F.concat(assign, access, S.matches(text, HEX, "hex", 2))
 
 
-def _state(c: Column) -> Column:
-    code = F.ascii(c)
-    return F.when(code < SIZE, code).otherwise(0)
-
-
 def _transitions(token: Column) -> Column:
     """Index into the flattened table, one per character: from the state before to its own."""
-    def one(i: Column) -> Column:
-        before = F.when(i == 1, 0).otherwise(_state(F.substring(token, i - 1, F.lit(1))))
-        return before * SIZE + _state(F.substring(token, i, F.lit(1)))
 
-    return F.transform(F.sequence(F.lit(1), F.length(token)), one)
+    def pairs(states: Column) -> Column:
+        return F.zip_with(F.concat(F.array(F.lit(0)), F.slice(states, F.lit(1), F.size(states) - 1)), states, lambda a, b: a * SIZE + b)
+
+    code = lambda c: F.when(F.ascii(c) < SIZE, F.ascii(c)).otherwise(0)
+    return S.let(F.transform(F.regexp_extract_all(token, F.lit("(?s)."), F.lit(0)), code), lambda states: F.when(F.size(states) > 0, pairs(states)).otherwise(states))
 
 
 def train(docs: DataFrame, sample_docs: int = 2000, digests: int = 4000, smooth: float = 0.1) -> list[float]:
     """Log-likelihood ratios (random against ordinary) by transition, flattened; base-64 symbols are smoothed."""
     spark = docs.sparkSession
     rank = F.xxhash64("doc_id")
-    last = texts_of(docs).select(rank.alias("r")).orderBy("r").limit(sample_docs).agg(F.max("r")).first()[0]
-    sample = texts_of(docs).where(rank <= (F.lit(last) if last is not None else F.lit(0))).limit(2 * sample_docs)
+    last = texts_of(docs).select(rank.alias("r")).distinct().orderBy("r").limit(sample_docs).agg(F.max("r")).first()[0]
+    chosen = texts_of(docs).where(rank <= (F.lit(last) if last is not None else F.lit(0)))
+    sample = chosen.groupBy("doc_id").agg(F.min("text").alias("text")).repartition(spark.sparkContext.defaultParallelism, "doc_id")
     spans = sample.select("text", base_spans(F.col("text")).alias("base"))
     found = spans.select(F.explode("base").alias("s")).select(
         F.lit(1).alias("label"), F.regexp_replace(F.col("s.text"), ASSIGN_VALUE, "").alias("token")
@@ -109,9 +106,9 @@ def score(token: Column, ratios: list[float]) -> Column:
 def annotate(rows: DataFrame, ratios: list[float], least: int, margin: float) -> DataFrame:
     """rows(text, ...) with a column __spans; null texts have none."""
     text, base = F.col("text"), F.col("__base")
-    tokens = S.matches(text, TOKEN % least, "random", 3)
+    tokens = S.let(S.matches(text, TOKEN % least, "random", 3), lambda t: S.apart(t, base))
     scored = F.transform(tokens, lambda s: F.struct(*(s[c].alias(c) for c in ("start", "rank", "end", "kind", "text")), F.round(score(s["text"], ratios), 3).alias("score")))
-    added = S.keep(scored, lambda s: (s["score"] > margin) & ~F.exists(base, lambda b: (b["start"] < s["end"]) & (b["end"] > s["start"])))
+    added = S.keep(scored, lambda s: s["score"] > margin)
     based = rows.withColumn("__base", F.when(text.isNotNull(), base_spans(text)).otherwise(S.none()))
     return based.withColumn("__spans", F.when(text.isNotNull(), F.concat(base, added)).otherwise(S.none())).drop("__base")
 

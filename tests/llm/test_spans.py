@@ -92,3 +92,39 @@ def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert pii.find(docs).count() == 0
     assert secrets.find(docs, secrets.train(docs, digests=50)).count() == 0
+
+
+def test_apart_and_before(spark):
+    from iotrail.llm import spans as S
+
+    rng = random.Random(4)
+    cut = lambda n: [(a, 3, a + rng.randint(1, 6), "x", "", None) for a in (rng.randint(0, 60) for _ in range(n))]
+    rows = [(i, cut(rng.randint(0, 9)), cut(rng.randint(0, 9)), [rng.randint(0, 9) for _ in range(i)]) for i in range(60)]
+    df = spark.createDataFrame(rows, f"i int, a {S.SPANS}, b {S.SPANS}, n array<int>")
+    for r in df.select("*", S.apart(F.col("a"), F.col("b")).alias("kept"), S.before(F.col("n"), lambda x, y: x + y).alias("sums")).collect():
+        want = [x for x in r.a if not any(y.start < x.end and y.end > x.start for y in r.b)]
+        assert sorted((x.start, x.end) for x in r.kept) == sorted((x.start, x.end) for x in want)
+        assert r.sums == [sum(r.n[:k]) for k in range(len(r.n))]
+
+
+def test_very_long_texts_take_seconds(spark):
+    """A megabyte of one token, and 100,000 matches in one text."""
+    import time
+
+    rng = random.Random(6)
+    blob = "".join(rng.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/") for _ in range(1_000_000))
+    one = spark.createDataFrame([(1, blob), (2, "token=abcd1234 " * 100_000)], "doc_id long, text string")
+    words = ["configuration", "database", "connection", "timeout", "handler", "request", "processor", "station"]
+    plain = [(i, " ".join(rng.choice(words) for _ in range(60))) for i in range(40)]
+    ratios = secrets.train(spark.createDataFrame(plain, "doc_id long, text string"), digests=500)
+    began = time.time()
+    got = {r.doc_id: r.spans for r in secrets.find(one, ratios).collect()}
+    assert [(s.start, s.end, s.kind) for s in got[1] if s.kind == "random"] == [(0, 1_000_000, "random")] and len(got[2]) == 100_000
+    assert (got[2][-1].start, got[2][-1].end) == (15 * 99_999, 15 * 99_999 + 14)
+    assert time.time() - began < 60
+    began = time.time()
+    got = pii.find(spark.createDataFrame([(1, "1.2.3.4 " * 100_000)], "doc_id long, text string")).first().spans
+    assert len(got) == 100_000 and all(s.start == 8 * k for k, s in enumerate(got))
+    assert time.time() - began < 60
+    masked = secrets.redact(one.where("doc_id = 2"), ratios).first().text
+    assert masked == "[SECRET] " * 100_000
