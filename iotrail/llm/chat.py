@@ -1,6 +1,6 @@
 r"""Operator 7: chat turns as training examples by prefix-target expansion.
 
-expand(conversations) -> conv_id, position, n_turns, text, mask_start, mask_end. Every assistant turn gives one
+expand(conversations) -> conv_id, position, n_turns, text, mask_start, mask_end, last. Every assistant turn gives one
 example: all turns before it as context and that reply alone trainable. A conversation that ends with another
 role gives one more row, all its turns with nothing trainable, so that no turn is lost. A turn is written
 [INST]role[/INST]text</s> and a row begins with <s>. Inside roles and texts a backslash is doubled, and one is
@@ -9,7 +9,8 @@ put after the first character of each control string, so no control string is le
 The mask counts code points of `text`, end exclusive. Turns are ordered by turn, then role, then text (so
 repeated rows and ties have one order, each kept). Null texts and roles are empty; a null conv_id is a
 conversation of its own. Other columns are not read. An empty table gives an empty result. A conversation is
-written in one task because each example needs all turns before it: its output is quadratic in its turns.
+written in one task because each example needs all turns before it: its output is quadratic in its turns. Turns are
+dealt out as they come and formatted afterwards; of the formatted rows only each reply is dealt out again for `digests`.
 """
 
 from __future__ import annotations
@@ -44,7 +45,8 @@ def expand(conversations: DataFrame) -> DataFrame:
     order = ("turn", "role", "text")
     ahead = W.partitionBy("conv_id").orderBy(*order)
     upto = ahead.rowsBetween(W.unboundedPreceding, 0)
-    turns = rows.withColumn("body", escaped("text")).withColumn("piece", F.concat(F.lit("[INST]"), escaped("role"), F.lit("[/INST]"), F.col("body"), F.lit("</s>")))
+    turns = rows.repartition("conv_id").withColumn("body", escaped("text"))
+    turns = turns.withColumn("piece", F.concat(F.lit("[INST]"), escaped("role"), F.lit("[/INST]"), F.col("body"), F.lit("</s>")))
     seen = turns.select(
         "conv_id",
         "role",
@@ -63,6 +65,7 @@ def expand(conversations: DataFrame) -> DataFrame:
         "text",
         F.when(target, end - F.col("size")).otherwise(0).cast("long").alias("mask_start"),
         F.when(target, end).otherwise(0).cast("long").alias("mask_end"),
+        "last",
     )
 
 
@@ -79,22 +82,22 @@ def turns_of(text: Column) -> Column:
 
 
 def digests(examples: DataFrame) -> DataFrame:
-    """One row per conversation, from its rows."""
+    """One row per conversation, from its rows; of these only the reply is shuffled."""
     loss = plain(F.substring(F.col("text"), (F.col("mask_start") + 1).cast("int"), (F.col("mask_end") - F.col("mask_start")).cast("int")))
-    last = F.lead(F.lit(False), 1, True).over(W.partitionBy("conv_id").orderBy("position"))
-    light = examples.select("conv_id", "position", F.char_length("text").cast("long").alias("chars"), loss.alias("loss"), F.col("text").alias("whole"))
-    light = light.withColumn("whole", F.when(last, F.col("whole")))
+    turns = F.array_join(F.transform(turns_of(F.col("text")), lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    light = examples.select(
+        "conv_id", "position", F.char_length("text").cast("long").alias("chars"), F.when(F.col("mask_end") > 0, loss).alias("loss"), F.when(F.col("last"), F.sha2(turns.cast("binary"), 256)).alias("turns")
+    )
     per = light.groupBy("conv_id").agg(
         F.max("position").alias("n_turns"),
-        F.first("whole", ignorenulls=True).alias("whole"),
+        F.max("turns").alias("turns_sha256"),
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("position", "loss"))), lambda x: x["loss"]), "").alias("loss"),
         F.sum("chars").alias("formatted_chars"),
     )
-    text = F.array_join(F.transform(turns_of(F.col("whole")), lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return per.select(
         "conv_id",
         "n_turns",
-        F.sha2(text.cast("binary"), 256).alias("turns_sha256"),
+        "turns_sha256",
         F.char_length("loss").cast("long").alias("loss_chars"),
         F.sha2(F.col("loss").cast("binary"), 256).alias("loss_sha256"),
         "formatted_chars",
@@ -105,7 +108,7 @@ def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     probe = "</s>[INST] ok [/INST]"
     more = spark.createDataFrame([(-1, 0, "user", probe), (-1, 1, "assistant", probe)], "conv_id long, turn long, role string, text string")
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(more)
-    return digests(materialise(expand(rows), "op7-chat"))
+    return digests(materialise(expand(rows), "op7-chat", compression="zstd"))
 
 
 def _sql_escaped(x: str) -> str:
