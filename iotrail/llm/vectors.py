@@ -1,30 +1,31 @@
 """Operator 5: near-duplicate vectors by an exact metric range join under the angle, within each label.
 
-Labels of more than `cell` vectors get pivots, the vectors of lowest hash, about one for `cell` vectors. A vector
-belongs to the cell of its nearest pivot and is copied to each other cell whose pivot is within its own nearest
-distance plus twice the range: by the triangle inequality no cell can then miss a partner of its members. Cells
-join independently, in units of a block of members against a block of members and copies, so a cell or label may
-be of any size. A unit returns how many partners each member has and a spanning forest of the links, never all
-pairs. If there were more pivots than can be broadcast, labels are single cells in blocks, with the same result.
+Equal vectors of a label are one class with a count; only classes are compared. Labels of more than a cell's worth of
+classes get pivots, the classes of lowest hash. A class belongs to the cell of its nearest pivot and is copied to each
+other cell whose pivot is within its own nearest distance plus twice the range: by the triangle inequality no cell
+can then miss a partner of its members. No more than `fanout` pivots divide a cell; cells that are still too large
+are divided again by pivots of their own (copies are treated alike, so the inequality holds at each level), until
+they are small or a level does not halve them. Each cell and its pivots meet in tasks of bounded size, so neither the
+driver nor a task ever holds the pivots of all cells. Cells join independently, in units of a block of members
+against a block of members and copies, so a cell may be of any size. A unit returns how many partners each member has
+and a spanning forest of the links, never all pairs.
 
 A null or empty vector, one of zeros only, one with a null or non-finite component and one without a label link
-with nothing; so do vectors of another length. Rows that repeat a vec_id count as one vector (the least by label
-and components) and each get its answer. A null vec_id links with nothing. Other columns are not read. An empty
+with nothing; so do vectors of another length. Rows that repeat a vec_id count as one vector (of the least label, then
+by hash) and each get its answer. A null vec_id links with nothing. Other columns are not read. An empty
 table gives an empty result.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, table
-from .components import components
+from .common import forget, materialise, table
+from .components import LIGHT, components
 
 SLACK = 1e-9
 
@@ -47,42 +48,39 @@ def _unit(lists: pa.Array) -> tuple[np.ndarray, np.ndarray, int]:
     return x, good, width
 
 
-def _assign(rows: DataFrame, pivots: dict[tuple[int, int], np.ndarray], reach: float) -> DataFrame:
-    """(vec_id, label, size) -> a row for the own cell and one for each cell a vector is copied to."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            x, good, _ = _unit(b.column("v"))
-            label, size = (b.column(c).to_numpy(zero_copy_only=False) for c in ("label", "size"))
-            row, cell, own = [], [], []
-            for key in {*zip(label[good].tolist(), size[good].tolist())}:
-                at = np.flatnonzero(good & (label == key[0]) & (size == key[1]))
-                if key not in pivots:
-                    row.append(at), cell.append(np.zeros(len(at), int)), own.append(np.ones(len(at), bool))
-                    continue
-                angle = np.arccos(np.clip(x[at][:, : key[1]] @ pivots[key].T, -1, 1))
-                near = angle.argmin(1)
-                r, c = np.nonzero(angle <= angle.min(1)[:, None] + 2 * reach + SLACK)
-                row.append(at[r]), cell.append(c), own.append(near[r] == c)
-            if row:
-                row, cell, own = (np.concatenate(z) for z in (row, cell, own))
-                yield pa.RecordBatch.from_arrays(
-                    [*(b.column(c).take(pa.array(row)) for c in ("vec_id", "label", "size")), pa.array(cell.astype(np.int32)), pa.array(own), b.column("v").take(pa.array(row))],
-                    names=["vec_id", "label", "size", "cell", "own", "v"],
-                )
-
-    return rows.mapInArrow(run, "vec_id long, label long, size int, cell int, own boolean, v array<double>")
+CELL = ("label", "size", "path")
+PLACED = "label long, size int, path string, rep long, members long, own boolean, v array<{kind}>"
+
+
+def _divide(reach: float):
+    """One block of a cell's rows and the cell's pivots -> a row for the own cell and for each that one is copied to."""
+
+    def run(rows: pa.Table, pivots: pa.Table) -> pa.Table:
+        rows = rows.drop_columns(["salt"]).combine_chunks()
+        if not pivots.num_rows or not rows.num_rows:
+            return rows
+        x, p = _unit(rows.column("v").combine_chunks())[0], _unit(pivots.column("v").combine_chunks())[0]
+        angle = np.arccos(np.clip(x @ p.T, -1, 1))
+        near = angle.argmin(1)
+        row, cell = np.nonzero(angle <= angle.min(1)[:, None] + 2 * reach + SLACK)
+        out = rows.take(pa.array(row))
+        names = pivots.column("rep").to_numpy()[cell]
+        path = pa.array([f"{a}/{b}" for a, b in zip(out.column("path").to_pylist(), names.tolist())])
+        own = out.column("own").to_numpy(zero_copy_only=False) & (near[row] == cell)
+        return out.set_column(out.schema.get_field_index("path"), "path", path).set_column(out.schema.get_field_index("own"), "own", pa.array(own))
+
+    return run
 
 
 def _join(least: float):
     def run(unit: pa.Table) -> pa.Table:
         x, _, _ = _unit(unit.column("v").combine_chunks())
-        left = unit.column("left").to_numpy()
-        ids = unit.column("vec_id").to_numpy()
-        a, b = np.flatnonzero(left), np.flatnonzero(~left)
+        left, right = (unit.column(c).to_numpy(zero_copy_only=False) for c in ("left", "right"))
+        ids, members = (unit.column(c).to_numpy() for c in ("rep", "members"))
+        a, b = np.flatnonzero(left), np.flatnonzero(right)
         linked = (x[a] @ x[b].T >= least) & (ids[a][:, None] != ids[b][None, :])
         r, c = np.nonzero(linked)
-        count = np.bincount(r, minlength=len(a))
+        count = np.bincount(r, weights=members[b[c]], minlength=len(a)).astype(np.int64)
         some = count > 0
         names, place = np.unique(np.concatenate([ids[a[r]], ids[b[c]]]), return_inverse=True)
         s, t = place[: len(r)], place[len(r) :]
@@ -107,35 +105,81 @@ def _join(least: float):
     return run
 
 
-def link(vectors: DataFrame, least: float = 0.93, cell: int = 2048, block: int = 1024, most_pivots: int = 20_000) -> DataFrame:
-    """vec_id, n_links, component_id: one row per row of vectors(vec_id, embedding, label)."""
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("long").alias("label"), F.col("embedding").cast("array<double>").alias("v"))
+def _classes(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """ids(vec_id, label, h1, h2) of usable vectors, and a row for each class of equal ones: label, size, rep (its
+    least vec_id), members, v."""
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("long").alias("label"), F.col("embedding").alias("v"))
     bad = F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     usable = rows.where(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & (F.size("v") > 0) & ~bad & F.exists("v", lambda x: x != 0))
-    usable = usable.groupBy("vec_id").agg(F.min(F.struct("label", "v")).alias("x")).select("vec_id", "x.label", F.size("x.v").alias("size"), "x.v")
-    usable = materialise(usable, "vectors")
-    counts = usable.groupBy("label", "size").agg(F.count(F.lit(1)).alias("members")).where(F.col("members") > cell)
-    share = F.ceil(F.col("members") / cell) / F.col("members") * float(1 << 62)
-    chosen = materialise(usable.join(counts, ["label", "size"]).where(F.shiftrightunsigned(F.xxhash64("vec_id"), 2) < share.cast("long")).select("label", "size", "v"), "pivots")
-    pivots: dict[tuple[int, int], list[list[float]]] = {}
-    if chosen.count() <= most_pivots:
-        for p in chosen.orderBy("label", "size", "v").collect():
-            pivots.setdefault((p["label"], p["size"]), []).append(p["v"])
-    of = {k: np.array(v) / np.linalg.norm(np.array(v), axis=1)[:, None] for k, v in pivots.items()}
-    placed = materialise(_assign(usable, of, math.acos(least)), "cells")
-    at = ["label", "size", "cell"]
-    blocks = placed.groupBy(*at).agg(F.ceil(F.sum(F.col("own").cast("int")) / block).alias("ln"), F.ceil(F.count(F.lit(1)) / block).alias("rn"))
-    dealt = placed.join(blocks, at).withColumn("h", F.xxhash64("vec_id", F.lit(5)))
-    mine = lambda n: F.pmod("h", n).cast("int")
-    all_ = lambda n: F.explode(F.sequence(F.lit(0), (n - 1).cast("int")))
-    lefts = dealt.where("own").select(*at, "vec_id", "v", F.lit(True).alias("left"), mine(F.col("ln")).alias("i"), all_(F.col("rn")).alias("j"))
-    rights = dealt.where("ln > 0").select(*at, "vec_id", "v", F.lit(False).alias("left"), mine(F.col("rn")).alias("j"), all_(F.col("ln")).alias("i"))
-    found = lefts.unionByName(rights).groupBy(*at, "i", "j").applyInArrow(_join(least), "a long, b long, n long")
-    found = materialise(found, "vector-links")
-    number = found.where(F.col("b").isNull()).groupBy(F.col("a").alias("vec_id")).agg(F.sum("n").alias("n_links"))
-    component = components(found.where(F.col("b").isNotNull()).select("a", "b")).select(F.col("node").alias("vec_id"), "component")
-    answer = rows.select("vec_id").join(number, "vec_id", "left").join(component, "vec_id", "left")
-    return answer.select("vec_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), F.coalesce("component", "vec_id").alias("component_id"))
+    usable = usable.select("vec_id", "label", F.xxhash64("v").alias("h1"), F.xxhash64(F.lit(17), "v").alias("h2"), "v")
+    key = ("label", "h1", "h2")
+    ids = usable.groupBy("vec_id").agg(F.min(F.struct(*key)).alias("x")).select("vec_id", "x.*")
+    ids = materialise(ids, "vector-ids", LIGHT)
+    count = ids.groupBy(*key).agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("members"))
+    whole = usable.groupBy(*key).agg(F.first("v").alias("v"))
+    return ids, whole.join(count, list(key)).select("label", F.size("v").alias("size"), *key[1:], "rep", "members", "v")
+
+
+def _cells(classes: DataFrame, kind: str, reach: float, cell: int | None, fanout: int, rows_a_task: int = 1024) -> DataFrame:
+    goal = F.lit(cell) if cell else F.least(F.lit(2048), F.greatest(F.lit(16), F.ceil(F.col("n") / 4))).cast("int")
+    placed = classes.select("label", "size", F.lit("").alias("path"), "rep", "members", F.lit(True).alias("own"), "v")
+    counts = materialise(placed.groupBy(*CELL).agg(F.count(F.lit(1)).alias("n"), F.count(F.lit(1)).alias("all")), "cell-counts", LIGHT)
+    goals = counts.select("label", "size", goal.alias("goal"))
+    open_ = counts.join(goals, ["label", "size"]).where(F.col("n") > F.col("goal"))
+    level = 0
+    while not open_.isEmpty():
+        share = F.least(F.lit(fanout), F.ceil(F.col("n") / F.col("goal"))) / F.col("n") * float(1 << 62)
+        mine = placed.join(open_, list(CELL))
+        chosen = mine.where("own").where(F.shiftrightunsigned(F.xxhash64("rep", F.lit(level)), 2) < share.cast("long"))
+        chosen = materialise(chosen.select(*CELL, "all", "rep", "v"), "pivots", LIGHT)
+        salts = F.ceil(F.col("all") / rows_a_task).cast("int")
+        pivots = chosen.select(*CELL, F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"), "rep", "v")
+        rows = mine.select(*placed.columns, F.pmod(F.xxhash64("rep"), salts).alias("salt"))
+        by = [*CELL, "salt"]
+        divided = rows.groupBy(*by).cogroup(pivots.groupBy(*by)).applyInArrow(_divide(reach), PLACED.format(kind=kind))
+        rest = placed.join(open_, list(CELL), "left_anti")
+        old, placed = placed, materialise(divided.unionByName(rest), "cells")
+        parents = open_.select("label", "size", F.col("path").alias("parent"), F.col("n").alias("before"))
+        forget(old, chosen)
+        parent = F.regexp_replace("path", "/[^/]*$", "")
+        counts = placed.groupBy(*CELL).agg(F.count_if("own").alias("n"), F.count(F.lit(1)).alias("all")).withColumn("parent", parent)
+        halved = counts.join(parents, ["label", "size", "parent"]).where(F.col("n") <= F.col("before") / 2).select(*CELL, "n", "all")
+        open_ = materialise(halved.join(goals, ["label", "size"]).where(F.col("n") > F.col("goal")), "cell-counts", LIGHT)
+        level += 1
+    return placed if level else materialise(placed, "cells")
+
+
+def link(vectors: DataFrame, least: float = 0.93, cell: int | None = None, block: int = 1024, fanout: int = 32) -> DataFrame:
+    """vec_id, n_links, component_id: one row per row of vectors(vec_id, embedding, label).
+
+    cell: how many classes need no division; if it isn't given, a quarter of the label's classes, 16 to 2048."""
+    kind = vectors.schema["embedding"].dataType.elementType.simpleString()
+    ids, classes = _classes(vectors)
+    classes = materialise(classes, "vector-classes")
+    placed = _cells(classes, kind, math.acos(least), cell, fanout)
+    at = list(CELL)
+    blocks = placed.groupBy(*at).agg(F.ceil(F.count_if("own") / block).cast("int").alias("ln"), F.ceil(F.count(F.lit(1)) / block).cast("int").alias("rn"), F.count(F.lit(1)).alias("all"))
+    dealt = placed.join(blocks.where("ln > 0 and all > 1"), at).withColumn("h", F.xxhash64("rep", F.lit(5)))
+    zero, no, yes = F.lit(0), F.lit(False), F.lit(True)
+    unit = lambda i, j, left, right: F.struct(i.alias("i"), j.alias("j"), left.alias("left"), right.alias("right"))
+    mine = lambda n: F.pmod("h", F.greatest(n, F.lit(1)))
+    every = lambda n, one: F.transform(F.sequence(zero, F.greatest(n - 1, zero)), one)
+    many = F.concat(
+        every(F.col("ln"), lambda i: unit(i, mine(F.col("rn")), no, yes)),
+        F.when(F.col("own"), every(F.col("rn"), lambda j: unit(mine(F.col("ln")), j, yes, no))).otherwise(F.array().cast("array<struct<i:int,j:int,left:boolean,right:boolean>>")),
+    )
+    units = F.when((F.col("ln") == 1) & (F.col("rn") == 1), F.array(unit(zero, zero, F.col("own"), yes))).otherwise(many)
+    sent = dealt.select(*at, "rep", "members", "v", F.explode(units).alias("u")).select(*at, "rep", "members", "v", "u.*")
+    found = sent.groupBy(*at, "i", "j").applyInArrow(_join(least), "a long, b long, n long")
+    found = materialise(found, "vector-links", LIGHT)
+    number = found.where(F.col("b").isNull()).groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("others"))
+    component = components(found.where(F.col("b").isNotNull()).select("a", "b")).select(F.col("node").alias("rep"), "component")
+    per = classes.select("label", "h1", "h2", "rep", "members").join(number, "rep", "left").join(component, "rep", "left")
+    known = ids.join(per, ["label", "h1", "h2"]).select(
+        "vec_id", (F.coalesce("others", F.lit(0).cast("long")) + F.col("members") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id")
+    )
+    answer = vectors.select(F.col("vec_id").cast("long").alias("vec_id")).join(known, "vec_id", "left")
+    return answer.select("vec_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
 
 
 def op5_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:

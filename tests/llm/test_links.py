@@ -79,17 +79,18 @@ def test_near_duplicates_empty(spark):
     assert neardup.link(spark.createDataFrame([(1, None), (2, "")], "doc_id long, text string")).count() == 2
 
 
-@pytest.mark.parametrize("cell,block,most_pivots", [(2048, 1024, 20000), (20, 16, 20000), (20, 16, 0)])
-def test_vectors(spark, cell, block, most_pivots):
+@pytest.mark.parametrize("cell,block,fanout", [(None, 1024, 256), (20, 16, 256), (5, 16, 3)])
+def test_vectors(spark, cell, block, fanout):
     rng = np.random.default_rng(3)
     rows = []
     centre = rng.normal(size=8)
     for i in range(150):
         v = centre + rng.normal(size=8) * rng.choice([0.05, 0.2, 0.4]) if i % 3 else rng.normal(size=8)
         rows.append((i, [float(np.float32(x)) for x in v], int(i % 2)))
+    rows += [(300 + i, rows[7][1] if i % 2 else rows[8][1], int(i % 2)) for i in range(40)]  # equal vectors
     rows += [(200, None, 1), (201, [], 1), (202, [0.0] * 8, 1), (203, [float("nan")] * 8, 1), (204, [1.0, None], 1), (205, [1.0] * 8, None), (206, [1.0] * 8, 5), (207, [2.0] * 8, 5), (208, [2.0] * 4, 5)]
     df = spark.createDataFrame([(*r, 0) for r in rows] + [(206, [1.0] * 8, 5, 0), (None, [1.0] * 8, 5, 0)], "vec_id long, embedding array<float>, label int, cell int").repartition(3)
-    got = [tuple(r) for r in vectors.link(df, 0.93, cell, block, most_pivots).collect()]
+    got = [tuple(r) for r in vectors.link(df, 0.93, cell, block, fanout).collect()]
     ok = {i: (np.array(v, float) / np.linalg.norm(v), lab) for i, v, lab in rows if v and None not in v and np.isfinite(v).all() and any(v) and lab is not None}
     links = [(a, b) for a, b in itertools.combinations(ok, 2) if ok[a][1] == ok[b][1] and len(ok[a][0]) == len(ok[b][0]) and ok[a][0] @ ok[b][0] >= 0.93]
     want = groups([r[0] for r in rows], links)
