@@ -101,10 +101,11 @@ def _smear(bits: int, by: int) -> int:
     return bits
 
 
-def undominated(filling: Filling, counts: dict[int, int], room: int) -> bool:
+def undominated(filling: Filling, counts: dict[int, int], room: int, spare: int = 0) -> bool:
     """No length that is left can take the place of some of the filling's pieces (or of none) and of free room.
 
-    If any other filling dominates this one, a single such exchange is possible too, so one suffices to tell."""
+    If any other filling dominates this one, a single such exchange is possible too, so one suffices to tell.
+    spare: a length of which one piece less is left than counts says."""
     one, several, free = 0, 0, room - sum(k * n for k, n in filling)
     for k, n in filling:
         for _ in range(n):  # bit s: some pieces add up to s
@@ -112,97 +113,120 @@ def undominated(filling: Filling, counts: dict[int, int], room: int) -> bool:
             one |= 1 << k
     left = dict(filling)
     better = _smear(1, free) & ~1 | (_smear(one, free - 1) << 1 if free else 0) | _smear(several, free)
-    return not any(n > left.get(k, 0) and better >> k & 1 for k, n in counts.items() if k <= room)
+    return not any(better >> k & 1 and n - (k == spare) > left.get(k, 0) for k, n in counts.items() if k <= room)
 
 
-def fillings(counts: dict[int, int], room: int, most_waste: int | None = None, spend: Callable[[], bool] = lambda: True) -> Iterator[Filling]:
-    """All undominated ways to fill a room from the counts, by least waste, up to a waste. spend() is asked at each
-    step and ends the search by False."""
-    lengths = sorted(k for k, n in counts.items() if n and k <= room)
-    whole = (1 << room + 1) - 1
-    sums = [1]  # sums[i] bit s: s can be made of the first i lengths, were there enough of each
+def _sums(lengths: list[int], most: int) -> list[int]:
+    """Bit s of the i-th number: s can be made of the first i lengths, were there enough of each."""
+    out, whole = [1], (1 << most + 1) - 1
     for k in lengths:
-        s, step = sums[-1], k
-        while step <= room:
+        s, step = out[-1], k
+        while step <= most:
             s |= s << step & whole
             step *= 2
-        sums.append(s)
+        out.append(s)
+    return out
+
+
+def fillings(
+    counts: dict[int, int], room: int, most_waste: int | None = None, spend: Callable[[], bool] = lambda: True, spare: int = 0, known: tuple[list[int], list[int]] | None = None
+) -> Iterator[Filling]:
+    """All undominated ways to fill a room from the counts, by least waste, up to a waste. spend() is asked at each
+    step and ends the search by False. known: lengths that counts may have, and their _sums."""
+    lengths, sums = known or (sorted(k for k, n in counts.items() if n), None)
+    sums = sums or _sums(lengths, room)
+    first = bisect.bisect_right(lengths, room)
+
+    def ways(upto: int, left: int, items: Filling) -> Iterator[tuple[int, int, Filling]]:
+        for i in range(bisect.bisect_right(lengths, left, 0, upto) - 1, -1, -1):  # the largest piece of the rest
+            if not sums[i + 1] >> left & 1:
+                return  # shorter lengths make even fewer sums
+            k = lengths[i]
+            for m in range(min(counts.get(k, 0) - (k == spare), left // k), 0, -1):
+                if sums[i] >> left - m * k & 1:
+                    yield i, left - m * k, (*items, (k, m))
+
     for waste in range(room + 1 if most_waste is None else min(room, most_waste) + 1):
-        if not sums[-1] >> room - waste & 1:
+        if not sums[first] >> room - waste & 1:
             continue
-        stack: list[tuple[int, int, Filling]] = [(len(lengths), room - waste, ())]
+        stack = [iter([(first, room - waste, ())])]
         while stack:
-            if not spend():
+            step = next(stack[-1], None)
+            if step is None:
+                stack.pop()
+            elif not spend():
                 return
-            upto, left, items = stack.pop()
-            if not left:
-                if undominated(items, counts, room):
-                    yield items
-                continue
-            nexts = []
-            for i in range(bisect.bisect_right(lengths, left, 0, upto) - 1, -1, -1):  # the largest piece of the rest
-                if not sums[i + 1] >> left & 1:
-                    break  # shorter lengths make even fewer sums
-                k = lengths[i]
-                nexts += [(i, left - n * k, (*items, (k, n))) for n in range(min(counts[k], left // k), 0, -1) if sums[i] >> left - n * k & 1]
-            stack += reversed(nexts)
-
-
-def complete(counts: dict[int, int], capacity: int, work: int = 50_000) -> list[tuple[int, Filling]]:
-    """[(how many sequences, filling)]. work: steps of the search, those within fillings and tenfold those that end in
-    a partial packing to be judged."""
-    counts = {k: n for k, n in counts.items() if n}
-    if any(k > capacity or k < 1 for k in counts):
+            elif step[1]:
+                stack.append(ways(*step))
+            elif undominated(step[2], counts, room, spare):
+                yield step[2]
+
+
+def complete(counts: dict[int, int], capacity: int, work: int = 150_000) -> list[tuple[int, Filling]]:
+    """[(how many sequences, filling)]. work: steps of the search; one within fillings counts 1, one that ends in a
+    partial packing to be judged 10 and an eighth of the lengths left. One set of counts is changed and changed back,
+    so what the search holds grows with the lengths plus its depth."""
+    left = {k: n for k, n in counts.items() if n}
+    if any(k > capacity or k < 1 for k in left):
         raise ValueError("a length is outside 1..capacity")
-    best = best_fit(counts, capacity)
-    fewest, least = sum(n for n, _ in best), bound(counts, capacity)
-    total = sum(k * n for k, n in counts.items())
-    spent = 0
+    best = best_fit(left, capacity)
+    fewest, least = sum(n for n, _ in best), bound(left, capacity)
+    if fewest <= least:
+        return best
+    total = sum(k * n for k, n in left.items())
+    lengths = sorted(left)
+    known = lengths, _sums(lengths, capacity)
+    done: list[tuple[int, Filling]] = []
+    used = waste = spent = 0
 
     def spend(n: int = 1) -> bool:
         nonlocal spent
         spent += n
         return spent <= work
 
-    def steps(counts: dict[int, int], done: tuple | None, used: int, waste: int) -> Iterator[tuple]:
-        """Ways on from a partial packing. `done` is (times, filling, what was done before)."""
-        largest = max(counts)
-        others = counts | {largest: counts[largest] - 1}
+    def take(times: int, filling: Filling) -> None:
+        nonlocal used, waste
+        for k, n in filling:
+            left[k] = left.get(k, 0) - times * n
+            if not left[k]:
+                del left[k]
+        used, waste = used + times, waste + times * (capacity - sum(k * n for k, n in filling))
+
+    def moves() -> Iterator[tuple[int, Filling]]:
+        """Ways on from the packing so far: a filling as often as may be, then once."""
+        largest = max(left)
         room = lambda: (fewest - 1) * capacity - total - waste  # noqa: E731  more waste than one sequence fewer allows is in vain
-        for filling in fillings(others, capacity - largest, room(), spend):
-            full: dict[int, int] = {largest: 1}
-            for k, n in filling:
-                full[k] = full.get(k, 0) + n
+        for filling in fillings(left, capacity - largest, room(), spend, largest, known):
+            full = dict(filling)
+            full[largest] = full.get(largest, 0) + 1
             empty = capacity - sum(k * n for k, n in full.items())
-            most = min(counts[k] // n for k, n in full.items())
-            for again in (False, True):  # as often as may be, then once
+            most = min(left[k] // n for k, n in full.items())
+            for again in (False, True):
                 times = 1 if again else min(most, room() // empty) if empty else most
-                if times < 1 or times * empty > room() or (again and most == 1) or not spend(10):
-                    continue
-                rest = {k: n for k, c in counts.items() if (n := c - times * full.get(k, 0))}
-                yield rest, (times, tuple(sorted(full.items(), reverse=True)), done), used + times, waste + times * empty
-
-    def whole(done: tuple | None, quick: list[tuple[int, Filling]]) -> list[tuple[int, Filling]]:
-        out = list(quick)
-        while done:
-            out.append(done[:2])
-            done = done[2]
-        return out
-
-    stack = [iter([(counts, None, 0, 0)])] if fewest > least else []
+                if times >= 1 and times * empty <= room() and not (again and most == 1) and spend(10 + len(left) // 8):
+                    yield times, tuple(sorted(full.items(), reverse=True))
+
+    stack = [moves()]
     while stack and spent <= work:
-        state = next(stack[-1], None)
-        if state is None:
+        move = next(stack[-1], None)
+        if move is None:
             stack.pop()
+            if done:
+                times, filling = done.pop()
+                take(-times, filling)
             continue
-        rest, done, used, _ = state
-        quick = best_fit(rest, capacity)
+        take(*move)
+        done.append(move)
+        quick = best_fit(left, capacity)
         if (n := used + sum(x for x, _ in quick)) < fewest:
-            best, fewest = whole(done, quick), n
+            best, fewest = [*done, *quick], n
             if fewest <= least:
                 break
-        if rest and used + bound(rest, capacity) < fewest:
-            stack.append(steps(*state))
+        if left and used + bound(left, capacity) < fewest:
+            stack.append(moves())
+        else:
+            take(-move[0], move[1])
+            done.pop()
     return best
 
 
@@ -221,7 +245,7 @@ def places(solution: list[tuple[int, Filling]]) -> list[tuple[int, int, int, int
     return out
 
 
-def pack(pieces: DataFrame, capacity: int = 2048, per_bucket: int = 100_000, work: int = 50_000) -> DataFrame:
+def pack(pieces: DataFrame, capacity: int = 2048, per_bucket: int = 100_000, work: int = 150_000) -> DataFrame:
     """Adds sequence_id and offset. `pieces` is read three times, so it should be a written table.
 
     Pieces of one length are numbered bucket by bucket (hash of doc_id and piece) with about per_bucket pieces in
