@@ -13,21 +13,26 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 LINES = "source string, line_ord long, line string"
-# Which archive members are logs.
+# The endings of archive members that are logs.
 LOG_ENDINGS = (".csv", ".log", ".txt")
-LOG_NAMES = ("trace", "blktrace")
 ARCHIVE_ENDINGS = {".tar": "tar", ".tar.gz": "gz", ".tgz": "gz", ".tar.xz": "xz", ".txz": "xz", ".zip": "zip"}
 
 
 def read_log_lines(spark: SparkSession, paths: str | list[str], encoding: str = "UTF-8") -> DataFrame:
-    """Trimmed lines that are not empty, of plain or compressed text files; large files are split over tasks.
+    """Lines of plain or compressed text files as they stand, without those of white space alone; large files are
+    split over tasks. What is read from them, parsers trim.
 
     line_ord ascends through a file: lines of the splits before, then the place in the split. A last line without
-    a line end counts. Text that is not UTF-8 is read as bytes and decoded."""
-    rows = spark.read.text(paths) if encoding.upper() == "UTF-8" else spark.read.option("encoding", encoding).csv(paths, sep="\x01", quote="", schema="value string")
+    a line end counts. Lines that can't be decoded are left out and keep their number. Text in another encoding
+    (with line ends of one byte) is decoded line by line."""
+    rows = spark.read.text(paths)
+    if encoding.upper().replace("-", "") == "UTF8":
+        value = F.when(F.is_valid_utf8("value"), F.col("value"))
+    else:
+        value = F.decode(F.col("value").cast("binary"), encoding)  # the text source keeps bytes as they are
     in_task = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
-    lines = rows.select(F.col("_metadata.file_path").alias("source"), F.col("_metadata.file_block_start").alias("start"), in_task.alias("k"), F.trim("value").alias("line"))
-    return _numbered(lines.where(F.length("line") > 0))
+    lines = rows.select(F.col("_metadata.file_path").alias("source"), F.col("_metadata.file_block_start").alias("start"), in_task.alias("k"), F.regexp_replace(value, "\r$", "").alias("line"))
+    return _numbered(lines).where(F.col("line").rlike(r"\S"))
 
 
 def _numbered(lines: DataFrame) -> DataFrame:
@@ -43,38 +48,40 @@ def archive_kind(name: str) -> str | None:
     return next((k for end, k in sorted(ARCHIVE_ENDINGS.items(), key=lambda x: -len(x[0])) if low.endswith(end)), None)
 
 
-def _is_log(name: str) -> bool:
+def _is_log(name: str, marks: tuple[str, ...]) -> bool:
     low = name.lower()
-    return low.endswith(LOG_ENDINGS) or any(n in low for n in LOG_NAMES)
+    return low.endswith(LOG_ENDINGS) or any(m.lower() in low for m in marks)
 
 
-def _member_lines(kind: str, content: bytes) -> Iterator[bytes]:
+def _member_lines(kind: str, content: bytes, marks: tuple[str, ...]) -> Iterator[bytes]:
     if kind == "zip":
         with zipfile.ZipFile(io.BytesIO(content)) as z:
-            logs = [m for m in z.infolist() if not m.is_dir() and _is_log(m.filename)]
+            logs = [m for m in z.infolist() if not m.is_dir() and _is_log(m.filename, marks)]
             if logs:
                 with z.open(max(logs, key=lambda m: m.file_size)) as f:
                     yield from f
         return
     with tarfile.open(fileobj=io.BytesIO(content), mode="r" if kind == "tar" else f"r:{kind}") as t:
-        logs = [m for m in t.getmembers() if m.isfile() and _is_log(m.name)]
+        logs = [m for m in t.getmembers() if m.isfile() and _is_log(m.name, marks)]
         if logs:
             yield from t.extractfile(max(logs, key=lambda m: m.size))
 
 
-def read_archived_lines(spark: SparkSession, paths: str, batch: int = 50_000) -> DataFrame:
-    """The largest log of each archive, one archive a task."""
+def read_archived_lines(spark: SparkSession, paths: str, batch: int = 50_000, marks: tuple[str, ...] = ()) -> DataFrame:
+    """The largest log of each archive, one archive a task; lines that are no UTF-8 are left out.
+
+    Members that end like logs, or whose names hold one of `marks`, are logs."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             for path, content in zip(part["path"], part["content"]):
                 kind, rows = archive_kind(path), []
-                for k, raw in enumerate(_member_lines(kind, content) if kind else ()):
+                for k, raw in enumerate(_member_lines(kind, content, marks) if kind else ()):
                     try:
-                        line = raw.decode().strip()
+                        line = raw.decode().rstrip("\r\n")
                     except UnicodeDecodeError:
                         continue
-                    if line:
+                    if line.strip():
                         rows.append((path, k, line))
                     if len(rows) >= batch:
                         yield pd.DataFrame(rows, columns=["source", "line_ord", "line"])

@@ -39,30 +39,32 @@ def test_lines(spark):
 
 
 def test_read_lines(spark, tmp_path):
-    (tmp_path / "a.log").write_bytes("\n".join(f" line {i} " for i in range(2000)).encode() + b"\n\n\nlast")
+    (tmp_path / "a.log").write_bytes("\n".join(f" line {i} " for i in range(2000)).encode() + b"\n\n \t\nbad \xff line\nlast")
     spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
     try:
         rows = logs.read_log_lines(spark, str(tmp_path / "a.log")).orderBy("line_ord").collect()
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
-    assert [r.line for r in rows] == [f"line {i}" for i in range(2000)] + ["last"]
+    assert [r.line for r in rows] == [f" line {i} " for i in range(2000)] + ["last"]
     assert len({r.line_ord for r in rows}) == 2001
+    (tmp_path / "b.log").write_bytes("Größe\r\nzwei\n".encode("latin-1"))
+    assert [r.line for r in logs.read_log_lines(spark, str(tmp_path / "b.log"), "ISO-8859-1").orderBy("line_ord").collect()] == ["Größe", "zwei"]
 
 
 def test_archives(spark, tmp_path):
     assert [logs.archive_kind(n) for n in ("a.tar", "A.TAR.GZ", "x.tgz", "x.txz", "x.tar.xz", "x.zip", "x.log")] == ["tar", "gz", "gz", "xz", "xz", "zip", None]
     for name, mode in (("a.tar", "w"), ("b.tgz", "w:gz"), ("c.tar.xz", "w:xz")):
         with tarfile.open(tmp_path / name, mode) as t:
-            for member, text in (("small.log", "no\n"), ("x/big.txt", f"{name}\n\n two \n" * 3), ("huge.bin", "z" * 9999)):
+            for member, text in (("small.log", "no\n"), ("x/big.txt", f"{name}\n\n two \r\n" * 3), ("huge.bin", "z" * 9999)):
                 info = tarfile.TarInfo(member)
                 info.size = len(text)
                 t.addfile(info, io.BytesIO(text.encode()))
     with zipfile.ZipFile(tmp_path / "d.zip", "w") as z:
-        z.writestr("blktrace.0", "one\ntwo")
+        z.writestr("disk-events.0", "one\ntwo")
     got = {}
-    for r in logs.read_archived_lines(spark, str(tmp_path)).orderBy("line_ord").collect():
+    for r in logs.read_archived_lines(spark, str(tmp_path), marks=("events",)).orderBy("line_ord").collect():
         got.setdefault(r.source.rsplit("/", 1)[-1], []).append(r.line)
-    assert got == {n: [n, "two"] * 3 for n in ("a.tar", "b.tgz", "c.tar.xz")} | {"d.zip": ["one", "two"]}
+    assert got == {n: [n, " two "] * 3 for n in ("a.tar", "b.tgz", "c.tar.xz")} | {"d.zip": ["one", "two"]}
 
 
 def test_filters_and_options():
