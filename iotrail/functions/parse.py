@@ -1,4 +1,8 @@
-"""Log lines to typed events with Column expressions. Each pattern is evaluated once a line."""
+"""Log lines to typed events with Column expressions.
+
+A line's fields are found in a step of its own, an explode() of one array, which Spark neither merges with the steps that
+read the fields nor moves filters through: one pattern runs for each line of a family (two for lines that could be
+of both block formats), and everything else reads an array. Lines are trimmed here."""
 
 from __future__ import annotations
 
@@ -14,16 +18,33 @@ BLOCK_LINE = r"^\s*(.*?)\s+\[(\d+)\]\s+(.+?)\s+([\d\.]+):\s+(\S+):\s+(\d+),(\d+)
 BLKTRACE_LINE = r"^([\d\.]+),(\d+),(\d+),(\d+),(\d+),([A-Z]),([A-Z]*),(\d+),(\d+),(.*)$"
 CUSTOM_LINE = r"^(0x[0-9a-f]+),(\d+),(\d+),(\d+(?:\.\d+)?),(\d+(?:\.\d+)?)$"
 BLKTRACE_START = r"^\d+\.\d+,\d+,\d+,\d+,\d+,[A-Z],[A-Z]*,\d+,\d+,"
-BLKTRACE_HEADER = "time,cpu,major,minor,pid,action,rwds,sector,size,comm"
-CUSTOM_HEADER = "opcode,lba,size,start_time,end_time"
+BLKTRACE_HINT = r"^[\d\.]+,\d+,"
 MARK = "\x01"
 
 
-def groups(line: Column, regex: str, n: int) -> Column:
-    """The n groups of a match as an array (an unmatched group is empty), or null without a match."""
+def _marked(line: Column, regex: str, n: int) -> Column:
+    """The n groups of a match with marks before each (an unmatched group is empty), or the line without a match."""
     whole = f"(?d){regex}" + ("" if regex.endswith("$") else ".*$")
-    parts = F.split(F.regexp_replace(line, whole, MARK + MARK.join(f"${k}" for k in range(1, n + 1))), MARK)
-    return F.when(F.size(parts) == n + 1, F.slice(parts, 2, n))
+    return F.regexp_replace(line, whole, MARK + MARK.join(f"${k}" for k in range(1, n + 1)))
+
+
+def _parts(marked: Column) -> Column:
+    """Empty text and the groups; anything but n + 1 parts is no match."""
+    return F.split(marked, MARK)
+
+
+def trimmed(line: Column) -> Column:
+    return F.trim(line, F.lit(" \t\r\n\x0b\x0c"))
+
+
+def _block_parts(line: Column) -> Column:
+    block = _marked(line, BLOCK_LINE.replace("^", f"^(?!{MARK})", 1), 12)
+    both = _marked(_marked(line, BLKTRACE_LINE, 10), BLOCK_LINE.replace("^", f"^(?!{MARK})", 1), 12)
+    return _parts(F.when(line.rlike(BLKTRACE_HINT), both).otherwise(block))
+
+
+def _once(rows: DataFrame, name: str, fields: Column) -> DataFrame:
+    return rows.select("*", F.explode(F.array(fields)).alias(name))
 
 
 def category(line: Column) -> Column:
@@ -36,8 +57,9 @@ def category(line: Column) -> Column:
     )
 
 
-def classify(line: Column) -> Column:
+def classify(raw: Column) -> Column:
     """The other order of tests: custom, UFS, block; no blktrace CSV."""
+    line = trimmed(raw)
     return (
         F.when(line.rlike(CUSTOM_LINE), CUSTOM)
         .when(line.rlike(UFS_LINE), UFS)
@@ -61,40 +83,36 @@ def _event(kind: str, values: dict[str, Column], extra: dict[str, Column]) -> Co
     return F.struct(*fields, *(c.alias(n) for n, c in extra.items()))
 
 
-def ufs_event(line: Column) -> Column:
-    g = groups(line, UFS_LINE, 10)
-    lba = sanitize_lba(_number(g[6], "decimal(38,0)"))
+def _ufs_event(g: Column) -> Column:
+    f = [F.get(g, F.lit(k + 1)) for k in range(10)]
+    lba = sanitize_lba(_number(f[6], "decimal(38,0)"))
     event = _event(
         UFS,
         {
-            "time": _number(g[2], "double"), "process": g[0], "cpu": _count(g[1]), "action": g[3], "tag": _count(g[4]), "opcode": g[7], "lba": lba,
-            "size": ufs_units(_number(g[5])), "groupid": _count(F.conv(g[8], 16, 10)), "hwqid": _count(g[9]),
+            "time": _number(f[2], "double"), "process": f[0], "cpu": _count(f[1]), "action": f[3], "tag": _count(f[4]), "opcode": f[7], "lba": lba,
+            "size": ufs_units(_number(f[5])), "groupid": _count(F.conv(f[8], 16, 10)), "hwqid": _count(f[9]),
         },
         {"aligned": is_aligned(UFS, address=lba)},
     )
-    return F.when(g.isNotNull(), event)
+    return F.when(F.size(g) == 11, event)
 
 
 def _block(values: dict[str, Column]) -> Column:
     return _event(BLOCK, values, {"aligned": is_aligned(BLOCK, address=values["sector"])})
 
 
-def block_event(line: Column) -> Column:
-    g = groups(line, BLOCK_LINE, 12)
-    values = {
-        "time": _number(g[3], "double"), "process": g[0], "cpu": _count(g[1]), "flags": g[2], "action": g[4], "devmajor": _count(g[5]), "devminor": _count(g[6]), "io_type": g[7],
-        "extra": _count(g[8]), "sector": _number(g[9], "decimal(20,0)"), "size": _count(g[10]), "comm": g[11],
+def _block_event(g: Column) -> Column:
+    """Of either format, by the number of fields."""
+    f = [F.get(g, F.lit(k + 1)) for k in range(12)]
+    ftrace = {
+        "time": _number(f[3], "double"), "process": f[0], "cpu": _count(f[1]), "flags": f[2], "action": f[4], "devmajor": _count(f[5]), "devminor": _count(f[6]), "io_type": f[7],
+        "extra": _count(f[8]), "sector": _number(f[9], "decimal(20,0)"), "size": _count(f[10]), "comm": f[11],
     }
-    return F.when(g.isNotNull(), _block(values))
-
-
-def blktrace_event(line: Column) -> Column:
-    g = groups(line, BLKTRACE_LINE, 10)
-    values = {
-        "time": _number(g[0], "double"), "process": g[4], "cpu": _count(g[1]), "flags": F.lit(""), "action": g[5], "devmajor": _count(g[2]), "devminor": _count(g[3]), "io_type": g[6],
-        "extra": F.lit(0), "sector": _number(g[7], "decimal(20,0)"), "size": _count(g[8]), "comm": g[9],
+    blktrace = {
+        "time": _number(f[0], "double"), "process": f[4], "cpu": _count(f[1]), "flags": F.lit(""), "action": f[5], "devmajor": _count(f[2]), "devminor": _count(f[3]), "io_type": f[6],
+        "extra": F.lit(0), "sector": _number(f[7], "decimal(20,0)"), "size": _count(f[8]), "comm": f[9],
     }
-    return F.when(g.isNotNull(), _block(values))
+    return F.when(F.size(g) == 13, _block(ftrace)).when(F.size(g) == 11, _block(blktrace))
 
 
 def _custom(opcode: Column, lba: Column, size: Column, start: Column, end: Column) -> Column:
@@ -102,9 +120,8 @@ def _custom(opcode: Column, lba: Column, size: Column, start: Column, end: Colum
     return _event(CUSTOM, {"opcode": opcode, "lba": clean, "size": size, "start_time": start, "end_time": end, "dtoc": (end - start) * MILLISECONDS}, {"aligned": is_aligned(CUSTOM, address=clean)})
 
 
-def custom_event(line: Column) -> Column:
-    """Any field that is no number rejects the line."""
-    f = F.split(line, ",", 5)
+def _custom_event(f: Column) -> Column:
+    """Of the parts between commas; any that is no number rejects the line."""
     whole = lambda c, top: F.when(c.rlike(r"^\+?[0-9]+$") & (c.try_cast("decimal(38,0)") < F.lit(str(top)).cast("decimal(38,0)")), c.try_cast("decimal(38,0)"))
     real = lambda c: F.when(c.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"), c.try_cast("double"))
     good = (F.size(f) == 5) & F.get(f, F.lit(0)).rlike("^0x[0-9A-Fa-f]+$")
@@ -113,29 +130,29 @@ def custom_event(line: Column) -> Column:
     return F.when(good & lba.isNotNull() & size.isNotNull() & start.isNotNull() & end.isNotNull(), _custom(safe[0], lba, size, start, end))
 
 
-def custom_strict_event(line: Column) -> Column:
-    g = groups(line, CUSTOM_LINE, 5)
-    return F.when(g.isNotNull(), _custom(g[0], _number(g[1], "decimal(38,0)"), _count(g[2]), _number(g[3], "double"), _number(g[4], "double")))
-
-
 def parse_log(lines: DataFrame) -> DataFrame:
     """lines(line, ...) -> with category and one struct column per family, null where the line is none.
 
     A line whose category's parser fails is no event of any family."""
-    what, line = F.col("category"), F.col("line")
-    return lines.withColumn("category", category(line)).select(
-        "*",
-        F.when(what == UFS, ufs_event(line)).alias(UFS),
-        F.when(what == BLOCK, F.coalesce(blktrace_event(line), block_event(line))).alias(BLOCK),
-        F.when(what == CUSTOM, custom_event(line)).alias(CUSTOM),
+    what, line, g = F.col("category"), trimmed(F.col("line")), F.col("__g")
+    parts = F.when(what == UFS, _parts(_marked(line, UFS_LINE, 10))).when(what == BLOCK, _block_parts(line)).when(what == CUSTOM, F.split(line, ",", 5))
+    rows = _once(lines.withColumn("category", category(line)), "__g", parts)
+    return rows.select(
+        *(F.col(f"`{c}`") for c in lines.columns if c != "category"),
+        "category",
+        F.when(what == UFS, _ufs_event(g)).alias(UFS),
+        F.when(what == BLOCK, _block_event(g)).alias(BLOCK),
+        F.when(what == CUSTOM, _custom_event(g)).alias(CUSTOM),
     )
 
 
 def parse_permissive(lines: DataFrame) -> DataFrame:
     """No gate: the first parser that takes the line, of UFS, blktrace CSV, block, custom."""
-    line = F.col("line")
-    tried = lines.withColumn(UFS, ufs_event(line)).withColumn(BLOCK, F.when(F.col(UFS).isNull(), F.coalesce(blktrace_event(line), block_event(line))))
-    return tried.withColumn(CUSTOM, F.when(F.col(UFS).isNull() & F.col(BLOCK).isNull(), custom_event(line)))
+    line, u, b = trimmed(F.col("line")), F.col("__u"), F.col("__b")
+    rows = _once(lines, "__u", _parts(_marked(line, UFS_LINE, 10)))
+    rows = _once(rows, "__b", F.when(F.size(u) != 11, _block_parts(line)))
+    rest = (F.size(u) != 11) & ~F.size(b).isin(11, 13)
+    return rows.select(*(F.col(f"`{c}`") for c in lines.columns), _ufs_event(u).alias(UFS), _block_event(b).alias(BLOCK), F.when(rest, _custom_event(F.split(line, ",", 5))).alias(CUSTOM))
 
 
 def events(parsed: DataFrame, kind: str) -> DataFrame:
@@ -150,5 +167,21 @@ def report(parsed: DataFrame) -> DataFrame:
 
 
 def parse_custom_strict(lines: DataFrame) -> DataFrame:
-    """Strict custom events; order them with order.by_latency."""
-    return lines.select("*", custom_strict_event(F.col("line")).alias("e")).where("e is not null").select(*(c for c in lines.columns if c != "line"), "e.*")
+    """Strict custom events; order them with order.by_latency. strict_counts() adds up what it finds."""
+    g = F.col("__g")
+    f = [F.get(g, F.lit(k + 1)) for k in range(5)]
+    event = _custom(f[0], _number(f[1], "decimal(38,0)"), _count(f[2]), _number(f[3], "double"), _number(f[4], "double"))
+    rows = _once(lines, "__g", _parts(_marked(trimmed(F.col("line")), CUSTOM_LINE, 5))).where(F.size(g) == 6)
+    return rows.withColumn("e", event).select(*(F.col(f"`{c}`") for c in lines.columns if c != "line"), "e.*")
+
+
+def strict_counts(lines: DataFrame) -> DataFrame:
+    """One row: lines, parsed, skipped, and the least, greatest and mean latency of strict custom events."""
+    line = trimmed(F.col("line"))
+    rows = _once(lines, "__g", _parts(_marked(line, CUSTOM_LINE, 5)))
+    ok = F.size("__g") == 6
+    start, end = (_number(F.get("__g", F.lit(k)), "double") for k in (4, 5))
+    dtoc = F.when(ok, (end - start) * MILLISECONDS)
+    return rows.agg(
+        F.count(F.lit(1)).alias("lines"), F.count_if(ok).alias("parsed"), F.count_if(~ok).alias("skipped"), F.min(dtoc).alias("min_dtoc"), F.max(dtoc).alias("max_dtoc"), F.avg(dtoc).alias("avg_dtoc")
+    )

@@ -189,7 +189,7 @@ _PARSED = "CASE WHEN line_ord % 4 = 0 THEN action <> 'other' WHEN line_ord % 4 =
 
 @query("p1_categorize", f"SELECT {_CATEGORY} AS category, count(*) AS n FROM {{ufs}} GROUP BY 1")
 def _(spark, d):
-    return lines(spark, d).groupBy(parse.category(F.col("line")).alias("category")).agg(F.count(F.lit(1)).alias("n"))
+    return lines(spark, d).groupBy(parse.category(parse.trimmed(F.col("line"))).alias("category")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("p2_parse_ufs", "SELECT line_ord, round(time, 6) AS time, process, cpu, action, tag, opcode, lba, CASE WHEN line_ord % 8 = 0 THEN 1 ELSE 8 END AS size, 31 AS groupid, CASE WHEN line_ord % 12 = 0 THEN 0 ELSE 3 END AS hwqid, lba % 16 = 0 AS aligned FROM {ufs} WHERE line_ord % 4 = 0 AND action <> 'other'")
