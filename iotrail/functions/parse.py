@@ -74,8 +74,8 @@ def _number(text: Column, kind: str = "long") -> Column:
 
 def _count(text: Column, top: int = 1 << 32) -> Column:
     """An unsigned number below `top`; anything else is 0."""
-    n = text.try_cast("decimal(38,0)")
-    return F.when((n >= 0) & (n < top), n).otherwise(0).cast("long")
+    n = text.try_cast("long")  # null beyond 64 bits, as it may be: that is not below top either
+    return F.when(n.between(0, top - 1), n).otherwise(F.lit(0).cast("long"))
 
 
 def _event(kind: str, values: dict[str, Column], extra: dict[str, Column]) -> Column:
@@ -85,7 +85,7 @@ def _event(kind: str, values: dict[str, Column], extra: dict[str, Column]) -> Co
 
 def _ufs_event(g: Column) -> Column:
     f = [F.get(g, F.lit(k + 1)) for k in range(10)]
-    lba = sanitize_lba(_number(f[6], "decimal(38,0)"))
+    lba = sanitize_lba(_number(f[6]))  # what needs more than 64 bits is 0 either way
     event = _event(
         UFS,
         {
@@ -122,11 +122,14 @@ def _custom(opcode: Column, lba: Column, size: Column, start: Column, end: Colum
 
 def _custom_event(f: Column) -> Column:
     """Of the parts between commas; any that is no number rejects the line."""
-    whole = lambda c, top: F.when(c.rlike(r"^\+?[0-9]+$") & (c.try_cast("decimal(38,0)") < F.lit(str(top)).cast("decimal(38,0)")), c.try_cast("decimal(38,0)"))
+    number = r"^\+?0*[0-9]{1,20}$"
+    address = F.when(F.get(f, F.lit(1)).rlike(number), F.get(f, F.lit(1)).try_cast("decimal(20,0)"))
+    bytes_ = F.when(F.get(f, F.lit(2)).rlike(number), F.get(f, F.lit(2)).try_cast("long"))
     real = lambda c: F.when(c.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"), c.try_cast("double"))
     good = (F.size(f) == 5) & F.get(f, F.lit(0)).rlike("^0x[0-9A-Fa-f]+$")
     safe = [F.get(f, F.lit(k)) for k in range(5)]
-    lba, size, start, end = whole(safe[1], 1 << 64), whole(safe[2], 1 << 32), real(safe[3]), real(safe[4])
+    lba = F.when(address < F.lit(str(1 << 64)).cast("decimal(20,0)"), address)
+    size, start, end = F.when(bytes_ < 1 << 32, bytes_), real(safe[3]), real(safe[4])
     return F.when(good & lba.isNotNull() & size.isNotNull() & start.isNotNull() & end.isNotNull(), _custom(safe[0], lba, size, start, end))
 
 
@@ -170,7 +173,7 @@ def parse_custom_strict(lines: DataFrame) -> DataFrame:
     """Strict custom events; order them with order.by_latency. strict_counts() adds up what it finds."""
     g = F.col("__g")
     f = [F.get(g, F.lit(k + 1)) for k in range(5)]
-    event = _custom(f[0], _number(f[1], "decimal(38,0)"), _count(f[2]), _number(f[3], "double"), _number(f[4], "double"))
+    event = _custom(f[0], _number(f[1]), _count(f[2]), _number(f[3], "double"), _number(f[4], "double"))
     rows = _once(lines, "__g", _parts(_marked(trimmed(F.col("line")), CUSTOM_LINE, 5))).where(F.size(g) == 6)
     return rows.withColumn("e", event).select(*(F.col(f"`{c}`") for c in lines.columns if c != "line"), "e.*")
 

@@ -35,19 +35,20 @@ def classify(line: Column) -> Column:
     )
 
 
-def assign_iteration(lines: DataFrame, buckets: int = 32) -> DataFrame:
+def assign_iteration(lines: DataFrame, buckets: int | None = None) -> DataFrame:
     """lines(source, line_ord, line) -> with class and iteration.
 
     An fio header sets the number; a tiotest Write row and an iozone sequential row add one to it, for themselves
     too. With the running sum of steps, what a header sets is a base that holds until the next."""
     rows = lines.withColumn("class", classify(F.col("line")))
     step = ((F.col("class") == "tiotest") & (F.regexp_extract("line", TIOTEST, 1) == "Write")) | (F.col("class") == "iozone_sequential")
-    rows = scan.bucketed(rows, ["source"], "line_ord", buckets)
-    rows = scan.running_sum(rows, ["source"], ["line_ord"], step.cast("long"), "__steps")
+    trail: list = []
+    rows = scan.bucketed(scan.settle(rows, "bench", trail), ["source"], "line_ord", buckets)
+    rows = scan.running_sum(rows, ["source"], ["line_ord"], step.cast("long"), "__steps", trail)
     number = F.regexp_extract("line", FIO_HEADER, 1).try_cast("long")
     head = (F.col("class") == "fio_header") & number.isNotNull()
     own = number - F.col("__steps")
-    rows = scan.last_before(rows, ["source"], ["line_ord"], {"__base": (own, head)})
+    rows = scan.last_before(rows, ["source"], ["line_ord"], {"__base": (own, head)}, trail)
     base = F.when(head, own).otherwise(F.coalesce("__base", F.lit(0)))
     return rows.withColumn("iteration", (F.col("__steps") + base).cast("long")).drop("__steps", "__base", scan.BUCKET)
 
@@ -82,14 +83,14 @@ def results_arrays(table: DataFrame) -> DataFrame:
     return out.withColumn("json", F.to_json(F.struct("read", "write")))
 
 
-def iteration_events(tagged: DataFrame, kind: str, buckets: int = 32) -> DataFrame:
+def iteration_events(tagged: DataFrame, kind: str, buckets: int | None = None) -> DataFrame:
     """Events of iterations above 0, each iteration derived on its own."""
     lines = tagged.where((F.col("iteration") > 0) & F.col("class").isin(*TYPES)).select("source", "line_ord", "iteration", "line")
     events = parse.events(parse.parse_log(lines), kind)
     return derive(events, kind, ("source", "iteration"), buckets)
 
 
-def whole_log(lines: DataFrame, buckets: int = 32) -> dict[str, tuple[DataFrame, DataFrame]]:
+def whole_log(lines: DataFrame, buckets: int | None = None) -> dict[str, tuple[DataFrame, DataFrame]]:
     """Per family: all events derived together, and their counts."""
     parsed = parse.parse_log(lines)
     out = {}

@@ -31,15 +31,16 @@ def _plain(df: DataFrame, drop: Sequence[str], columns: Sequence[str]) -> DataFr
     return df.drop(*drop, scan.BUCKET)
 
 
-def ufs(df: DataFrame, keys: Sequence[str] = KEYS, buckets: int = 32) -> DataFrame:
+def ufs(df: DataFrame, keys: Sequence[str] = KEYS, buckets: int | None = None) -> DataFrame:
     """qd, dtoc, ctoc, ctod, continuous. A tag and opcode can be hot, so its state is carried over buckets too."""
     rows = order.with_rank(df, UFS).withColumn("__p", phase(F.col("action"))).drop("qd", "dtoc", "ctoc", "ctod", "continuous")
-    rows = scan.bucketed(rows, keys, "time", buckets)
+    trail: list = []
+    rows = scan.bucketed(scan.settle(rows, "derive", trail), keys, "time", buckets)
     by = order.order_of(UFS)
     is_i, is_c = F.col("__p") == "I", F.col("__p") == "C"
-    rows = scan.last_before(rows, [*keys, "tag", "opcode"], by, {"__pair": (F.struct("__p", "time"), is_i | is_c)})
+    rows = scan.last_before(rows, [*keys, "tag", "opcode"], by, {"__pair": (F.struct("__p", "time"), is_i | is_c)}, trail)
     rows = rows.withColumn("dtoc", F.when(is_c & (F.col("__pair")["__p"] == "I"), _ms(F.col("time"), F.col("__pair")["time"]))).drop("__pair")
-    rows = scan.depth(rows, keys, by, _step(F.col("__p")))
+    rows = scan.depth(rows, keys, by, _step(F.col("__p")), trail=trail)
     rows = scan.last_before(
         rows,
         keys,
@@ -49,6 +50,7 @@ def ufs(df: DataFrame, keys: Sequence[str] = KEYS, buckets: int = 32) -> DataFra
             "__idle": (F.col("time"), is_c & (F.col("qd") == 0)),
             "__next": (F.struct((F.col("lba") + F.col("size")).alias("lba"), "opcode"), is_i),
         },
+        trail,
     )
     rows = rows.withColumn("ctoc", F.when(is_c, _ms(F.col("time"), F.col("__ctoc"))))
     rows = rows.withColumn("ctod", F.when(is_i & (F.col("qd") == 1), _ms(F.col("time"), F.col("__idle"))))
@@ -65,7 +67,7 @@ def qc_latency(df: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     return rows.withColumn("dtoc", F.coalesce(got, F.lit(0.0))).drop("__qc", "__b")
 
 
-def block(df: DataFrame, keys: Sequence[str] = KEYS, buckets: int = 32, dedup: bool = True) -> DataFrame:
+def block(df: DataFrame, keys: Sequence[str] = KEYS, buckets: int | None = None, dedup: bool = True) -> DataFrame:
     """Pairs are matched by sector and class, of which there are many, so that needs no carrying."""
     rows = qc_latency(df.drop("qd", "dtoc", "ctoc", "ctod", "continuous"), keys)
     if dedup:
@@ -76,8 +78,9 @@ def block(df: DataFrame, keys: Sequence[str] = KEYS, buckets: int = 32, dedup: b
     before = F.lag(F.struct("__p", "time")).over(W.partitionBy(*keys, "sector", "__class", "__ic").orderBy(*by))
     rows = rows.withColumn("__b", before)
     rows = rows.withColumn("dtoc", F.coalesce(F.when(is_c & (F.col("__b")["__p"] == "I"), _ms(F.col("time"), F.col("__b")["time"])), "dtoc"))
-    rows = scan.bucketed(rows.drop("__b", "__ic"), keys, "time", buckets)
-    rows = scan.depth(rows, keys, by, _step(F.col("__p")))
+    trail: list = []
+    rows = scan.bucketed(scan.settle(rows.drop("__b", "__ic"), "derive", trail), keys, "time", buckets)
+    rows = scan.depth(rows, keys, by, _step(F.col("__p")), trail=trail)
     known = F.col("__class") != "other"
     rows = scan.last_before(
         rows,
@@ -88,6 +91,7 @@ def block(df: DataFrame, keys: Sequence[str] = KEYS, buckets: int = 32, dedup: b
             "__idle": (F.col("time"), is_c & (F.col("qd") == 0)),
             "__next": (F.struct((F.col("sector") + F.col("size")).alias("sector"), F.col("__class").alias("c")), is_i & known),
         },
+        trail,
     )
     rows = rows.withColumn("ctoc", F.when(is_c, _ms(F.col("time"), F.col("__ctoc"))))
     rows = rows.withColumn("ctod", F.when(is_i, _ms(F.col("time"), F.col("__idle"))))
@@ -95,28 +99,31 @@ def block(df: DataFrame, keys: Sequence[str] = KEYS, buckets: int = 32, dedup: b
     return _plain(rows, ("__p", "__class", "__ctoc", "__idle", "__next"), ("dtoc", "ctoc", "ctod", "continuous"))
 
 
-def custom_depth(df: DataFrame, keys: Sequence[str] = KEYS, buckets: int = 32) -> DataFrame:
+def custom_depth(df: DataFrame, keys: Sequence[str] = KEYS, buckets: int | None = None) -> DataFrame:
     """start_qd and end_qd: requests as start and end events in time order, a request's start before its end."""
     columns = [c for c in df.columns if c not in ("start_qd", "end_qd")]
     ends = F.array(*(F.struct(F.col(t).alias("__t"), F.lit(k).alias("__k")) for k, t in enumerate(("start_time", "end_time"))))
     rows = df.select(*columns, F.explode(ends).alias("e")).select(*columns, "e.*")
-    rows = scan.bucketed(rows, keys, "__t", buckets)
+    trail: list = []
+    rows = scan.bucketed(scan.settle(rows, "derive", trail), keys, "__t", buckets)
     by = ["__t", *order.order_of(CUSTOM), "__k"]
-    rows = scan.depth(rows, keys, by, F.when(F.col("__k") == 0, 1).otherwise(-1), "__q")
+    rows = scan.depth(rows, keys, by, F.when(F.col("__k") == 0, 1).otherwise(-1), "__q", trail)
     whole = F.first(F.struct(*columns)).alias("row")
     back = rows.groupBy(*keys, "line_ord").agg(whole, *(F.max(F.when(F.col("__k") == k, F.col("__q"))).alias(n) for k, n in enumerate(("start_qd", "end_qd"))))
     return back.select("row.*", "start_qd", "end_qd")
 
 
-def custom(df: DataFrame, keys: Sequence[str] = KEYS, buckets: int = 32) -> DataFrame:
+def custom(df: DataFrame, keys: Sequence[str] = KEYS, buckets: int | None = None) -> DataFrame:
     rows = custom_depth(df.drop("ctoc", "ctod", "continuous", "start_qd", "end_qd"), keys, buckets)
-    rows = scan.bucketed(rows, keys, "start_time", buckets)
+    trail: list = []
+    rows = scan.bucketed(scan.settle(rows, "derive", trail), keys, "start_time", buckets)
     always = F.lit(True)
     rows = scan.last_before(
         rows,
         keys,
         order.order_of(CUSTOM),
         {"__end": (F.col("end_time"), always), "__next": (F.struct((F.col("lba") + F.col("size")).alias("lba"), "opcode"), always)},
+        trail,
     )
     rows = rows.withColumn("ctoc", F.greatest(F.lit(0.0), F.col("end_time") - F.col("__end")) * MILLISECONDS)
     rows = rows.withColumn("ctod", F.greatest(F.lit(0.0), F.col("start_time") - F.col("__end")) * MILLISECONDS)
@@ -126,6 +133,6 @@ def custom(df: DataFrame, keys: Sequence[str] = KEYS, buckets: int = 32) -> Data
     return _plain(rows, ("__end", "__next"), ("ctoc", "ctod", "continuous"))
 
 
-def derive(df: DataFrame, kind: str, keys: Sequence[str] = KEYS, buckets: int = 32) -> DataFrame:
+def derive(df: DataFrame, kind: str, keys: Sequence[str] = KEYS, buckets: int | None = None) -> DataFrame:
     """keys = (source,) goes through each log as a whole; (source, iteration) starts anew each iteration."""
     return {UFS: ufs, BLOCK: block, CUSTOM: custom}[kind](df, keys, buckets)

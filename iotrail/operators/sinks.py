@@ -9,7 +9,8 @@ from ..functions import parse
 from ..schemas import CUSTOM, TYPES, conform, event_type, time_column
 from ..sources.events import read_events
 from ..sources.logs import read_log_lines
-from . import order, stats
+from ..work import forget, materialise
+from . import bench, order, stats
 from .derive import derive
 from .filters import Filter, filter_events
 
@@ -32,13 +33,19 @@ def _sorted(df: DataFrame, kind: str) -> DataFrame:
 
 
 def write_events(df: DataFrame, path: str, kind: str, rows: int | None = None, partition_by: tuple[str, ...] = (), mode: str = "errorifexists", row_group_mb: int = 128) -> str:
-    """<path>_<kind>.parquet, sorted within files. rows: an estimate that picks the codec (counted if left out)."""
-    codec, level = codec_for(df.count() if rows is None else rows, kind)
+    """<path>_<kind>.parquet, sorted within files. rows: an estimate that picks the codec; if it is left out, df is
+    written to a working table first and counted there, so that what makes df runs once."""
+    whole = None
+    if rows is None:
+        df = whole = materialise(df, "events")
+        rows = df.count()
+    codec, level = codec_for(rows, kind)
     target = f"{path}_{kind}.parquet"
     writer = _sorted(conform(df, kind, partition_by), kind).write.mode(mode).option("compression", codec).option("parquet.block.size", row_group_mb << 20)
     if level:
         writer = writer.option("parquet.compression.codec.zstd.level", level)
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(target)
+    forget(whole)
     return target
 
 
@@ -76,15 +83,33 @@ def parquet_to_csv(spark: SparkSession, path: str, target: str, options: Filter
     return write_csv(filter_events(rows, options, kind), target, kind)
 
 
-def log_to_parquet(spark: SparkSession, paths: str | list[str], prefix: str, options: Filter | list[str] = (), buckets: int = 32) -> dict[str, str]:
+def log_to_parquet(spark: SparkSession, paths: str | list[str], prefix: str, options: Filter | list[str] = (), buckets: int | None = None) -> dict[str, str]:
     """Scan, parse, drop repeats, derive, then filter; one dataset for each family that has events."""
-    parsed = parse.parse_log(read_log_lines(spark, paths))
+    parsed = materialise(parse.parse_log(read_log_lines(spark, paths)).drop("line"), "parsed")
+    counts = parsed.agg(*(F.count(k).alias(k) for k in TYPES)).first()
     out = {}
     for kind in TYPES:
-        events = order.drop_repeated(parse.events(parsed, kind), kind)
-        if events.isEmpty():
-            continue
-        out[kind] = write_events(filter_events(derive(events, kind, buckets=buckets), options, kind), prefix, kind)
+        if counts[kind]:
+            events = order.drop_repeated(parse.events(parsed, kind), kind)
+            out[kind] = write_events(filter_events(derive(events, kind, buckets=buckets), options, kind), prefix, kind, counts[kind])
+    forget(parsed)
+    return out
+
+
+def benchmark_log(spark: SparkSession, paths: str | list[str], prefix: str, options: Filter | list[str] = (), buckets: int | None = None) -> dict[str, str]:
+    """A benchmark log from file to results: <prefix>_results.parquet (bandwidths by iteration and tool), _arrays, and
+    for each family with events in an iteration one dataset, derived iteration by iteration and stored by iteration."""
+    tagged = materialise(bench.assign_iteration(read_log_lines(spark, paths), buckets), "tagged")
+    table = bench.results_table(bench.results(tagged))
+    out = {"results": f"{prefix}_results.parquet", "arrays": f"{prefix}_arrays.parquet"}
+    table.write.parquet(out["results"])
+    bench.results_arrays(spark.read.parquet(out["results"])).write.parquet(out["arrays"])
+    for kind in TYPES:
+        events = filter_events(bench.iteration_events(tagged, kind, buckets), options, kind)
+        n = tagged.where((F.col("class") == kind) & (F.col("iteration") > 0)).count()
+        if n:
+            out[kind] = write_events(events, prefix, kind, n, ("iteration",))
+    forget(tagged)
     return out
 
 

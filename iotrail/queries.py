@@ -135,7 +135,9 @@ for _kind, _names in {UFS: {"w1_dtoc": "dtoc", "w3_queue_depth": "qd", "w4_ctoc"
 
 @query("w11_dtoc_ufscustom", "SELECT line_ord, round((end_time - start_time) * 1000, 6) AS dtoc FROM {ufscustom}")
 def _(spark, d):
-    return _round(view(spark, d, CUSTOM).select("line_ord", ((F.col("end_time") - F.col("start_time")) * 1000).alias("dtoc")), "dtoc")
+    line = F.concat_ws(",", "opcode", "lba", "size", F.format_string("%.6f", "start_time"), F.format_string("%.6f", "end_time"))
+    got = parse.parse_log(view(spark, d, CUSTOM).select("source", "line_ord", line.alias("line")))
+    return _round(parse.events(got, CUSTOM).select("line_ord", "dtoc"), "dtoc")
 
 
 @query("w2b_dtoc_queue_complete", f"{QC_D} SELECT line_ord, round(d0, 6) AS dtoc FROM q0")
@@ -221,7 +223,7 @@ def _(spark, d):
 @query("p5b_parse_custom_strict", "SELECT line_ord, row_number() OVER (ORDER BY dtoc, line_ord) AS rank FROM (SELECT line_ord, round(dtoc, 3) AS dtoc FROM {ufscustom} WHERE line_ord % 4 = 3 AND line_ord % 24 NOT IN (3, 7))")
 def _(spark, d):
     got = parse.parse_custom_strict(lines(spark, d)).withColumn("dtoc", F.round("dtoc", 3))
-    got = scan.bucketed(got, ["source"], "dtoc", 16)
+    got = scan.bucketed(scan.settle(got, "p5b"), ["source"], "dtoc", 16)
     got = scan.running_sum(got, ["source"], ["dtoc", "line_ord"], F.lit(1).cast("long"), "rank")
     return got.select("line_ord", "rank")
 
@@ -275,7 +277,7 @@ def _(spark, d):
 
 @query("o1_canonical_order", "SELECT line_ord, row_number() OVER (ORDER BY time, CASE WHEN action LIKE 'c%' THEN 0 WHEN action LIKE 's%' THEN 1 ELSE 2 END, tag, line_ord) AS place FROM {ufs}")
 def _(spark, d):
-    rows = scan.bucketed(order.with_rank(view(spark, d, UFS), UFS), ["source"], "time", 32)
+    rows = scan.bucketed(scan.settle(order.with_rank(view(spark, d, UFS), UFS), "o1"), ["source"], "time", 32)
     return scan.running_sum(rows, ["source"], order.order_of(UFS), F.lit(1).cast("long"), "place").select("line_ord", "place")
 
 
@@ -533,17 +535,47 @@ def _(spark, d):
     return sinks.parquet_to_csv(spark, _stored(spark, d, UFS), work_path(spark, "k6"), ["cpu:3"]).agg(F.sum("rows").alias("n"))
 
 
-@query("k7_log_to_parquet", "SELECT 'block' AS kind, count(*) AS n FROM {block} WHERE line_ord % 4 IN (1, 2) AND NOT (line_ord % 4 = 1 AND action = 'block_rq_complete' AND io_type LIKE 'W%' AND size = 0) AND line_ord < 0 UNION ALL SELECT 'ufs', count(*) FROM {ufs} WHERE line_ord % 4 = 0 AND action <> 'other' UNION ALL SELECT 'ufscustom', count(*) FROM {ufs} WHERE line_ord % 4 = 3 AND line_ord % 24 NOT IN (3, 7)")
+_K7 = """WITH b AS (SELECT line_ord, time, sector, size, io_type, CASE WHEN line_ord % 4 = 1 THEN action WHEN action = 'block_rq_issue' THEN 'Q' ELSE 'C' END AS action,
+  CASE WHEN io_type LIKE 'R%' THEN 'read' WHEN io_type LIKE 'W%' THEN 'write' WHEN io_type LIKE 'D%' THEN 'discard' ELSE 'other' END AS c FROM {block} WHERE line_ord % 4 IN (1, 2)),
+o2 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY time, sector, size, io_type ORDER BY line_ord) AS n FROM b) WHERE n = 1),
+o4 AS (SELECT * FROM o2 WHERE NOT (action = 'block_rq_complete' AND io_type LIKE 'W%' AND size = 0)),
+o3 AS (SELECT * FROM (SELECT *, lag(action) OVER (PARTITION BY sector, c, size, action IN ('block_rq_issue', 'block_rq_complete') ORDER BY time, line_ord) AS ba FROM o4)
+  WHERE NOT (action = 'block_rq_issue' AND coalesce(ba, '') = 'block_rq_issue'))
+SELECT 'block' AS kind, count(*) AS n FROM o3 UNION ALL SELECT 'ufs', count(*) FROM {ufs} WHERE line_ord % 4 = 0 AND action <> 'other' UNION ALL SELECT 'ufscustom', count(*) FROM {ufs} WHERE line_ord % 4 = 3 AND line_ord % 24 NOT IN (3, 7)"""
+
+
+@query("k7_log_to_parquet", _K7)
 def _(spark, d):
     path = work_path(spark, "k7")
     lines(spark, d).select("line").write.text(path)
     made = sinks.log_to_parquet(spark, path, work_path(spark, "k7-out"))
-    out = spark.createDataFrame([(k, 0) for k in (UFS, BLOCK, CUSTOM) if k not in made], "kind string, n long")
+    out = None
     for kind, p in sorted(made.items()):
-        out = out.unionByName(spark.read.parquet(p).agg(F.count(F.lit(1)).alias("n")).select(F.lit(kind).alias("kind"), "n"))
+        one = spark.read.parquet(p).agg(F.count(F.lit(1)).alias("n")).select(F.lit(kind).alias("kind"), "n")
+        out = one if out is None else out.unionByName(one)
     return out
 
 
+@query("b8_benchmark_log", f"{_BENCH} SELECT * FROM b WHERE write IS NOT NULL OR read IS NOT NULL")
+def _(spark, d):
+    """From files of raw lines (iozone rows begin with blanks) to the table of results; one file, so in event order."""
+    path = work_path(spark, "b8")
+    bench_lines(spark, d).orderBy("line_ord").coalesce(1).select("line").write.text(path)
+    made = sinks.benchmark_log(spark, path, work_path(spark, "b8-out"))
+    return spark.read.parquet(made["results"]).drop("source")
+
+
+@query("b8_benchmark_log_depth", f"""{_BENCH}, e AS (SELECT iteration, CASE WHEN event_type IN ('click', 'view') THEN 1 ELSE -1 END AS v, user_id % 8 AS tag, line_ord, {_TIME} AS time FROM t WHERE m NOT IN (0, 1, 2, 11, 12, 13, 21, 22, 23, 30) AND iteration > 0),
+  x AS (SELECT *, row_number() OVER (ORDER BY time, v, tag, line_ord) AS rn FROM e), y AS (SELECT *, sum(v) OVER (PARTITION BY iteration ORDER BY rn) AS s FROM x),
+  z AS (SELECT iteration, CAST(s - least(0, min(s) OVER (PARTITION BY iteration ORDER BY rn)) AS BIGINT) AS qd FROM y) SELECT iteration, count(*) AS n, CAST(sum(qd) AS BIGINT) AS depths, max(qd) AS deepest FROM z GROUP BY 1""")
+def _(spark, d):
+    path = work_path(spark, "b8")
+    bench_lines(spark, d).orderBy("line_ord").coalesce(1).select("line").write.text(path)
+    made = sinks.benchmark_log(spark, path, work_path(spark, "b8-out"))
+    rows = spark.read.parquet(made[UFS]).groupBy(F.col("iteration").cast("long").alias("iteration"))
+    return rows.agg(F.count(F.lit(1)).alias("n"), F.sum("qd").alias("depths"), F.max("qd").alias("deepest"))
+
+
 @query("k8_analyse", _latency_sql(UFS, "dtoc"))
 def _(spark, d):
     return sinks.analyse(spark, _stored(spark, d, UFS))["latency_dtoc"]
