@@ -42,8 +42,8 @@ def assign_iteration(lines: DataFrame, buckets: int | None = None) -> DataFrame:
     too. With the running sum of steps, what a header sets is a base that holds until the next."""
     rows = lines.withColumn("class", classify(F.col("line")))
     step = ((F.col("class") == "tiotest") & (F.regexp_extract("line", TIOTEST, 1) == "Write")) | (F.col("class") == "iozone_sequential")
-    trail: list = []
-    rows = scan.bucketed(scan.settle(rows, "bench", trail), ["source"], "line_ord", buckets)
+    trail = scan.Trail()
+    rows = scan.bucketed(rows, ["source"], "line_ord", buckets, trail)
     rows = scan.running_sum(rows, ["source"], ["line_ord"], step.cast("long"), "__steps", trail)
     number = F.regexp_extract("line", FIO_HEADER, 1).try_cast("long")
     head = (F.col("class") == "fio_header") & number.isNotNull()

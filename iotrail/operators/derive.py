@@ -34,13 +34,13 @@ def _plain(df: DataFrame, drop: Sequence[str], columns: Sequence[str]) -> DataFr
 def ufs(df: DataFrame, keys: Sequence[str] = KEYS, buckets: int | None = None) -> DataFrame:
     """qd, dtoc, ctoc, ctod, continuous. A tag and opcode can be hot, so its state is carried over buckets too."""
     rows = order.with_rank(df, UFS).withColumn("__p", phase(F.col("action"))).drop("qd", "dtoc", "ctoc", "ctod", "continuous")
-    trail: list = []
-    rows = scan.bucketed(scan.settle(rows, "derive", trail), keys, "time", buckets)
+    trail = scan.Trail()
+    rows = scan.bucketed(rows, keys, "time", buckets, trail)
     by = order.order_of(UFS)
     is_i, is_c = F.col("__p") == "I", F.col("__p") == "C"
     rows = scan.last_before(rows, [*keys, "tag", "opcode"], by, {"__pair": (F.struct("__p", "time"), is_i | is_c)}, trail)
     rows = rows.withColumn("dtoc", F.when(is_c & (F.col("__pair")["__p"] == "I"), _ms(F.col("time"), F.col("__pair")["time"]))).drop("__pair")
-    rows = scan.depth(rows, keys, by, _step(F.col("__p")), trail=trail)
+    rows = scan.depth(rows, keys, by, _step(F.col("__p")), "qd", trail)
     rows = scan.last_before(
         rows,
         keys,
@@ -78,9 +78,9 @@ def block(df: DataFrame, keys: Sequence[str] = KEYS, buckets: int | None = None,
     before = F.lag(F.struct("__p", "time")).over(W.partitionBy(*keys, "sector", "__class", "__ic").orderBy(*by))
     rows = rows.withColumn("__b", before)
     rows = rows.withColumn("dtoc", F.coalesce(F.when(is_c & (F.col("__b")["__p"] == "I"), _ms(F.col("time"), F.col("__b")["time"])), "dtoc"))
-    trail: list = []
-    rows = scan.bucketed(scan.settle(rows.drop("__b", "__ic"), "derive", trail), keys, "time", buckets)
-    rows = scan.depth(rows, keys, by, _step(F.col("__p")), trail=trail)
+    trail = scan.Trail()
+    rows = scan.bucketed(rows.drop("__b", "__ic"), keys, "time", buckets, trail)
+    rows = scan.depth(rows, keys, by, _step(F.col("__p")), "qd", trail)
     known = F.col("__class") != "other"
     rows = scan.last_before(
         rows,
@@ -104,8 +104,8 @@ def custom_depth(df: DataFrame, keys: Sequence[str] = KEYS, buckets: int | None
     columns = [c for c in df.columns if c not in ("start_qd", "end_qd")]
     ends = F.array(*(F.struct(F.col(t).alias("__t"), F.lit(k).alias("__k")) for k, t in enumerate(("start_time", "end_time"))))
     rows = df.select(*columns, F.explode(ends).alias("e")).select(*columns, "e.*")
-    trail: list = []
-    rows = scan.bucketed(scan.settle(rows, "derive", trail), keys, "__t", buckets)
+    trail = scan.Trail()
+    rows = scan.bucketed(rows, keys, "__t", buckets, trail)
     by = ["__t", *order.order_of(CUSTOM), "__k"]
     rows = scan.depth(rows, keys, by, F.when(F.col("__k") == 0, 1).otherwise(-1), "__q", trail)
     whole = F.first(F.struct(*columns)).alias("row")
@@ -115,8 +115,8 @@ def custom_depth(df: DataFrame, keys: Sequence[str] = KEYS, buckets: int | None
 
 def custom(df: DataFrame, keys: Sequence[str] = KEYS, buckets: int | None = None) -> DataFrame:
     rows = custom_depth(df.drop("ctoc", "ctod", "continuous", "start_qd", "end_qd"), keys, buckets)
-    trail: list = []
-    rows = scan.bucketed(scan.settle(rows, "derive", trail), keys, "start_time", buckets)
+    trail = scan.Trail()
+    rows = scan.bucketed(rows, keys, "start_time", buckets, trail)
     always = F.lit(True)
     rows = scan.last_before(
         rows,

@@ -5,8 +5,8 @@ what later buckets must know. Results equal those of one window over the whole l
 time alone, so equal times stay together, and they are written once, so retried tasks agree.
 
 The rows that a window has gone through are written once to the shared folder; the carried state and the rows are
-both read from there, so nothing before a window ever runs twice. A trail is a list of the tables that a
-derivation has written: each step deletes those it has read and leaves its own.
+both read from there, so nothing before a window ever runs twice. If every log is small enough for one bucket, nothing
+is carried, and the windows follow one another in one plan without more writing; results are the same.
 """
 
 from __future__ import annotations
@@ -24,28 +24,38 @@ FINEST = 1024  # cuts of a log that are looked at; a multiple of COARSE
 COARSE = 32
 
 
-def settle(df: DataFrame, name: str, trail: list | None = None) -> DataFrame:
-    """df written and read back; earlier tables of the trail go."""
-    rows = materialise(df, name)
-    if trail is not None:
-        forget(*trail)
-        trail[:] = [rows]
-    return rows
+class Trail:
+    """What one derivation has written: each step deletes the tables that it has read and leaves its own."""
 
+    def __init__(self):
+        self.tables: list[DataFrame] = []
+        self.single = False  # every log has one bucket
 
-def bucketed(df: DataFrame, keys: Sequence[str], time: str, buckets: int | None = None, rows_a_bucket: int = 1_000_000) -> DataFrame:
-    """With a column __bucket, ascending with time in each log. df is read twice, so it should be a written table.
+    def settle(self, df: DataFrame, name: str) -> DataFrame:
+        rows = materialise(df, name)
+        forget(*self.tables)
+        self.tables = [rows]
+        return rows
+
+
+def bucketed(df: DataFrame, keys: Sequence[str], time: str, buckets: int | None, trail: Trail, rows_a_bucket: int = 1_000_000) -> DataFrame:
+    """df, written, with a column __bucket, ascending with time in each log.
 
     Each log has as many buckets as its rows need, FINEST at most; `buckets` sets a number for all, 1 for many small
     logs. A log with few distinct times has fewer."""
     if buckets == 1:
+        trail.single = True
         return df.withColumn(BUCKET, F.lit(0))
+    df = trail.settle(df, "scan-rows")
     shares = F.array(*(F.lit(k / FINEST) for k in range(1, FINEST)))
     per = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"), F.percentile_approx(F.col(time).cast("double"), shares, 10_000).alias("__all"))
     want = F.lit(min(buckets, FINEST)) if buckets else F.least(F.lit(FINEST), F.ceil(F.col("__n") / rows_a_bucket)).cast("int")
     chosen = F.when(want > 1, F.transform(F.sequence(F.lit(1), F.greatest(want - 1, F.lit(1))), lambda j: F.get(F.col("__all"), F.floor(j * FINEST / want).cast("int") - 1)))
     cuts = F.filter(F.array_distinct(F.coalesce(chosen, F.array().cast("array<double>"))), lambda c: c.isNotNull())
     cuts = materialise(per.select(*keys, cuts.alias("__cuts")), "scan-cuts", 1)
+    if cuts.where(F.size("__cuts") > 0).isEmpty():
+        trail.single = True
+        return df.withColumn(BUCKET, F.lit(0))
     upto = lambda some: F.size(F.filter(some, lambda c: c <= F.col(time)))
     coarse = F.transform(F.sequence(F.lit(1), F.floor(F.size("__cuts") / COARSE).cast("int")), lambda k: F.get(F.col("__cuts"), k * COARSE - 1))
     first = F.when(F.size("__cuts") >= COARSE, upto(coarse)).otherwise(0) * COARSE  # cuts ascend, so whole runs of them can be passed over
@@ -57,11 +67,13 @@ def _local(keys: Sequence[str], order: Sequence[Column | str]):
     return W.partitionBy(*keys, BUCKET).orderBy(*order)
 
 
-def depth(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], delta: Column, name: str = "qd", trail: list | None = None) -> DataFrame:
+def depth(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], delta: Column, name: str, trail: Trail) -> DataFrame:
     """A counter that moves by delta at each row and never goes below 0, after each row."""
     upto = _local(keys, order).rowsBetween(W.unboundedPreceding, 0)
     rows = df.withColumn("__d", delta).withColumn("__s", F.sum("__d").over(upto)).withColumn("__m", F.min("__s").over(upto))
-    rows = settle(rows, "scan-depth", trail)
+    if trail.single:
+        return rows.withColumn(name, (F.col("__s") - F.least(F.lit(0), F.col("__m"))).cast("long")).drop("__d", "__s", "__m")
+    rows = trail.settle(rows, "scan-depth")
     per = rows.groupBy(*keys, BUCKET).agg(F.sum("__d").alias("t"), F.min("__s").alias("m"))
     before = W.partitionBy(*keys).orderBy(BUCKET).rowsBetween(W.unboundedPreceding, -1)
     per = per.withColumn("__off", F.coalesce(F.sum("t").over(before), F.lit(0)))
@@ -71,7 +83,7 @@ def depth(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], del
     return joined.withColumn(name, value.cast("long")).drop("__d", "__s", "__m", "__off", "__low")
 
 
-def last_before(df: DataFrame, keys: Sequence[str], order: Sequence[str], values: dict[str, tuple[Column, Column]], trail: list | None = None) -> DataFrame:
+def last_before(df: DataFrame, keys: Sequence[str], order: Sequence[str], values: dict[str, tuple[Column, Column]], trail: Trail) -> DataFrame:
     """For each name (value, condition): the value at the last row before this one where the condition holds.
 
     Null if there is none. `order` must be a total order of column names."""
@@ -80,7 +92,9 @@ def last_before(df: DataFrame, keys: Sequence[str], order: Sequence[str], values
     for name, (value, when) in values.items():
         rows = rows.withColumn(f"__v_{name}", F.when(when, F.struct(value.alias("x"))))
     rows = rows.select("*", *(F.last(f"__v_{n}", ignorenulls=True).over(prior).alias(f"__l_{n}") for n in values))
-    rows = settle(rows, "scan-last", trail)
+    if trail.single:
+        return rows.withColumns({n: F.col(f"__l_{n}")["x"] for n in values}).drop(*(f"__{p}_{n}" for p in "vl" for n in values))
+    rows = trail.settle(rows, "scan-last")
     rank = F.struct(*order)
     per = rows.groupBy(*keys, BUCKET).agg(*(F.max_by(f"__v_{n}", F.when(F.col(f"__v_{n}").isNotNull(), rank)).alias(f"t_{n}") for n in values))
     before = W.partitionBy(*keys).orderBy(BUCKET).rowsBetween(W.unboundedPreceding, -1)
@@ -91,10 +105,12 @@ def last_before(df: DataFrame, keys: Sequence[str], order: Sequence[str], values
     return joined.drop(*(f"__{p}_{n}" for p in "vlc" for n in values))
 
 
-def running_sum(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: Column, name: str, trail: list | None = None) -> DataFrame:
+def running_sum(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: Column, name: str, trail: Trail) -> DataFrame:
     upto = _local(keys, order).rowsBetween(W.unboundedPreceding, 0)
     rows = df.withColumn("__d", value).withColumn("__s", F.sum("__d").over(upto))
     before = W.partitionBy(*keys).orderBy(BUCKET).rowsBetween(W.unboundedPreceding, -1)
-    rows = settle(rows, "scan-sum", trail)
+    if trail.single:
+        return rows.withColumn(name, F.col("__s")).drop("__d", "__s")
+    rows = trail.settle(rows, "scan-sum")
     per = rows.groupBy(*keys, BUCKET).agg(F.sum("__d").alias("t")).select(*keys, BUCKET, F.coalesce(F.sum("t").over(before), F.lit(0)).alias("__off"))
     return rows.join(per, [*keys, BUCKET]).withColumn(name, F.col("__off") + F.col("__s")).drop("__d", "__s", "__off")

@@ -223,8 +223,9 @@ def _(spark, d):
 @query("p5b_parse_custom_strict", "SELECT line_ord, row_number() OVER (ORDER BY dtoc, line_ord) AS rank FROM (SELECT line_ord, round(dtoc, 3) AS dtoc FROM {ufscustom} WHERE line_ord % 4 = 3 AND line_ord % 24 NOT IN (3, 7))")
 def _(spark, d):
     got = parse.parse_custom_strict(lines(spark, d)).withColumn("dtoc", F.round("dtoc", 3))
-    got = scan.bucketed(scan.settle(got, "p5b"), ["source"], "dtoc", 16)
-    got = scan.running_sum(got, ["source"], ["dtoc", "line_ord"], F.lit(1).cast("long"), "rank")
+    trail = scan.Trail()
+    got = scan.bucketed(got, ["source"], "dtoc", 16, trail)
+    got = scan.running_sum(got, ["source"], ["dtoc", "line_ord"], F.lit(1).cast("long"), "rank", trail)
     return got.select("line_ord", "rank")
 
 
@@ -277,8 +278,9 @@ def _(spark, d):
 
 @query("o1_canonical_order", "SELECT line_ord, row_number() OVER (ORDER BY time, CASE WHEN action LIKE 'c%' THEN 0 WHEN action LIKE 's%' THEN 1 ELSE 2 END, tag, line_ord) AS place FROM {ufs}")
 def _(spark, d):
-    rows = scan.bucketed(scan.settle(order.with_rank(view(spark, d, UFS), UFS), "o1"), ["source"], "time", 32)
-    return scan.running_sum(rows, ["source"], order.order_of(UFS), F.lit(1).cast("long"), "place").select("line_ord", "place")
+    trail = scan.Trail()
+    rows = scan.bucketed(order.with_rank(view(spark, d, UFS), UFS), ["source"], "time", 32, trail)
+    return scan.running_sum(rows, ["source"], order.order_of(UFS), F.lit(1).cast("long"), "place", trail).select("line_ord", "place")
 
 
 _TWICE = "(SELECT * FROM {%s} UNION ALL SELECT * REPLACE (line_ord + 100000000 AS line_ord) FROM {%s})"

@@ -187,3 +187,24 @@ def test_latency_table_modes(spark):
 
 
 assert UFS
+
+
+def test_a_derivation_reads_its_input_once(spark, tmp_path):
+    """Whether logs have one bucket or several, the plan that is left reads written rows, not what made them."""
+    rows = [(f"s{i % 2}", i, i / 10, ("send_req", "complete_rsp")[i // 2 % 2], i % 3, "0x28", i, 8) for i in range(200)]
+    spark.createDataFrame(rows, "source string, line_ord long, time double, action string, tag long, opcode string, lba long, size long").write.parquet(str(tmp_path / "log"))
+    runs = spark.sparkContext.accumulator(0)
+    log = spark.read.parquet(str(tmp_path / "log"))
+
+    def counted(parts):
+        for part in parts:
+            runs.add(len(part))
+            yield part
+
+    for buckets in (None, 1, 5):
+        before = runs.value
+        got = derive.derive(log.mapInPandas(counted, log.schema), "ufs", buckets=buckets)
+        assert got.count() == 200
+        assert runs.value - before == 200
+        if buckets != 1:
+            assert str(tmp_path) not in got._jdf.queryExecution().toString()
