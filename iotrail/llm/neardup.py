@@ -138,6 +138,14 @@ def _lists(reps: DataFrame, k: int, threshold: float, errors: float) -> DataFram
     return entries.select(F.col("x.v").alias("v"), "rep", "n", (F.col("all") - F.col("at")).alias("left"), "own")
 
 
+def _in_pairs(rows: DataFrame, pairs: DataFrame, most: int = 500_000) -> DataFrame:
+    """rows(doc_id, ...) of the documents in pairs(a, b), so that joins shuffle no others. Their ids are broadcast if there
+    are at most `most` (counted; 8 bytes each); if there are more, all rows are left in, which changes no result."""
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    ids = materialise(ids, "shingle-ids", 1)
+    return rows.join(F.broadcast(ids), "doc_id", "left_semi") if ids.count() <= most else rows
+
+
 def _components_of(docs: DataFrame, reps: DataFrame, size: int, percent: int, k: int, threshold: float, errors: float) -> DataFrame | None:
     first = materialise(_lists(reps, k, threshold, errors).select("v", "rep"), "shingle-lists", LIGHT)
     met = first.groupBy("v").agg(F.min("rep").alias("x"), F.max("rep").alias("y")).where("x < y").select("v")
@@ -161,13 +169,15 @@ def _components_of(docs: DataFrame, reps: DataFrame, size: int, percent: int, k:
             & (F.least("n", "ln") >= threshold * F.greatest("n", "ln") - 1e-9)
             & (F.least("left", "ll") >= _shared(F.col("n"), F.col("ln"), wide, threshold, errors))
         )
-        pairs = met.select(F.least("rep", "lr").alias("a"), F.greatest("rep", "lr").alias("b")).distinct()
+        met = materialise(met.select(F.least("rep", "lr").alias("a"), F.greatest("rep", "lr").alias("b")).distinct(), "shingle-pairs", LIGHT)
+        pairs, some = met, _in_pairs(sketches, met)
         for c in ("a", "b"):
-            pairs = pairs.join(sketches.select(F.col("doc_id").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"s{c}")), c)
+            pairs = pairs.join(some.select(F.col("doc_id").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"s{c}")), c)
         enough = F.size(F.array_intersect("sa", "sb")) >= _shared(F.col("na"), F.col("nb"), wide, threshold, errors)
         needed = threshold - _margin(F.greatest("na", "nb"), wide, threshold, errors) - 1e-9
         likely = pairs.where(F.when(enough, _estimate(F.col("sa"), F.col("sb"), wide) >= needed).otherwise(False)).select("a", "b")
-        links = materialise(confirm(likely, texts, size, percent), "shingle-links", LIGHT)
+        likely = materialise(likely, "shingle-likely", LIGHT)
+        links = materialise(confirm(likely, _in_pairs(texts, likely), size, percent), "shingle-links", LIGHT)
         if not links.isEmpty():
             component, old = merge(component, links), component
             forget(old)
@@ -178,7 +188,7 @@ def _components_of(docs: DataFrame, reps: DataFrame, size: int, percent: int, k:
         rest = materialise(rest.select(*columns), "shingle-lists", LIGHT)
         open_ = rest.groupBy("v").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("v")
         old, lists = lists, materialise(rest.join(materialise(open_, "shingle-open", LIGHT), "v", "left_semi").select(*columns), "shingle-lists", LIGHT)
-        forget(old, rest, lead, links)
+        forget(old, rest, lead, links, met, likely)
         leaders *= 16
     forget(texts, sketches, lists)
     return component
