@@ -596,7 +596,7 @@ def _(spark, d):
     done = stored.migrate_dir(spark, [old, _stored(spark, d, UFS)], target)
     out = None
     for m in done:
-        one = spark.read.parquet(f"{target}/{m.path.rsplit('/', 1)[-1]}").agg(F.count(F.lit(1)).alias("n")).select(F.lit(m.kind).alias("kind"), F.lit(m.changed).alias("changed"), "n")
+        one = spark.read.parquet(m.target).agg(F.count(F.lit(1)).alias("n")).select(F.lit(m.kind).alias("kind"), F.lit(m.changed).alias("changed"), "n")
         out = one if out is None else out.unionByName(one)
     return out
 

@@ -37,18 +37,45 @@ class Migrated:
     kind: str | None
     changed: bool
     error: str | None
+    target: str | None = None
 
 
-def migrate_dir(spark: SparkSession, paths: list[str], target: str) -> list[Migrated]:
-    """Each dataset to its place below target; the old ones stay. One that fails is reported, and the rest go on."""
+def _below(paths: list[str]) -> dict[str, str]:
+    """Each path without the folders that all have in common, so no two have one name."""
+    parts = {p: p.rstrip("/").split("/") for p in paths}
+    same = 0
+    while all(len(x) > same + 1 for x in parts.values()) and len({x[same] for x in parts.values()}) == 1:
+        same += 1
+    return {p: "/".join(x[same:]) for p, x in parts.items()}
+
+
+def datasets(spark: SparkSession, folder: str) -> list[str]:
+    """Parquet files, and folders that hold some themselves, at any depth below a folder (names, not data)."""
+    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    fs, found, open_ = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), [], [root]
+    while open_:
+        here = open_.pop()
+        for s in sorted(fs.listStatus(here), key=lambda s: s.getPath().getName()):
+            name, path = s.getPath().getName(), s.getPath()
+            if name[0] in "._":
+                continue
+            if s.isDirectory() and not name.endswith(".parquet"):
+                open_.append(path)
+            elif name.endswith(".parquet"):
+                found.append(path.toString() if s.isDirectory() or not here.getName().endswith(".parquet") else here.toString())
+    return sorted(set(found))
+
+
+def migrate_dir(spark: SparkSession, paths: str | list[str], target: str) -> list[Migrated]:
+    """Each dataset to its place below target, by its path below what all have in common; the old ones stay. A string is
+    a folder whose datasets at any depth are meant. One that fails is reported, and the rest go on."""
     out = []
-    for path in paths:
-        name = path.rstrip("/").rsplit("/", 1)[-1]
+    for path, name in _below(datasets(spark, paths) if isinstance(paths, str) else list(dict.fromkeys(paths))).items():
         try:
             old = spark.read.parquet(path)
             kind = event_type(old.columns)
             migrate(old, kind).write.mode("overwrite").parquet(f"{target}/{name}")
-            out.append(Migrated(path, kind, not is_current(old, kind), None))
+            out.append(Migrated(path, kind, not is_current(old, kind), None, f"{target}/{name}"))
         except Exception as e:  # the report is the feature: a bad file must not stop the others
             out.append(Migrated(path, None, False, str(e).splitlines()[0]))
     return out

@@ -98,6 +98,15 @@ def test_migration(spark, tmp_path):
     assert events.is_current(spark.read.parquet(str(tmp_path / "new/old")), CUSTOM)
 
 
+def test_migration_keeps_datasets_of_one_name_apart(spark, tmp_path):
+    for k, place in enumerate(("a/log.parquet", "b/c/log.parquet", "d.parquet")):
+        rows = [("0x28", i, 8, 1.0, 2.0, 1000.0) for i in range(k + 1)]
+        spark.createDataFrame(rows, "opcode string, lba long, size long, start_time double, end_time double, dtoc double").write.parquet(str(tmp_path / "in" / place))
+    for paths in (str(tmp_path / "in"), [str(tmp_path / "in" / p) for p in ("a/log.parquet", "b/c/log.parquet", "d.parquet")]):
+        done = events.migrate_dir(spark, paths, str(tmp_path / f"out-{type(paths).__name__}"))
+        assert [spark.read.parquet(m.target).count() for m in done] == [1, 2, 3] and all(m.kind == CUSTOM for m in done)
+
+
 def test_csv_files(spark, tmp_path):
     df = spark.range(100).select((F.col("id") / 10).alias("start_time"), (F.col("id") / 10 + 1).alias("end_time"), F.lit("0x28").alias("opcode"))
     index = sinks.write_csv(df, str(tmp_path / "csv"), CUSTOM, most_rows=30).orderBy("first_time").collect()
