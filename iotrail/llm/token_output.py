@@ -72,6 +72,17 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     return rows.join(F.broadcast(offsets), "part").select("doc_id", (F.col("local_start") + F.col("before")).alias("start"), "n_tokens", "ids")
 
 
+def read_tokens(spark: SparkSession, path: str, first_id: int, last_id: int) -> DataFrame:
+    """doc_id, n_tokens, ids of the documents from first_id to last_id: the range reaches the scan, where row groups and
+    pages without such documents are passed over by their statistics."""
+    return spark.read.schema(SCHEMA).parquet(path).where(F.col("doc_id").between(first_id, last_id)).select("doc_id", "n_tokens", "ids")
+
+
+def read_counts(spark: SparkSession, path: str) -> DataFrame:
+    """doc_id, n_tokens: no page of ids is read."""
+    return spark.read.schema(SCHEMA).parquet(path).select("doc_id", "n_tokens")
+
+
 def with_crc(df: DataFrame, ids: str = "ids") -> DataFrame:
     """Replaces the list column by ids_crc32 of its values as little-endian unsigned 32-bit integers."""
     kept = [c for c in df.columns if c != ids]

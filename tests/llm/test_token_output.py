@@ -49,3 +49,45 @@ def test_forgetting_changes_nothing():
     for a in range(0, 300, 20):
         assert few.encode(texts[a : a + 20])[0].tolist() == many.encode(texts[a : a + 20])[0].tolist()
     assert len(few.known) < 200
+
+
+def test_selective_reads(spark):
+    """Encodings, row groups and page indexes are there, and reads reach only what they ask for."""
+    import glob
+
+    import pyarrow.parquet as pq
+
+    docs = spark.createDataFrame([(i, f"some words of document {i} " * 40) for i in range(3000)], "doc_id long, text string")
+    path = common.work_path(spark, "t")
+    token_output.write(token_output.encode(docs, public_tokenizers.path("byte_bpe_50k.json")), path, row_group_mb=1, page_kb=16, page_rows=100)
+    files = sorted(glob.glob(path.removeprefix("file:") + "/*.parquet"))
+    last = None
+    for f in files:
+        meta = pq.ParquetFile(f).metadata
+        for g in range(meta.num_row_groups):
+            columns = {meta.row_group(g).column(k).path_in_schema: meta.row_group(g).column(k) for k in range(meta.num_columns)}
+            ids = next(c for n, c in columns.items() if n.startswith("ids"))
+            assert "RLE_DICTIONARY" in ids.encodings and columns["doc_id"].has_offset_index and columns["doc_id"].has_column_index
+            assert "DELTA_BINARY_PACKED" in columns["local_start"].encodings or "RLE_DICTIONARY" in columns["local_start"].encodings
+            low, high = columns["doc_id"].statistics.min, columns["doc_id"].statistics.max
+            assert last is None or low > last
+            last = high
+    some = token_output.read_tokens(spark, path, 100, 120)
+    plan = some._jdf.queryExecution().toString()
+    assert "GreaterThanOrEqual(doc_id,100)" in plan and "LessThanOrEqual(doc_id,120)" in plan
+    assert sorted(r.doc_id for r in some.collect()) == list(range(100, 121))
+    counts = token_output.read_counts(spark, path)
+    assert "ids" not in counts._jdf.queryExecution().toString().rsplit("ReadSchema", 1)[-1]
+    assert {r.doc_id: r.n_tokens for r in counts.where("doc_id < 5").collect()} == {r.doc_id: len(r.ids) for r in token_output.read_tokens(spark, path, 0, 4).collect()}
+
+
+def test_other_tokenizer_files_go_through_the_library(tmp_path):
+    """A file whose pre-tokenizer isn't known here gives the library's own ids."""
+    plain = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    from tokenizers import pre_tokenizers
+
+    plain.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=True)
+    plain.save(str(tmp_path / "t.json"))
+    texts = [t or "" for t in ODD]
+    ids, n = common.PieceEncoder(str(tmp_path / "t.json")).encode(texts, 0)
+    assert ids.tolist() == sum([[*plain.encode(t, add_special_tokens=False).ids, 0] for t in texts], [])
