@@ -194,15 +194,22 @@ def _components_of(docs: DataFrame, reps: DataFrame, size: int, percent: int, k:
     return component
 
 
-def keep_one(docs: DataFrame, **options) -> DataFrame:
+def keep_one(docs: DataFrame, most: int = 2_000_000, **options) -> DataFrame:
     """One document of each group, that of the least doc_id, with the columns docs has.
 
-    Rows are linked by a number of their own, so rows that repeat a doc_id or have none are documents like others."""
+    Rows are linked by a number of their own, so rows that repeat a doc_id or have none are documents like others.
+    The numbers of the rows that go are broadcast if there are at most `most` (counted; 8 bytes each), so that whole texts
+    are not shuffled; if there are more, a join shuffles rows by number, with the same result."""
     rows = materialise(docs.withColumn("__row", F.monotonically_increasing_id()), "keep-rows")
     found = link(rows.select(F.col("__row").alias("doc_id"), "text"), **options).select(F.col("doc_id").alias("__row"), "component_id")
-    known = found.join(rows.select("__row", F.col("doc_id").cast("long").alias("id")), "__row")
-    least = known.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "__row")).alias("x"))
-    return rows.join(materialise(least.select("x.__row"), "kept-rows"), "__row", "left_semi").select(*(F.col(f"`{c}`") for c in docs.columns))
+    known = materialise(found.join(rows.select("__row", F.col("doc_id").cast("long").alias("id")), "__row"), "keep-known", LIGHT)
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "__row")).alias("x")
+    groups = known.groupBy("component_id").agg(first, F.count(F.lit(1)).alias("size")).where("size > 1").select("component_id", F.col("x.__row").alias("stays"))
+    groups = materialise(groups, "keep-groups", LIGHT)
+    gone = materialise(known.join(groups, "component_id").where(F.col("__row") != F.col("stays")).select("__row"), "keep-gone", LIGHT)
+    if gone.count() <= most:
+        gone = F.broadcast(gone)
+    return rows.join(gone, "__row", "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -108,10 +108,11 @@ def test_token_counts_with_null_ids(spark, tmp_path):
     assert got == [(3, sum(len(tokens.encode(t).ids) + 1 for t in ("one two three", "four five", "six")))]
 
 
-def test_keep_one_of_rows_without_an_id_of_their_own(spark):
+@pytest.mark.parametrize("most", [2_000_000, 0])
+def test_keep_one_of_rows_without_an_id_of_their_own(spark, most):
     text = [" ".join(f"{x}{k}" for k in range(30)) for x in "abc"]
     rows = [(1, text[0]), (1, text[0]), (None, text[0]), (None, text[1]), (None, text[1]), (3, text[2]), (2, text[2]), (None, None), (9, "")]
-    got = [(r.doc_id, r.text) for r in neardup.keep_one(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()]
+    got = [(r.doc_id, r.text) for r in neardup.keep_one(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), most).collect()]
     assert sorted(got, key=str) == sorted([(1, text[0]), (None, text[1]), (2, text[2]), (None, None), (9, "")], key=str)
 
 
