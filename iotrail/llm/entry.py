@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 
+from .alignment import op13_alignment
 from .chat import OP7_SQL, op7_chat
 from .counts import op3_token_counts
 from .decontaminate import op9_decontamination
+from .language import op12_language
 from .neardup import OP2_SQL, op2_near_duplicates
 from .packing import op10_packing
 from .pii import op8_pii
@@ -18,6 +20,7 @@ from .quality import op6_quality
 from .secrets import op4_secrets
 from .token_output import op1_token_output
 from .vectors import OP5_SQL, op5_vectors
+from .whitening import op11_whitening
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -32,6 +35,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_pii": op8_pii,
         "op9_decontamination": op9_decontamination,
         "op10_packing": op10_packing,
+        "op11_whitening": op11_whitening,
+        "op12_language": op12_language,
+        "op13_alignment": op13_alignment,
         "pipeline": corpus_pipeline.run,
     }
 
