@@ -1,66 +1,288 @@
-"""Queue depth, latencies and sequentiality on a live stream of UFS events, one state per log."""
+"""Queue depth, latencies and sequentiality on a live stream of events, one state per log, for all three families.
+
+A micro-batch of a log is put in order and goes through whole-column operations; state is read once and written once a
+batch: a value with the carried scalars, and lists with outstanding requests and rows that wait. Rows that come in
+another order than that of their times wait until the log's own time (of its latest row) is `delay` seconds beyond them;
+without a delay each batch is taken as complete. A row that should have come before one that has been passed on is late: it
+comes out with late = true and no values, and changes nothing.
+
+A row with an infinite time closes its log: all that waits comes out, and what follows begins anew. Results then equal
+those of the batch functions over the same rows (less late ones); without it the last rows, and custom requests that end
+after the last start, are still waiting. Only logs with rows in a batch are touched.
+
+State is lists and values of RocksDB, so the session must name its provider: see use_rocksdb(). What waits and what
+is outstanding is held for each log; requests older than `expire` seconds of log time are given up if that is set.
+"""
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-OUT = "source string, line_ord long, time double, qd long, dtoc double, ctoc double, ctod double, continuous boolean, late boolean"
-STATE = "qd long, since double, idle double, next_lba long, next_opcode string, last_time double, last_rank int, last_tag long, last_ord long"
+from ..schemas import BLOCK, CUSTOM, MILLISECONDS, UFS
 
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+DERIVED = {
+    UFS: "qd long, dtoc double, ctoc double, ctod double, continuous boolean, late boolean",
+    BLOCK: "qd long, dtoc double, ctoc double, ctod double, continuous boolean, late boolean",
+    CUSTOM: "start_qd long, end_qd long, ctoc double, ctod double, continuous boolean, late boolean",
+}
+NOW = "scalars string"
+OPEN = "what int, key string, time double"
+PAIR, QUEUED, ISSUED = range(3)
+CLASSES = {"R": "read", "W": "write", "D": "discard"}
 
-class UfsState(StatefulProcessor):
-    """Rows of a micro-batch are put in order; one that comes after a later row of an earlier batch is late: it is
-    counted through (marked late, no values) and changes no state."""
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.now = handle.getValueState("now", STATE)
-        self.sent = handle.getMapState("sent", "tag long, opcode string", "time double")
+def use_rocksdb(spark: SparkSession) -> None:
+    """States with several lists need the RocksDB provider; queries that start later use it."""
+    spark.conf.set(PROVIDER, ROCKSDB)
+
+
+def _before(values: np.ndarray, when: np.ndarray, first):
+    """For each row, the value at the last row before it where `when` holds, `first` if there is none; and what the last
+    row leaves."""
+    at = np.maximum.accumulate(np.append(-1, np.where(when, np.arange(len(values)), -1)))
+    out = np.empty(len(at), object)
+    out[:] = [first if k < 0 else values[k] for k in at.tolist()]
+    return out[:-1], out[-1]
+
+
+def _ms(later, earlier: np.ndarray) -> np.ndarray:
+    return np.array([0.0 if e is None else (t - e) * MILLISECONDS for t, e in zip(later, earlier)], float)
+
+
+def _follow(keys: list, begins: np.ndarray, ends: np.ndarray, time: np.ndarray, open_: dict) -> list:
+    """For each row that ends something: the time of the open beginning of its key, which it takes away, or None. A new
+    beginning takes the place of the old one."""
+    out = [None] * len(keys)
+    for k in np.flatnonzero(begins | ends).tolist():
+        if begins[k]:
+            open_[keys[k]] = float(time[k])
+        else:
+            out[k] = open_.pop(keys[k], None)
+    return out
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows))
-        batch["rank"] = batch["action"].str[:1].map({"c": 0, "s": 1}).fillna(2).astype(int)
-        batch = batch.sort_values(["time", "rank", "tag", "line_ord"], kind="stable")
-        got = self.now.get() if self.now.exists() else None
-        qd, since, idle, lba, opcode, *last = got if got else (0, None, None, None, None, None, None, None, None)
-        out = []
-        for r in batch.itertuples():
-            here = (float(r.time), int(r.rank), int(r.tag), int(r.line_ord))
-            if last[0] is not None and here < tuple(last):
-                out.append((key[0], here[3], here[0], None, None, None, None, None, True))
-                continue
-            last = here
-            dtoc = ctoc = ctod = 0.0
-            follows = False
-            pair = (here[2], r.opcode)
-            if r.action == "send_req":
-                follows = lba is not None and int(r.lba) == lba and r.opcode == opcode
-                lba, opcode = int(r.lba) + int(r.size), r.opcode
-                self.sent.updateValue(pair, (here[0],))
-                qd += 1
-                if qd == 1:
-                    ctod = (here[0] - idle) * 1000 if idle is not None else 0.0
-                    since = here[0]
-            elif r.action == "complete_rsp":
-                qd = max(0, qd - 1)
-                if self.sent.containsKey(pair):
-                    dtoc = (here[0] - self.sent.getValue(pair)[0]) * 1000
-                    self.sent.removeKey(pair)
-                ctoc = (here[0] - since) * 1000 if since is not None else 0.0
-                since = here[0]
-                if qd == 0:
-                    idle = here[0]
-            out.append((key[0], here[3], here[0], qd, dtoc, ctoc, ctod, follows, False))
-        self.now.update((qd, since, idle, lba, opcode, *last))
-        yield pd.DataFrame(out, columns=[c.split()[0] for c in OUT.split(", ")])
+
+class _Log(StatefulProcessor):
+    """What all families share: order, waiting, late rows, closing."""
+
+    time, order = "time", ()
+
+    def __init__(self, row: T.StructType, out: T.StructType, delay: float | None, expire: float | None):
+        self.row, self.out, self.delay, self.expire = row, out, delay, expire
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.now = handle.getValueState("now", NOW)
+        self.waiting = handle.getListState("waiting", self.row)
+        self.open = handle.getListState("open", OPEN)
 
     def close(self) -> None:
         pass
 
+    @staticmethod
+    def _put(state, rows: list[tuple]) -> None:
+        if rows:
+            state.put(rows)
+        elif state.exists():
+            state.clear()
+
+    def _frame(self, rows) -> pd.DataFrame:
+        return pd.DataFrame(list(rows), columns=self.row.names)
+
+    def keys(self, rows: pd.DataFrame) -> list[tuple]:
+        raise NotImplementedError
+
+    def derive(self, rows: pd.DataFrame, now: dict, open_: dict, frontier: float) -> pd.DataFrame:
+        raise NotImplementedError
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        batch = pd.concat(list(rows), ignore_index=True)[self.row.names]
+        now = json.loads(self.now.get()[0]) if self.now.exists() else {}
+        open_ = {(w, k): t for w, k, t in self.open.get()} if self.open.exists() else {}
+        time = batch[self.time].astype(float)
+        closing = bool(np.isinf(time).any())
+        batch = batch[~np.isinf(time)]
+        high = max([now.get("high", -np.inf), *batch[self.time].astype(float)])
+        frontier = np.inf if closing else high if self.delay is None else high - self.delay
+        last = tuple(now["last"]) if "last" in now else None
+        place = self.keys(batch)
+        late = np.array([last is not None and p < last for p in place], bool)
+        if self.waiting.exists():
+            batch = pd.concat([self._frame(self.waiting.get()), batch[~late], batch[late]], ignore_index=True)
+        else:
+            batch = pd.concat([batch[~late], batch[late]], ignore_index=True)
+        lost, batch = batch[len(batch) - int(late.sum()) :], batch[: len(batch) - int(late.sum())]
+        place = self.keys(batch)
+        order = sorted(range(len(place)), key=place.__getitem__)
+        ready = order if closing or self.delay is None else [k for k in order if place[k][0] < frontier]
+        some = batch.iloc[ready].reset_index(drop=True)
+        if ready:
+            now["last"] = place[ready[-1]]
+        out = self.derive(some, now, open_, frontier)
+        if len(lost):
+            out = pd.concat([out, lost.assign(late=True).reindex(columns=self.out.names)], ignore_index=True)
+        if closing:
+            now, open_, rest = {}, {}, []
+        else:
+            now["high"] = high
+            rest = [tuple(r) for r in batch.iloc[order[len(ready) :]].itertuples(index=False, name=None)]
+        if self.expire is not None:
+            open_ = {k: t for k, t in open_.items() if t >= high - self.expire}
+        self.now.update((json.dumps(now),))
+        self._put(self.waiting, rest)
+        self._put(self.open, [(w, k, t) for (w, k), t in open_.items()])
+        yield self._typed(out)
+
+    def _typed(self, out: pd.DataFrame) -> pd.DataFrame:
+        whole = {"qd", "start_qd", "end_qd"}
+        return pd.DataFrame({n: out[n].astype("Int64") if n in whole else out[n].astype("boolean") if n in ("continuous", "late") else out[n] for n in self.out.names})
+
+    @staticmethod
+    def depth(step: np.ndarray, first: int) -> np.ndarray:
+        """A counter that never goes below 0, after each row."""
+        s = first + np.cumsum(step)
+        return s - np.minimum(0, np.minimum.accumulate(s)) if len(s) else s
+
+    def common(self, time: np.ndarray, is_i: np.ndarray, is_c: np.ndarray, now: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """qd, and the times that ctoc and ctod count from."""
+        qd = self.depth(is_i.astype(int) - is_c, now.get("qd", 0))
+        now["qd"] = int(qd[-1]) if len(qd) else now.get("qd", 0)
+        since, now["since"] = _before(time, is_c | (is_i & (qd == 1)), now.get("since"))
+        idle, now["idle"] = _before(time, is_c & (qd == 0), now.get("idle"))
+        for name in ("since", "idle"):
+            now[name] = None if now[name] is None else float(now[name])
+        return qd, since, idle
+
+
+class UfsLog(_Log):
+    def keys(self, rows: pd.DataFrame) -> list[tuple]:
+        rank = rows["action"].str[:1].map({"c": 0, "s": 1}).fillna(2).astype(int)
+        return list(zip(rows["time"].astype(float).tolist(), rank.tolist(), rows["tag"].tolist(), rows["line_ord"].tolist()))
+
+    def derive(self, rows, now, open_, frontier):
+        time, action = rows["time"].to_numpy(float), rows["action"].to_numpy(object)
+        is_i, is_c = action == "send_req", action == "complete_rsp"
+        qd, since, idle = self.common(time, is_i, is_c, now)
+        keys = [(PAIR, f"{t} {o}") for t, o in zip(rows["tag"].tolist(), rows["opcode"].tolist())]
+        sent = _follow(keys, is_i, is_c, time, open_)
+        here = np.empty(len(rows), object)
+        here[:] = [[a, o] for a, o in zip(rows["lba"].tolist(), rows["opcode"].tolist())]
+        ends = np.empty(len(rows), object)
+        ends[:] = [[a + s, o] for (a, o), s in zip(here, rows["size"].tolist())]
+        follow, now["next"] = _before(ends, is_i, now.get("next"))
+        return rows.assign(
+            qd=qd, dtoc=_ms(time, sent), ctoc=np.where(is_c, _ms(time, since), 0.0), ctod=np.where(is_i & (qd == 1), _ms(time, idle), 0.0),
+            continuous=is_i & np.array([a == b for a, b in zip(here, follow)], bool), late=False,
+        )
+
+
+class BlockLog(_Log):
+    def keys(self, rows: pd.DataFrame) -> list[tuple]:
+        return list(zip(rows["time"].astype(float).tolist(), map(int, rows["sector"]), rows["size"].tolist(), rows["line_ord"].tolist()))
+
+    def derive(self, rows, now, open_, frontier):
+        time, action = rows["time"].to_numpy(float), rows["action"].to_numpy(object)
+        sector, kind = list(map(int, rows["sector"])), np.array([CLASSES.get(i[:1], "other") for i in rows["io_type"]], object)
+        size = rows["size"].tolist()
+        queued = [(QUEUED, f"{a} {b} {s} {n} {c}") for a, b, s, n, c in zip(rows["devmajor"], rows["devminor"], sector, size, rows["comm"])]
+        first = _ms(time, _follow(queued, action == "Q", action == "C", time, open_))
+        # Completions of empty writes go, then issues of what is outstanding already.
+        issue, done = action == "block_rq_issue", action == "block_rq_complete"
+        stays = ~(done & rows["io_type"].str.startswith("W").to_numpy(bool) & (rows["size"].to_numpy() == 0))
+        for k in np.flatnonzero((issue | done) & stays).tolist():
+            key = (ISSUED, f"{sector[k]} {kind[k]} {size[k]}")
+            if done[k]:
+                open_.pop(key, None)
+            elif key in open_:
+                stays[k] = False
+            else:
+                open_[key] = float(time[k])
+        rows, time, first, kind, action = rows[stays].reset_index(drop=True), time[stays], first[stays], kind[stays], action[stays]
+        sector = [s for s, k in zip(sector, stays) if k]
+        is_i, is_c = np.isin(action, ("block_rq_issue", "Q")), np.isin(action, ("block_rq_complete", "C"))
+        qd, since, idle = self.common(time, is_i, is_c, now)
+        sent = _follow([(PAIR, f"{s} {c}") for s, c in zip(sector, kind)], is_i, is_c, time, open_)
+        known = is_i & (kind != "other")
+        here, ends = np.empty(len(rows), object), np.empty(len(rows), object)
+        here[:] = [[s, c] for s, c in zip(sector, kind)]
+        ends[:] = [[s + n, c] for s, n, c in zip(sector, rows["size"].tolist(), kind)]
+        follow, now["next"] = _before(ends, known, now.get("next"))
+        return rows.assign(
+            qd=qd, dtoc=np.where([s is not None for s in sent], _ms(time, sent), first), ctoc=np.where(is_c, _ms(time, since), 0.0), ctod=np.where(is_i, _ms(time, idle), 0.0),
+            continuous=known & np.array([a == b for a, b in zip(here, follow)], bool), late=False,
+        )
+
+
+class CustomLog(_Log):
+    """A request comes out once its end is behind the log's own time. Until then it waits with what is known of it."""
+
+    time = "start_time"
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.held = T.StructType([*self.row.fields, *(f for f in self.out if f.name in ("start_qd", "ctoc", "ctod", "continuous"))])
+        self.running = handle.getListState("running", self.held)
+
+    def keys(self, rows: pd.DataFrame) -> list[tuple]:
+        return list(zip(rows["start_time"].astype(float).tolist(), rows["lba"].tolist(), rows["size"].tolist(), rows["line_ord"].tolist()))
+
+    def derive(self, rows, now, open_, frontier):
+        start, end = rows["start_time"].to_numpy(float), rows["end_time"].to_numpy(float)
+        always = np.ones(len(rows), bool)
+        before, now["end"] = _before(end, always, now.get("end"))
+        now["end"] = None if now["end"] is None else float(now["end"])
+        here, ends = np.empty(len(rows), object), np.empty(len(rows), object)
+        here[:] = [[a, o] for a, o in zip(rows["lba"].tolist(), rows["opcode"].tolist())]
+        ends[:] = [[a + s, o] for (a, o), s in zip(here, rows["size"].tolist())]
+        follow, now["next"] = _before(ends, always, now.get("next"))
+        fresh = rows.assign(
+            start_qd=pd.array([None] * len(rows), dtype="Int64"), ctoc=np.maximum(0, _ms(end, before)), ctod=np.maximum(0, _ms(start, before)),
+            continuous=np.array([a == b for a, b in zip(here, follow)], bool),
+        )
+        if self.running.exists():
+            held = pd.DataFrame(list(self.running.get()), columns=self.held.names).astype({"start_qd": "Int64", "continuous": bool})
+            fresh = pd.concat([held, fresh], ignore_index=True)
+        places = self.keys(fresh)
+        begun = fresh["start_qd"].notna().tolist()
+        times = [(p[0], *p, 0, k) for k, p in enumerate(places) if not begun[k]] + [(float(e), *p, 1, k) for k, (e, p) in enumerate(zip(fresh["end_time"], places))]
+        events = sorted(e for e in times if e[0] < frontier)
+        qd = self.depth(np.array([1 - 2 * e[-2] for e in events], int), now.get("qd", 0)).tolist()
+        now["qd"] = qd[-1] if events else now.get("qd", 0)
+        depths = ({e[-1]: q for e, q in zip(events, qd) if e[-2] == side} for side in (0, 1))
+        starts, stops = depths
+        fresh["start_qd"] = pd.array([starts.get(k, q) for k, q in enumerate(fresh["start_qd"])], dtype="Int64")
+        over = np.array([k in stops for k in range(len(fresh))], bool)
+        self._put(self.running, [tuple(None if x is pd.NA else x for x in r) for r in fresh[~over].itertuples(index=False, name=None)])
+        out = fresh[over].assign(end_qd=[stops[k] for k in np.flatnonzero(over).tolist()], late=False)
+        return out.reindex(columns=self.out.names)
+
+
+LOGS = {UFS: UfsLog, BLOCK: BlockLog, CUSTOM: CustomLog}
+
+
+def derive(events: DataFrame, kind: str, delay: float | None = None, expire: float | None = None) -> DataFrame:
+    """events(source, line_ord, ... of a family), streaming -> the same columns, derived ones, and late."""
+    own = [c.split()[0] for c in DERIVED[kind].split(", ")]
+    drop = own if kind == CUSTOM else [*own, "dtoc"]
+    rows = events.drop(*drop)
+    row = T.StructType([T.StructField(f.name, f.dataType) for f in rows.schema])
+    out = T.StructType([*row.fields, *T._parse_datatype_string(DERIVED[kind])])
+    return rows.groupBy("source").transformWithStateInPandas(LOGS[kind](row, out, delay, expire), out, "Append", "None")
+
 
-def derive_ufs(events: DataFrame) -> DataFrame:
-    """events(source, line_ord, time, action, tag, opcode, lba, size), streaming -> OUT."""
-    return events.groupBy("source").transformWithStateInPandas(UfsState(), OUT, "Append", "None")
+def closing(spark: SparkSession, sources: list[str], schema: T.StructType, kind: str) -> DataFrame:
+    """A row for each log that closes it."""
+    time = "start_time" if kind == CUSTOM else "time"
+    fill = {"source": F.col("source"), "line_ord": F.lit(-1), time: F.lit(float("inf"))}
+    texts = (T.StringType,)
+    other = lambda f: F.lit("") if isinstance(f.dataType, texts) else F.lit(False) if isinstance(f.dataType, T.BooleanType) else F.lit(0)
+    rows = spark.createDataFrame([(s,) for s in sources], "source string")
+    return rows.select(*(fill.get(f.name, other(f)).cast(f.dataType).alias(f.name) for f in schema))

@@ -10,15 +10,23 @@ from pyspark.sql import functions as F
 
 from ..functions import parse
 from ..schemas import BLOCK, CUSTOM, TYPES, UFS
+from . import derive, tail
 
 METRICS = ("entries_per_second", "avg_latency", "max_latency", "ufs_ratio", "block_ratio", "custom_ratio", "total")
 
 
 def tail_logs(spark: SparkSession, path: str, files_per_trigger: int = 100) -> DataFrame:
-    """Lines of log segments as they appear in a folder; a rotated segment is read once, when it is complete."""
+    """Parsed lines of log segments as they appear in a folder; each segment is read once, when it is complete, without an
+    order of lines. For files that grow, and for line_ord, see tail.tail()."""
     rows = spark.readStream.option("maxFilesPerTrigger", files_per_trigger).text(path)
-    lines = rows.select(F.col("_metadata.file_path").alias("source"), F.trim("value").alias("line")).where("line <> ''")
-    return parse.parse_log(lines)
+    return parse.parse_log(rows.select(F.col("_metadata.file_path").alias("source"), F.col("value").alias("line")).where(F.col("line").rlike(r"\S")))
+
+
+def follow(spark: SparkSession, path: str, state: str, kind: str, delay: float | None = None, expire: float | None = None, **options: int) -> DataFrame:
+    """Derived events of a family from log files that grow, are renamed and replaced: tail, parse, derive. state: a folder
+    of this query alone. options: those of the tail source."""
+    events = parse.events(parse.parse_log(tail.tail(spark, path, state, **options)), kind)
+    return derive.derive(events, kind, delay, expire)
 
 
 def running(events: DataFrame) -> DataFrame:
@@ -32,16 +40,22 @@ def running(events: DataFrame) -> DataFrame:
 
 
 def history(events: DataFrame, resolution: str = "5 minutes", slide: str | None = None, late: str | None = None) -> DataFrame:
-    """The same per window of time. late: how far behind rows may come (streams)."""
+    """The same per window of time. late: how far behind rows may come (streams); Spark drops what
+    comes later without counting rows, history.keep_history() counts them."""
     rows = events.withWatermark("ts", late) if late else events
-    seconds = F.col("window.end").cast("double") - F.col("window.start").cast("double")
     per = rows.groupBy(F.window("ts", resolution, slide) if slide else F.window("ts", resolution)).agg(
         F.count(F.lit(1)).alias("total"), F.avg("latency").alias("avg_latency"), F.min("latency").alias("min_latency"), F.max("latency").alias("max_latency"),
         *(F.count_if(F.col("kind") == k).alias(f"n_{k}") for k in TYPES),
     )
+    return with_rates(per.select(F.col("window.start").alias("start"), F.col("window.end").alias("end"), *(c for c in per.columns if c != "window")))
+
+
+def with_rates(windows: DataFrame) -> DataFrame:
+    """Counts of windows as a rate and as shares of families."""
+    seconds = F.col("end").cast("double") - F.col("start").cast("double")
     ratio = lambda k: (F.col(f"n_{k}") / F.col("total")).alias(f"{'custom' if k == CUSTOM else k}_ratio")
-    return per.select(
-        F.col("window.start").alias("start"), F.col("window.end").alias("end"), "total", (F.col("total") / seconds).alias("entries_per_second"), "avg_latency", "min_latency", "max_latency",
+    return windows.select(
+        "start", "end", "total", (F.col("total") / seconds).alias("entries_per_second"), "avg_latency", "min_latency", "max_latency",
         ratio(UFS), ratio(BLOCK), ratio(CUSTOM),
     )
 

@@ -47,10 +47,31 @@ def test_read_lines(spark, tmp_path):
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
     assert [r.line for r in rows] == [f" line {i} " for i in range(2000)] + ["last"]
     assert len({r.line_ord for r in rows}) == 2001
+    plan = logs.read_log_lines(spark, str(tmp_path / "a.log"))._jdf.queryExecution().toString().rsplit("Physical Plan", 1)[-1]
+    assert plan.count("FileScan text") == 1 and "Exchange" not in plan
     (tmp_path / "b.log").write_bytes("Größe\r\nzwei\n".encode("latin-1"))
     assert [r.line for r in logs.read_log_lines(spark, str(tmp_path / "b.log"), "ISO-8859-1").orderBy("line_ord").collect()] == ["Größe", "zwei"]
 
 
+def test_order_over_splits_of_many_files(spark, tmp_path):
+    """Several splits of several files a task, in whatever order Spark packs them."""
+    want = {}
+    for k, n in enumerate((5000, 20, 3000, 1)):
+        want[f"{k}.log"] = [f"{k} line {i}" for i in range(n)]
+        (tmp_path / f"{k}.log").write_text("\n".join(want[f"{k}.log"]))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        rows = logs.read_log_lines(spark, str(tmp_path)).orderBy("source", "line_ord").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    got = {}
+    for r in rows:
+        got.setdefault(r.source.rsplit("/", 1)[-1], []).append(r.line)
+    assert got == want
+
+
 def test_archives(spark, tmp_path):
     assert [logs.archive_kind(n) for n in ("a.tar", "A.TAR.GZ", "x.tgz", "x.txz", "x.tar.xz", "x.zip", "x.log")] == ["tar", "gz", "gz", "xz", "xz", "zip", None]
     for name, mode in (("a.tar", "w"), ("b.tgz", "w:gz"), ("c.tar.xz", "w:xz")):
