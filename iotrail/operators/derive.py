@@ -38,24 +38,13 @@ def ufs(df: DataFrame, keys: Sequence[str] = KEYS, buckets: int | None = None) -
     rows = scan.bucketed(rows, keys, "time", buckets, trail)
     by = order.order_of(UFS)
     is_i, is_c = F.col("__p") == "I", F.col("__p") == "C"
-    rows = scan.last_before(rows, [*keys, "tag", "opcode"], by, {"__pair": (F.struct("__p", "time"), is_i | is_c)}, trail)
+    rows = scan.live(rows, keys, by, _step(F.col("__p")), {"__next": (F.struct((F.col("lba") + F.col("size")).alias("lba"), "opcode"), is_i)}, "time", trail)
+    rows = scan.last_of_key(rows, keys, ("tag", "opcode"), by, "__pair", F.struct("__p", "time"), is_i | is_c, trail)
     rows = rows.withColumn("dtoc", F.when(is_c & (F.col("__pair")["__p"] == "I"), _ms(F.col("time"), F.col("__pair")["time"]))).drop("__pair")
-    rows = scan.depth(rows, keys, by, _step(F.col("__p")), "qd", trail)
-    rows = scan.last_before(
-        rows,
-        keys,
-        by,
-        {
-            "__ctoc": (F.col("time"), is_c | (is_i & (F.col("qd") == 1))),
-            "__idle": (F.col("time"), is_c & (F.col("qd") == 0)),
-            "__next": (F.struct((F.col("lba") + F.col("size")).alias("lba"), "opcode"), is_i),
-        },
-        trail,
-    )
-    rows = rows.withColumn("ctoc", F.when(is_c, _ms(F.col("time"), F.col("__ctoc"))))
+    rows = rows.withColumn("ctoc", F.when(is_c, _ms(F.col("time"), F.col("__since"))))
     rows = rows.withColumn("ctod", F.when(is_i & (F.col("qd") == 1), _ms(F.col("time"), F.col("__idle"))))
     rows = rows.withColumn("continuous", is_i & (F.col("lba") == F.col("__next")["lba"]) & (F.col("opcode") == F.col("__next")["opcode"]))
-    return _plain(rows, ("__rank", "__p", "__ctoc", "__idle", "__next"), ("dtoc", "ctoc", "ctod", "continuous"))
+    return _plain(rows, ("__rank", "__p", "__since", "__idle", "__next"), ("dtoc", "ctoc", "ctod", "continuous"))
 
 
 def qc_latency(df: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
@@ -80,57 +69,33 @@ def block(df: DataFrame, keys: Sequence[str] = KEYS, buckets: int | None = None,
     rows = rows.withColumn("dtoc", F.coalesce(F.when(is_c & (F.col("__b")["__p"] == "I"), _ms(F.col("time"), F.col("__b")["time"])), "dtoc"))
     trail = scan.Trail()
     rows = scan.bucketed(rows.drop("__b", "__ic"), keys, "time", buckets, trail)
-    rows = scan.depth(rows, keys, by, _step(F.col("__p")), "qd", trail)
     known = F.col("__class") != "other"
-    rows = scan.last_before(
-        rows,
-        keys,
-        by,
-        {
-            "__ctoc": (F.col("time"), is_c | (is_i & (F.col("qd") == 1))),
-            "__idle": (F.col("time"), is_c & (F.col("qd") == 0)),
-            "__next": (F.struct((F.col("sector") + F.col("size")).alias("sector"), F.col("__class").alias("c")), is_i & known),
-        },
-        trail,
-    )
-    rows = rows.withColumn("ctoc", F.when(is_c, _ms(F.col("time"), F.col("__ctoc"))))
+    rows = scan.live(rows, keys, by, _step(F.col("__p")), {"__next": (F.struct((F.col("sector") + F.col("size")).alias("sector"), F.col("__class").alias("c")), is_i & known)}, "time", trail)
+    rows = rows.withColumn("ctoc", F.when(is_c, _ms(F.col("time"), F.col("__since"))))
     rows = rows.withColumn("ctod", F.when(is_i, _ms(F.col("time"), F.col("__idle"))))
     rows = rows.withColumn("continuous", is_i & known & (F.col("sector") == F.col("__next")["sector"]) & (F.col("__class") == F.col("__next")["c"]))
-    return _plain(rows, ("__p", "__class", "__ctoc", "__idle", "__next"), ("dtoc", "ctoc", "ctod", "continuous"))
+    return _plain(rows, ("__p", "__class", "__since", "__idle", "__next"), ("dtoc", "ctoc", "ctod", "continuous"))
 
 
-def custom_depth(df: DataFrame, keys: Sequence[str] = KEYS, buckets: int | None = None) -> DataFrame:
-    """start_qd and end_qd: requests as start and end events in time order, a request's start before its end."""
-    columns = [c for c in df.columns if c not in ("start_qd", "end_qd")]
+def custom(df: DataFrame, keys: Sequence[str] = KEYS, buckets: int | None = None) -> DataFrame:
+    """start_qd and end_qd: requests as start and end events in time order, a request's start before its end. Starts among
+    them are in the order of requests, so the one before a start tells ctoc, ctod and continuous in the same scan."""
+    df = df.drop("ctoc", "ctod", "continuous", "start_qd", "end_qd")
+    columns = df.columns
     ends = F.array(*(F.struct(F.col(t).alias("__t"), F.lit(k).alias("__k")) for k, t in enumerate(("start_time", "end_time"))))
     rows = df.select(*columns, F.explode(ends).alias("e")).select(*columns, "e.*")
     trail = scan.Trail()
     rows = scan.bucketed(rows, keys, "__t", buckets, trail)
-    by = ["__t", *order.order_of(CUSTOM), "__k"]
-    rows = scan.depth(rows, keys, by, F.when(F.col("__k") == 0, 1).otherwise(-1), "__q", trail)
-    whole = F.first(F.struct(*columns)).alias("row")
-    back = rows.groupBy(*keys, "line_ord").agg(whole, *(F.max(F.when(F.col("__k") == k, F.col("__q"))).alias(n) for k, n in enumerate(("start_qd", "end_qd"))))
-    return back.select("row.*", "start_qd", "end_qd")
-
-
-def custom(df: DataFrame, keys: Sequence[str] = KEYS, buckets: int | None = None) -> DataFrame:
-    rows = custom_depth(df.drop("ctoc", "ctod", "continuous", "start_qd", "end_qd"), keys, buckets)
-    trail = scan.Trail()
-    rows = scan.bucketed(rows, keys, "start_time", buckets, trail)
-    always = F.lit(True)
-    rows = scan.last_before(
-        rows,
-        keys,
-        order.order_of(CUSTOM),
-        {"__end": (F.col("end_time"), always), "__next": (F.struct((F.col("lba") + F.col("size")).alias("lba"), "opcode"), always)},
-        trail,
-    )
-    rows = rows.withColumn("ctoc", F.greatest(F.lit(0.0), F.col("end_time") - F.col("__end")) * MILLISECONDS)
-    rows = rows.withColumn("ctod", F.greatest(F.lit(0.0), F.col("start_time") - F.col("__end")) * MILLISECONDS)
-    for c in ("ctoc", "ctod"):  # greatest() skips nulls
-        rows = rows.withColumn(c, F.when(F.col("__end").isNull(), 0.0).otherwise(F.col(c)))
-    rows = rows.withColumn("continuous", (F.col("lba") == F.col("__next")["lba"]) & (F.col("opcode") == F.col("__next")["opcode"]))
-    return _plain(rows, ("__end", "__next"), ("ctoc", "ctod", "continuous"))
+    by, start = ["__t", *order.order_of(CUSTOM), "__k"], F.col("__k") == 0
+    before = F.struct("end_time", (F.col("lba") + F.col("size")).alias("lba"), "opcode")
+    rows = scan.live(rows, keys, by, F.when(start, 1).otherwise(-1), {"__before": (before, start)}, "__t", trail)
+    at = lambda k, c: F.max(F.when(F.col("__k") == k, F.col(c)))
+    back = rows.groupBy(*keys, "line_ord").agg(F.first(F.struct(*columns)).alias("row"), at(0, "qd").alias("start_qd"), at(1, "qd").alias("end_qd"), F.first(F.when(start, F.col("__before")), ignorenulls=True).alias("__before"))
+    rows = back.select("row.*", "start_qd", "end_qd", "__before")
+    gap = lambda later: F.when(F.col("__before").isNull(), 0.0).otherwise(F.greatest(F.lit(0.0), later - F.col("__before")["end_time"]) * MILLISECONDS)
+    rows = rows.withColumns({"ctoc": gap(F.col("end_time")), "ctod": gap(F.col("start_time"))})
+    rows = rows.withColumn("continuous", (F.col("lba") == F.col("__before")["lba"]) & (F.col("opcode") == F.col("__before")["opcode"]))
+    return _plain(rows, ("__before",), ("ctoc", "ctod", "continuous"))
 
 
 def derive(df: DataFrame, kind: str, keys: Sequence[str] = KEYS, buckets: int | None = None) -> DataFrame:

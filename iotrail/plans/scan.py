@@ -4,9 +4,10 @@ A log is cut at times into buckets, which windows go through on their own; one r
 what later buckets must know. Results equal those of one window over the whole log. Cuts are a function of
 time alone, so equal times stay together, and they are written once, so retried tasks agree.
 
-The rows that a window has gone through are written once to the shared folder; the carried state and the rows are
-both read from there, so nothing before a window ever runs twice. If every log is small enough for one bucket, nothing
-is carried, and the windows follow one another in one plan without more writing; results are the same.
+The input is written once to the shared folder, and cuts, carried state and rows are read from there, so nothing before a
+scan ever runs twice. live() carries all that a derivation needs in one state a bucket, without writing more; last_before()
+and running_sum() are for single values, and write the rows that their window has gone through. If every log is small
+enough for one bucket, nothing is carried; results are the same.
 """
 
 from __future__ import annotations
@@ -67,20 +68,63 @@ def _local(keys: Sequence[str], order: Sequence[Column | str]):
     return W.partitionBy(*keys, BUCKET).orderBy(*order)
 
 
-def depth(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], delta: Column, name: str, trail: Trail) -> DataFrame:
-    """A counter that moves by delta at each row and never goes below 0, after each row."""
-    upto = _local(keys, order).rowsBetween(W.unboundedPreceding, 0)
-    rows = df.withColumn("__d", delta).withColumn("__s", F.sum("__d").over(upto)).withColumn("__m", F.min("__s").over(upto))
+def live(df: DataFrame, keys: Sequence[str], order: Sequence[str], step: Column, lasts: dict[str, tuple[Column, Column]], time: str, trail: Trail) -> DataFrame:
+    """All running state of a log at once: a counter `qd` that moves by step at each row and never goes below 0, after
+    each row; `__since`, the time of the last row before that went down or that brought the counter to 1; `__idle`, that of the
+    last one before that went down to 0; and for each name of lasts the value at the last row before where its
+    condition holds.
+
+    What rows of a bucket need to know of those before is one state: the counter q. With s the sum of steps in the
+    bucket up to a row and m the least of 0 and all such sums, the counter is max(q + s, s - m). So a row goes down to 0
+    where s = m and m <= -q, and brings it to 1 where s = m + 1 and m <= -q; as m never rises, only the last row of either
+    kind has to be kept, with its m. States of buckets are put together in a window of one row a bucket; they are made in
+    a pass of their own over the columns that they need, so the rows themselves are sorted once and written nowhere."""
+    upto, prior = (_local(keys, order).rowsBetween(W.unboundedPreceding, k) for k in (0, -1))
+    rows = df.withColumn("__d", step).withColumn("__s", F.sum("__d").over(upto)).withColumn("__m", F.least(F.lit(0), F.min("__s").over(upto)))
+    down, up, mark = F.col("__d") < 0, F.col("__d") > 0, F.struct(F.col(time).alias("t"), F.col("__m").alias("m"))
+    kept = {
+        "done": F.when(down, F.struct(F.col(time).alias("t"))), "low": F.when(down & (F.col("__s") == F.col("__m")), mark), "first": F.when(up & (F.col("__s") == F.col("__m") + 1), mark),
+        **{n: F.when(when, F.struct(value.alias("x"))) for n, (value, when) in lasts.items()},
+    }
+    rows = rows.withColumns({f"__v_{n}": c for n, c in kept.items()})
+    holds = lambda c, q: F.when(c["m"] <= -q, c["t"])
+    local = rows.select("*", *(F.last(f"__v_{n}", ignorenulls=True).over(prior).alias(f"__l_{n}") for n in kept))
     if trail.single:
-        return rows.withColumn(name, (F.col("__s") - F.least(F.lit(0), F.col("__m"))).cast("long")).drop("__d", "__s", "__m")
-    rows = trail.settle(rows, "scan-depth")
-    per = rows.groupBy(*keys, BUCKET).agg(F.sum("__d").alias("t"), F.min("__s").alias("m"))
-    before = W.partitionBy(*keys).orderBy(BUCKET).rowsBetween(W.unboundedPreceding, -1)
-    per = per.withColumn("__off", F.coalesce(F.sum("t").over(before), F.lit(0)))
-    per = per.withColumn("__low", F.coalesce(F.min(F.col("__off") + F.col("m")).over(before), F.lit(0))).select(*keys, BUCKET, "__off", "__low")
-    joined = rows.join(per, [*keys, BUCKET])
-    value = F.col("__off") + F.col("__s") - F.least(F.lit(0), F.col("__low"), F.col("__off") + F.col("__m"))
-    return joined.withColumn(name, value.cast("long")).drop("__d", "__s", "__m", "__off", "__low")
+        q, carried = F.lit(0), {}
+    else:
+        rank = F.struct(*order)
+        last = lambda n: F.max_by(f"__v_{n}", F.when(F.col(f"__v_{n}").isNotNull(), rank)).alias(f"b_{n}")
+        per = rows.groupBy(*keys, BUCKET).agg(F.sum("__d").alias("t"), F.min("__m").alias("m"), *(last(n) for n in kept))
+        before = W.partitionBy(*keys).orderBy(BUCKET).rowsBetween(W.unboundedPreceding, -1)
+        per = per.withColumn("__off", F.coalesce(F.sum("t").over(before), F.lit(0)))
+        per = per.withColumn("__q", F.col("__off") - F.least(F.lit(0), F.coalesce(F.min(F.col("__off") + F.col("m")).over(before), F.lit(0))))
+        per = per.withColumns({"b_since": F.greatest(F.col("b_done")["t"], holds(F.col("b_first"), F.col("__q"))), "b_idle": holds(F.col("b_low"), F.col("__q"))})
+        per = per.select(*keys, BUCKET, "__q", *(F.last(f"b_{n}", ignorenulls=True).over(before).alias(f"__c_{n}") for n in ("since", "idle", *lasts)))
+        local = local.join(per, [*keys, BUCKET])
+        q, carried = F.col("__q"), {n: F.col(f"__c_{n}") for n in ("since", "idle", *lasts)}
+    known = lambda n, here: F.coalesce(here, carried[n]) if n in carried else here
+    out = {
+        "qd": F.greatest(q + F.col("__s"), F.col("__s") - F.col("__m")).cast("long"),
+        "__since": known("since", F.greatest(F.col("__l_done")["t"], holds(F.col("__l_first"), q))),
+        "__idle": known("idle", holds(F.col("__l_low"), q)),
+        **{n: known(n, F.col(f"__l_{n}"))["x"] for n in lasts},
+    }
+    return local.withColumns(out).drop("__d", "__s", "__m", "__q", *(f"__{p}_{n}" for p in "vl" for n in kept), *(f"__c_{n}" for n in carried))
+
+
+def last_of_key(df: DataFrame, keys: Sequence[str], within: Sequence[str], order: Sequence[str], name: str, value: Column, when: Column, trail: Trail) -> DataFrame:
+    """The value at the last row before of the same key `within` a log where the condition holds. Keys can be hot: a key's
+    rows of a bucket are taken on their own, and one row for each key and bucket carries what went before."""
+    prior = W.partitionBy(*keys, BUCKET, *within).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+    rows = df.withColumn("__v", F.when(when, F.struct(value.alias("x"))))
+    here = F.last("__v", ignorenulls=True).over(prior)
+    if trail.single:
+        return rows.withColumn(name, here["x"]).drop("__v")
+    per = rows.where(when).groupBy(*keys, BUCKET, *within).agg(F.max_by("__v", F.struct(*order)).alias("v"))
+    at = rows.select(*keys, BUCKET, *within).distinct().join(per, [*keys, BUCKET, *within], "left")
+    before = W.partitionBy(*keys, *within).orderBy(BUCKET).rowsBetween(W.unboundedPreceding, -1)
+    carried = at.select(*keys, BUCKET, *within, F.last("v", ignorenulls=True).over(before).alias("__c"))
+    return rows.withColumn("__l", here).join(carried, [*keys, BUCKET, *within]).withColumn(name, F.coalesce("__l", "__c")["x"]).drop("__v", "__l", "__c")
 
 
 def last_before(df: DataFrame, keys: Sequence[str], order: Sequence[str], values: dict[str, tuple[Column, Column]], trail: Trail) -> DataFrame:

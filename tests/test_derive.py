@@ -208,3 +208,39 @@ def test_a_derivation_reads_its_input_once(spark, tmp_path):
         assert runs.value - before == 200
         if buckets != 1:
             assert str(tmp_path) not in got._jdf.queryExecution().toString()
+
+
+@pytest.mark.parametrize("kind", [UFS, BLOCK, CUSTOM])
+def test_one_write_for_many_buckets(spark, monkeypatch, kind):
+    """All that is written is the input and its cuts, whatever the number of buckets; more buckets than rows give the same."""
+    from iotrail.plans import scan
+
+    from .test_live_derive import ROWS, columns, frame
+
+    written = []
+
+    def counted(df, name, *rest):
+        written.append(name)
+        return materialise(df, name, *rest)
+
+    materialise = scan.materialise
+    monkeypatch.setattr(scan, "materialise", counted)
+    df = frame(spark, kind, ROWS[kind](33, 300))
+    got = [sorted(map(tuple, derive.derive(df, kind, buckets=b).select("line_ord", *columns(kind)).collect())) for b in (1, 9, 1000)]
+    assert got[0] == got[1] == got[2]
+    assert written == ["scan-rows", "scan-cuts"] * 2
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_depth_over_empty_and_saturated_buckets(spark, seed):
+    """Long runs of completions and of requests, over cuts at every time."""
+    rng = random.Random(seed)
+    rows, t, action = [], 0, "send_req"
+    for i in range(240):
+        if rng.random() < 0.12:
+            action = rng.choice(["send_req", "complete_rsp", "complete_rsp", "other"])
+        t += rng.choice([0, 1, 1, 2])
+        rows.append((i, t / 1000, action, rng.randint(0, 1), "0x28", rng.choice([0, 8]), 8))
+    df = spark.createDataFrame(rows, "line_ord long, time double, action string, tag long, opcode string, lba long, size long").withColumn("source", F.lit("s"))
+    got = {r.line_ord: (r.qd, r.dtoc, r.ctoc, r.ctod, r.continuous) for r in derive.ufs(df, buckets=60).collect()}
+    assert got == simulate_ufs(rows)
