@@ -19,11 +19,12 @@ BLKTRACE_LINE = r"^([\d\.]+),(\d+),(\d+),(\d+),(\d+),([A-Z]),([A-Z]*),(\d+),(\d+
 CUSTOM_LINE = r"^(0x[0-9a-f]+),(\d+),(\d+),(\d+(?:\.\d+)?),(\d+(?:\.\d+)?)$"
 BLKTRACE_START = r"^\d+\.\d+,\d+,\d+,\d+,\d+,[A-Z],[A-Z]*,\d+,\d+,"
 BLKTRACE_HINT = r"^[\d\.]+,\d+,"
-MARK = "\x01"
+MARK = "\n"  # no line has it inside, and no group matches it
 
 
 def _marked(line: Column, regex: str, n: int) -> Column:
     """The n groups of a match with marks before each (an unmatched group is empty), or the line without a match."""
+    line = F.when(~line.contains("\n") | line.startswith(MARK), line)  # what holds line ends is no line; what begins with one is marked already
     whole = f"(?d){regex}" + ("" if regex.endswith("$") else ".*$")
     return F.regexp_replace(line, whole, MARK + MARK.join(f"${k}" for k in range(1, n + 1)))
 
@@ -33,6 +34,10 @@ def _parts(marked: Column) -> Column:
     return F.split(marked, MARK)
 
 
+def _commas(line: Column) -> Column:
+    return F.when(~line.contains("\n"), F.split(line, ",", 5))
+
+
 def trimmed(line: Column) -> Column:
     return F.trim(line, F.lit(" \t\r\n\x0b\x0c"))
 
@@ -122,11 +127,11 @@ def _custom(opcode: Column, lba: Column, size: Column, start: Column, end: Colum
 
 def _custom_event(f: Column) -> Column:
     """Of the parts between commas; any that is no number rejects the line."""
-    number = r"^\+?0*[0-9]{1,20}$"
+    number = r"^\+?0*[0-9]{1,20}\z"
     address = F.when(F.get(f, F.lit(1)).rlike(number), F.get(f, F.lit(1)).try_cast("decimal(20,0)"))
     bytes_ = F.when(F.get(f, F.lit(2)).rlike(number), F.get(f, F.lit(2)).try_cast("long"))
-    real = lambda c: F.when(c.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"), c.try_cast("double"))
-    good = (F.size(f) == 5) & F.get(f, F.lit(0)).rlike("^0x[0-9A-Fa-f]+$")
+    real = lambda c: F.when(c.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\z"), c.try_cast("double"))
+    good = (F.size(f) == 5) & F.get(f, F.lit(0)).rlike(r"^0x[0-9A-Fa-f]+\z")
     safe = [F.get(f, F.lit(k)) for k in range(5)]
     lba = F.when(address < F.lit(str(1 << 64)).cast("decimal(20,0)"), address)
     size, start, end = F.when(bytes_ < 1 << 32, bytes_), real(safe[3]), real(safe[4])
@@ -138,7 +143,7 @@ def parse_log(lines: DataFrame) -> DataFrame:
 
     A line whose category's parser fails is no event of any family."""
     what, line, g = F.col("category"), trimmed(F.col("line")), F.col("__g")
-    parts = F.when(what == UFS, _parts(_marked(line, UFS_LINE, 10))).when(what == BLOCK, _block_parts(line)).when(what == CUSTOM, F.split(line, ",", 5))
+    parts = F.when(what == UFS, _parts(_marked(line, UFS_LINE, 10))).when(what == BLOCK, _block_parts(line)).when(what == CUSTOM, _commas(line))
     rows = _once(lines.withColumn("category", category(line)), "__g", parts)
     return rows.select(
         *(F.col(f"`{c}`") for c in lines.columns if c != "category"),
@@ -155,7 +160,7 @@ def parse_permissive(lines: DataFrame) -> DataFrame:
     rows = _once(lines, "__u", _parts(_marked(line, UFS_LINE, 10)))
     rows = _once(rows, "__b", F.when(F.size(u) != 11, _block_parts(line)))
     rest = (F.size(u) != 11) & ~F.size(b).isin(11, 13)
-    return rows.select(*(F.col(f"`{c}`") for c in lines.columns), _ufs_event(u).alias(UFS), _block_event(b).alias(BLOCK), F.when(rest, _custom_event(F.split(line, ",", 5))).alias(CUSTOM))
+    return rows.select(*(F.col(f"`{c}`") for c in lines.columns), _ufs_event(u).alias(UFS), _block_event(b).alias(BLOCK), F.when(rest, _custom_event(_commas(line))).alias(CUSTOM))
 
 
 def events(parsed: DataFrame, kind: str) -> DataFrame:

@@ -38,6 +38,25 @@ def test_lines(spark):
     assert {r.line_ord for r in parse.parse_custom_strict(df).collect()} == {8}
 
 
+@pytest.mark.parametrize("byte", ["\x01", "\x00", "\x02", "\x1f", "\x85", "\u2028"])
+def test_control_bytes_in_lines(spark, byte):
+    """Bytes that could be taken for separators are text like any other in every family, and make no event of junk."""
+    rows = [
+        (UFS_OK.replace("kworker", f"k{byte}w"), UFS), (BLOCK_OK.replace("[kworker/0:1]", f"[c{byte}d]"), BLOCK), (f"1.5,0,8,0,77,Q,WS,0,8,fi{byte}o", BLOCK), ("ufshcd_command:" + byte * 10, None),
+        (byte + byte.join(["ufshcd_command:", *"123456789"]), None), ("block_" + byte * 12, None), (f"1.5,0,8,0,77,Q,WS,0,{byte},x", None), ("0x28,64,8,1.5,2.0" + byte * 5, None), (f"0x28{byte},64,8,1.5,2.0", None),
+        ("ufshcd_command:" + "\n1" * 10, None), ("0x28,6\n4,8,1.5,2.0", None), ("0x28\n,64,8,1.5,2.0", None),
+    ]
+    df = spark.createDataFrame([("s", i, x) for i, (x, _) in enumerate(rows)], "source string, line_ord long, line string")
+    for how in (parse.parse_log, parse.parse_permissive):
+        parsed = how(df)
+        kinds = {r.line_ord: next((k for k in (UFS, BLOCK, CUSTOM) if r[k] is not None), None) for r in parsed.collect()}
+        assert kinds == {i: k for i, (_, k) in enumerate(rows)}
+        assert parse.events(parsed, UFS).first().process == f"k{byte}w/0:1-33"
+        assert {r.line_ord: r.comm for r in parse.events(parsed, BLOCK).collect()} == {1: f"c{byte}d", 2: f"fi{byte}o"}
+    strict = spark.createDataFrame([("s", 0, "0x28,64,8,1.5,2.0"), ("s", 1, f"0x28{byte}0x28" + byte * 4), ("s", 2, "0x28\n1\n1\n1\n1")], "source string, line_ord long, line string")
+    assert [r.line_ord for r in parse.parse_custom_strict(strict).collect()] == [0] and parse.strict_counts(strict).first().parsed == 1
+
+
 def test_read_lines(spark, tmp_path):
     (tmp_path / "a.log").write_bytes("\n".join(f" line {i} " for i in range(2000)).encode() + b"\n\n \t\nbad \xff line\nlast")
     spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
