@@ -176,6 +176,23 @@ def test_percentiles_agree(spark):
     assert all(abs(got[k] - want[k]) < 1e-6 for k in want)
 
 
+@pytest.mark.parametrize("shape", ["heavy tail", "one value", "few values"])
+def test_percentiles_of_uneven_values(spark, shape):
+    """Nearly all values in one equal-width range, or nearly all the same: no range that is sorted is over the bound."""
+    from iotrail.plans import percentiles
+    from iotrail.work import materialise
+
+    v = F.hash("id") / 1e6
+    far = {"heavy tail": F.when(F.col("id") < 3, 1e15).otherwise(v), "one value": F.when(F.col("id") < 40, v).otherwise(7.0), "few values": (F.col("id") % 7).cast("double")}[shape]
+    df = spark.range(60_000).select((F.col("id") % 2).alias("g"), far.alias("v"))
+    shares = [0.0, 0.5, 0.99, 0.9999, 0.999999, 1.0]
+    ranges = percentiles.narrow(materialise(df, "t"), shares, 16, 200).collect()
+    assert ranges and all(r.c <= 200 or r.lo == r.hi for r in ranges)
+    got = {(r.g, r.share): r.result for r in two_pass(df, "g", "v", shares, 16, 200).collect()}
+    want = {(r.g, s): x for r in df.groupBy("g").agg(F.percentile("v", F.array(*map(F.lit, shares))).alias("q")).collect() for s, x in zip(shares, r.q)}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], rel=1e-12) for k in want)
+
+
 def test_latency_table_modes(spark):
     df = spark.createDataFrame([("0x28", float(i % 97) + 0.5) for i in range(1000)] + [("0x2a", 3.0)], "opcode string, dtoc double")
     items = df.select(F.col("opcode").alias("item"), F.lit("C").alias("phase"), F.lit(1).alias("size"), F.lit(1).alias("qd"), "dtoc", F.lit(0.0).alias("ctoc"), F.lit(0.0).alias("ctod"))
