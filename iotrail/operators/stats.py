@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.events import is_aligned, item_type, phase_of
 from ..plans.percentiles import two_pass
 from ..schemas import BLOCK, CUSTOM, FLUSH_OPCODE, READ_OPCODE, UFS, WRITE_OPCODE, time_column
+from ..work import materialise
 
 # The percentiles of the latency table and the default upper bounds of its histogram (ms).
 PERCENTILES = {"p99": 0.99, "p99_9": 0.999, "p99_99": 0.9999, "p99_999": 0.99999, "p99_9999": 0.999999}
@@ -17,38 +18,119 @@ RANGES = (0.1, 0.5, 1.0, 5.0, 10.0, 50.0, 100.0, 500.0, 1000.0, 5000.0, 10000.0,
 DECIMALS = 3
 
 
-def as_items(df: DataFrame, kind: str, align: str | int = "64KB") -> DataFrame:
-    """item, phase, size, qd, dtoc, ctoc, ctod, continuous, aligned."""
+def as_items(df: DataFrame, kind: str, align: str | int = "64KB", more: Sequence[Column] = ()) -> DataFrame:
+    """item, phase, size, qd, dtoc, ctoc, ctod, continuous, aligned, and more columns if asked for."""
     aligned = F.col("aligned") if "aligned" in df.columns else is_aligned(kind, align)
     qd = F.col("start_qd" if kind == CUSTOM else "qd")
     return df.select(
         item_type(kind).alias("item"), phase_of(kind).alias("phase"), *([F.col("action")] if kind == BLOCK else []),
-        "size", qd.alias("qd"), "dtoc", "ctoc", "ctod", F.col("continuous"), aligned.alias("aligned"),
+        "size", qd.alias("qd"), "dtoc", "ctoc", "ctod", F.col("continuous"), aligned.alias("aligned"), *more,
     )
 
 
-def _sets(items: DataFrame, kind: str) -> tuple[Column, Column]:
-    """Which rows are requests and which completions. In block logs that hold ftrace names, only those count."""
+# What counts as a request and as a completion of the block layer. If a log holds the first name anywhere, only
+# that counts.
+BLOCK_REQUESTS, BLOCK_COMPLETIONS = ("block_rq_issue", "Q"), ("block_rq_complete", "C")
+SHARES = {"median": 0.5, **PERCENTILES}
+
+
+def _who(kind: str) -> Column:
+    if kind != BLOCK:
+        return F.col("phase")
+    return F.when(F.col("action").isin(*BLOCK_REQUESTS, *BLOCK_COMPLETIONS), F.col("action")).otherwise("X")
+
+
+def _chosen(table: DataFrame, kind: str) -> tuple[DataFrame, Column, Column]:
+    """A table of sums with `who`, and which of its rows are of requests and of completions. Which names a block log holds
+    is seen from the sums, so what makes them runs once."""
+    who = F.col("who")
     if kind != BLOCK:
-        return F.col("phase") == "I", F.col("phase") == "C"
-    has = items.agg(*(F.coalesce(F.max((F.col("action") == n).cast("int")), F.lit(0)).alias(n) for n in ("block_rq_issue", "block_rq_complete"))).first()
-    return F.col("action") == ("block_rq_issue" if has[0] else "Q"), F.col("action") == ("block_rq_complete" if has[1] else "C")
+        return table, who == "I", who == "C"
+    table = materialise(table, "profile", 1)
+    seen = {r.who for r in table.select("who").distinct().collect()}  # five at most
+    pick = lambda names: who == next((n for n in names if n in seen), names[-1])
+    return table, pick(BLOCK_REQUESTS), pick(BLOCK_COMPLETIONS)
+
+
+def _place(v: Column, bounds: Sequence[float]) -> Column:
+    place = F.lit(len(bounds))
+    for k in reversed(range(len(bounds))):
+        place = F.when(v <= bounds[k], k).otherwise(place)
+    return place
+
+
+def _profile(items: DataFrame, kind: str, parts: Sequence[str], metrics: Sequence[str] = (), ranges: Sequence[float] = RANGES, quantiles=F.percentile, counts: dict[str, Column] = {}) -> DataFrame:
+    """All sums that the tables need, in one aggregation: part, item, key, who, n and more. A row of items counts for
+    each part: all; item; size (key: the size); ranges (key: metric and range, rows above 0). counts: more flags to be
+    counted in the part `all`, and `time`, whose ends are kept."""
+    one = lambda part, item=F.lit(None), key=F.lit(None), m=F.lit(None): F.struct(F.lit(part).alias("part"), item.cast("string").alias("item"), key.cast("long").alias("key"), m.cast("string").alias("metric"))
+    every = {"all": [one("all")], "item": [one("item", F.col("item"))], "size": [one("size", F.col("item"), F.col("size"))]}
+    every["ranges"] = [F.when(F.col(m) > 0, one("ranges", F.col("item"), _place(F.col(m), ranges), F.lit(m))) for m in metrics]
+    wanted = [x for p in parts for x in every[p]]
+    rows = items.withColumn("who", _who(kind)).withColumn("x", F.explode(F.array_compact(F.array(*wanted))))
+    part, out = F.col("x.part"), [F.count(F.lit(1)).alias("n")]
+    if "all" in parts:
+        of = lambda c, when=F.lit(True): F.when((part == "all") & when, c)
+        out += [F.max(of(F.col("qd"))).alias("max_qd"), F.sum(of(F.col("qd"))).alias("sum_qd"), *(F.count_if(F.coalesce((part == "all") & F.col(c), F.lit(False))).alias(c) for c in ("continuous", "aligned"))]
+        for m in ("dtoc", "ctoc", "ctod"):
+            v = of(F.col(m), F.lit(True) if m == "dtoc" else F.col(m) > 0)
+            out += [F.sum(v).alias(f"sum_{m}"), F.count(v).alias(f"n_{m}")]
+        out += [F.count_if(F.coalesce((part == "all") & c, F.lit(False))).alias(n) for n, c in counts.items() if n != "time"]
+        if "time" in counts:
+            out += [F.min(of(counts["time"])).alias("first_time"), F.max(of(counts["time"])).alias("last_time")]
+    if "item" in parts:
+        for m in metrics:
+            v = F.when((part == "item") & (F.col(m) > 0), F.col(m))
+            stats = F.struct(F.count(v).alias("n"), F.avg(v).alias("avg"), F.min(v).alias("min"), F.max(v).alias("max"), F.coalesce(F.stddev_samp(v), F.lit(0.0)).alias("std"), quantiles(v, F.array(*map(F.lit, SHARES.values()))).alias("q"))
+            out.append(stats.alias(f"of_{m}"))
+    return rows.groupBy("x.part", "x.item", "x.key", "x.metric", "who").agg(*out)
+
+
+def _summary(table: DataFrame, kind: str, request: Column, complete: Column) -> DataFrame:
+    rows, total = table.where("part = 'all'"), F.sum("n")
+    mean = lambda m, who: F.sum(F.when(who, F.col(f"sum_{m}"))) / F.nullif(F.sum(F.when(who, F.col(f"n_{m}"))), F.lit(0))
+    some = F.nullif(total, F.lit(0))
+    return rows.agg(
+        F.coalesce(total, F.lit(0).cast("long")).alias("n"), F.max("max_qd").alias("max_qd"), (F.sum("sum_qd") / some).alias("avg_qd"), mean("dtoc", complete).alias("avg_dtoc"), mean("ctoc", complete).alias("avg_ctoc"),
+        mean("ctod", complete if kind == CUSTOM else request).alias("avg_ctod"), (F.sum("continuous") / some * 100).alias("continuous_pct"), (F.sum("aligned") / some * 100).alias("aligned_pct"),
+    )
+
+
+def _type_mix(table: DataFrame) -> DataFrame:
+    per = table.where("part = 'item'").groupBy("item").agg(F.sum("n").alias("n"))
+    total = table.where("part = 'all'").agg(F.sum("n").alias("total"))
+    return per.crossJoin(F.broadcast(total)).select("item", "n", (F.col("n") * 100.0 / F.col("total")).alias("pct"))  # one row
+
+
+def _latency_table(table: DataFrame, metric: str, who: Column) -> DataFrame:
+    rows = table.where("part = 'item'").where(who).where(F.col(f"of_{metric}.n") > 0).select("item", f"of_{metric}.*")
+    return _rounded(rows.select("*", *(F.get("q", F.lit(k)).alias(n) for k, n in enumerate(SHARES))))
+
+
+def _rounded(table: DataFrame) -> DataFrame:
+    return table.select("item", "n", *(F.round(c, DECIMALS).alias(c) for c in ("avg", "min", "median", "max", "std", *PERCENTILES)))
+
+
+def _histogram(table: DataFrame, metric: str, who: Column, bounds: Sequence[float]) -> DataFrame:
+    counted = table.where("part = 'ranges'").where(F.col("metric") == metric).where(who).groupBy("item", F.col("key").cast("int").alias("bucket")).agg(F.sum("n").alias("n"))
+    labels = F.array(*(F.lit(x) for x in range_labels(bounds)))
+    held = counted.groupBy("item").agg(F.map_from_entries(F.collect_list(F.struct("bucket", "n"))).alias("held"))  # one entry a range
+    every = held.select("item", "held", F.posexplode(labels).alias("bucket", "label"))
+    return every.select("bucket", "label", "item", F.coalesce(F.try_element_at("held", F.col("bucket")), F.lit(0).cast("long")).alias("n"))
+
+
+def _sizes(table: DataFrame, complete: Column) -> DataFrame:
+    return table.where("part = 'size'").where(complete).select("item", F.col("key").alias("size"), "n")
+
+
+def _latency_who(kind: str, metric: str, request: Column, complete: Column) -> Column:
+    return complete if metric != "ctod" or kind == CUSTOM else request
 
 
 def summary(items: DataFrame, kind: str) -> DataFrame:
     """One row: rows, greatest queue depth, mean latencies, shares of sequential and aligned rows (%)."""
-    request, complete = _sets(items, kind)
-    some = lambda c, who: F.avg(F.when(who & (F.col(c) > 0), F.col(c)))
-    return items.agg(
-        F.count(F.lit(1)).alias("n"),
-        F.max("qd").alias("max_qd"),
-        F.avg("qd").alias("avg_qd"),
-        F.avg(F.when(complete, F.col("dtoc"))).alias("avg_dtoc"),
-        some("ctoc", complete).alias("avg_ctoc"),
-        some("ctod", complete if kind == CUSTOM else request).alias("avg_ctod"),
-        (F.avg(F.col("continuous").cast("int")) * 100).alias("continuous_pct"),
-        (F.avg(F.col("aligned").cast("int")) * 100).alias("aligned_pct"),
-    )
+    table, request, complete = _chosen(_profile(items, kind, ("all",)), kind)
+    return _summary(table, kind, request, complete)
 
 
 def type_mix(items: DataFrame) -> DataFrame:
@@ -57,32 +139,22 @@ def type_mix(items: DataFrame) -> DataFrame:
     return per.crossJoin(F.broadcast(total)).select("item", "n", (F.col("n") * 100.0 / F.col("total")).alias("pct"))  # one row
 
 
-def _latencies(items: DataFrame, kind: str, metric: str) -> DataFrame:
-    request, complete = _sets(items, kind)
-    who = complete if metric != "ctod" or kind == CUSTOM else request
-    return items.where(who & (F.col(metric) > 0)).select("item", F.col(metric).alias("v"))
-
-
 def latency_table(items: DataFrame, kind: str, metric: str = "dtoc", mode: str = "exact", accuracy: int = 1_000_000) -> DataFrame:
     """Per item type: n, avg, min, median, max, std (0 for one value) and high percentiles, values above 0 only.
 
     mode: exact keeps a count per distinct value, approx a sketch, exact_two_pass sorts only what holds a rank."""
-    rows = _latencies(items, kind, metric)
-    shares = {"median": 0.5, **PERCENTILES}
-    out = [
-        F.count(F.lit(1)).alias("n"), F.avg("v").alias("avg"), F.min("v").alias("min"), F.max("v").alias("max"),
-        F.coalesce(F.stddev_samp("v"), F.lit(0.0)).alias("std"),
-    ]
-    if mode == "exact_two_pass":
-        base = rows.groupBy("item").agg(*out)
-        p = two_pass(rows, "item", "v", list(shares.values()))
-        wide = p.groupBy("item").agg(*(F.max(F.when(F.abs(F.col("share") - s) < 1e-12, F.col("result"))).alias(n) for n, s in shares.items()))
-        table = base.join(wide, "item")
-    else:
-        q = F.array(*(F.lit(s) for s in shares.values()))
-        call = F.percentile("v", q) if mode == "exact" else F.percentile_approx("v", q, accuracy)
-        table = rows.groupBy("item").agg(*out, call.alias("q")).select("*", *(F.col("q")[k].alias(n) for k, n in enumerate(shares))).drop("q")
-    return table.select("item", "n", *(F.round(c, DECIMALS).alias(c) for c in ("avg", "min", "median", "max", "std", *PERCENTILES)))
+    if mode != "exact_two_pass":
+        quantiles = F.percentile if mode == "exact" else lambda v, q: F.percentile_approx(v, q, accuracy)
+        table, request, complete = _chosen(_profile(items, kind, ("item",), (metric,), quantiles=quantiles), kind)
+        return _latency_table(table, metric, _latency_who(kind, metric, request, complete))
+    v = F.when(F.col(metric) > 0, F.col(metric))
+    rows = materialise(items.select("item", _who(kind).alias("who"), v.alias("v")), "latencies")
+    base = rows.groupBy("item", "who").agg(F.count("v").alias("n"), F.avg("v").alias("avg"), F.min("v").alias("min"), F.max("v").alias("max"), F.coalesce(F.stddev_samp("v"), F.lit(0.0)).alias("std"))
+    base, request, complete = _chosen(base, kind)
+    who = _latency_who(kind, metric, request, complete)
+    p = two_pass(rows.where(who), "item", "v", list(SHARES.values()))
+    wide = p.groupBy("item").agg(*(F.max(F.when(F.abs(F.col("share") - s) < 1e-12, F.col("result"))).alias(n) for n, s in SHARES.items()))
+    return _rounded(base.where(who).where("n > 0").join(wide, "item"))
 
 
 def check_ranges(ranges: Sequence[float]) -> list[float]:
@@ -100,36 +172,28 @@ def range_labels(ranges: Sequence[float]) -> list[str]:
 def latency_histogram(items: DataFrame, kind: str, metric: str = "dtoc", ranges: Sequence[float] = RANGES) -> DataFrame:
     """bucket, label, item, n for every range and every item type that has a value, counts of 0 included."""
     bounds = check_ranges(ranges)
-    rows = _latencies(items, kind, metric)
-    place = F.lit(len(bounds))
-    for k in reversed(range(len(bounds))):
-        place = F.when(F.col("v") <= bounds[k], k).otherwise(place)
-    counted = rows.withColumn("bucket", place).groupBy("item", "bucket").agg(F.count(F.lit(1)).alias("n"))
-    labels = F.array(*(F.lit(x) for x in range_labels(bounds)))
-    every = counted.select("item").distinct().select("item", F.posexplode(labels).alias("bucket", "label"))
-    return every.join(counted, ["item", "bucket"], "left").select("bucket", "label", "item", F.coalesce("n", F.lit(0).cast("long")).alias("n"))
-
-
-def histogram_table(histogram: DataFrame, items: Sequence[str]) -> DataFrame:
-    """One column per item type, ranges ascending."""
-    return histogram.groupBy("bucket", "label").pivot("item", list(items)).agg(F.sum("n")).orderBy("bucket")
+    # The part `all` tells which names there are.
+    table, request, complete = _chosen(_profile(items, kind, ("all", "ranges") if kind == BLOCK else ("ranges",), (metric,), bounds), kind)
+    return _histogram(table, metric, _latency_who(kind, metric, request, complete), bounds)
 
 
 def size_distribution(items: DataFrame, kind: str) -> DataFrame:
-    _, complete = _sets(items, kind)
-    return items.where(complete).groupBy("item", "size").agg(F.count(F.lit(1)).alias("n"))
+    table, _, complete = _chosen(_profile(items, kind, ("size",)), kind)
+    return _sizes(table, complete)
 
 
-def event_counts(df: DataFrame, kind: str) -> DataFrame:
-    """One row: reads, writes, flushes and the first and last time."""
-    time = time_column(kind)
+def _operations(kind: str) -> dict[str, Column]:
     if kind == BLOCK:
         is_ = [F.col("io_type").startswith("R"), F.col("io_type").startswith("W"), F.col("io_type").contains("S")]
     else:
         is_ = [F.col("opcode") == o for o in (READ_OPCODE, WRITE_OPCODE, FLUSH_OPCODE)]
-    return df.agg(
-        F.count(F.lit(1)).alias("n"), *(F.count_if(c).alias(n) for c, n in zip(is_, ("reads", "writes", "syncs"))), F.min(time).alias("first_time"), F.max(time).alias("last_time")
-    )
+    return dict(zip(("reads", "writes", "syncs"), is_))
+
+
+def event_counts(df: DataFrame, kind: str) -> DataFrame:
+    """One row: reads, writes, flushes and the first and last time."""
+    time = time_column(kind)
+    return df.agg(F.count(F.lit(1)).alias("n"), *(F.count_if(c).alias(n) for n, c in _operations(kind).items()), F.min(time).alias("first_time"), F.max(time).alias("last_time"))
 
 
 def quick_latency(df: DataFrame) -> DataFrame:
@@ -137,14 +201,20 @@ def quick_latency(df: DataFrame) -> DataFrame:
 
 
 def report(df: DataFrame, kind: str, align: str | int = "64KB", ranges: Sequence[float] = RANGES) -> dict[str, DataFrame]:
-    """The whole report of one family, table by table."""
-    items = as_items(df, kind, align)
-    out = {"summary": summary(items, kind), "types": type_mix(items), "sizes": size_distribution(items, kind), "counts": event_counts(df, kind)}
-    for m in ("dtoc",) if kind == CUSTOM else ("dtoc", "ctoc", "ctod"):
-        out[f"latency_{m}"] = latency_table(items, kind, m)
-    for m in ("dtoc", "ctoc", "ctod"):
-        out[f"histogram_{m}"] = latency_histogram(items, kind, m, ranges)
+    """The whole report of one family, table by table. The input is gone through once, by one aggregation whose small result
+    is written; the tables are read from that."""
+    bounds, latencies, time = check_ranges(ranges), ("dtoc", "ctoc", "ctod"), time_column(kind)
+    flags = _operations(kind)
+    more = [c.alias(f"__{n}") for n, c in flags.items()] + [F.col(time).alias("__time")]
+    items = as_items(df, kind, align, more)
+    table = _profile(items, kind, ("all", "item", "size", "ranges"), latencies, bounds, counts={n: F.col(f"__{n}") for n in (*flags, "time")})
+    table = materialise(table, "report", 1)
+    table, request, complete = _chosen(table, kind)
+    out = {"summary": _summary(table, kind, request, complete), "types": _type_mix(table), "sizes": _sizes(table, complete)}
+    out["counts"] = table.where("part = 'all'").agg(F.coalesce(F.sum("n"), F.lit(0).cast("long")).alias("n"), *(F.coalesce(F.sum(n), F.lit(0).cast("long")).alias(n) for n in flags), F.min("first_time").alias("first_time"), F.max("last_time").alias("last_time"))
+    for m in latencies:
+        who = _latency_who(kind, m, request, complete)
+        if kind != CUSTOM or m == "dtoc":
+            out[f"latency_{m}"] = _latency_table(table, m, who)
+        out[f"histogram_{m}"] = _histogram(table, m, who, bounds)
     return out
-
-
-KINDS = (UFS, BLOCK, CUSTOM)
