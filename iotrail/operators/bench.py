@@ -90,11 +90,12 @@ def iteration_events(tagged: DataFrame, kind: str, buckets: int | None = None) -
     return derive(events, kind, ("source", "iteration"), buckets)
 
 
-def whole_log(lines: DataFrame, buckets: int | None = None) -> dict[str, tuple[DataFrame, DataFrame]]:
+def whole_log(lines: DataFrame, buckets: int | None = None, drop_repeats: bool = False) -> dict[str, tuple[DataFrame, DataFrame]]:
     """Per family: all events derived together, and their counts."""
     parsed = parse.parse_log(lines)
     out = {}
     for kind in TYPES:
-        events = derive(order.drop_repeated(parse.events(parsed, kind), kind), kind, buckets=buckets)
+        events = parse.events(parsed, kind)
+        events = derive(order.drop_repeated(events, kind) if drop_repeats else events, kind, buckets=buckets)
         out[kind] = (events, event_counts(events, kind))
     return out

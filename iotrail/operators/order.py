@@ -27,10 +27,6 @@ def order_of(kind: str) -> list[str]:
     return [*ORDER[kind], "line_ord"]
 
 
-def canonical(df: DataFrame, kind: str) -> DataFrame:
-    return with_rank(df, kind).orderBy("source", *order_of(kind)).drop("__rank")
-
-
 def drop_repeated(df: DataFrame, kind: str) -> DataFrame:
     """The first of each key in a log."""
     rank = F.row_number().over(W.partitionBy("source", *REPEATS[kind]).orderBy("line_ord"))

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.events import phase
@@ -62,9 +61,3 @@ def downsample(points: DataFrame, width: float) -> DataFrame:
     return points.groupBy("group", F.floor(F.col("x_time") / width).alias("bin")).agg(
         F.min("y_value").alias("y_min"), F.max("y_value").alias("y_max"), F.avg("y_value").alias("y_avg"), F.count(F.lit(1)).alias("n")
     )
-
-
-def with_colour(points: DataFrame, colours: int = 16) -> DataFrame:
-    """A number below `colours` for each group, in order of names."""
-    names = points.select("group").distinct().select("group", ((F.dense_rank().over(W.orderBy("group")) - 1) % colours).alias("colour_key"))
-    return points.join(names, "group")

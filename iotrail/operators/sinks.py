@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import parse
@@ -57,16 +58,31 @@ def iterations(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path).select("iteration").distinct()
 
 
+def _clock(c: str) -> Column:
+    """Seconds without needless zeros, to the nanosecond."""
+    return F.regexp_replace(F.format_string("%.9f", F.col(c)), r"\.?0+$", "")
+
+
 def write_csv(df: DataFrame, path: str, kind: str, most_rows: int = CSV_ROWS) -> DataFrame:
-    """Header lines, at most most_rows a file, files in order of time. Returns (file, rows, first_time, last_time)."""
-    rows = conform(df, kind)
+    """Header lines, at most most_rows a file, files in order of time. A file is named by its family and its first and last
+    time, and a number if others have the same. Returns (file, rows, first_time, last_time)."""
+    spark, rows, time = df.sparkSession, conform(df, kind), time_column(kind)
     if kind == CUSTOM:
         rows = rows.select(*CSV_CUSTOM)
-    time = time_column(kind)
     rows.repartitionByRange(time).sortWithinPartitions(time).write.option("header", "true").option("maxRecordsPerFile", most_rows).csv(path)
-    written = df.sparkSession.read.option("header", "true").schema(rows.schema).csv(path)
-    name = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1)
-    return written.groupBy(name.alias("file")).agg(F.count(F.lit(1)).alias("rows"), F.min(time).alias("first_time"), F.max(time).alias("last_time"))
+    written = spark.read.option("header", "true").schema(rows.schema).csv(path)
+    old = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1)
+    index = written.groupBy(old.alias("old")).agg(F.count(F.lit(1)).alias("rows"), F.min(time).alias("first_time"), F.max(time).alias("last_time"))
+    index = index.withColumn("name", F.concat_ws("_", F.lit(kind), _clock("first_time"), _clock("last_time")))
+    nth = F.row_number().over(W.partitionBy("name").orderBy("old"))
+    index = index.withColumn("file", F.concat("name", F.when(nth > 1, F.concat(F.lit("_"), nth)).otherwise(""), F.lit(".csv")))
+    index = materialise(index, "csv-index", 1)
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    fs = place(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for r in index.select("old", "file").toLocalIterator():  # a name a file; data stays where it is
+        if not fs.rename(place(f"{path}/{r.old}"), place(f"{path}/{r.file}")):
+            raise RuntimeError(f"{r.old} could not be renamed to {r.file}")
+    return index.select("file", "rows", "first_time", "last_time")
 
 
 def json_rows(df: DataFrame, kind: str, options: Filter | list[str] = (), limit: int | None = None) -> DataFrame:
@@ -83,14 +99,16 @@ def parquet_to_csv(spark: SparkSession, path: str, target: str, options: Filter
     return write_csv(filter_events(rows, options, kind), target, kind)
 
 
-def log_to_parquet(spark: SparkSession, paths: str | list[str], prefix: str, options: Filter | list[str] = (), buckets: int | None = None) -> dict[str, str]:
-    """Scan, parse, drop repeats, derive, then filter; one dataset for each family that has events."""
+def log_to_parquet(spark: SparkSession, paths: str | list[str], prefix: str, options: Filter | list[str] = (), buckets: int | None = None, drop_repeats: bool = False) -> dict[str, str]:
+    """Scan, parse, derive, then filter; one dataset for each family that has events. Events that repeat are kept unless
+    drop_repeats is set."""
     parsed = materialise(parse.parse_log(read_log_lines(spark, paths)).drop("line"), "parsed")
     counts = parsed.agg(*(F.count(k).alias(k) for k in TYPES)).first()
     out = {}
     for kind in TYPES:
         if counts[kind]:
-            events = order.drop_repeated(parse.events(parsed, kind), kind)
+            events = parse.events(parsed, kind)
+            events = order.drop_repeated(events, kind) if drop_repeats else events
             out[kind] = write_events(filter_events(derive(events, kind, buckets=buckets), options, kind), prefix, kind, counts[kind])
     forget(parsed)
     return out
@@ -104,11 +122,10 @@ def benchmark_log(spark: SparkSession, paths: str | list[str], prefix: str, opti
     out = {"results": f"{prefix}_results.parquet", "arrays": f"{prefix}_arrays.parquet"}
     table.write.parquet(out["results"])
     bench.results_arrays(spark.read.parquet(out["results"])).write.parquet(out["arrays"])
-    for kind in TYPES:
+    counts = tagged.where("iteration > 0").agg(*(F.count_if(F.col("class") == k).alias(k) for k in TYPES)).first()
+    for kind in (k for k in TYPES if counts[k]):
         events = filter_events(bench.iteration_events(tagged, kind, buckets), options, kind)
-        n = tagged.where((F.col("class") == kind) & (F.col("iteration") > 0)).count()
-        if n:
-            out[kind] = write_events(events, prefix, kind, n, ("iteration",))
+        out[kind] = write_events(events, prefix, kind, counts[kind], ("iteration",))
     forget(tagged)
     return out
 

@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+import fnmatch
 import io
+import json
 import tarfile
 import zipfile
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
+from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+
+from .files import filesystem
 
 LINES = "source string, line_ord long, line string"
 # The endings of archive members that are logs.
@@ -50,40 +56,103 @@ def _is_log(name: str, marks: tuple[str, ...]) -> bool:
     return low.endswith(LOG_ENDINGS) or any(m.lower() in low for m in marks)
 
 
-def _member_lines(kind: str, content: bytes, marks: tuple[str, ...]) -> Iterator[bytes]:
+def _member(kind: str, file, marks: tuple[str, ...]) -> Iterator[bytes]:
+    """Lines of the largest log in an open archive, streamed: what is compressed is gone through twice, to find and to read it."""
     if kind == "zip":
-        with zipfile.ZipFile(io.BytesIO(content)) as z:
+        with zipfile.ZipFile(file) as z:
             logs = [m for m in z.infolist() if not m.is_dir() and _is_log(m.filename, marks)]
             if logs:
                 with z.open(max(logs, key=lambda m: m.file_size)) as f:
                     yield from f
         return
-    with tarfile.open(fileobj=io.BytesIO(content), mode="r" if kind == "tar" else f"r:{kind}") as t:
-        logs = [m for m in t.getmembers() if m.isfile() and _is_log(m.name, marks)]
-        if logs:
-            yield from t.extractfile(max(logs, key=lambda m: m.size))
-
-
-def read_archived_lines(spark: SparkSession, paths: str, batch: int = 50_000, marks: tuple[str, ...] = ()) -> DataFrame:
-    """The largest log of each archive, one archive a task; lines that are no UTF-8 are left out.
-
-    Members that end like logs, or whose names hold one of `marks`, are logs."""
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    with tarfile.open(fileobj=file, mode="r" if kind == "tar" else f"r:{kind}") as t:
+        largest = None
+        for m in t:
+            if m.isfile() and _is_log(m.name, marks) and (largest is None or m.size > largest.size):
+                largest = m
+            t.members = []  # else every header stays in memory
+        if largest is not None:
+            yield from t.extractfile(largest)
+
+
+def _batches(source: str, lines: Iterator[bytes], rows: int, size: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """Batches of so many lines, or of about so many bytes."""
+    places, texts, held = [], [], 0
+    batch = lambda: pa.RecordBatch.from_arrays([pa.array([source] * len(texts)), pa.array(places, pa.int64()), pa.array(texts)], names=["source", "line_ord", "line"])
+    for k, raw in enumerate(lines):
+        try:
+            line = raw.decode().rstrip("\r\n")
+        except UnicodeDecodeError:
+            continue
+        if line.strip():
+            places.append(k)
+            texts.append(line)
+            held += len(raw)
+        if len(texts) >= rows or held >= size:
+            yield batch()
+            places, texts, held = [], [], 0
+    if texts:
+        yield batch()
+
+
+def _opens(path: str) -> bool:
+    """Whether Python can open the path, or only Spark."""
+    try:
+        filesystem(path)
+        return True
+    except OSError:
+        return False
+
+
+class Archive(InputPartition):
+    def __init__(self, path: str):
+        self.path = path
+
+
+class ArchiveReader(DataSourceReader):
+    def __init__(self, options: dict[str, str]):
+        self.path, self.batch, self.marks = options["path"], int(options["batch"]), tuple(json.loads(options["marks"]))
+
+    def partitions(self) -> list[Archive]:
+        fs, path = filesystem(self.path)
+        folder, _, name = path.rstrip("/").rpartition("/")
+        if fs.get_file_info(path.rstrip("/")).type == pafs.FileType.Directory:
+            folder, name = path.rstrip("/"), "*"
+        found = [f.path for f in fs.get_file_info(pafs.FileSelector(folder)) if f.type == pafs.FileType.File and fnmatch.fnmatch(f.base_name, name) and archive_kind(f.path)]
+        return [Archive(p) for p in sorted(found)] or [Archive("")]
+
+    def read(self, partition: Archive) -> Iterator[pa.RecordBatch]:
+        if partition.path:
+            with filesystem(self.path)[0].open_input_file(partition.path) as f:
+                yield from _batches(partition.path, _member(archive_kind(partition.path), f, self.marks), self.batch)
+
+
+class ArchiveSource(DataSource):
+    @classmethod
+    def name(cls) -> str:
+        return "log_archive"
+
+    def schema(self) -> str:
+        return LINES
+
+    def reader(self, schema) -> ArchiveReader:
+        return ArchiveReader(dict(self.options))
+
+
+def read_archived_lines(spark: SparkSession, path: str, batch: int = 50_000, marks: tuple[str, ...] = ()) -> DataFrame:
+    """The largest log of each archive of a folder or pattern, one archive a task; lines that are no UTF-8 are left out.
+
+    Members that end like logs, or whose names hold one of `marks`, are logs. Archives are streamed, so they and their
+    members may be of any size; a task holds a batch of lines. Paths of stores that only Spark can open are read as
+    binary files, each whole and below 2 GB."""
+    if _opens(path):
+        spark.dataSource.register(ArchiveSource)
+        return spark.read.format("log_archive").options(path=path, batch=batch, marks=json.dumps(marks)).load()
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            for path, content in zip(part["path"], part["content"]):
-                kind, rows = archive_kind(path), []
-                for k, raw in enumerate(_member_lines(kind, content, marks) if kind else ()):
-                    try:
-                        line = raw.decode().rstrip("\r\n")
-                    except UnicodeDecodeError:
-                        continue
-                    if line.strip():
-                        rows.append((path, k, line))
-                    if len(rows) >= batch:
-                        yield pd.DataFrame(rows, columns=["source", "line_ord", "line"])
-                        rows = []
-                if rows:
-                    yield pd.DataFrame(rows, columns=["source", "line_ord", "line"])
-
-    return spark.read.format("binaryFile").load(paths).select("path", "content").mapInPandas(run, LINES)
+            for name, content in zip(part.column("path").to_pylist(), part.column("content").to_pylist()):
+                if archive_kind(name):
+                    yield from _batches(name, _member(archive_kind(name), io.BytesIO(content), marks), batch)
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, LINES)

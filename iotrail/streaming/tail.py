@@ -31,6 +31,8 @@ from pyarrow import fs as pafs
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 
+from ..sources.files import filesystem
+
 HEAD = 1024  # so many first bytes tell a log, once it has them
 STEP = 1 << 16
 
@@ -51,7 +53,7 @@ class Files:
     """The files of a pattern, and their bytes."""
 
     def __init__(self, pattern: str):
-        self.fs, self.pattern = pafs.FileSystem.from_uri(pattern) if "://" in pattern or pattern.startswith("file:") else (pafs.LocalFileSystem(), pattern)
+        self.fs, self.pattern = filesystem(pattern)
         self.local = isinstance(self.fs, pafs.LocalFileSystem)
         folder, _, name = self.pattern.rstrip("/").rpartition("/")
         whole = not any(c in name for c in "*?[") and self.fs.get_file_info(self.pattern.rstrip("/")).type == pafs.FileType.Directory
@@ -101,7 +103,7 @@ class Records:
     """The logs as they were at each offset, one small file each."""
 
     def __init__(self, folder: str):
-        self.fs, self.folder = pafs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (pafs.LocalFileSystem(), folder.rstrip("/"))
+        self.fs, self.folder = filesystem(folder.rstrip("/"))
         self.fs.create_dir(self.folder, recursive=True)
 
     def numbers(self) -> list[int]:

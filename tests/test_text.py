@@ -107,6 +107,38 @@ def test_archives(spark, tmp_path):
     assert got == {n: [n, " two "] * 3 for n in ("a.tar", "b.tgz", "c.tar.xz")} | {"d.zip": ["one", "two"]}
 
 
+def test_large_archives_are_streamed(tmp_path):
+    """A member of 200 MB goes by in batches of a few MB."""
+    import tracemalloc
+
+    line = ("x" * 999 + "\n").encode()
+    with tarfile.open(tmp_path / "big.tgz", "w:gz", compresslevel=1) as t:
+        info = tarfile.TarInfo("big.log")
+        info.size = 200_000 * len(line)
+
+        class Endless(io.RawIOBase):
+            at = 0
+
+            def read(self, n):
+                begin, self.at = self.at % 1000, self.at + n
+                return (line * (n // 1000 + 2))[begin : begin + n]
+
+        t.addfile(info, Endless())
+    reader = logs.ArchiveReader({"path": str(tmp_path), "batch": "50000", "marks": "[]"})
+    tracemalloc.start()
+    n = sum(b.num_rows for p in reader.partitions() for b in reader.read(p))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n == 200_000 and most < 64 << 20
+
+
+def test_archives_that_only_spark_opens(spark, tmp_path, monkeypatch):
+    with zipfile.ZipFile(tmp_path / "d.zip", "w") as z:
+        z.writestr("a.log", "one\n\n two")
+    monkeypatch.setattr(logs, "_opens", lambda path: False)
+    assert [(r.line_ord, r.line) for r in logs.read_archived_lines(spark, str(tmp_path)).collect()] == [(0, "one"), (2, " two")]
+
+
 def test_filters_and_options():
     f = filters.parse_filter(["time:1:5", "lba:8:0", "cpu:0-2,7", "cpu:1", "qd:0:4"])
     assert (f.start_time, f.end_time, f.start_address, f.cpus, f.max_qd) == (1, 5, 8, (0, 1, 2, 7), 4)
@@ -147,11 +179,53 @@ def test_migration_keeps_datasets_of_one_name_apart(spark, tmp_path):
         assert [spark.read.parquet(m.target).count() for m in done] == [1, 2, 3] and all(m.kind == CUSTOM for m in done)
 
 
+def test_migration_of_many_files_in_two_jobs(spark, tmp_path):
+    """Sixty datasets of two schemas, in files and folders, with odd names, an empty one and a broken one."""
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    old = lambda k, n: pa.table({"opcode": ["0x28"] * n, "lba": pa.array([k] * n, pa.int64()), "size": pa.array([8] * n, pa.int64()), "start_time": [1.0] * n, "end_time": [2.0] * n, "dtoc": [1000.0] * n})
+    want = {}
+    for k in range(60):
+        name = f"d {k % 3}/x%{k}.parquet"
+        n = 0 if k == 7 else k % 4 + 1
+        table = old(k, n) if k % 2 else old(k, n).append_column("qd", pa.array([9] * n, pa.int64()))
+        if k % 5:
+            (tmp_path / "in" / name).parent.mkdir(parents=True, exist_ok=True)
+            pq.write_table(table, tmp_path / "in" / name)
+        else:
+            (tmp_path / "in" / name).mkdir(parents=True)
+            for part in range(2):
+                pq.write_table(table, tmp_path / "in" / name / f"part-{part}.parquet")
+            n *= 2
+        want[name] = (n, k, 0 if k % 2 else 9)
+    (tmp_path / "in/bad.parquet").write_text("no")
+    before = spark.sparkContext._jsc.sc().dagScheduler().nextJobId() if hasattr(spark.sparkContext._jsc.sc().dagScheduler(), "nextJobId") else None
+    done = events.migrate_dir(spark, str(tmp_path / "in"), str(tmp_path / "out"))
+    assert before is None or spark.sparkContext._jsc.sc().dagScheduler().nextJobId() - before < 20
+    got = {m.path.rsplit("/in/", 1)[1]: m for m in done}
+    assert got.keys() == {*want, "bad.parquet"} and got["bad.parquet"].error and got["bad.parquet"].target is None
+    for name, (n, lba, qd) in want.items():
+        assert got[name].kind == CUSTOM and got[name].changed and got[name].error is None
+        rows = spark.read.parquet(str(tmp_path / "out" / name)).collect() if lba in (0, 7, 10, 33, 59) else None
+        assert rows is None or (len(rows) == n and all((r.lba, r.start_qd) == (lba, qd) for r in rows))
+    assert sorted(str(p.relative_to(tmp_path / "out")) for p in (tmp_path / "out").glob("*/*.parquet")) == sorted(want)
+
+
 def test_csv_files(spark, tmp_path):
     df = spark.range(100).select((F.col("id") / 10).alias("start_time"), (F.col("id") / 10 + 1).alias("end_time"), F.lit("0x28").alias("opcode"))
     index = sinks.write_csv(df, str(tmp_path / "csv"), CUSTOM, most_rows=30).orderBy("first_time").collect()
     assert sum(r.rows for r in index) == 100 and max(r.rows for r in index) <= 30
     assert all(a.last_time <= b.first_time for a, b in zip(index, index[1:]))
+    import csv
+
+    files = {p.name: list(csv.DictReader(p.open())) for p in (tmp_path / "csv").glob("*.csv")}
+    assert files.keys() == {r.file for r in index}
+    for r in index:
+        times = [float(x["start_time"]) for x in files[r.file]]
+        assert r.file == f"ufscustom_{r.first_time:g}_{r.last_time:g}.csv" and (len(times), min(times), max(times)) == (r.rows, r.first_time, r.last_time)
+    same = sinks.write_csv(df.withColumn("start_time", F.lit(2.5)), str(tmp_path / "same"), CUSTOM, most_rows=40)
+    assert sorted(r.file for r in same.collect()) == ["ufscustom_2.5_2.5.csv", "ufscustom_2.5_2.5_2.csv", "ufscustom_2.5_2.5_3.csv"]
 
 
 def test_iterations(spark):
