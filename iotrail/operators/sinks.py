@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import parse
 from ..schemas import CUSTOM, TYPES, conform, event_type, time_column
 from ..sources.events import read_events
-from ..sources.logs import read_log_lines
+from ..sources.logs import read_log_lines, read_log_segments
 from ..work import forget, materialise
 from . import bench, order, stats
 from .derive import derive
@@ -114,10 +114,11 @@ def log_to_parquet(spark: SparkSession, paths: str | list[str], prefix: str, opt
     return out
 
 
-def benchmark_log(spark: SparkSession, paths: str | list[str], prefix: str, options: Filter | list[str] = (), buckets: int | None = None) -> dict[str, str]:
-    """A benchmark log from file to results: <prefix>_results.parquet (bandwidths by iteration and tool), _arrays, and
+def benchmark_log(spark: SparkSession, paths: str | list[str], prefix: str, options: Filter | list[str] = (), buckets: int | None = None, segments: bool = False) -> dict[str, str]:
+    """A benchmark log (segments: a folder of its pieces) from file to results: <prefix>_results.parquet (bandwidths by iteration and tool), _arrays, and
     for each family with events in an iteration one dataset, derived iteration by iteration and stored by iteration."""
-    tagged = materialise(bench.assign_iteration(read_log_lines(spark, paths), buckets), "tagged")
+    lines = read_log_segments(spark, paths) if segments else read_log_lines(spark, paths)
+    tagged = materialise(bench.assign_iteration(lines, buckets), "tagged")
     table = bench.results_table(bench.results(tagged))
     out = {"results": f"{prefix}_results.parquet", "arrays": f"{prefix}_arrays.parquet"}
     table.write.parquet(out["results"])

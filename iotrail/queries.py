@@ -5,8 +5,13 @@ Three views of the table events stand for the three families; raw text is made f
 
 from __future__ import annotations
 
+import io
+import tarfile
+import zipfile
 from collections.abc import Callable
 
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,9 +19,12 @@ from .functions import events as E
 from .functions import parse
 from .operators import bench, derive, filters, order, series, sinks, stats
 from .plans import scan
-from .schemas import BLOCK, CUSTOM, UFS
+from .schemas import BLOCK, CUSTOM, STORED, UFS, conform, event_type
 from .sources import events as stored
 from .sources import logs
+from .sources.files import filesystem
+from .streaming import derive as live_derive
+from .streaming import history, tail
 from .streaming import stats as live
 from .work import work_path
 
@@ -229,6 +237,23 @@ def _(spark, d):
     return got.select("line_ord", "rank")
 
 
+@query("p5b_strict_counts", "SELECT count(*) AS lines, count(*) FILTER (ok) AS parsed, count(*) FILTER (NOT ok) AS skipped, round(min(dtoc) FILTER (ok), 3) AS min_dtoc, round(max(dtoc) FILTER (ok), 3) AS max_dtoc, round(avg(dtoc) FILTER (ok), 3) AS avg_dtoc FROM (SELECT *, line_ord % 4 = 3 AND line_ord % 24 NOT IN (3, 7) AS ok FROM {ufscustom})")
+def _(spark, d):
+    found = parse.strict_counts(lines(spark, d))
+    return found.select("lines", "parsed", "skipped", *(F.round(c, 3).alias(c) for c in ("min_dtoc", "max_dtoc", "avg_dtoc")))
+
+
+@query("p6_control_bytes", """SELECT line_ord, 'ufs' AS kind, concat('p', chr(1), user) AS name FROM (SELECT line_ord, action, split_part(process, '-', 2) AS user FROM {ufs}) WHERE line_ord % 4 = 0 AND action <> 'other'
+UNION ALL SELECT line_ord, 'block', concat('c', chr(1)) FROM {ufs} WHERE line_ord % 4 IN (1, 2)""")
+def _(spark, d):
+    """Bytes 0x01 in process and command names; lines of the fourth form are made junk of such bytes."""
+    mark, line, form = F.lit("\x01"), F.col("line"), F.col("line_ord") % 4
+    text = F.when(form == 0, F.regexp_replace(line, "^p-", "p\x01")).when(form == 1, F.regexp_replace(line, r"\[c\]$", "[c\x01]")).when(form == 2, F.regexp_replace(line, ",c$", ",c\x01")).otherwise(F.concat(F.lit("ufshcd_command:"), F.repeat(mark, 10)))
+    parsed = parse.parse_log(lines(spark, d).withColumn("line", text))
+    one = lambda kind, name: parse.events(parsed, kind).select("line_ord", F.lit(kind).alias("kind"), F.col(name).alias("name"))
+    return one(UFS, "process").unionByName(one(BLOCK, "comm")).unionByName(one(CUSTOM, "opcode"))
+
+
 @query("p6b_parse_permissive", f"SELECT count(*) FILTER (line_ord % 4 = 0 AND action <> 'other') AS ufs, count(*) FILTER (line_ord % 4 IN (1, 2)) AS block, count(*) FILTER (line_ord % 4 = 3 AND line_ord % 24 NOT IN (3, 7)) AS ufscustom FROM {{ufs}}")
 def _(spark, d):
     return parse.parse_permissive(lines(spark, d)).agg(*(F.count(k).alias(k) for k in (UFS, BLOCK, CUSTOM)))
@@ -307,9 +332,12 @@ def _(spark, d):
     return order.head(view(spark, d, BLOCK), BLOCK, 100).select("line_ord", F.col("index").cast("long").alias("index"), "total")
 
 
-@query("o6_by_latency", "SELECT line_ord, round(dtoc, 6) AS dtoc FROM {ufscustom}")
+@query("o6_by_latency", "SELECT line_ord, round(dtoc, 6) AS dtoc, row_number() OVER (ORDER BY dtoc, line_ord) AS rank FROM {ufscustom}")
 def _(spark, d):
-    return _round(order.by_latency(view(spark, d, CUSTOM)).select("line_ord", "dtoc"), "dtoc")
+    trail = scan.Trail()
+    rows = order.by_latency(view(spark, d, CUSTOM)).withColumn("at", F.monotonically_increasing_id())  # ascends as the rows stand
+    rows = scan.running_sum(scan.bucketed(rows, ["source"], "at", 8, trail), ["source"], ["at"], F.lit(1).cast("long"), "rank", trail)
+    return _round(rows.select("line_ord", "dtoc", "rank"), "dtoc")
 
 
 # ---- filters ------------------------------------------------------------------------------------------------
@@ -394,6 +422,56 @@ def _(spark, d):
     return r["summary"].select(F.lit("summary").alias("part"), "n").unionByName(r["types"].agg(F.count(F.lit(1)).alias("n")).select(F.lit("types").alias("part"), "n"))
 
 
+_A12_KEYS = {"summary": ("''", "0"), "counts": ("''", "0"), "types": ("item", "0"), "sizes": ("item", "size"), "latency": ("item", "0"), "histogram": ("item", "bucket")}
+
+
+def _a12_tables(k: str) -> dict[str, str]:
+    """The SQL of each table of a family's report."""
+    rw = ("io_type LIKE 'R%'", "io_type LIKE 'W%'", "io_type LIKE '%S%'") if k == BLOCK else ("opcode = '0x28'", "opcode = '0x2a'", "opcode = '0x35'")
+    time = "start_time" if k == CUSTOM else "time"
+    out = {
+        "summary": _summary_sql(k), "types": f"{DERIVED[k]} SELECT {_ITEM[k]} AS item, count(*) AS n, count(*) * 100.0 / (SELECT count(*) FROM d) AS pct FROM d GROUP BY 1", "sizes": f"{DERIVED[k]} SELECT {_ITEM[k]} AS item, size, count(*) AS n FROM d WHERE {_COM[k]} GROUP BY 1, 2",
+        "counts": f"{DERIVED[k]} SELECT count(*) AS n, {', '.join(f'count(*) FILTER ({c}) AS {n}' for c, n in zip(rw, ('reads', 'writes', 'syncs')))}, min({time}) AS first_time, max({time}) AS last_time FROM d",
+    }
+    for m in LATENCIES:
+        if k != CUSTOM or m == "dtoc":
+            out[f"latency_{m}"] = _latency_sql(k, m)
+        out[f"histogram_{m}"] = _histogram_sql(k, m)
+    return out
+
+
+_A12_VALUES = {
+    "summary": ("n", "max_qd", "avg_qd", "avg_dtoc", "avg_ctoc", "avg_ctod", "continuous_pct", "aligned_pct"), "types": ("n", "pct"), "sizes": ("n",), "counts": ("n", "reads", "writes", "syncs", "first_time", "last_time"),
+    "latency": ("n", "avg", "min", "median", "max", "std", *stats.PERCENTILES), "histogram": ("n",),
+}
+
+
+def _a12_sql(k: str) -> str:
+    parts = []
+    for name, sql in _a12_tables(k).items():
+        what = name.split("_")[0]
+        values = ", ".join(f"{{'name': '{c}', 'value': round(CAST({c} AS DOUBLE), 3)}}" for c in _A12_VALUES[what])
+        parts.append(f"SELECT '{name}' AS part, {_A12_KEYS[what][0]} AS item, CAST({_A12_KEYS[what][1]} AS BIGINT) AS key, unnest([{values}], recursive := true) FROM ({sql})")
+    return " UNION ALL ".join(parts)
+
+
+def _a12(spark: SparkSession, d: str, kind: str) -> DataFrame:
+    """Every value of every table of the report, a row each."""
+    out = None
+    for name, table in stats.report(derived(spark, d, kind), kind).items():
+        what = name.split("_")[0]
+        item, key = (F.col(x) if x in table.columns else F.lit("") for x in _A12_KEYS[what])
+        values = F.array(*(F.struct(F.lit(c).alias("name"), F.round(F.col(c).cast("double"), 3).alias("value")) for c in _A12_VALUES[what]))
+        key = key.cast("long") if _A12_KEYS[what][1] != "0" else F.lit(0).cast("long")
+        one = table.select(F.lit(name).alias("part"), item.alias("item"), key.alias("key"), F.explode(values).alias("x")).select("part", "item", "key", "x.*")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+for _kind in (UFS, BLOCK, CUSTOM):
+    query(f"a12_report_{_kind}", _a12_sql(_kind))(lambda s, d, k=_kind: _a12(s, d, k))
+
+
 # ---- charts -------------------------------------------------------------------------------------------------
 
 for _kind in (UFS, BLOCK, CUSTOM):
@@ -478,11 +556,16 @@ def _(spark, d):
     return bench.iteration_events(bench.assign_iteration(bench_lines(spark, d)), UFS).select("line_ord", "iteration", "qd")
 
 
-@query("b7_whole_log", f"{_BENCH} SELECT count(*) AS n, count(*) AS reads, 0 AS writes, 0 AS syncs FROM (SELECT DISTINCT ts, user_id % 8, event_type IN ('click', 'view') FROM t WHERE m NOT IN (0, 1, 2, 11, 12, 13, 21, 22, 23, 30))")
+@query("b7_whole_log", f"{_BENCH} SELECT count(*) AS n, count(*) AS reads, 0 AS writes, 0 AS syncs FROM t WHERE m NOT IN (0, 1, 2, 11, 12, 13, 21, 22, 23, 30)")
 def _(spark, d):
     return bench.whole_log(bench_lines(spark, d))[UFS][1].select("n", "reads", "writes", "syncs")
 
 
+@query("b7_whole_log_without_repeats", f"{_BENCH} SELECT count(*) AS n, count(*) AS reads, 0 AS writes, 0 AS syncs FROM (SELECT DISTINCT ts, user_id % 8, event_type IN ('click', 'view') FROM t WHERE m NOT IN (0, 1, 2, 11, 12, 13, 21, 22, 23, 30))")
+def _(spark, d):
+    return bench.whole_log(bench_lines(spark, d), drop_repeats=True)[UFS][1].select("n", "reads", "writes", "syncs")
+
+
 # ---- sources, sinks, migration ------------------------------------------------------------------------------
 
 
@@ -494,6 +577,66 @@ def _(spark, d):
     return got.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("source", "line_ord").alias("places"))
 
 
+@query("s1_read_log_segments", "SELECT event_id, row_number() OVER (ORDER BY event_id) AS place FROM events")
+def _(spark, d):
+    """The place of each line in a log of several files, from the order that reading gives it."""
+    path = work_path(spark, "s1")
+    _table(spark, d).orderBy("event_id").select(F.concat(F.lit("line "), "event_id").alias("line")).write.text(path)
+    trail = scan.Trail()
+    rows = scan.bucketed(logs.read_log_segments(spark, path), ["source"], "line_ord", None, trail)
+    rows = scan.running_sum(rows, ["source"], ["line_ord"], F.lit(1).cast("long"), "place", trail)
+    return rows.select(F.regexp_extract("line", r"line (\d+)", 1).cast("long").alias("event_id"), "place")
+
+
+def _archives(spark: SparkSession, d: str) -> str:
+    """A folder of archives of the lines, one a task, with a smaller log and a larger file that is none beside them."""
+    folder = work_path(spark, "s2")
+    endings = ("tar", "tar.gz", "tar.xz", "zip")
+
+    def pack(batches):
+        k, text = TaskContext.get().partitionId(), io.BytesIO()
+        for b in batches:
+            text.write("".join(x + "\n" for x in b.column("line").to_pylist()).encode())
+        members = {"small.log": b"junk\n", "x/large.txt": text.getvalue(), "huge.bin": text.getvalue() * 2}
+        out, ending = io.BytesIO(), endings[k % 4]
+        if ending == "zip":
+            with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+                for name, content in members.items():
+                    z.writestr(name, content)
+        else:
+            with tarfile.open(fileobj=out, mode="w" + ending[3:].replace(".", ":")) as t:
+                for name, content in members.items():
+                    info = tarfile.TarInfo(name)
+                    info.size = len(content)
+                    t.addfile(info, io.BytesIO(content))
+        fs, path = filesystem(folder)
+        fs.create_dir(path, recursive=True)
+        with fs.open_output_stream(f"{path}/{k}.{ending}", compression=None) as f:
+            f.write(out.getvalue())
+        yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32())], names=["k"])
+
+    # An archive of at most 50,000 lines a task.
+    tasks = max(4, _table(spark, d).count() // 50_000)
+    lines(spark, d).select("line").repartition(tasks).mapInArrow(pack, "k int").write.format("noop").mode("overwrite").save()
+    return folder
+
+
+@query("s2_read_archived_lines", _P5.replace("line_ord, opcode", "opcode"))
+def _(spark, d):
+    got = parse.events(parse.parse_log(logs.read_archived_lines(spark, _archives(spark, d))), CUSTOM)
+    return got.select("opcode", "lba", "size", F.round("start_time", 6).alias("start_time"), F.round("end_time", 6).alias("end_time"), F.round("dtoc", 3).alias("dtoc"))
+
+
+@query("s5_read_events_dir", f"{CUSTOM_D} SELECT round(start_time, 6) AS start_time, opcode, lba, size, start_qd, end_qd, ctoc FROM d UNION ALL SELECT round(start_time, 6), opcode, lba, size, start_qd, end_qd, ctoc FROM d")
+def _(spark, d):
+    """Two datasets at different depths below a folder, beside files of another kind."""
+    root, rows = work_path(spark, "s5"), derived(spark, d, CUSTOM)
+    for place in ("a/one", "b/c/two"):
+        sinks.write_events(rows, f"{root}/{place}", CUSTOM)
+    rows.select("opcode").write.csv(f"{root}/b/notes")
+    return _round(stored.read_events(spark, root, recursive=True, pattern="*.parquet").select("start_time", "opcode", "lba", "size", "start_qd", "end_qd", "ctoc"), "start_time", "ctoc")
+
+
 def _stored(spark: SparkSession, d: str, kind: str) -> str:
     return sinks.write_events(derived(spark, d, kind), work_path(spark, "k1"), kind)
 
@@ -507,17 +650,35 @@ def _columns_of(text: str) -> list[str]:
     return [x.replace(";", ",").strip() for x in text.replace("time, 6)", "time; 6)").split(",")]
 
 
-@query("k2_append", "SELECT 2 * count(*) AS n FROM events")
+_ROWS = "opcode, lba, size, round(start_time, 6) AS start_time, round(end_time, 6) AS end_time, round(dtoc, 3) AS dtoc"
+
+
+def _custom_rows(df: DataFrame) -> DataFrame:
+    return df.select("opcode", "lba", "size", F.round("start_time", 6).alias("start_time"), F.round("end_time", 6).alias("end_time"), F.round("dtoc", 3).alias("dtoc"))
+
+
+@query("k2_append", f"SELECT {_ROWS} FROM {{ufscustom}} UNION ALL SELECT {_ROWS} FROM {{ufscustom}}")
 def _(spark, d):
     path, rows = work_path(spark, "k2"), view(spark, d, CUSTOM)
     sinks.write_events(rows, path, CUSTOM)
-    return stored.read_events(spark, sinks.append_events(rows, path, CUSTOM)).agg(F.count(F.lit(1)).alias("n"))
+    return _custom_rows(stored.read_events(spark, sinks.append_events(rows, path, CUSTOM)))
+
+
+@query("k3_write_csv", f"SELECT {_ROWS} FROM {{ufscustom}}")
+def _(spark, d):
+    path = work_path(spark, "k3")
+    sinks.write_csv(view(spark, d, CUSTOM), path, CUSTOM, most_rows=1000)
+    return _custom_rows(spark.read.option("header", "true").option("inferSchema", "true").csv(path)).withColumns({c: F.col(c).cast("long") for c in ("lba", "size")})
 
 
-@query("k3_write_csv", "SELECT count(*) AS n, round(min(start_time), 6) AS first_time, round(max(start_time), 6) AS last_time FROM {ufscustom}")
+@query("k3_csv_files", "SELECT round(start_time, 6) AS start_time, true AS named, true AS short FROM {ufscustom}")
 def _(spark, d):
-    index = sinks.write_csv(view(spark, d, CUSTOM), work_path(spark, "k3"), CUSTOM, most_rows=1000)
-    return index.agg(F.sum("rows").alias("n"), F.round(F.min("first_time"), 6).alias("first_time"), F.round(F.max("last_time"), 6).alias("last_time"))
+    """Each row is in a file whose name says the times it spans, and which has no more rows than it may."""
+    path = work_path(spark, "k3")
+    index = sinks.write_csv(view(spark, d, CUSTOM), path, CUSTOM, most_rows=1000)
+    rows = spark.read.option("header", "true").option("inferSchema", "true").csv(path).select("start_time", F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("file")).join(index, "file")
+    said = [F.regexp_extract("file", r"^ufscustom_([\d.]+?)_([\d.]+?)(_\d+)?\.csv$", k).cast("double") for k in (1, 2)]
+    return rows.select(F.round("start_time", 6).alias("start_time"), ((F.col("start_time") >= said[0] - 1e-9) & (F.col("start_time") <= said[1] + 1e-9)).alias("named"), (F.col("rows") <= 1000).alias("short"))
 
 
 @query("k4_partitioned", "SELECT DISTINCT user_id % 8 AS iteration FROM events")
@@ -526,15 +687,19 @@ def _(spark, d):
     return sinks.iterations(spark, path).select(F.col("iteration").cast("long").alias("iteration"))
 
 
-@query("k5_json_rows", "SELECT count(*) AS n, count(DISTINCT opcode) AS opcodes FROM {ufs} WHERE cpu IN (1, 2)")
+@query("k5_json_rows", "SELECT round(time, 6) AS time, process, cpu, action, tag, opcode, lba, size, 0 AS qd, false AS continuous FROM {ufs} WHERE cpu IN (1, 2)")
 def _(spark, d):
     j = sinks.json_rows(view(spark, d, UFS), UFS, ["cpu:1-2"])
-    return j.agg(F.count(F.lit(1)).alias("n"), F.countDistinct(F.get_json_object("json", "$.opcode")).alias("opcodes"))
+    back = j.select(F.from_json("json", STORED[UFS]).alias("x")).select("x.*")
+    return _round(back.select("time", "process", "cpu", "action", "tag", "opcode", "lba", "size", "qd", "continuous"), "time")
 
 
-@query("k6_parquet_to_csv", "SELECT count(*) AS n FROM {ufs} WHERE cpu = 3")
+@query("k6_parquet_to_csv", f"{UFS_D} SELECT round(time, 6) AS time, action, tag, opcode, lba, qd, dtoc, ctoc, ctod, continuous FROM d WHERE cpu = 3")
 def _(spark, d):
-    return sinks.parquet_to_csv(spark, _stored(spark, d, UFS), work_path(spark, "k6"), ["cpu:3"]).agg(F.sum("rows").alias("n"))
+    path = work_path(spark, "k6")
+    sinks.parquet_to_csv(spark, _stored(spark, d, UFS), path, ["cpu:3"])
+    back = spark.read.option("header", "true").schema(STORED[UFS]).csv(path)
+    return _round(back.select("time", "action", "tag", "opcode", "lba", "qd", *LATENCIES, "continuous"), "time", *LATENCIES)
 
 
 _K7 = """WITH b AS (SELECT line_ord, time, sector, size, io_type, CASE WHEN line_ord % 4 = 1 THEN action WHEN action = 'block_rq_issue' THEN 'Q' ELSE 'C' END AS action,
@@ -546,11 +711,10 @@ o3 AS (SELECT * FROM (SELECT *, lag(action) OVER (PARTITION BY sector, c, size,
 SELECT 'block' AS kind, count(*) AS n FROM o3 UNION ALL SELECT 'ufs', count(*) FROM {ufs} WHERE line_ord % 4 = 0 AND action <> 'other' UNION ALL SELECT 'ufscustom', count(*) FROM {ufs} WHERE line_ord % 4 = 3 AND line_ord % 24 NOT IN (3, 7)"""
 
 
-@query("k7_log_to_parquet", _K7)
-def _(spark, d):
+def _log_job(spark: SparkSession, d: str, drop_repeats: bool) -> DataFrame:
     path = work_path(spark, "k7")
     lines(spark, d).select("line").write.text(path)
-    made = sinks.log_to_parquet(spark, path, work_path(spark, "k7-out"))
+    made = sinks.log_to_parquet(spark, path, work_path(spark, "k7-out"), drop_repeats=drop_repeats)
     out = None
     for kind, p in sorted(made.items()):
         one = spark.read.parquet(p).agg(F.count(F.lit(1)).alias("n")).select(F.lit(kind).alias("kind"), "n")
@@ -558,12 +722,16 @@ def _(spark, d):
     return out
 
 
+query("k7_log_to_parquet", _K7.replace("WHERE n = 1", ""))(lambda s, d: _log_job(s, d, False))
+query("k7_log_to_parquet_without_repeats", _K7)(lambda s, d: _log_job(s, d, True))
+
+
 @query("b8_benchmark_log", f"{_BENCH} SELECT * FROM b WHERE write IS NOT NULL OR read IS NOT NULL")
 def _(spark, d):
-    """From files of raw lines (iozone rows begin with blanks) to the table of results; one file, so in event order."""
+    """From files of raw lines (iozone rows begin with blanks) to the table of results; files are pieces in event order."""
     path = work_path(spark, "b8")
-    bench_lines(spark, d).orderBy("line_ord").coalesce(1).select("line").write.text(path)
-    made = sinks.benchmark_log(spark, path, work_path(spark, "b8-out"))
+    bench_lines(spark, d).orderBy("line_ord").select("line").write.text(path)
+    made = sinks.benchmark_log(spark, path, work_path(spark, "b8-out"), segments=True)
     return spark.read.parquet(made["results"]).drop("source")
 
 
@@ -572,8 +740,8 @@ def _(spark, d):
   z AS (SELECT iteration, CAST(s - least(0, min(s) OVER (PARTITION BY iteration ORDER BY rn)) AS BIGINT) AS qd FROM y) SELECT iteration, count(*) AS n, CAST(sum(qd) AS BIGINT) AS depths, max(qd) AS deepest FROM z GROUP BY 1""")
 def _(spark, d):
     path = work_path(spark, "b8")
-    bench_lines(spark, d).orderBy("line_ord").coalesce(1).select("line").write.text(path)
-    made = sinks.benchmark_log(spark, path, work_path(spark, "b8-out"))
+    bench_lines(spark, d).orderBy("line_ord").select("line").write.text(path)
+    made = sinks.benchmark_log(spark, path, work_path(spark, "b8-out"), segments=True)
     rows = spark.read.parquet(made[UFS]).groupBy(F.col("iteration").cast("long").alias("iteration"))
     return rows.agg(F.count(F.lit(1)).alias("n"), F.sum("qd").alias("depths"), F.max("qd").alias("deepest"))
 
@@ -583,6 +751,19 @@ def _(spark, d):
     return sinks.analyse(spark, _stored(spark, d, UFS))["latency_dtoc"]
 
 
+@query("m1_detect_event_type", "SELECT 'ufs' AS kind, count(*) AS n FROM {ufs} UNION ALL SELECT 'block', count(*) FROM {block} UNION ALL SELECT 'ufscustom', count(*) FROM {ufscustom}")
+def _(spark, d):
+    """The family of datasets under names that don't tell it, from their columns."""
+    out = None
+    for k, kind in enumerate((UFS, BLOCK, CUSTOM)):
+        path = work_path(spark, f"m1-{k}")
+        conform(view(spark, d, kind), kind).write.parquet(path)
+        rows = spark.read.parquet(path)
+        one = rows.agg(F.count(F.lit(1)).alias("n")).select(F.lit(event_type(rows.columns)).alias("kind"), "n")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 @query("m2_migrate", "SELECT opcode, lba, size, 0 AS start_qd, 0 AS end_qd, count(*) AS n FROM {ufscustom} GROUP BY 1, 2, 3")
 def _(spark, d):
     old = view(spark, d, CUSTOM).select("opcode", "lba", "size", "start_time", "end_time", "dtoc")
@@ -649,3 +830,66 @@ def _(spark, d):
 @query("r9_subscription", f"{_LIVE} SELECT line_ord FROM e WHERE kind IN ('ufs', 'block') AND latency >= 100 AND latency <= 300")
 def _(spark, d):
     return live_events(spark, d).where(live.subscription((UFS, BLOCK), 100, 300)).select("line_ord")
+
+
+# ---- streams, run over the tables to their end ----------------------------------------------------------------
+
+
+def _run(stream: DataFrame, name: str, checkpoint: str | None = None, out: str | None = None) -> str:
+    """Starts a query, waits until it has read all there is, stops it; the folder that it has filled."""
+    spark = stream.sparkSession
+    out = out or work_path(spark, f"{name}-out")
+    q = stream.writeStream.format("parquet").option("checkpointLocation", checkpoint or work_path(spark, f"{name}-check")).start(out)
+    try:
+        q.processAllAvailable()
+    finally:
+        q.stop()
+    return out
+
+
+@query("r1_tail", "SELECT round(time, 6) AS time, process, cpu, action, tag, opcode, lba FROM {ufs} WHERE line_ord % 4 = 0 AND action <> 'other'")
+def _(spark, d):
+    """Lines of files that a stream follows, appended after it has begun, to parsed events."""
+    path = work_path(spark, "r1")
+    text = lines(spark, d)
+    state, check, out = work_path(spark, "r1-state"), work_path(spark, "r1-check"), work_path(spark, "r1-out")
+    for half in (0, 1):
+        text.where(F.col("line_ord") % 8 >= 4 if half else F.col("line_ord") % 8 < 4).select("line").write.mode("append").text(path)
+        _run(parse.events(parse.parse_log(tail.tail(spark, f"{path}/*.txt", state)), UFS), "r1", check, out)
+    return _round(spark.read.parquet(out).select("time", "process", "cpu", "action", "tag", "opcode", "lba"), "time")
+
+
+def _live(spark: SparkSession, d: str, kind: str) -> DataFrame:
+    """A log that arrives in pieces of 50,000 events at most (four at least), the query stopped and started between them."""
+    live_derive.use_rocksdb(spark)
+    rows = view(spark, d, kind)
+    folder, check, out = work_path(spark, "r8-in"), work_path(spark, "r8-check"), work_path(spark, "r8-out")
+    low, high, n = rows.agg(F.min("line_ord"), F.max("line_ord"), F.count(F.lit(1))).first()
+    step = max(1, -(-(high - low + 1) // max(4, -(-n // 50_000))))
+    for at in [*range(low, high + 1, step), None]:
+        piece = rows.where(F.col("line_ord").between(at, at + step - 1)) if at is not None else live_derive.closing(spark, ["log"], rows.schema, kind)
+        piece.write.mode("append").parquet(folder)
+        _run(live_derive.derive(spark.readStream.schema(rows.schema).parquet(folder), kind), "r8", check, out)
+    return spark.read.parquet(out).where("not late")
+
+
+for _kind, _columns in {UFS: ("qd", *LATENCIES, "continuous"), BLOCK: ("qd", *LATENCIES, "continuous"), CUSTOM: ("start_qd", "end_qd", "ctoc", "ctod", "continuous")}.items():
+    query(f"r8_live_derive_{_kind}", f"{DERIVED[_kind]} SELECT line_ord, {', '.join(_columns)} FROM d")(lambda s, d, k=_kind, c=_columns: _round(_live(s, d, k).select("line_ord", *c), *(x for x in c if x in LATENCIES)))
+
+
+@query("r10_late_rows", """WITH e AS (SELECT event_id % 3 AS batch, ts, time_bucket(INTERVAL 1 HOUR, ts) AS start FROM events),
+m AS (SELECT b.batch, max(e.ts) - INTERVAL 1 DAY AS low FROM (SELECT DISTINCT batch FROM e) b LEFT JOIN e ON e.batch < b.batch GROUP BY 1)
+SELECT epoch_us(start) // 1000000 AS start, coalesce(start + INTERVAL 1 HOUR <= low, false) AS late, count(*) AS n FROM e JOIN m USING (batch) GROUP BY 1, 2""")
+def _(spark, d):
+    """Three batches, each of which spans all the time, so all but the first come late for windows that ended a day ago."""
+    path, check, folder = work_path(spark, "r10"), work_path(spark, "r10-check"), work_path(spark, "r10-in")
+    rows = live_events(spark, d)
+    for k in range(3):
+        rows.where(F.col("line_ord") % 3 == k).write.mode("append").parquet(folder)
+        q = history.keep_history(spark.readStream.schema(rows.schema).parquet(folder), path, check, "1 hour", "1 day")
+        try:
+            q.processAllAvailable()
+        finally:
+            q.stop()
+    one = lambda df, late: df.select(F.unix_seconds("start").alias("start"), F.lit(late).alias("late"), F.col("total").alias("n"))
+    return one(history.read_history(spark, path), False).unionByName(one(history.late_counts(spark, path), True))

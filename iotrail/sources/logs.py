@@ -11,7 +11,8 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyarrow import fs as pafs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -35,15 +36,34 @@ def read_log_lines(spark: SparkSession, paths: str | list[str], encoding: str =
     any task, and still sort as the file does. Splits are at least 4 KB long, and a task of several has less than 2^28
     lines before a split that isn't a file's first. A last line without a line end counts. Lines that can't be decoded
     are left out. Text in another encoding (with line ends of one byte) is decoded line by line."""
-    rows = spark.read.text(paths)
+    lines = _lines(spark.read.text(paths), encoding)
+    return lines.select("source", _order(F.col("start")).alias("line_ord"), "line").where(F.col("line").rlike(r"\S"))
+
+
+def _lines(rows: DataFrame, encoding: str) -> DataFrame:
+    """source, start of the split, place in the task, line."""
     if encoding.upper().replace("-", "") == "UTF8":
         value = F.when(F.is_valid_utf8("value"), F.col("value"))
     else:
         value = F.decode(F.col("value").cast("binary"), encoding)  # the text source keeps bytes as they are
     in_task = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
-    split = F.shiftright(F.col("_metadata.file_block_start"), SPLIT_BITS)
-    lines = rows.select(F.col("_metadata.file_path").alias("source"), (F.shiftleft(split, PLACE_BITS) + in_task).alias("line_ord"), F.regexp_replace(value, "\r$", "").alias("line"))
-    return lines.where(F.col("line").rlike(r"\S"))
+    return rows.select(F.col("_metadata.file_path").alias("source"), F.col("_metadata.file_block_start").alias("start"), in_task.alias("place"), F.regexp_replace(value, "\r$", "").alias("line"))
+
+
+def _order(start: Column) -> Column:
+    return F.shiftleft(F.shiftright(start, SPLIT_BITS), PLACE_BITS) + F.col("place")
+
+
+def read_log_segments(spark: SparkSession, folder: str, encoding: str = "UTF-8") -> DataFrame:
+    """The same, where the files of a folder are pieces of one log, in the order of their names. source is the folder.
+
+    Only names and sizes of files are gone through to find where each begins."""
+    cell = 1 << SPLIT_BITS
+    files = spark.read.format("binaryFile").load(folder).select(F.col("_metadata.file_path").alias("source"), "length")
+    whole = (F.floor(F.col("length") / cell) + 1) * cell
+    files = files.select("source", (F.sum(whole).over(W.orderBy("source")) - whole).alias("before"))
+    lines = _lines(spark.read.text(folder), encoding).join(files, "source")
+    return lines.select(F.lit(folder).alias("source"), _order(F.col("before") + F.col("start")).alias("line_ord"), "line").where(F.col("line").rlike(r"\S"))
 
 
 def archive_kind(name: str) -> str | None:
