@@ -27,7 +27,9 @@ from pyspark.sql import functions as F
 from .common import forget, materialise, table
 from .components import LIGHT, components
 
-SLACK = 1e-9
+SLACK = 1e-7  # more than the error of arccos near 0
+GAIN = 0.5  # a cell is divided if its parts take at most this share of its comparisons
+SAMPLE = 20_000  # about so many rows of a cell tell what dividing it would take
 
 
 def _unit(lists: pa.Array) -> tuple[np.ndarray, np.ndarray, int]:
@@ -126,25 +128,32 @@ def _cells(classes: DataFrame, kind: str, reach: float, cell: int | None, fanout
     counts = materialise(placed.groupBy(*CELL).agg(F.count(F.lit(1)).alias("n"), F.count(F.lit(1)).alias("all")), "cell-counts", LIGHT)
     goals = counts.select("label", "size", goal.alias("goal"))
     open_ = counts.join(goals, ["label", "size"]).where(F.col("n") > F.col("goal"))
+    parent = F.regexp_replace("path", "/[^/]*$", "")
+    by = [*CELL, "salt"]
     level = 0
+
+    def divided(rows: DataFrame, chosen: DataFrame) -> DataFrame:
+        salts = F.ceil(F.col("all") / rows_a_task).cast("int")
+        pivots = chosen.select(*CELL, F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"), "rep", "v")
+        dealt = rows.select(*placed.columns, F.pmod(F.xxhash64("rep"), salts).alias("salt"))
+        return dealt.groupBy(*by).cogroup(pivots.groupBy(*by)).applyInArrow(_divide(reach), PLACED.format(kind=kind))
+
     while not open_.isEmpty():
         share = F.least(F.lit(fanout), F.ceil(F.col("n") / F.col("goal"))) / F.col("n") * float(1 << 62)
-        mine = placed.join(open_, list(CELL))
-        chosen = mine.where("own").where(F.shiftrightunsigned(F.xxhash64("rep", F.lit(level)), 2) < share.cast("long"))
+        chosen = placed.join(open_, list(CELL)).where("own").where(F.shiftrightunsigned(F.xxhash64("rep", F.lit(level)), 2) < share.cast("long"))
         chosen = materialise(chosen.select(*CELL, "all", "rep", "v"), "pivots", LIGHT)
-        salts = F.ceil(F.col("all") / rows_a_task).cast("int")
-        pivots = chosen.select(*CELL, F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"), "rep", "v")
-        rows = mine.select(*placed.columns, F.pmod(F.xxhash64("rep"), salts).alias("salt"))
-        by = [*CELL, "salt"]
-        divided = rows.groupBy(*by).cogroup(pivots.groupBy(*by)).applyInArrow(_divide(reach), PLACED.format(kind=kind))
-        rest = placed.join(open_, list(CELL), "left_anti")
-        old, placed = placed, materialise(divided.unionByName(rest), "cells")
-        parents = open_.select("label", "size", F.col("path").alias("parent"), F.col("n").alias("before"))
+        some = placed.join(open_, list(CELL)).where(F.shiftrightunsigned(F.xxhash64("rep", F.lit(-1)), 11) / float(1 << 53) < F.lit(float(SAMPLE)) / F.col("all"))
+        before = some.groupBy(*CELL).agg((F.count_if("own") * F.count(F.lit(1))).alias("cost"))
+        after = divided(some, chosen).groupBy(*CELL).agg(F.count_if("own").alias("n"), F.count(F.lit(1)).alias("all")).withColumn("path", parent)
+        after = after.groupBy(*CELL).agg(F.sum(F.col("n") * F.col("all")).alias("parts"))
+        worth = materialise(before.join(after, list(CELL)).where(F.col("parts") <= F.col("cost") * GAIN).select(*CELL), "cells-worth", LIGHT)
+        taken = open_.join(worth, list(CELL), "left_semi")
+        parts = divided(placed.join(taken, list(CELL)), chosen.join(worth, list(CELL), "left_semi"))
+        old, placed = placed, materialise(parts.unionByName(placed.join(worth, list(CELL), "left_anti")), "cells")
         forget(old, chosen)
-        parent = F.regexp_replace("path", "/[^/]*$", "")
         counts = placed.groupBy(*CELL).agg(F.count_if("own").alias("n"), F.count(F.lit(1)).alias("all")).withColumn("parent", parent)
-        halved = counts.join(parents, ["label", "size", "parent"]).where(F.col("n") <= F.col("before") / 2).select(*CELL, "n", "all")
-        open_ = materialise(halved.join(goals, ["label", "size"]).where(F.col("n") > F.col("goal")), "cell-counts", LIGHT)
+        new = counts.join(worth.withColumnRenamed("path", "parent"), ["label", "size", "parent"], "left_semi").where(F.col("path") != F.col("parent")).select(*CELL, "n", "all")
+        open_ = materialise(new.join(goals, ["label", "size"]).where(F.col("n") > F.col("goal")), "cell-counts", LIGHT)
         level += 1
     return placed if level else materialise(placed, "cells")
 

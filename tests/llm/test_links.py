@@ -101,3 +101,18 @@ def test_vectors(spark, cell, block, fanout):
 
 def test_vectors_empty(spark):
     assert vectors.link(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
+
+
+@pytest.mark.parametrize("width", [3, 64])
+def test_copies_of_vectors_are_bounded(spark, width):
+    """Random vectors: in few dimensions cells are divided and take less to join; in many, nothing is copied."""
+    import math
+
+    rng = np.random.default_rng(width)
+    rows = [(i, v.tolist(), 0) for i, v in enumerate(rng.normal(size=(3000, width)))]
+    _, classes = vectors._classes(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"))
+    placed = vectors._cells(vectors.materialise(classes, "t"), "double", math.acos(0.99 if width == 3 else 0.93), 100, 8)
+    cells = placed.groupBy(*vectors.CELL).agg(F.count_if("own").alias("own"), F.count(F.lit(1)).alias("all")).collect()
+    assert sum(c.own for c in cells) == 3000
+    cost = sum(c.own * c["all"] for c in cells)
+    assert cost < 0.3 * 3000**2 and len(cells) > 8 if width == 3 else cost == 3000**2 and sum(c["all"] for c in cells) == 3000
