@@ -7,7 +7,8 @@ all documents of a batch walk down them together.
 
 Null and empty texts have statistics of zero and a score like any other. Rows of labels with a null doc_id or
 quality are not learnt from; repeated ones count as often. With no labelled rows, or one class only, every
-score is the smoothed share of class 1 (0.5 without any). Repeated documents each get their row. Other
+score is the smoothed share of class 1 (0.5 without any). Repeated documents each get their row, as do
+those without a doc_id, which are not held out. Other
 columns are not read. An empty table gives an empty result.
 """
 
@@ -178,7 +179,7 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = apply(docs.select("doc_id", "text"), train(docs, table(spark, sf_dir, "labels")))
     return scored.select(
         "doc_id",
-        (fold(F.col("doc_id")) == 2).alias("held_out"),
+        F.coalesce(fold(F.col("doc_id")) == 2, F.lit(False)).alias("held_out"),
         "score",
         (F.col("score") >= DECISION).cast("int").alias("predicted"),
     )
