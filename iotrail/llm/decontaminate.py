@@ -5,8 +5,8 @@ item. Every n-gram of an item is a seed, however often the documents hold it, an
 Every hit opens a window with room for all the words that a passage can have besides (beyond them it scores too
 little); windows of one item that overlap are one. The local alignment of item and window scores the copy: matches
 give 1, mismatches and gaps cost `cost`, the sum over the number of words of the item is the score (1: whole
-copy). Seeds that fewer items hold come first, and a window whose words cannot reach `least` is not aligned; neither
-changes a result. Scores of `least` or more are reported, the best one for each row and item, with the first and last
+copy). All n-grams are seeds, frequent and rare ones alike: a passage whose only unedited n-gram is a frequent one is
+found too. A window whose words cannot reach `least` is not aligned, which changes no result. Scores of `least` or more are reported, the best one for each row and item, with the first and last
 word (exclusive) of the aligned passage. A passage that keeps no n-gram (every third word edited) has no seed and
 is not found.
 

@@ -7,6 +7,7 @@ a span, or in it, raise its score. Base kinds (email, ip, card, phone) are repor
 the kinds that the method adds are iban and national_id.
 
 Null and empty texts have no spans. Repeated rows and null doc_ids give a row each. Other columns are not read.
+An empty table gives an empty result.
 """
 
 from __future__ import annotations

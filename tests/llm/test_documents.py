@@ -1,5 +1,7 @@
 """Token counts, quality, decontamination and the pipeline against brute force."""
 
+import zlib
+
 import random
 
 import numpy as np
@@ -125,6 +127,13 @@ def test_stage_and_query_decide_alike(spark, tmp_path, monkeypatch):
     assert good == {r.doc_id for r in corpus_pipeline.quality_stage(spark, docs, str(tmp_path)).collect()} == {7, 8, 9, 10}
 
 
+def test_quality_of_documents_without_an_id(spark, tmp_path):
+    spark.createDataFrame([(None, "some words"), (1, None), (2, "x")], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "doc_id long, quality int").write.parquet(str(tmp_path / "labels.parquet"))
+    got = {r.doc_id: r.held_out for r in quality.op6_quality(spark, str(tmp_path)).collect()}
+    assert got == {None: False, 1: zlib.crc32(b"1") % 4 == 2, 2: zlib.crc32(b"2") % 4 == 2}
+
+
 def quality_rows(n=400):
     rng = random.Random(3)
     rows = []
