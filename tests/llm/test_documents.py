@@ -1,8 +1,7 @@
 """Token counts, quality, decontamination and the pipeline against brute force."""
 
-import zlib
-
 import random
+import zlib
 
 import numpy as np
 import public_tokenizers
