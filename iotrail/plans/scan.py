@@ -21,8 +21,7 @@ from pyspark.sql import functions as F
 from ..work import forget, materialise
 
 BUCKET = "__bucket"
-FINEST = 1024  # cuts of a log that are looked at; a multiple of COARSE
-COARSE = 32
+FINEST = 1 << 14  # quantiles of a log that are looked at, and so its most buckets
 
 
 class Trail:
@@ -43,25 +42,33 @@ def bucketed(df: DataFrame, keys: Sequence[str], time: str, buckets: int | None,
     """df, written, with a column __bucket, ascending with time in each log.
 
     Each log has as many buckets as its rows need, FINEST at most; `buckets` sets a number for all, 1 for many small
-    logs. A log with few distinct times has fewer."""
+    logs. A log with few distinct times has fewer. Only logs of several buckets are looked at for cuts, at eight times as
+    many quantiles as the largest of them has buckets; a row finds its bucket by bisection."""
     if buckets == 1:
         trail.single = True
         return df.withColumn(BUCKET, F.lit(0))
     df = trail.settle(df, "scan-rows")
-    shares = F.array(*(F.lit(k / FINEST) for k in range(1, FINEST)))
-    per = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"), F.percentile_approx(F.col(time).cast("double"), shares, 10_000).alias("__all"))
-    want = F.lit(min(buckets, FINEST)) if buckets else F.least(F.lit(FINEST), F.ceil(F.col("__n") / rows_a_bucket)).cast("int")
-    chosen = F.when(want > 1, F.transform(F.sequence(F.lit(1), F.greatest(want - 1, F.lit(1))), lambda j: F.get(F.col("__all"), F.floor(j * FINEST / want).cast("int") - 1)))
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
+    most = buckets or -(-(counts.agg(F.max("__n")).first()[0] or 0) // rows_a_bucket)
+    if most <= 1:
+        trail.single = True
+        return df.withColumn(BUCKET, F.lit(0))
+    fine = min(FINEST, max(64, 1 << (8 * most - 1).bit_length()))
+    shares = F.expr(f"array({', '.join(f'{k / fine!r}D' for k in range(1, fine))})")
+    long = df if buckets else df.join(counts.where(F.col("__n") > rows_a_bucket), list(keys), "left_semi")
+    per = long.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"), F.percentile_approx(F.col(time).cast("double"), shares, max(10_000, 4 * fine)).alias("__all"))
+    want = F.lit(min(buckets, fine)) if buckets else F.least(F.lit(fine), F.ceil(F.col("__n") / rows_a_bucket)).cast("int")
+    chosen = F.when(want > 1, F.transform(F.sequence(F.lit(1), F.greatest(want - 1, F.lit(1))), lambda j: F.get(F.col("__all"), F.floor(j * fine / want).cast("int") - 1)))
     cuts = F.filter(F.array_distinct(F.coalesce(chosen, F.array().cast("array<double>"))), lambda c: c.isNotNull())
     cuts = materialise(per.select(*keys, cuts.alias("__cuts")), "scan-cuts", 1)
     if cuts.where(F.size("__cuts") > 0).isEmpty():
         trail.single = True
         return df.withColumn(BUCKET, F.lit(0))
-    upto = lambda some: F.size(F.filter(some, lambda c: c <= F.col(time)))
-    coarse = F.transform(F.sequence(F.lit(1), F.floor(F.size("__cuts") / COARSE).cast("int")), lambda k: F.get(F.col("__cuts"), k * COARSE - 1))
-    first = F.when(F.size("__cuts") >= COARSE, upto(coarse)).otherwise(0) * COARSE  # cuts ascend, so whole runs of them can be passed over
-    place = first + upto(F.slice("__cuts", first + 1, F.lit(COARSE)))
-    return df.join(cuts, list(keys), "left").withColumn(BUCKET, F.coalesce(place, F.lit(0))).drop("__cuts")
+    placed, step = df.join(cuts, list(keys), "left").withColumn(BUCKET, F.lit(0)), fine // 2
+    while step:  # how many cuts are at most the row's time
+        passed = F.coalesce(F.get("__cuts", F.col(BUCKET) + (step - 1)) <= F.col(time), F.lit(False))
+        placed, step = placed.withColumn(BUCKET, F.col(BUCKET) + F.when(passed, step).otherwise(0)), step // 2
+    return placed.drop("__cuts")
 
 
 def _local(keys: Sequence[str], order: Sequence[Column | str]):
