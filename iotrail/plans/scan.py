@@ -121,17 +121,18 @@ def live(df: DataFrame, keys: Sequence[str], order: Sequence[str], step: Column,
 
 def last_of_key(df: DataFrame, keys: Sequence[str], within: Sequence[str], order: Sequence[str], name: str, value: Column, when: Column, trail: Trail) -> DataFrame:
     """The value at the last row before of the same key `within` a log where the condition holds. Keys can be hot: a key's
-    rows of a bucket are taken on their own, and one row for each key and bucket carries what went before."""
+    rows of a bucket are taken on their own. What went before comes in as one row more for each key and bucket, sorted
+    before the others (its order is null) and left out afterwards, so rows are dealt out by bucket once, as live() needs them."""
     prior = W.partitionBy(*keys, BUCKET, *within).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
     rows = df.withColumn("__v", F.when(when, F.struct(value.alias("x"))))
     here = F.last("__v", ignorenulls=True).over(prior)
     if trail.single:
         return rows.withColumn(name, here["x"]).drop("__v")
-    per = rows.where(when).groupBy(*keys, BUCKET, *within).agg(F.max_by("__v", F.struct(*order)).alias("v"))
-    at = rows.select(*keys, BUCKET, *within).distinct().join(per, [*keys, BUCKET, *within], "left")
+    per = rows.groupBy(*keys, BUCKET, *within).agg(F.max_by("__v", F.when(F.col("__v").isNotNull(), F.struct(*order))).alias("v"))
     before = W.partitionBy(*keys, *within).orderBy(BUCKET).rowsBetween(W.unboundedPreceding, -1)
-    carried = at.select(*keys, BUCKET, *within, F.last("v", ignorenulls=True).over(before).alias("__c"))
-    return rows.withColumn("__l", here).join(carried, [*keys, BUCKET, *within]).withColumn(name, F.coalesce("__l", "__c")["x"]).drop("__v", "__l", "__c")
+    carried = per.select(*keys, BUCKET, *within, F.last("v", ignorenulls=True).over(before).alias("__v"), F.lit(True).alias("__more")).where(F.col("__v").isNotNull())
+    both = rows.withColumn("__more", F.lit(False)).unionByName(carried, allowMissingColumns=True).repartition(*keys, BUCKET)
+    return both.withColumn(name, here["x"]).where(~F.col("__more")).drop("__v", "__more")
 
 
 def last_before(df: DataFrame, keys: Sequence[str], order: Sequence[str], values: dict[str, tuple[Column, Column]], trail: Trail) -> DataFrame:
