@@ -8,8 +8,11 @@ are in a list), and what is estimated at or above threshold - margin is confirme
 texts: 100 * intersection >= percent * union.
 
 A list can be very long, so pairs are never formed from all of it:
-- two sketch sizes: lists of k values only tell which documents may have a partner at all; these get sketches of
-  4 k values, and the lists that pairs come from are made anew from those, with half the margin;
+- three sketch sizes: lists of k values only tell which documents may have a partner at all; these get sketches of
+  4 k values, and the lists that pairs come from are made anew from those, with half the margin. Documents in a list
+  of more than `LONG` get sketches of 16 k values (up to that size the whole set), and lists of these take the long
+  ones' place: families of near misses (forms, licences, product pages) are told from copies there;
+- no partner: an entry whose document shares too few values with others for any size of partner in its list goes;
 - rare first: two sketches that must share c of k values share one among the k - c + 1 rarest of either, so only
   these are listed (values are counted over all sketches; ones found once need no list);
 - what is left: an entry says how many values its document has from there on in that order that others have too. A pair is
@@ -43,6 +46,9 @@ from .common import forget, list_array, materialise, slices, table, texts_of
 from .components import LIGHT, merge
 
 
+LONG = 32  # members of a list, beyond which they are told apart by finer sketches
+
+
 def sets(docs: DataFrame, size: int, k: int) -> DataFrame:
     """doc_id, n (set size), h1, h2 (of the whole set), sketch (its k least hashes, ascending as unsigned)."""
 
@@ -82,7 +88,7 @@ def confirm(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Data
     return pairs.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
-def _estimate(sa: Column, sb: Column, k: int) -> Column:
+def _estimate(sa: Column, sb: Column, k: Column) -> Column:
     """Similarity from the sketch of the union. Hashes are ordered as unsigned numbers."""
     key = lambda x: F.transform(x, lambda v: v.bitwiseXOR(F.lit(-(1 << 63))))
     union = F.slice(F.array_sort(key(F.array_union(sa, sb))), 1, k)
@@ -108,12 +114,12 @@ def link(docs: DataFrame, size: int = 5, percent: int = 80, k: int = 64, errors:
     return found.select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
 
 
-def _margin(n: Column, k: int, threshold: float, errors: float) -> Column:
+def _margin(n: Column, k: int | Column, threshold: float, errors: float) -> Column:
     """Sampling error that is allowed for: less where the sketch is much of the union (of n / threshold at most)."""
-    return errors * math.sqrt(threshold * (1 - threshold) / k) * F.sqrt(F.greatest(F.lit(0.0), 1 - k * threshold / n))
+    return errors * F.sqrt(threshold * (1 - threshold) / F.lit(k)) * F.sqrt(F.greatest(F.lit(0.0), 1 - F.lit(k) * threshold / n))
 
 
-def _shared(na: Column, nb: Column, k: int, threshold: float, errors: float) -> Column:
+def _shared(na: Column, nb: Column, k: int | Column, threshold: float, errors: float) -> Column:
     """How many values the sketches of two sets of these sizes share at least if the sets are similar enough.
 
     The larger set's sketch is a sample of it, of which the smaller set holds the share p or more; if it is the
@@ -138,6 +144,19 @@ def _lists(reps: DataFrame, k: int, threshold: float, errors: float) -> DataFram
     return entries.select(F.col("x.v").alias("v"), "rep", "n", (F.col("all") - F.col("at")).alias("left"), "own")
 
 
+def _with_partners(lists: DataFrame, threshold: float, errors: float) -> DataFrame:
+    """lists(v, n, left, k, ...) without entries that have no partner in their list, by the sizes found there.
+
+    What two sets must share grows with the smaller one's size; with the larger one's it grows and then falls (where
+    its sketch is a sample), so the least is at one end of the range of sizes."""
+    n = F.col("n")
+    range_ = lists.groupBy("v").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.min("rep").alias("x"), F.max("rep").alias("y")).where("x < y")
+    small = F.least(n, F.greatest(F.col("lo"), threshold * n))
+    large = F.greatest(n, F.least(F.col("hi"), n / threshold))
+    needed = F.least(_shared(n, small, F.col("k"), threshold, errors), _shared(n, large, F.col("k"), threshold, errors))
+    return lists.join(range_, "v").where(F.col("left") >= needed).select(*lists.columns)
+
+
 def _in_pairs(rows: DataFrame, pairs: DataFrame, most: int = 500_000) -> DataFrame:
     """rows(doc_id, ...) of the documents in pairs(a, b), so that joins shuffle no others. Their ids are broadcast if there
     are at most `most` (counted; 8 bytes each); if there are more, all rows are left in, which changes no result."""
@@ -146,6 +165,27 @@ def _in_pairs(rows: DataFrame, pairs: DataFrame, most: int = 500_000) -> DataFra
     return rows.join(F.broadcast(ids), "doc_id", "left_semi") if ids.count() <= most else rows
 
 
+def _start(texts: DataFrame, sketches: DataFrame, size: int, wide: int, threshold: float, errors: float) -> tuple[DataFrame, DataFrame | None]:
+    """v, rep, n, left, own, k (of the sketches), component: the lists that pairs come from; and the finer sketches.
+
+    A pair that meets in a long list has both documents in those of the finer sketches, and the other lists stay, so
+    no pair is lost."""
+    named = sketches.withColumnRenamed("doc_id", "rep")
+    every = materialise(_with_partners(_lists(named, wide, threshold, errors).withColumn("k", F.lit(wide)), threshold, errors), "shingle-lists", LIGHT)
+    long = materialise(every.groupBy("v").agg(F.count(F.lit(1)).alias("members")).where(F.col("members") > LONG).select("v"), "shingle-long", LIGHT)
+    if long.isEmpty():
+        return every.withColumn("component", F.col("rep")), None
+    hot = every.join(long, "v", "left_semi").select(F.col("rep").alias("doc_id")).distinct()
+    fine = 4 * wide
+    finer = materialise(sets(texts.join(hot, "doc_id", "left_semi"), size, fine).select("doc_id", "n", "sketch"), "shingle-finer", LIGHT)
+    # Lists of the two kinds are apart: a number of the finer ones is mixed once more.
+    apart = _lists(finer.withColumnRenamed("doc_id", "rep"), fine, threshold, errors).withColumn("k", F.lit(fine)).withColumn("v", F.xxhash64("v"))
+    both = every.join(long, "v", "left_anti").unionByName(_with_partners(apart, threshold, errors))
+    out = materialise(both.withColumn("component", F.col("rep")), "shingle-lists", LIGHT)
+    forget(every, long)
+    return out, finer
+
+
 def _components_of(docs: DataFrame, reps: DataFrame, size: int, percent: int, k: int, threshold: float, errors: float) -> DataFrame | None:
     first = materialise(_lists(reps, k, threshold, errors).select("v", "rep"), "shingle-lists", LIGHT)
     met = first.groupBy("v").agg(F.min("rep").alias("x"), F.max("rep").alias("y")).where("x < y").select("v")
@@ -153,10 +193,13 @@ def _components_of(docs: DataFrame, reps: DataFrame, size: int, percent: int, k:
     forget(first)
     if listed.isEmpty():
         return None
-    texts = materialise(texts_of(docs).join(listed, "doc_id").dropDuplicates(["doc_id"]), "shingle-texts", LIGHT)
+    texts = materialise(texts_of(docs).join(listed, "doc_id").dropDuplicates(["doc_id"]), "shingle-texts")
     wide = 4 * k
     sketches = materialise(sets(texts, size, wide).select("doc_id", "n", "sketch"), "shingle-sketches", LIGHT)
-    lists = materialise(_lists(sketches.withColumnRenamed("doc_id", "rep"), wide, threshold, errors).withColumn("component", F.col("rep")), "shingle-lists", LIGHT)
+    lists, finer = _start(texts, sketches, size, wide, threshold, errors)
+    samples = sketches.withColumn("k", F.lit(wide))
+    if finer is not None:
+        samples = samples.unionByName(finer.withColumn("k", F.lit(4 * wide)))
     component: DataFrame | None = None
     leaders = 1
     while not lists.isEmpty():
@@ -167,22 +210,23 @@ def _components_of(docs: DataFrame, reps: DataFrame, size: int, percent: int, k:
             (F.col("rep") != F.col("lr"))
             & (F.col("component") != F.col("lc"))
             & (F.least("n", "ln") >= threshold * F.greatest("n", "ln") - 1e-9)
-            & (F.least("left", "ll") >= _shared(F.col("n"), F.col("ln"), wide, threshold, errors))
+            & (F.least("left", "ll") >= _shared(F.col("n"), F.col("ln"), F.col("k"), threshold, errors))
         )
-        met = materialise(met.select(F.least("rep", "lr").alias("a"), F.greatest("rep", "lr").alias("b")).distinct(), "shingle-pairs", LIGHT)
-        pairs, some = met, _in_pairs(sketches, met)
+        met = met.groupBy(F.least("rep", "lr").alias("a"), F.greatest("rep", "lr").alias("b")).agg(F.max("k").alias("k"))
+        met = materialise(met, "shingle-pairs", LIGHT)
+        pairs, some, kept = met, _in_pairs(samples, met), F.col("k")
         for c in ("a", "b"):
-            pairs = pairs.join(some.select(F.col("doc_id").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"s{c}")), c)
-        enough = F.size(F.array_intersect("sa", "sb")) >= _shared(F.col("na"), F.col("nb"), wide, threshold, errors)
-        needed = threshold - _margin(F.greatest("na", "nb"), wide, threshold, errors) - 1e-9
-        likely = pairs.where(F.when(enough, _estimate(F.col("sa"), F.col("sb"), wide) >= needed).otherwise(False)).select("a", "b")
+            pairs = pairs.join(some.select(F.col("doc_id").alias(c), "k", F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"s{c}")), [c, "k"])
+        enough = F.size(F.array_intersect("sa", "sb")) >= _shared(F.col("na"), F.col("nb"), kept, threshold, errors)
+        needed = threshold - _margin(F.greatest("na", "nb"), kept, threshold, errors) - 1e-9
+        likely = pairs.where(F.when(enough, _estimate(F.col("sa"), F.col("sb"), kept) >= needed).otherwise(False)).select("a", "b")
         likely = materialise(likely, "shingle-likely", LIGHT)
         links = materialise(confirm(likely, _in_pairs(texts, likely), size, percent), "shingle-links", LIGHT)
         if not links.isEmpty():
             component, old = merge(component, links), component
             forget(old)
         rest = lists.join(lead.select("v", F.col("lr").alias("rep")), ["v", "rep"], "left_anti")
-        columns = ["v", "rep", "n", "left", "own", "component"]
+        columns = lists.columns
         if component is not None:
             rest = rest.drop("component").join(component.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
         rest = materialise(rest.select(*columns), "shingle-lists", LIGHT)
@@ -190,7 +234,7 @@ def _components_of(docs: DataFrame, reps: DataFrame, size: int, percent: int, k:
         old, lists = lists, materialise(rest.join(materialise(open_, "shingle-open", LIGHT), "v", "left_semi").select(*columns), "shingle-lists", LIGHT)
         forget(old, rest, lead, links, met, likely)
         leaders *= 16
-    forget(texts, sketches, lists)
+    forget(texts, sketches, finer, lists)
     return component
 
 
