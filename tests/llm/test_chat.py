@@ -23,7 +23,7 @@ def expected(rows):
 
 def test_round_trip(spark):
     df = spark.createDataFrame([(*r, "clash", 1) for r in ODD], "conv_id long, turn long, role string, text string, piece string, position int").repartition(3)
-    got = [tuple(r)[:5] for r in chat.digests(chat.expand(df)).collect()]
+    got = [tuple(r)[:5] for r in chat.digests(chat.formatted(df)).collect()]
     key = lambda r: (r[0] is None, r)
     assert sorted(got, key=lambda r: (r[0] is None, r[0] or 0)) == sorted(expected(ODD), key=lambda r: (r[0] is None, r[0] or 0)) and key
 
@@ -37,4 +37,26 @@ def test_each_example_trains_one_reply(spark):
 
 
 def test_empty(spark):
-    assert chat.digests(chat.expand(spark.createDataFrame([], "conv_id long, turn long, role string, text string"))).count() == 0
+    assert chat.digests(chat.formatted(spark.createDataFrame([], "conv_id long, turn long, role string, text string"))).count() == 0
+
+
+def test_examples_hold_what_is_digested(spark):
+    df = spark.createDataFrame(ODD, "conv_id long, turn long, role string, text string").repartition(3)
+    stored, by = chat.formatted(df), {}
+    for r in chat.examples(stored).collect():
+        by.setdefault(r.conv_id, []).append(r)
+    for d in chat.digests(stored).collect():
+        rows = sorted(by.pop(d.conv_id), key=lambda r: r.position)
+        loss = "".join(r.text[r.mask_start : r.mask_end].replace("\\\\", "\0").replace("\\", "").replace("\0", "\\") for r in rows)
+        assert (sum(len(r.text) for r in rows), len(loss), hashlib.sha256(loss.encode()).hexdigest()) == (d.formatted_chars, d.loss_chars, d.loss_sha256)
+        assert [r.last for r in rows] == [False] * (len(rows) - 1) + [True] and rows[-1].n_turns == d.n_turns
+        assert all(b.text.startswith(a.text) for a, b in zip(rows, rows[1:]))
+    assert not by
+
+
+def test_written_form_grows_with_the_turns(spark):
+    def chars(turns):
+        rows = [(1, i, ("user", "assistant")[i % 2], "x" * 100) for i in range(turns)]
+        return len(chat.formatted(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).first().text)
+
+    assert chars(400) < 4.1 * chars(100)
