@@ -244,7 +244,7 @@ def keep_one(docs: DataFrame, most: int = 2_000_000, **options) -> DataFrame:
     Rows are linked by a number of their own, so rows that repeat a doc_id or have none are documents like others.
     The numbers of the rows that go are broadcast if there are at most `most` (counted; 8 bytes each), so that whole texts
     are not shuffled; if there are more, a join shuffles rows by number, with the same result."""
-    rows = materialise(docs.withColumn("__row", F.monotonically_increasing_id()), "keep-rows")
+    rows = materialise(docs.withColumn("__row", F.monotonically_increasing_id()), "keep-rows", compression="zstd")
     found = link(rows.select(F.col("__row").alias("doc_id"), "text"), **options).select(F.col("doc_id").alias("__row"), "component_id")
     known = materialise(found.join(rows.select("__row", F.col("doc_id").cast("long").alias("id")), "__row"), "keep-known", LIGHT)
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "__row")).alias("x")
