@@ -94,3 +94,20 @@ def test_rows_out_of_order_wait_and_late_ones_are_counted(spark, tmp_path, kind)
     assert sorted(r.line_ord for r in late.collect()) == [1000, 1001, 1002] and late.where(F.col("ctoc").isNotNull()).count() == 0
     value = lambda df: {r.line_ord: tuple(r[1:]) for r in df.select("line_ord", *columns(kind)).collect()}
     assert value(got.where("not late")) == value(derive.derive(frame(spark, kind, rows), kind, buckets=1))
+
+
+@pytest.mark.parametrize("kind", [UFS, BLOCK, CUSTOM])
+def test_query_takes_times_that_repeat_far_apart(spark, tmp_path, kind):
+    """Two copies of the events with the same times: none is late, and one log has one partition of state."""
+    from iotrail import queries
+
+    events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    d = str(tmp_path / "twice")
+    events.unionByName(events.withColumn("event_id", F.col("event_id") + 100_000)).write.parquet(f"{d}/events.parquet")
+    partitions = spark.conf.get("spark.sql.shuffle.partitions")
+    with live.state_partitions(spark, 1):
+        assert spark.conf.get("spark.sql.shuffle.partitions") == "1"
+    assert spark.conf.get("spark.sql.shuffle.partitions") == partitions
+    value = lambda df: {r.line_ord: tuple(r[1:]) for r in df.select("line_ord", *(c if c == "continuous" or "qd" in c else F.round(c, 6) for c in columns(kind))).collect()}
+    got = value(queries.QUERIES[f"r8_live_derive_{kind}"](spark, d))
+    assert got == value(derive.derive(queries.view(spark, d, kind), kind, buckets=1))
