@@ -259,3 +259,9 @@ def test_log_to_parquet_of_all_families(spark):
     ufs = queries.view(spark, d, UFS)
     assert got[UFS] == ufs.where("line_ord % 4 = 0 and action <> 'other'").count()
     assert got[CUSTOM] == ufs.where("line_ord % 4 = 3 and line_ord % 24 not in (3, 7)").count()
+
+
+def test_lines_are_made_without_a_join(spark):
+    """Four forms of a line come from one row, so no task sorts the table against itself (p6_control_bytes)."""
+    plan = queries.lines(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Repartition" in plan
