@@ -265,3 +265,17 @@ def test_lines_are_made_without_a_join(spark):
     """Four forms of a line come from one row, so no task sorts the table against itself (p6_control_bytes)."""
     plan = queries.lines(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" not in plan and "Repartition" in plan
+
+
+@pytest.mark.parametrize("name", ["k7_log_to_parquet", "k7_log_to_parquet_without_repeats"])
+def test_log_job_is_one_log_however_many_files(spark, tmp_path, name):
+    """Two copies with the same times, in several files, against the query's SQL."""
+    import duckdb
+
+    e = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    d = str(tmp_path / "twice")
+    e.unionByName(e.withColumn("event_id", F.col("event_id") + 100_000)).repartition(5).write.parquet(f"{d}/events.parquet")
+    con = duckdb.connect()
+    con.sql(f"create view events as select * from '{d}/events.parquet/*.parquet'")
+    got = {r.kind: r.n for r in queries.QUERIES[name](spark, d).collect()}
+    assert got == dict(con.sql(queries.SQL[name]).fetchall())
