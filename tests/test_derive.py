@@ -261,3 +261,12 @@ def test_depth_over_empty_and_saturated_buckets(spark, seed):
     df = spark.createDataFrame(rows, "line_ord long, time double, action string, tag long, opcode string, lba long, size long").withColumn("source", F.lit("s"))
     got = {r.line_ord: (r.qd, r.dtoc, r.ctoc, r.ctod, r.continuous) for r in derive.ufs(df, buckets=60).collect()}
     assert got == simulate_ufs(rows)
+
+
+@pytest.mark.parametrize("kind", [UFS, BLOCK, CUSTOM])
+def test_buckets_are_not_put_together_in_tasks(spark, kind):
+    """Rows are dealt out by bucket over a number of tasks that is named, two a bucket, so what a task sorts is bounded."""
+    from iotrail import queries
+
+    plan = derive.derive(queries.view(spark, "/root/testdata/sf0.001", kind), kind, buckets=4)._jdf.queryExecution().optimizedPlan().toString()
+    assert ", 8" in "".join(x for x in plan.splitlines() if "RepartitionByExpression" in x)

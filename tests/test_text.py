@@ -279,3 +279,13 @@ def test_log_job_is_one_log_however_many_files(spark, tmp_path, name):
     con.sql(f"create view events as select * from '{d}/events.parquet/*.parquet'")
     got = {r.kind: r.n for r in queries.QUERIES[name](spark, d).collect()}
     assert got == dict(con.sql(queries.SQL[name]).fetchall())
+
+
+def test_written_files_hold_ranges_of_time(spark, tmp_path):
+    """A table that is written sorts about rows_a_file rows a task, and its files don't overlap in time."""
+    rows = queries.view(spark, "/root/testdata/sf0.001", UFS)
+    n = rows.count()
+    path = sinks.write_events(rows, str(tmp_path / "out"), UFS, rows_a_file=n // 4)
+    files = spark.read.parquet(path).groupBy(F.col("_metadata.file_path").alias("file")).agg(F.count(F.lit(1)).alias("n"), F.min("time").alias("a"), F.max("time").alias("b")).orderBy("a").collect()
+    assert len(files) >= 4 and sum(f.n for f in files) == n and max(f.n for f in files) < n // 2
+    assert all(x.b < y.a for x, y in zip(files, files[1:]))
