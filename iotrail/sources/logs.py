@@ -57,12 +57,13 @@ def _order(start: Column) -> Column:
 def read_log_segments(spark: SparkSession, folder: str, encoding: str = "UTF-8") -> DataFrame:
     """The same, where the files of a folder are pieces of one log, in the order of their names. source is the folder.
 
-    Only names and sizes of files are gone through to find where each begins."""
+    Only names and sizes of files are gone through to find where each begins; this row a file goes to all tasks, so lines are not
+    shuffled to meet it."""
     cell = 1 << SPLIT_BITS
     files = spark.read.format("binaryFile").load(folder).select(F.col("_metadata.file_path").alias("source"), "length")
     whole = (F.floor(F.col("length") / cell) + 1) * cell
     files = files.select("source", (F.sum(whole).over(W.orderBy("source")) - whole).alias("before"))
-    lines = _lines(spark.read.text(folder), encoding).join(files, "source")
+    lines = _lines(spark.read.text(folder), encoding).join(F.broadcast(files), "source")
     return lines.select(F.lit(folder).alias("source"), _order(F.col("before") + F.col("start")).alias("line_ord"), "line").where(F.col("line").rlike(r"\S"))
 
 

@@ -289,3 +289,10 @@ def test_written_files_hold_ranges_of_time(spark, tmp_path):
     files = spark.read.parquet(path).groupBy(F.col("_metadata.file_path").alias("file")).agg(F.count(F.lit(1)).alias("n"), F.min("time").alias("a"), F.max("time").alias("b")).orderBy("a").collect()
     assert len(files) >= 4 and sum(f.n for f in files) == n and max(f.n for f in files) < n // 2
     assert all(x.b < y.a for x, y in zip(files, files[1:]))
+
+
+def test_lines_of_segments_are_not_shuffled(spark, tmp_path):
+    """Where each piece begins goes to the lines, also if the files are large (b8_benchmark_log)."""
+    spark.range(1000).selectExpr("concat('line ', id) AS line").write.text(str(tmp_path / "log"))
+    plan = logs.read_log_segments(spark, str(tmp_path / "log"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "rightHint=(strategy=broadcast)" in plan
