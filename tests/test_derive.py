@@ -270,3 +270,48 @@ def test_buckets_are_not_put_together_in_tasks(spark, kind):
 
     plan = derive.derive(queries.view(spark, "/root/testdata/sf0.001", kind), kind, buckets=4)._jdf.queryExecution().optimizedPlan().toString()
     assert ", 8" in "".join(x for x in plan.splitlines() if "RepartitionByExpression" in x)
+
+
+def block_frame(spark, rows):
+    from decimal import Decimal
+
+    schema = "line_ord long, time double, action string, devmajor long, devminor long, io_type string, sector decimal(20,0), size long, comm string"
+    return spark.createDataFrame([(*r[:6], Decimal(r[6]), *r[7:]) for r in rows], schema).withColumn("source", F.lit("s"))
+
+
+@pytest.mark.parametrize("queue", [True, False])
+def test_pairs_of_few_sectors_over_buckets(spark, queue):
+    """Issues, completions and reissues of a sector lie in different buckets, with and without Q and C in the log."""
+    rows = [r for r in block_rows(11, 300) if queue or r[2] not in "QC"]
+    df, want = block_frame(spark, rows), simulate_block(rows)
+    assert {r.line_ord: (r.qd, r.dtoc, r.ctoc, r.ctod, r.continuous) for r in derive.block(df, buckets=50).collect()} == want
+    left = order.drop_reissued(order.drop_empty_writes(df), buckets=50).select("line_ord").collect()
+    assert sorted(r.line_ord for r in left) == sorted(want)
+    one, many = ({r.line_ord: r.dtoc for r in derive.qc_latency(df, buckets=b).collect()} for b in (1, 50))
+    assert one == many and any(one.values()) == queue
+
+
+def test_block_rows_are_written_before_any_window(spark, monkeypatch):
+    """A log may hold few sectors, so no window takes all rows of a sector: every one runs within buckets of the rows written."""
+    from iotrail.plans import scan
+
+    plans = []
+    materialise = scan.materialise
+
+    def seen(df, name, *rest):
+        plans.append((name, df._jdf.queryExecution().optimizedPlan().toString()))
+        return materialise(df, name, *rest)
+
+    monkeypatch.setattr(scan, "materialise", seen)
+    derive.block(block_frame(spark, block_rows(3, 100)), buckets=4)
+    assert [n for n, _ in plans] == ["scan-rows", "scan-cuts"]
+    assert not any("Window" in p for _, p in plans)
+
+
+def test_report_counts_rows_before_it_parts_them(spark):
+    """No row of items becomes several: what is exploded has been counted."""
+    items = stats.as_items(derive.block(block_frame(spark, block_rows(3, 50)), buckets=1), BLOCK)
+    plan = stats._profile(items, BLOCK, ("all", "item", "size", "ranges"), ("dtoc", "ctoc", "ctod"))._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    for k, line in enumerate(plan):
+        if "Generate" in line:
+            assert any("Aggregate" in x for x in plan[k + 1 : k + 4])
